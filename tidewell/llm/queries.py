@@ -30,8 +30,38 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.counting import count_tokens
+
+    counted = count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.sharding import shard_documents
+
+    sharded = shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.idfiles import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_token_counts": op3_token_counts,
+    "op4_histogram_sharding": op4_histogram_sharding,
+    "op5_quality_rules": op5_quality_rules,
+    "op10_id_files": op10_id_files,
 }
 
 SQL: dict[str, str] = {}
