@@ -12,8 +12,8 @@ import regex
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Pre-tokens that a worker remembers; at more it forgets them all.
-CACHE_ENTRIES = 700_000
+#: Pre-tokens, and chunks between spaces, that a worker remembers; at more it forgets them all.
+CACHE_ENTRIES = 500_000
 
 #: Characters whose classes and case rules agree between the library and Python; other texts go to the library whole.
 _PLAIN_BYTE = regex.compile(r"[^\x00-Ր‐-⁠　-〠一-鿿]")
@@ -40,6 +40,7 @@ class PieceEncoder:
         self.strange = _PLAIN_WORD if self.words else _PLAIN_BYTE
         self.added = [x["content"] for x in spec["added_tokens"]]
         self.cache: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes | None] = {}
         if self.words:
             suffix = spec["model"]["end_of_word_suffix"]
             self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
@@ -75,18 +76,59 @@ class PieceEncoder:
             out[i] = np.array(e.ids, np.uint32)
         return out
 
+    def _known(self, pretokens: list[list[str]]) -> None:
+        """Have the library encode those of these pre-tokens that the worker doesn't remember."""
+        new = list(set().union(*pretokens).difference(self.cache))
+        self.cache.update(zip(new, [x.tobytes() for x in self.encode_pretokens(new)]))
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Ids of what stands between two single spaces, with the space before it.
+
+        A space before anything but white space always begins a pre-token, so such
+        chunks are cut alone as they are within the text.  None marks a chunk for
+        which that doesn't hold.
+        """
+        letters = [c for c in chunks if c.isalpha()]  # one pre-token each
+        ids = self.encode_pretokens(letters if self.words else [" " + c for c in letters])
+        whole = [c for c in chunks.difference(letters) if self.words or (c and not c[0].isspace())]
+        cut = [self.pattern.findall(c if self.words else " " + c) for c in whole]
+        self._known(cut)
+        get = self.cache.__getitem__
+        self.chunks.update(dict.fromkeys(chunks))
+        self.chunks.update(zip(letters, [x.tobytes() for x in ids]))
+        self.chunks.update(zip(whole, [b"".join(map(get, c)) for c in cut]))
+
+    def _forget(self) -> None:
+        """Back to the bound; what came last goes, as frequent words come early."""
+        for held in (self.cache, self.chunks):
+            for _ in range(len(held) - CACHE_ENTRIES):
+                held.popitem()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pretokens(t) if self.plain(t) else None for t in texts]
-        new = set().union(*[c for c in cut if c]).difference(self.cache)
+        parts = [(t.lower() if self.words else t).split(" ") if self.plain(t) else None for t in texts]
+        heads = [p[0] if p else "" for p in parts]
+        if not self.words:  # the first chunk has no space before it
+            parts = [p[1:] if p is not None else None for p in parts]
+        new = set().union(*[p for p in parts if p]).difference(self.chunks)
         if new:
-            if len(self.cache) + len(new) > CACHE_ENTRIES:
-                self.cache.clear()
-                new = set().union(*[c for c in cut if c])
-            new = list(new)
-            self.cache.update(zip(new, [x.tobytes() for x in self.encode_pretokens(new)]))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) if c is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for c, t in zip(cut, texts)]
+            self._learn(new)
+        get = self.chunks.__getitem__
+        found = [list(map(get, p)) if p is not None else [None] for p in parts]
+        odd = [None in f for f in found]
+        cut = [[] if o and p is None else self.pattern.findall(t if o else h) for o, p, t, h in zip(odd, parts, texts, heads)] if not self.words else []
+        if cut:
+            self._known(cut)
+        out = []
+        for i, (t, f) in enumerate(zip(texts, found)):
+            if parts[i] is None:
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+            elif self.words:
+                out.append(b"".join(f))
+            else:
+                out.append(b"".join(map(self.cache.__getitem__, cut[i])) + (b"" if odd[i] else b"".join(f)))
+        self._forget()
+        return out
 
 
 @lru_cache(maxsize=2)
