@@ -50,6 +50,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.jaccard import documents_of, link_components
+
+    return link_components(documents_of(table(spark, sf_dir, "documents")), width=3, percent=90)
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.idfiles import round_trip
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_histogram_sharding": op4_histogram_sharding,
     "op5_quality_rules": op5_quality_rules,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_id_files": op10_id_files,
 }
 
