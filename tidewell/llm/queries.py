@@ -50,6 +50,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.toxicity import learn, remainder, toxic_scores
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, table(spark, sf_dir, "labels"), remainder(F.col("_label_id"), 5) == 0)
+    scored = toxic_scores(docs, model)
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.jaccard import documents_of, link_components
 
@@ -67,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_histogram_sharding": op4_histogram_sharding,
     "op5_quality_rules": op5_quality_rules,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_id_files": op10_id_files,
 }
