@@ -78,6 +78,12 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(documents_of(table(spark, sf_dir, "documents")), width=3, percent=90)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.idfiles import round_trip
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_id_files": op10_id_files,
 }
 

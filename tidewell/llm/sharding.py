@@ -116,6 +116,26 @@ def find_splitters(keys: DataFrame, n_shards: int, per_shard: int, tolerance: fl
     return [b for b, _ in order], [r for _, r in order]
 
 
+def row_boundary(keys: DataFrame, rows: int) -> int:
+    """The key that has exactly ``rows`` of the keys (``high, low, size``) below it, counted in rounds.
+
+    Equal keys can't be told apart; then the nearest boundary above is returned.
+    """
+    lo, hi = 0, HALF * HALF
+    while hi - lo > 1:
+        bounds = sorted({lo + (hi - lo) * i // PROBES for i in range(1, PROBES + 1)} | {hi - 1} if hi - lo > PROBES else set(range(lo + 1, hi + 1)))
+        bounds = [b for b in bounds if b < HALF * HALF]
+        got = histogram(keys, bounds)
+        below = np.cumsum([got.get(i, (0, 0))[1] for i in range(len(bounds))])
+        at = int(np.searchsorted(below, rows))
+        if at < len(bounds) and below[at] == rows:
+            return bounds[at]
+        lo, hi = bounds[at - 1] if at else lo, bounds[at] if at < len(bounds) else hi
+        if at in got:
+            lo, hi = max(lo, got[at][2] << 64), min(hi, (got[at][3] + 1) << 64)
+    return hi
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.0005, rows_per_bucket: int = 100_000, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` and, in the struct ``doc``, the columns to carry.
 
