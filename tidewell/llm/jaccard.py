@@ -18,7 +18,10 @@ smaller L of the two.
    most of a large group of near copies.
 4. Exact round: all pairs that share enough prefix shingles and still lie in
    different components are verified.  Within a component no further pair can
-   change the result, so a group of copies is never expanded into its pairs.
+   change the result, so a group of copies is never expanded into its pairs.  At
+   shingles of many documents, a pair leaves the join only if the parity bits of
+   both sets allow the threshold: sets differ in at least as many shingles as
+   their bits differ, so this drops no link.
 
 Nothing is capped: the star rounds only save work, the exact round decides.
 
@@ -49,10 +52,15 @@ VERIFY_COST = 20.0
 MAX_MATCHES = 4
 #: Central documents of a shingle in a star round.
 SALTS = 8
+#: Parity bits of a set, in 64-bit words; compared at shingles of more documents than this.
+PARITY_WORDS, FEW = 16, 16
 #: Bits of the filter by which texts of candidates are found again.
 FILTER_BITS = 24
 
 
+PARITY = [f"parity_{k:02d}_" for k in range(PARITY_WORDS)]
+
+
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
     """How many documents hold a shingle, by counter; never too low."""
 
@@ -83,8 +91,14 @@ def pick_prefix(shingles: np.ndarray, counters: np.ndarray, noise: float, heavy:
     return best, shingles[order[: n - need + best]]
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of the slots holds an odd number of the set's shingles, as 64-bit words."""
+    slots = ((shingles >> np.uint64(24)) & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=64 * PARITY_WORDS).astype(np.uint8) & 1).view(np.int64)
+
+
 def prefixes(docs: DataFrame, counters: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, fp1, fp2, matches, prefix`` of every row."""
+    """``doc_id, n, fp1, fp2, matches, prefix`` and parity words of every row."""
     noise = float(np.median(counters))
     heavy = noise + 8 * max(1.0, noise**0.5) + 8
     shared = docs.sparkSession.sparkContext.broadcast(counters)
@@ -93,15 +107,16 @@ def prefixes(docs: DataFrame, counters: np.ndarray, width: int, percent: int) ->
         held = WordHashes()
         for whole in batches:
             for batch, texts in text_batches(whole, "text"):
-                rows = []
-                for s in shingle_sets(texts, held, width):
+                rows, found = [], shingle_sets(texts, held, width)
+                words = np.array([parity(s) for s in found]).T
+                for s in found:
                     best, prefix = pick_prefix(s, shared.value, noise, heavy, percent) if len(s) else (0, s)
                     rows.append((len(s), *fingerprint(s), best, prefix.view(np.int64)))
                 n, fp1, fp2, best, prefix = zip(*rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(best, pa.int32()), lists], ["doc_id", "n", "fp1", "fp2", "matches", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(best, pa.int32()), lists, *map(pa.array, words)], ["doc_id", "n", "fp1", "fp2", "matches", "prefix", *PARITY])
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, matches int, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, matches int, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -160,10 +175,23 @@ def _may_link(percent: int) -> F.Column:
     return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("node") != F.col("node2"))
 
 
+def _bits_may_link(percent: int) -> F.Column:
+    """Parity bits that allow the threshold; the symmetric difference is at least the bits' distance."""
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}2"))) for p in PARITY[1:]), F.bit_count(F.col(PARITY[0]).bitwiseXOR(F.col(f"{PARITY[0]}2"))))
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n2"))
+
+
+def _other(postings: DataFrame) -> DataFrame:
+    return postings.select("token", *[F.col(c).alias(f"{c}2") for c in postings.columns if c != "token"])
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.least("matches", "matches2").alias("need"), "token")
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     """Pairs that share enough prefix shingles, each once."""
-    ordered = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.least("matches", "matches2").alias("need"), "token")
-    return ordered.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
 
 
 def _labelled(postings: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -175,8 +203,8 @@ def _labelled(postings: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def _undecided(postings: DataFrame) -> DataFrame:
     """Postings of shingles that lie in two components at least."""
-    split = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return postings.join(split, "token", "left_semi")
+    split = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo <> hi").select("token", "df")
+    return postings.join(split, "token")
 
 
 def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rounds: int = 2) -> DataFrame:
@@ -196,23 +224,27 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
         salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SALTS)).alias("salt")
         leads = open_.groupBy("token", salt).agg(F.max(F.struct("shared", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "matches", "comp")).alias("lead"))
         leads = leads.select("token", F.col("lead.node").alias("node2"), F.col("lead.n").alias("n2"), F.col("lead.matches").alias("matches2"), F.col("lead.comp").alias("comp2"))
-        pairs = _pairs(open_.join(leads, "token").where(_may_link(percent) & (F.col("comp") != F.col("comp2"))))
+        pairs = _pairs(_met(open_.join(leads, "token").where(_may_link(percent) & (F.col("comp") != F.col("comp2")))).distinct())
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         got = cut(verified(pairs, docs, width, percent))
         links = got if links is None else links.union(got)
         found = components(links)
 
-    open_ = _undecided(_labelled(postings, found))
-    other = open_.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "matches", "comp")])
-    pairs = _pairs(open_.join(other, "token").where(_may_link(percent) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))))
+    open_ = cut(_undecided(_labelled(postings, found)))
+    apart = _may_link(percent) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
+    few, many = open_.where(F.col("df") <= FEW), open_.where(F.col("df") > FEW)
+    many = many.join(nodes.select(F.col("doc_id").alias("node"), *PARITY).distinct(), "node")
+    met_few = _met(few.join(_other(few), "token").where(apart))
+    met_many = _met(many.join(_other(many), "token").where(apart & _bits_may_link(percent)))
+    pairs = _pairs(met_few.union(met_many))
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
     last = cut(verified(pairs, docs, width, percent))
     if last.limit(1).count():
         found = components(last if links is None else links.union(last))
     groups = equal if found is None else equal.join(found, "node", "left")
     groups = groups.select("fp1", "fp2", (F.col("node") if found is None else F.coalesce("component", "node")).alias("component_id"))
-    joined = rows.drop("prefix", "matches").join(groups, ["fp1", "fp2"], "left")
+    joined = rows.select("doc_id", "n", "fp1", "fp2").join(groups, ["fp1", "fp2"], "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
