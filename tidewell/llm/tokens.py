@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +21,11 @@ _PLAIN_BYTE = regex.compile(r"[^\x00-Ր‐-⁠　-〠一-鿿]")
 _PLAIN_WORD = regex.compile(r"[^\x00-ɏ‐-⁠　-〠一-鿿]")
 
 
+#: How byte-level vocabularies spell bytes: printable ones as themselves, the others as characters from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SPELLED = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
 class PieceEncoder:
     """Ids of texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
@@ -41,11 +47,6 @@ class PieceEncoder:
         self.added = [x["content"] for x in spec["added_tokens"]]
         self.cache: dict[str, bytes] = {}
         self.chunks: dict[str, bytes | None] = {}
-        if self.words:
-            suffix = spec["model"]["end_of_word_suffix"]
-            self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
-            for piece, i in self.library.get_vocab().items():
-                self.ends[i] = piece.endswith(suffix)
 
     def plain(self, text: str) -> bool:
         return not any(a in text for a in self.added) and (text.isascii() or self.strange.search(text) is None)
@@ -54,32 +55,18 @@ class PieceEncoder:
         """The pre-tokens of a plain text."""
         return self.pattern.findall(text.lower() if self.words else text)
 
-    def encode_pretokens(self, new: list[str]) -> list[np.ndarray]:
-        """Ids of each pre-token, by the library; runs of simple ones share a call."""
-        out: list[np.ndarray | None] = [None] * len(new)
-        simple = [i for i, w in enumerate(new) if self.words or (w[0] == " " and w[1:].isalpha())]
-        for k in range(0, len(simple), 2048):
-            group = simple[k : k + 2048]
-            e = self.library.encode((" " if self.words else "").join([new[i] for i in group]), add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32)
-            if self.words:
-                stops = np.flatnonzero(self.ends[ids]) + 1
-            else:
-                stops = np.append(np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1, len(ids))
-            if len(stops) == len(group):
-                start = 0
-                for i, stop in zip(group, stops.tolist()):
-                    out[i] = ids[start:stop]
-                    start = stop
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.library.encode_batch([new[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
+    def encode_pretokens(self, new: list[str]) -> list[bytes]:
+        """Ids of each pre-token, by the library's model, as little-endian unsigned 32-bit integers."""
+        model, out = self.library.model.tokenize, []
+        for w in new:
+            spelled = w.encode().decode("latin-1").translate(_SPELLED)
+            out.append(array("I", [t.id for t in model(spelled)]).tobytes())
         return out
 
     def _known(self, pretokens: list[list[str]]) -> None:
         """Have the library encode those of these pre-tokens that the worker doesn't remember."""
         new = list(set().union(*pretokens).difference(self.cache))
-        self.cache.update(zip(new, [x.tobytes() for x in self.encode_pretokens(new)]))
+        self.cache.update(zip(new, self.encode_pretokens(new)))
 
     def _learn(self, chunks: set[str]) -> None:
         """Ids of what stands between two single spaces, with the space before it.
@@ -95,7 +82,7 @@ class PieceEncoder:
         self._known(cut)
         get = self.cache.__getitem__
         self.chunks.update(dict.fromkeys(chunks))
-        self.chunks.update(zip(letters, [x.tobytes() for x in ids]))
+        self.chunks.update(zip(letters, ids))
         self.chunks.update(zip(whole, [b"".join(map(get, c)) for c in cut]))
 
     def _forget(self) -> None:
