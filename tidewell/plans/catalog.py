@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tidewell.plans import scans  # noqa: F401
+from tidewell.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
