@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.plans import filters, scans  # noqa: F401
+from tidewell.plans import filters, joins, scans  # noqa: F401
 from tidewell.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
