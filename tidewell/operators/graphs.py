@@ -50,9 +50,9 @@ def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     children = inside.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
     parents = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"))
     per = ids.join(children.select(F.col("parent").alias("node"), F.col("n").alias("out")), "node", "left").join(parents.select(F.col("child").alias("node"), F.col("n").alias("into")), "node", "left").na.fill(0, ["out", "into"])
-    shape = per.agg(F.count(F.lit(1)).alias("nodes"), F.count_if("into = 0").alias("roots"), F.count_if("out >= 2").alias("branches"), F.count_if("into >= 2").alias("merges"), F.count_if("into = 1").alias("single"), F.count_if("into = 0 AND out = 0").alias("orphans"))
+    shape = per.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.expr("into = 0")).alias("roots"), F.count_if(F.expr("out >= 2")).alias("branches"), F.count_if(F.expr("into >= 2")).alias("merges"), F.count_if(F.expr("into = 1")).alias("single"), F.count_if(F.expr("into = 0 AND out = 0")).alias("orphans"))
     dangling = edges.join(ids.withColumnRenamed("node", "parent"), "parent", "left_anti").agg(F.count(F.lit(1)).alias("dangling"))
-    loops = edges.agg(F.count_if("child = parent").alias("self_loops"))
+    loops = edges.agg(F.count_if(F.expr("child = parent")).alias("self_loops"))
     weak = weak_components(ids, inside.where("child <> parent")).agg(F.countDistinct("component").alias("components"))
     return shape.crossJoin(dangling).crossJoin(loops).crossJoin(weak)  # one row each
 
