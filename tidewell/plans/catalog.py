@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.plans import aggregates, filters, joins, scans, windows  # noqa: F401
+from tidewell.plans import aggregates, filters, joins, scans, search, windows  # noqa: F401
 from tidewell.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
