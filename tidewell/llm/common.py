@@ -18,7 +18,7 @@ SPACE_BYTES = b" \t\n\r\x0b\x0c"
 
 #: Texts in one Python batch; with the byte bound below it limits a worker's memory.
 BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)

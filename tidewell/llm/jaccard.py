@@ -116,7 +116,9 @@ def prefixes(docs: DataFrame, counters: np.ndarray, width: int, percent: int) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(best, pa.int32()), lists, *map(pa.array, words)], ["doc_id", "n", "fp1", "fp2", "matches", "prefix", *PARITY])
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, matches int, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITY))
+    made = cut(docs.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, matches int, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITY)))
+    shared.destroy()
+    return made
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -144,13 +146,15 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["node", "shingles"])
 
     made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "node long, shingles binary")
-    return made.join(nodes, "node", "left_semi")
+    found = cut(made.join(nodes, "node", "left_semi"))
+    shared.destroy()
+    return found
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets reach the threshold."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = cut(candidate_sets(docs, nodes, width))
+    sets = candidate_sets(docs, nodes, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +213,7 @@ def _undecided(postings: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rounds: int = 2) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``."""
-    rows = cut(prefixes(docs, sketch(docs, width), width, percent))
+    rows = prefixes(docs, sketch(docs, width), width, percent)
     equal = cut(rows.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node")))
     nodes = rows.where("n > 0").join(equal.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     postings = nodes.select(F.col("doc_id").alias("node"), "n", "matches", F.explode("prefix").alias("token")).distinct()

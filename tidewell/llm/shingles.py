@@ -13,7 +13,7 @@ from tidewell.llm.common import chain64
 class WordHashes(dict):
     """Words to 64-bit hashes; forgets all when it grows past its bound."""
 
-    limit = 600_000
+    limit = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

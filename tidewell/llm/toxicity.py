@@ -40,7 +40,7 @@ SLICE = 1 << 14
 STRENGTH = (20.0, 10.0, 4.0)
 #: Taken from every token's log-odds.
 SHIFT = 0.75
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -216,6 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int =
 
     aside = source.where("_aside").mapInArrow(measure, "label int, n int, found array<double>, histogram array<long>")
     rows = aside.select("label", "n", F.slice(F.sort_array("found", False), 1, 64).alias("found"), "histogram").collect()  # bounded by max_rows / 4 rows
+    shared.destroy()
     y = np.array([r.label for r in rows], float)
     if not counts[1].any() or not counts[0].any() or not len(y) or y.min() == y.max():
         model.curve = None if not counts[1].any() or not counts[0].any() else (1.0, 0.0, -2.0)
