@@ -48,6 +48,6 @@ def capped_registry(rows: DataFrame, keys: Sequence[str], pinned: Column, positi
 
 def rolling(rows: DataFrame, keys: Sequence[str], at: str, seconds: int, amounts: dict[str, Column]) -> DataFrame:
     """Trailing sums over a half-open window: what is exactly ``seconds`` old no longer counts."""
-    micros = F.unix_micros(F.col(at))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
     w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return rows.withColumn("_at", micros).withColumns({k: F.sum(c).over(w) for k, c in amounts.items()}).drop("_at")

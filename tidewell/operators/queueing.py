@@ -30,7 +30,7 @@ def claim(jobs: DataFrame, pending: Column, n: int, *order: str) -> DataFrame:
 
 def recover(jobs: DataFrame, status: str, at: str, now: Column, limit_seconds: int, running: str, to: str) -> DataFrame:
     """Jobs that have run for longer than the limit get another status; adds ``stale``."""
-    stale = (F.col(status) == running) & (F.unix_micros(now) - F.unix_micros(F.col(at)) > limit_seconds * 1_000_000)
+    stale = (F.col(status) == running) & (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp")) > limit_seconds * 1_000_000)
     return jobs.withColumn("stale", stale).withColumn(status, F.when(F.col("stale"), to).otherwise(F.col(status)))
 
 

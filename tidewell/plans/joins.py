@@ -81,13 +81,13 @@ def q055(t: Tables) -> DataFrame:
     return containment(clean, raw, "clean", "raw").groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk")).alias("chunks"))
 
 
-EDGES_SQL = "with e as (select p_partkey as child, unnest([p_partkey // 2, p_partkey // 3, case when p_partkey % 7 = 0 then p_partkey + 1 end]) as parent from part where p_partkey between 1 and 400), g as (select distinct child, parent from e where parent is not null and parent <> child and parent >= 1)"
+EDGES_SQL = "with e as (select p_partkey as child, unnest([p_partkey // 2, p_partkey // 3, case when p_partkey % 7 = 0 then 2 * p_partkey end]) as parent from part where p_partkey between 1 and 400), g as (select distinct child, parent from e where parent is not null and parent <> child and parent >= 1)"
 
 
 def edges(t: Tables) -> DataFrame:
     """A small prerequisite graph with a few cycles."""
     p = F.col("p_partkey")
-    parents = F.array(F.floor(p / 2), F.floor(p / 3), F.when(p % 7 == 0, p + 1))
+    parents = F.array(F.floor(p / 2), F.floor(p / 3), F.when(p % 7 == 0, 2 * p))
     e = t.part.where("p_partkey BETWEEN 1 AND 400").select(p.alias("child"), F.explode(parents).alias("parent"))
     return e.where("parent IS NOT NULL AND parent <> child AND parent >= 1").distinct()
 
