@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,21 @@ def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system: a worker serves many tasks beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_batches(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of ``batch`` of bounded rows and bytes with their texts; null counts as empty."""
     sizes = pyarrow.compute.fill_null(pyarrow.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -66,6 +83,7 @@ def text_batches(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.Record
     if start < batch.num_rows:
         part = batch.slice(start)
         yield part, [t or "" for t in part.column(column).to_pylist()]
+    release_memory()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

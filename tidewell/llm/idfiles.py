@@ -52,16 +52,18 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     code[: len(values)] = n - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    raw = values.view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4, dtype=np.uint8) < n[:, None]].tobytes()
+    widest = int(n.max(initial=1))  # as a rule two bytes hold the largest rank
+    raw = values.view(np.uint8).reshape(-1, 4) if widest > 2 else values.astype("<u2").view(np.uint8).reshape(-1, 2)
+    return control.astype(np.uint8).tobytes(), raw[np.arange(raw.shape[1], dtype=np.uint8) < n[:, None]].tobytes()
 
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The values of both streams, by table lookup."""
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    raw = np.zeros((n, 4), np.uint8)
-    raw[np.arange(4, dtype=np.uint8) < lengths[:, None]] = np.frombuffer(data, np.uint8)
-    return raw.view("<u4").reshape(-1)
+    width = 4 if int(lengths.max(initial=1)) > 2 else 2
+    raw = np.zeros((n, width), np.uint8)
+    raw[np.arange(width, dtype=np.uint8) < lengths[:, None]] = np.frombuffer(data, np.uint8)
+    return raw.view(f"<u{width}").reshape(-1).astype(np.uint32, copy=False)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, id_col: str, text_col: str) -> DataFrame:

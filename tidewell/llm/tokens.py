@@ -14,7 +14,7 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Pre-tokens, and chunks between spaces, that a worker remembers; at more it forgets them all.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 350_000
 
 #: Characters whose classes and case rules agree between the library and Python; other texts go to the library whole.
 _PLAIN_BYTE = regex.compile(r"[^\x00-Ր‐-⁠　-〠一-鿿]")
@@ -23,7 +23,11 @@ _PLAIN_WORD = regex.compile(r"[^\x00-ɏ‐-⁠　-〠一-鿿]")
 
 #: How byte-level vocabularies spell bytes: printable ones as themselves, the others as characters from 256 on.
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_SPELLED = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+_SPELLED = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
+#: Stands for a line end before a chunk; texts that hold it go to the library whole.
+LINE = "\0"
 
 
 class PieceEncoder:
@@ -59,30 +63,42 @@ class PieceEncoder:
         """Ids of each pre-token, by the library's model, as little-endian unsigned 32-bit integers."""
         model, out = self.library.model.tokenize, []
         for w in new:
-            spelled = w.encode().decode("latin-1").translate(_SPELLED)
+            if w.isascii() and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):
+                spelled = _SPELLED[32] + w[1:] if w[0] == " " else w
+            else:
+                spelled = w.encode().decode("latin-1").translate(_SPELLED)
             out.append(array("I", [t.id for t in model(spelled)]).tobytes())
         return out
 
     def _known(self, pretokens: list[list[str]]) -> None:
         """Have the library encode those of these pre-tokens that the worker doesn't remember."""
-        new = list(set().union(*pretokens).difference(self.cache))
+        new = set().union(*pretokens).difference(self.cache)
+        if not self.words:  # a word after a space may be known as a chunk
+            same = [(w, ids) for w in new if w[0] == " " and (ids := self.chunks.get(w[1:]))]
+            self.cache.update(same)
+            new = new.difference(self.cache)
+        new = list(new)
         self.cache.update(zip(new, self.encode_pretokens(new)))
 
     def _learn(self, chunks: set[str]) -> None:
-        """Ids of what stands between two single spaces, with the space before it.
+        """Ids of what stands between two single spaces, with the space before it, or after a line end, with that.
 
-        A space before anything but white space always begins a pre-token, so such
-        chunks are cut alone as they are within the text.  None marks a chunk for
-        which that doesn't hold.
+        A space or line end before anything but white space always begins a
+        pre-token, so such chunks are cut alone as they are within the text.  None
+        marks a chunk for which that doesn't hold.
         """
         letters = [c for c in chunks if c.isalpha()]  # one pre-token each
         ids = self.encode_pretokens(letters if self.words else [" " + c for c in letters])
-        whole = [c for c in chunks.difference(letters) if self.words or (c and not c[0].isspace())]
-        cut = [self.pattern.findall(c if self.words else " " + c) for c in whole]
-        self._known(cut)
-        get = self.cache.__getitem__
         self.chunks.update(dict.fromkeys(chunks))
         self.chunks.update(zip(letters, ids))
+        if self.words:
+            whole = list(chunks.difference(letters))
+            cut = list(map(self.pattern.findall, whole))
+        else:
+            whole = [c for c in chunks.difference(letters) if (body := c[c[:1] == LINE :]) and not body[0].isspace()]
+            cut = [["\n", *self.pattern.findall(c[1:])] if c[0] == LINE else self.pattern.findall(" " + c) for c in whole]
+        self._known(cut)
+        get = self.cache.__getitem__
         self.chunks.update(zip(whole, [b"".join(map(get, c)) for c in cut]))
 
     def _forget(self) -> None:
@@ -93,8 +109,11 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [(t.lower() if self.words else t).split(" ") if self.plain(t) else None for t in texts]
-        heads = [p[0] if p else "" for p in parts]
+        if self.words:
+            parts = [t.lower().replace("\n", " ").split(" ") if self.plain(t) else None for t in texts]
+        else:
+            parts = [t.replace("\n", " " + LINE).split(" ") if self.plain(t) and LINE not in t else None for t in texts]
+        heads = [p[0].replace(LINE, "\n") if p else "" for p in parts]
         if not self.words:  # the first chunk has no space before it
             parts = [p[1:] if p is not None else None for p in parts]
         new = set().union(*[p for p in parts if p]).difference(self.chunks)
