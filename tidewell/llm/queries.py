@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
+
 
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file."""
@@ -102,5 +106,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_id_files": op10_id_files,
 }
-
-SQL: dict[str, str] = {}
