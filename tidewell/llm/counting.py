@@ -81,7 +81,7 @@ def piece_counts(pretokens: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
         for batch in batches:
-            n = [len(x) // 4 for x in code.encode_pretokens(batch.column("pretoken").to_pylist())]
+            n = [len(code.model_ids(w)) // 4 for w in batch.column("pretoken").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], [*batch.schema.names, "n_pieces"])
 
     return pretokens.mapInArrow(run, "pretoken string, freq long, n_pieces int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -13,8 +14,8 @@ import regex
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Pre-tokens, and chunks between spaces, that a worker remembers; at more it forgets them all.
-CACHE_ENTRIES = 350_000
+#: Pre-tokens, and chunks between spaces, that a worker remembers.
+CACHE_ENTRIES = 400_000
 
 #: Characters whose classes and case rules agree between the library and Python; other texts go to the library whole.
 _PLAIN_BYTE = regex.compile(r"[^\x00-Ր‐-⁠　-〠一-鿿]")
@@ -30,27 +31,49 @@ _SPELLED = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not
 LINE = "\0"
 
 
+class OddChunk(Exception):
+    """A chunk that isn't cut alone as it is within its text."""
+
+
+class Remembered(dict):
+    """Ids by string; what is missing is made by a function and kept while there is room.
+
+    Frequent strings come early, so a full table keeps those.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.make(key)
+        if len(self) < CACHE_ENTRIES:
+            self[key] = ids
+        return ids
+
+
 class PieceEncoder:
     """Ids of texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    A text is cut into pre-tokens by the vocabulary's own pattern, each distinct
-    pre-token is encoded by the library once, and its ids are kept.  Texts that
-    hold an added token's string or characters outside the plain ranges are
-    encoded by the library as a whole, so the result never differs from its own.
+    A text is cut at single spaces and line ends into chunks, these by the
+    vocabulary's own pattern into pre-tokens, and each distinct pre-token is encoded
+    by the library's model once.  Texts that hold an added token's string or
+    characters outside the plain ranges are encoded by the library as a whole, so
+    the result never differs from its own.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model.tokenize
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.words = bool(spec["model"].get("end_of_word_suffix"))
         self.pattern = regex.compile(WORD_LEVEL if self.words else BYTE_LEVEL)
         self.strange = _PLAIN_WORD if self.words else _PLAIN_BYTE
         self.added = [x["content"] for x in spec["added_tokens"]]
-        self.cache: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
+        self.cache = Remembered(self.pretoken)
+        self.chunks = Remembered(self.word_chunk if self.words else self.byte_chunk)
 
     def plain(self, text: str) -> bool:
         return not any(a in text for a in self.added) and (text.isascii() or self.strange.search(text) is None)
@@ -59,82 +82,60 @@ class PieceEncoder:
         """The pre-tokens of a plain text."""
         return self.pattern.findall(text.lower() if self.words else text)
 
-    def encode_pretokens(self, new: list[str]) -> list[bytes]:
-        """Ids of each pre-token, by the library's model, as little-endian unsigned 32-bit integers."""
-        model, out = self.library.model.tokenize, []
-        for w in new:
-            if w.isascii() and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):
-                spelled = _SPELLED[32] + w[1:] if w[0] == " " else w
-            else:
-                spelled = w.encode().decode("latin-1").translate(_SPELLED)
-            out.append(array("I", [t.id for t in model(spelled)]).tobytes())
-        return out
-
-    def _known(self, pretokens: list[list[str]]) -> None:
-        """Have the library encode those of these pre-tokens that the worker doesn't remember."""
-        new = set().union(*pretokens).difference(self.cache)
-        if not self.words:  # a word after a space may be known as a chunk
-            same = [(w, ids) for w in new if w[0] == " " and (ids := self.chunks.get(w[1:]))]
-            self.cache.update(same)
-            new = new.difference(self.cache)
-        new = list(new)
-        self.cache.update(zip(new, self.encode_pretokens(new)))
-
-    def _learn(self, chunks: set[str]) -> None:
+    def model_ids(self, pretoken: str) -> bytes:
+        """Ids of a pre-token by the library's model, as little-endian unsigned 32-bit integers."""
+        spelled = pretoken.encode().decode("latin-1").translate(_SPELLED)
+        return array("I", [t.id for t in self.model(spelled)]).tobytes()
+
+    def letters(self, word: str, after_space: bool) -> bytes:
+        """The same for letters alone, with or without a space before them."""
+        space = _SPELLED[32] if after_space else ""
+        spelled = space + (word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLED))
+        return array("I", [t.id for t in self.model(spelled)]).tobytes()
+
+    def pretoken(self, w: str) -> bytes:
+        if w[0] == " " and (known := self.chunks.get(w[1:])):  # a word after a space may be known as a chunk
+            return known
+        return self.model_ids(w)
+
+    def word_chunk(self, c: str) -> bytes:
+        """Ids of what stands between white space."""
+        return self.letters(c, False) if c.isalpha() else b"".join(map(self.cache.__getitem__, self.pattern.findall(c)))
+
+    def byte_chunk(self, c: str) -> bytes:
         """Ids of what stands between two single spaces, with the space before it, or after a line end, with that.
 
         A space or line end before anything but white space always begins a
-        pre-token, so such chunks are cut alone as they are within the text.  None
-        marks a chunk for which that doesn't hold.
+        pre-token, so such chunks are cut alone as they are within the text.
         """
-        letters = [c for c in chunks if c.isalpha()]  # one pre-token each
-        ids = self.encode_pretokens(letters if self.words else [" " + c for c in letters])
-        self.chunks.update(dict.fromkeys(chunks))
-        self.chunks.update(zip(letters, ids))
+        if c.isalpha():  # one pre-token
+            return self.letters(c, True)
+        line = c[:1] == LINE
+        body = c[1:] if line else c
+        if not body or body[0].isspace():
+            raise OddChunk
+        ids = b"".join(map(self.cache.__getitem__, self.pattern.findall(body if line else " " + body)))
+        return self.cache["\n"] + ids if line else ids
+
+    def cut_ids(self, text: str) -> bytes:
+        """Ids by the pattern over the whole text."""
+        return b"".join(map(self.cache.__getitem__, self.pretokens(text)))
+
+    def ids(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if not self.plain(text) or LINE in text:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.words:
-            whole = list(chunks.difference(letters))
-            cut = list(map(self.pattern.findall, whole))
-        else:
-            whole = [c for c in chunks.difference(letters) if (body := c[c[:1] == LINE :]) and not body[0].isspace()]
-            cut = [["\n", *self.pattern.findall(c[1:])] if c[0] == LINE else self.pattern.findall(" " + c) for c in whole]
-        self._known(cut)
-        get = self.cache.__getitem__
-        self.chunks.update(zip(whole, [b"".join(map(get, c)) for c in cut]))
-
-    def _forget(self) -> None:
-        """Back to the bound; what came last goes, as frequent words come early."""
-        for held in (self.cache, self.chunks):
-            for _ in range(len(held) - CACHE_ENTRIES):
-                held.popitem()
+            return b"".join(map(self.chunks.__getitem__, text.lower().replace("\n", " ").split(" ")))
+        parts = text.replace("\n", " " + LINE).split(" ")
+        try:  # the first chunk has no space before it
+            return self.cut_ids(parts[0]) + b"".join(map(self.chunks.__getitem__, parts[1:]))
+        except OddChunk:
+            return self.cut_ids(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if self.words:
-            parts = [t.lower().replace("\n", " ").split(" ") if self.plain(t) else None for t in texts]
-        else:
-            parts = [t.replace("\n", " " + LINE).split(" ") if self.plain(t) and LINE not in t else None for t in texts]
-        heads = [p[0].replace(LINE, "\n") if p else "" for p in parts]
-        if not self.words:  # the first chunk has no space before it
-            parts = [p[1:] if p is not None else None for p in parts]
-        new = set().union(*[p for p in parts if p]).difference(self.chunks)
-        if new:
-            self._learn(new)
-        get = self.chunks.__getitem__
-        found = [list(map(get, p)) if p is not None else [None] for p in parts]
-        odd = [None in f for f in found]
-        cut = [[] if o and p is None else self.pattern.findall(t if o else h) for o, p, t, h in zip(odd, parts, texts, heads)] if not self.words else []
-        if cut:
-            self._known(cut)
-        out = []
-        for i, (t, f) in enumerate(zip(texts, found)):
-            if parts[i] is None:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            elif self.words:
-                out.append(b"".join(f))
-            else:
-                out.append(b"".join(map(self.cache.__getitem__, cut[i])) + (b"" if odd[i] else b"".join(f)))
-        self._forget()
-        return out
+        """Ids of each text."""
+        return [self.ids(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
