@@ -24,7 +24,7 @@ def knee_cutoff(rows: DataFrame, keys: Sequence[str], score: str, tie: str, floo
     w = _window(keys, F.desc(score), F.asc(tie))
     top = F.max(score).over(Window.partitionBy(*keys))
     marked = rows.withColumn("_rn", F.row_number().over(w)).withColumn("_top", top)
-    marked = marked.withColumn("_drop", (F.col(score) - F.lead(score).over(w)) / F.col("_top"))
+    marked = marked.withColumn("_drop", F.try_divide(F.col(score) - F.lead(score).over(w), F.col("_top")))
     cut = F.min(F.when(F.col("_drop") >= drop, F.col("_rn"))).over(Window.partitionBy(*keys))
     kept = marked.withColumn("_cut", cut).where((F.col("_top") >= floor) & (F.col(score) >= floor) & (F.col("_cut").isNull() | (F.col("_rn") <= F.col("_cut"))))
     return kept.drop("_rn", "_top", "_drop", "_cut")
