@@ -259,5 +259,5 @@ def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group; rows without id stay."""
     found = link_components(documents_of(docs, id_col, text_col), width, percent)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(drop, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
