@@ -28,12 +28,11 @@ def q062(t: Tables) -> DataFrame:
     return c.groupBy("conv_id").agg(first.alias("first_role"), F.count(F.lit(1)).alias("chunks"), F.count_if(F.trim("summary") == "").alias("blank"))
 
 
-@query("q063_mean_vector", "select label, list(v order by i)::double[] as mean from (select label, i, round(avg(x), 6) as v from (select label, unnest(range(1, 65)) as i, unnest(embedding)::double as x from embeddings) group by label, i) group by label")
+@query("q063_mean_vector", "select label, i as pos, round(avg(x), 6) as mean from (select label, unnest(range(1, 65)) as i, unnest(embedding)::double as x from embeddings) group by label, i")
 def q063(t: Tables) -> DataFrame:
     """Mean by class: partial sums per position, so no group of vectors is gathered."""
     each = t.embeddings.select("label", F.posexplode(vectors.as_double("embedding")).alias("i", "x"))
-    means = each.groupBy("label", "i").agg(F.round(F.avg("x"), 6).alias("v"))
-    return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("mean"))
+    return each.groupBy("label", (F.col("i") + 1).cast("long").alias("pos")).agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
 @query("q064_triage_score", """
@@ -57,16 +56,16 @@ def q065(t: Tables) -> DataFrame:
     return g.select("lang", F.round(density, 6).alias("density"), ((F.col("n") >= 10) & (density < 0.93)).alias("stop"))
 
 
-@query("q066_fact_merge", "select lang, lower(trim(left(text, 12))) as fact, arg_min(doc_id, doc_id) as head, count(*) as size, list_sort(list(distinct source)) as anchors from documents group by all")
+@query("q066_fact_merge", "select lang, lower(trim(left(text, 12))) as fact, arg_min(doc_id, doc_id) as head, count(*) as size, array_to_string(list_sort(list(distinct source)), ',') as anchors from documents group by all")
 def q066(t: Tables) -> DataFrame:
     g = t.documents.groupBy("lang", F.lower(F.trim(F.substring("text", 1, 12))).alias("fact"))
-    return g.agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set("source")).alias("anchors"))
+    return g.agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("anchors"))
 
 
-@query("q067_atom_merge", "select role, lower(left(text, 10)) as statement, list_sort(list(distinct conv_id))::bigint[] as chunks, arg_min(turn, (conv_id, turn)) filter (where turn > 0) as quote from conversations group by all")
+@query("q067_atom_merge", "select role, lower(left(text, 10)) as statement, array_to_string(list_sort(list(distinct conv_id)), ',') as chunks, arg_min(turn, (conv_id, turn)) filter (where turn > 0) as quote from conversations group by all")
 def q067(t: Tables) -> DataFrame:
     g = t.conversations.groupBy("role", F.lower(F.substring("text", 1, 10)).alias("statement"))
-    return g.agg(F.array_sort(F.collect_set("conv_id")).alias("chunks"), F.min_by("turn", F.when(F.col("turn") > 0, F.struct("conv_id", "turn"))).alias("quote"))
+    return g.agg(F.array_join(F.transform(F.array_sort(F.collect_set("conv_id")), lambda x: x.cast("string")), ",").alias("chunks"), F.min_by("turn", F.when(F.col("turn") > 0, F.struct("conv_id", "turn"))).alias("quote"))
 
 
 @query("q068_paragraph_score", """

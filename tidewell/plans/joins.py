@@ -71,14 +71,14 @@ def q054(t: Tables) -> DataFrame:
 
 @query("q055_containment_join", """
 with raw as (select doc_id, lower(left(text, 60)) t from documents where doc_id < 300), clean as (select doc_id, lower(left(text, 25)) t from documents where doc_id < 300 and doc_id % 2 = 0 and length(text) > 0)
-select c.doc_id, list_sort(list_distinct(list(r.doc_id)))::bigint[] as chunks from clean c join raw r on r.t = c.t or contains(r.t, c.t) or contains(c.t, r.t) group by c.doc_id""")
+select c.doc_id, array_to_string(list_sort(list_distinct(list(r.doc_id))), ',') as chunks from clean c join raw r on r.t = c.t or contains(r.t, c.t) or contains(c.t, r.t) group by c.doc_id""")
 def q055(t: Tables) -> DataFrame:
     """Clean statements with the chunks of all raw ones that hold them; blocked by the common beginning of words."""
     from tidewell.operators.matching import containment
 
     raw = t.documents.where("doc_id < 300").select(F.col("doc_id").alias("chunk"), F.lower(F.substring("text", 1, 60)).alias("raw"))
     clean = t.documents.where("doc_id < 300 AND doc_id % 2 = 0 AND length(text) > 0").select("doc_id", F.lower(F.substring("text", 1, 25)).alias("clean"))
-    return containment(clean, raw, "clean", "raw").groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk")).alias("chunks"))
+    return containment(clean, raw, "clean", "raw").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("chunk")), lambda x: x.cast("string")), ",").alias("chunks"))
 
 
 EDGES_SQL = "with e as (select p_partkey as child, unnest([p_partkey // 2, p_partkey // 3, case when p_partkey % 7 = 0 then 2 * p_partkey end]) as parent from part where p_partkey between 1 and 400), g as (select distinct child, parent from e where parent is not null and parent <> child and parent >= 1)"
@@ -92,11 +92,12 @@ def edges(t: Tables) -> DataFrame:
     return e.where("parent IS NOT NULL AND parent <> child AND parent >= 1").distinct()
 
 
-@query("q056_neighbours", EDGES_SQL + ", n as (select distinct child as node from g union select distinct parent from g) select node, (select coalesce(list_sort(list(parent)), []) from g where child = node)::bigint[] as before, (select coalesce(list_sort(list(child)), []) from g where parent = node)::bigint[] as after from n where node < 60")
+@query("q056_neighbours", EDGES_SQL + ", n as (select distinct child as node from g union select distinct parent from g) select node, coalesce(array_to_string((select list_sort(list(parent)) from g where child = node), ','), '') as before, coalesce(array_to_string((select list_sort(list(child)) from g where parent = node), ','), '') as after from n where node < 60")
 def q056(t: Tables) -> DataFrame:
     from tidewell.operators.graphs import neighbours
 
-    return neighbours(edges(t)).where("node < 60")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return neighbours(edges(t)).where("node < 60").select("node", text("before"), text("after"))
 
 
 @query("q057_high_water_sync", "with s as (select user_id, max(ts) as synced from events where event_id % 10 = 0 group by user_id) select e.event_id from events e join s using (user_id) where e.ts > s.synced")

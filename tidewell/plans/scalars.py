@@ -143,10 +143,10 @@ def q152(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.host("url").alias("host"), urls.document_id("url").alias("doc"))
 
 
-@query("q153_urls_in_text", r"with d as (select page_id, 'see ' || url || ' and (' || url || ') or http://a.b/c, ok' as t from pages) select page_id, list_sort(list_distinct(regexp_extract_all(t, 'https?://[^\s<>\"'')\]]+'))) as found from d")
+@query("q153_urls_in_text", r"with d as (select page_id, 'see ' || url || ' and (' || url || ') or http://a.b/c, ok' as t from pages) select page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'https?://[^\s<>\"'')\]]+'))), ' ') as found from d")
 def q153(t: Tables) -> DataFrame:
     text = F.concat(F.lit("see "), "url", F.lit(" and ("), "url", F.lit(") or http://a.b/c, ok"))
-    return t.pages.select("page_id", F.array_sort(texts.urls_in(text)).alias("found"))
+    return t.pages.select("page_id", F.array_join(F.array_sort(texts.urls_in(text)), " ").alias("found"))
 
 
 @query("q153_links_made_bold")
@@ -156,12 +156,12 @@ def q153_links(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.regexp_replace(text, r"\[([^\]]+)\]\((?!http://good\.org/)[^)]*\)", "**$1**").alias("body"))
 
 
-@query("q154_citations", "with d as (select doc_id, [1 + doc_id % 5, 1 + doc_id % 7] as cited from documents), x as (select doc_id, list_sort(list_distinct(list_filter(cited, lambda c: c not in (1, 2, 3)))) as bad from d) select doc_id, list_transform(bad, lambda c: 'A ' || c::varchar) as unknown from x")
+@query("q154_citations", "with d as (select doc_id, [1 + doc_id % 5, 1 + doc_id % 7] as cited from documents), x as (select doc_id, list_sort(list_distinct(list_filter(cited, lambda c: c not in (1, 2, 3)))) as bad from d) select doc_id, array_to_string(list_transform(bad, lambda c: 'A ' || c::varchar), ',') as unknown from x")
 def q154(t: Tables) -> DataFrame:
     """Citations without a source, each once."""
     text = F.concat(F.lit("x [A "), 1 + F.col("doc_id") % 5, F.lit("] y [A "), 1 + F.col("doc_id") % 7, F.lit("]"))
     cited = F.regexp_extract_all(text, F.lit(r"\[(A \d+)\]"), F.lit(1))
-    return t.documents.select("doc_id", F.array_sort(F.array_except(cited, F.array(*[F.lit(f"A {i}") for i in (1, 2, 3)]))).alias("unknown"))
+    return t.documents.select("doc_id", F.array_join(F.array_sort(F.array_except(cited, F.array(*[F.lit(f"A {i}") for i in (1, 2, 3)]))), ",").alias("unknown"))
 
 
 @query("q155_search_query", """with p as (select p_partkey, string_split(p_name, ' ') as w, p_size from part where p_partkey < 200) select p_partkey, '(' || array_to_string(list_transform(w, lambda x: 'ti:"' || x || '" OR abs:"' || x || '"'), ' OR ') || ') AND cat:cs.' || upper(left(w[1], 2)) || case when p_size > 20 then ' AND submittedDate:[' || (1990 + p_size)::varchar || '01010000 TO 203012312359]' else '' end || ' ANDNOT all:"survey"' as q from p""")
