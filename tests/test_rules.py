@@ -201,6 +201,16 @@ def test_graph_checks(spark):
     assert (got.orphans, got.dangling, got.self_loops, got.components) == (1, 1, 1, 3)
     cyclic = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "child long, parent long")
     assert sorted(r.node for r in graphs.on_cycles(cyclic).collect()) == [1, 2, 3]
+    assert sorted((r.child, r.parent) for r in graphs.break_cycles(cyclic).collect()) == [(1, 2), (2, 3), (4, 1)]
+
+
+def test_nearest_limits_before_the_exchange(spark):
+    from tidewell.operators.retrieval import nearest
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id int, embedding array<double>")
+    got = nearest(rows.where("id < 2"), rows, "id", "id", 3)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 6
 
 
 def test_containment(spark):

@@ -20,6 +20,8 @@ PEDAGOGY_WEIGHT = {
     "advanced": {"PRACTICE": 1.5, "MECHANIC": 1.3, "EDGE_CASE": 1.4, "ANTI_PATTERN": 1.3, "CONCEPT": 0.5},
     "expert": {"EDGE_CASE": 1.7, "ANTI_PATTERN": 1.6, "PRACTICE": 1.4, "MECHANIC": 1.1, "CONCEPT": 0.3},
 }
+LOW_DEPTH_BOOST = {"PRACTICE": 1.25, "CONCEPT": 1.15}
+HIGH_DEPTH_BOOST = {"MECHANIC": 1.25, "EDGE_CASE": 1.35, "ANTI_PATTERN": 1.30}
 
 
 def _c(x: Column | str) -> Column:
@@ -110,6 +112,21 @@ def novelty_weight(seen: Column, new_article: Column) -> Column:
     return F.when(seen, 0.4).otherwise(1.0) * F.when(new_article, 1.25).otherwise(1.0)
 
 
+def depth_signal(why: Column, how: Column, mechanic: Column) -> Column:
+    """``low`` while the first layer isn't passed, ``high`` when only the last isn't, else null."""
+    return F.when(~why, "low").when(why & how & ~mechanic, "high")
+
+
+def shift_weight(scope: Column, signal: Column) -> Column:
+    """Weight of the scopes that fit the learner's present angle."""
+    return F.when(signal == "low", _weight(scope, LOW_DEPTH_BOOST, 1.0)).when(signal == "high", _weight(scope, HIGH_DEPTH_BOOST, 1.0)).otherwise(1.0)
+
+
+def affinity_weight(repelled: Column, attracted: Column) -> Column:
+    """Weight by the greatest similarity to claims to avoid and to seek; unknown ones are neutral."""
+    return F.when(repelled >= 0.82, 0.45).otherwise(1.0) * F.when(attracted >= 0.75, 1.35).otherwise(1.0)
+
+
 def coverage(keywords: list[str], text: Column | str) -> Column:
     """Mean credit over keywords: whole, or the share of its words found."""
     words = [k.strip().lower() for k in keywords if k.strip()]

@@ -68,3 +68,19 @@ def walk_up(parents: DataFrame, levels: int = 10) -> DataFrame:
             break
         out = out.union(level)
     return out
+
+
+def break_cycles(edges: DataFrame, most: int = 16, depth: int = 64) -> DataFrame:
+    """Edges without cycles: each step takes out the greatest edge within a cycle, up to so many steps.
+
+    For graphs of a curriculum's size; the bound keeps the loop short.
+    """
+    left = cut(edges.where("child <> parent").distinct())
+    for _ in range(most):
+        loop = on_cycles(left, depth)
+        inside = left.join(loop.withColumnRenamed("node", "child"), "child", "left_semi").join(loop.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        worst = cut(inside.orderBy(F.desc("child"), F.desc("parent")).limit(1).select("child", "parent"))
+        if not worst.count():
+            break
+        left = cut(left.join(F.broadcast(worst), ["child", "parent"], "left_anti"))  # one row
+    return left

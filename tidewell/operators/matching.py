@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 
 
 def containment(left: DataFrame, right: DataFrame, a: str, b: str, anchor: int = 8) -> DataFrame:
-    """Pairs where one text equals or holds the other.
+    """Pairs where one text equals or holds the other; blank texts match nothing.
 
-    A text that holds another of at least ``anchor`` characters also holds its first
-    ones, so pairs meet by equality on substrings of that length; shorter texts are
-    matched on all substrings of their own length.
+    A text that holds another also holds its first characters, at most ``anchor`` of
+    them, so pairs meet by equality of that beginning with a substring of up to that
+    length, and are then checked in full.
     """
 
-    def grams(c: str) -> F.Column:
-        n = F.length(c) - anchor + 1
-        return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(anchor))))).otherwise(F.array(F.col(c)))
-
-    first = F.substring(F.col(a), 1, anchor), F.substring(F.col(b), 1, anchor)
-    lefts, rights = left.withColumn("_l", F.struct(*left.columns)), right.withColumn("_r", F.struct(*right.columns))
-    inside = lefts.select("_l", a, first[0].alias("_g")).join(rights.select("_r", b, F.explode(grams(b)).alias("_g")), "_g").where(F.contains(b, a))
-    around = lefts.select("_l", a, F.explode(grams(a)).alias("_g")).join(rights.select("_r", b, first[1].alias("_g")), "_g").where(F.contains(a, b))
-    pairs = inside.select("_l", "_r").union(around.select("_l", "_r"))
-    short = F.least(F.length(a), F.length(b)) < anchor  # a short text's beginning isn't a whole substring of that length
-    few = lefts.where(F.length(a) < anchor).select("_l", a).join(rights.select("_r", b), (F.contains(b, a) | F.contains(a, b)) & short).select("_l", "_r")
-    other = lefts.select("_l", a).join(rights.where(F.length(b) < anchor).select("_r", b), (F.contains(b, a) | F.contains(a, b)) & short).select("_l", "_r")
-    return pairs.union(few).union(other).distinct().select("_l.*", "_r.*")
+    def beginning(c: str) -> F.Column:
+        return F.substring(F.col(c), 1, anchor)
+
+    def parts(c: str) -> F.Column:
+        n = F.length(c)
+        of = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, size))
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(anchor))), of)))
+
+    lefts = left.where(F.length(a) > 0).withColumn("_l", F.struct(*left.columns))
+    rights = right.where(F.length(b) > 0).withColumn("_r", F.struct(*right.columns))
+    inside = lefts.select("_l", a, beginning(a).alias("_g")).join(rights.select("_r", b, F.explode(parts(b)).alias("_g")), "_g").where(F.contains(b, a))
+    around = lefts.select("_l", a, F.explode(parts(a)).alias("_g")).join(rights.select("_r", b, beginning(b).alias("_g")), "_g").where(F.contains(a, b))
+    return inside.select("_l", "_r").union(around.select("_l", "_r")).distinct().select("_l.*", "_r.*")
 
 
 def allocate_ids(registry: DataFrame, rows: DataFrame, key: str, id_col: str, position: str) -> DataFrame:

@@ -31,15 +31,13 @@ def score_pairs(queries: DataFrame, rows: DataFrame, query_key: str, key: str, v
 def nearest(queries: DataFrame, rows: DataFrame, query_key: str, key: str, k: int, vector: str = "embedding", digits: int = 6) -> DataFrame:
     """The k nearest rows of each query; equal scores go by key.
 
-    Each task keeps its own k best a query before anything moves, so the shuffle
-    holds k rows a query and task, not all pairs.
+    The filter on the rank lets Spark keep each task's own k best a query before the
+    exchange (``WindowGroupLimit``), so the shuffle holds k rows a query and task and
+    not all pairs.
     """
     scored = score_pairs(queries, rows.select(key, vector), query_key, key, vector).withColumn("score", F.round("score", digits))
-    order = [F.desc("score"), F.asc(key)]
-    part = scored.withColumn("_part", F.spark_partition_id())
-    local = part.withColumn("_rn", F.row_number().over(Window.partitionBy("query", "_part").orderBy(*order))).where(F.col("_rn") <= k)
-    best = local.withColumn("_rn", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("_rn") <= k)
-    return best.select("query", key, "score", F.col("_rn").cast("long").alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc(key)))
+    return scored.withColumn("_rn", rank).where(F.col("_rn") <= k).select("query", key, "score", F.col("_rn").cast("long").alias("rank"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: Column, query_key: str, terms: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from tidewell.functions.urls import host, strip_slash
 from tidewell.functions.vectors import cosine
 from tidewell.operators import tables as ops
 from tidewell.plans.registry import Tables, query
+from tidewell.streaming.run import shared_folder
 
 
 @query("q001_vector_table_create")
@@ -19,7 +20,7 @@ def q001(t: Tables) -> DataFrame:
     """Create a table once; a second create changes nothing."""
     from tidewell.sources.vector_table import VectorTable
 
-    table = VectorTable(t.spark, f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/vectors-{id(t)}")
+    table = VectorTable(t.spark, f"{shared_folder(t.spark)}/vectors-{uuid.uuid4().hex}")
     made, again = table.create(), table.create()
     return t.spark.createDataFrame([(f.name, f.dataType.simpleString(), made, again) for f in table.rows().schema], "column string, kind string, made boolean, made_again boolean")
 
@@ -190,6 +191,6 @@ def q023(t: Tables) -> DataFrame:
     """Copy a table from one format to another with ids unchanged."""
     from tidewell.sources.copying import copy_table
 
-    path = f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/copy-{id(t)}"
+    path = f"{shared_folder(t.spark)}/copy-{uuid.uuid4().hex}"
     copied = copy_table(t.embeddings, path, "orc")
     return copied.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))

@@ -132,6 +132,12 @@ def q134(t: Tables) -> DataFrame:
     return graphs.on_cycles(edges(t).where("child < 120 AND parent < 120"), depth=128)
 
 
+@query("q134_cycle_repair")
+def q134_repair(t: Tables) -> DataFrame:
+    """Edges left when cycles are broken, one edge a step."""
+    return graphs.break_cycles(edges(t).where("child < 40 AND parent < 40")).select("child", "parent")
+
+
 @query("q135_hierarchy_walk", "with recursive h(node, ancestor, level) as (select p_partkey, p_partkey, 0::bigint from part where p_partkey between 1 and 200 union all select node, ancestor // 2, level + 1 from h where ancestor // 2 >= 1) select * from h")
 def q135(t: Tables) -> DataFrame:
     p = F.col("p_partkey")

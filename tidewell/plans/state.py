@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import texts
 from tidewell.operators import learning, queueing
 from tidewell.plans.registry import Tables, query
+from tidewell.streaming.run import shared_folder
 
 STATUS = "case event_type when 'signup' then 'pending' when 'view' then 'running' when 'click' then 'running' when 'purchase' then 'completed' else 'failed' end"
 LATEST_SQL = f"with j as (select user_id as job, ts, event_id, {STATUS} as status from events), s as (select job, arg_max(status, (ts, event_id)) as status, min(ts) as created_at, max(ts) as updated_at, arg_max(event_id, (ts, event_id)) as event_id from j group by job)"
@@ -21,7 +22,7 @@ def jobs(t: Tables) -> DataFrame:
 
 
 def shared(t: Tables, what: str) -> str:
-    return f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{what}-{id(t)}"
+    return f"{shared_folder(t.spark)}/{what}-{uuid.uuid4().hex}"
 
 
 @query("q022_job_stream")

@@ -118,6 +118,21 @@ def q090(t: Tables) -> DataFrame:
     return f.withColumn("top", top).select("conv_id", "turn", F.round(F.when(F.col("top") < 0.30, F.col("base")).otherwise(F.col("final")), 6).alias("score"))
 
 
+@query("q090_affinity_and_shift", """
+with c as (select embedding::double[] v from embeddings where vec_id = 1), s as (select vec_id, list_cosine_similarity(embedding::double[], v) * 3 as sim, case vec_id % 5 when 0 then 'CONCEPT' when 1 then 'PRACTICE' when 2 then 'MECHANIC' when 3 then 'EDGE_CASE' else 'ANTI_PATTERN' end as scope, vec_id % 2 = 0 as why, vec_id % 4 = 0 as how from embeddings, c)
+select vec_id, round(case when sim >= 0.82 then 0.45 else 1.0 end * case when -sim >= 0.75 then 1.35 else 1.0 end * case when not why then case scope when 'PRACTICE' then 1.25 when 'CONCEPT' then 1.15 else 1.0 end when how then case scope when 'MECHANIC' then 1.25 when 'EDGE_CASE' then 1.35 when 'ANTI_PATTERN' then 1.30 else 1.0 end else 1.0 end, 6) as weight from s""")
+def q090_affinity(t: Tables) -> DataFrame:
+    """Weights by claims to avoid and to seek, and by the layer the learner is at."""
+    from tidewell.functions.vectors import cosine
+
+    v = t.embeddings.where("vec_id = 1").select(F.col("embedding").alias("v"))
+    i = F.col("vec_id")
+    scope = F.expr("CASE vec_id % 5 WHEN 0 THEN 'CONCEPT' WHEN 1 THEN 'PRACTICE' WHEN 2 THEN 'MECHANIC' WHEN 3 THEN 'EDGE_CASE' ELSE 'ANTI_PATTERN' END")
+    s = t.embeddings.crossJoin(F.broadcast(v)).select("vec_id", (cosine("embedding", "v") * 3).alias("sim"), scope.alias("scope"))  # one claim
+    signal = scores.depth_signal(i % 2 == 0, i % 4 == 0, F.lit(False))
+    return s.select("vec_id", F.round(scores.affinity_weight(F.col("sim"), -F.col("sim")) * scores.shift_weight(F.col("scope"), signal), 6).alias("weight"))
+
+
 @query("q091_quota_selection", """
 with h as (select event_id, user_id as q, case when event_type in ('view', 'click') then 'academic' else 'practical' end as bucket, value from events where event_id < 2000),
 r as (select *, row_number() over (partition by q, bucket order by value desc, event_id) rn, count(*) filter (where bucket = 'academic') over (partition by q) na from h),

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or tempfile.mkdtemp(prefix="tidewell-")).rstrip("/")
+
+
 def stream_folder(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream with a known schema."""
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream to the end of its input and return what it put out."""
-    spark, name = stream.sparkSession, f"drain_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream to the end of its input and return what it put out, or in complete mode its last state.
+
+    Batches are written below a folder of the shared checkpoint directory; a batch that
+    is run again overwrites itself.
+    """
+    spark = stream.sparkSession
+    path = f"{folder or shared_folder(spark)}/drain-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        done.append(number)
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    wanted = done[-1:] if mode == "complete" else list(dict.fromkeys(done))
+    if not wanted:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/batch-{n}" for n in wanted])
 
 
 def drain_into(stream: DataFrame, path: str, checkpoint: str) -> None:
