@@ -79,12 +79,12 @@ def q144_paragraphs(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.posexplode(paragraphs(F.col("html"), F.lit(40))).alias("i", "paragraph"))
 
 
-@query("q145_images")
+@query("q145_images", "select page_id, i, src from (select page_id, unnest([0, 1]) as i, unnest(['/a.png', '/b.png']) as src from pages where not contains(html, '<img'))")
 def q145(t: Tables) -> DataFrame:
     html = F.concat("html", F.lit('<img src="/a.png" alt="one"><img alt="two" src="/b.png"><img src="/a.png">'))
     tags = F.regexp_extract_all(html, F.lit(r"<img\b[^>]*>"), F.lit(0))
     src = F.array_distinct(F.transform(tags, lambda x: F.regexp_extract(x, r'\bsrc="([^"]*)"', 1)))
-    return t.pages.select("page_id", F.posexplode(src).alias("i", "src"))
+    return t.pages.where(~F.contains("html", F.lit("<img"))).select("page_id", F.posexplode(src).alias("i", "src"))
 
 
 @query("q146_embedded_code")
@@ -149,7 +149,7 @@ def q153(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.array_join(F.array_sort(texts.urls_in(text)), " ").alias("found"))
 
 
-@query("q153_links_made_bold")
+@query("q153_links_made_bold", "select page_id, '[ok](http://good.org/x) **no**' as body from pages")
 def q153_links(t: Tables) -> DataFrame:
     """Markdown links that aren't on the list become bold text."""
     text = F.concat(F.lit("[ok](http://good.org/x) [no]("), "url", F.lit(")"))
@@ -215,7 +215,7 @@ def q161(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.coalesce(F.when(F.trim(s) != "", s), F.col("lang")).alias("source"), F.when((F.length(x) < 40) & (F.length(x2) > F.length(x)), x2).otherwise(x).alias("abstract"), F.when(y.between(1990, 2100), y).alias("year"))
 
 
-@query("q162_json_repair")
+@query("q162_json_repair", "select event_id, (props->>'$.k')::int as k from events where event_id < 1000")
 def q162(t: Tables) -> DataFrame:
     """The first object of a text, with trailing commas gone; null if it still doesn't parse."""
     broken = F.concat(F.lit("text ```json "), F.regexp_replace("props", r"\}", ",}"), F.lit(" ```"))

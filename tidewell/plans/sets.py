@@ -79,7 +79,10 @@ def q127_canonical(t: Tables) -> DataFrame:
     return c.select("id", F.coalesce(urls.canonical("url"), urls.pdf_address("url")).alias("canonical"))
 
 
-@query("q128_streaming_near_duplicates")
+@query("q128_streaming_near_duplicates", """
+with recursive r as (select vec_id, label as doc, embedding::double[] v, row_number() over (partition by label order by vec_id) rn from embeddings),
+b as (select doc, vec_id, rn, [v] as kept, true as ok from r where rn = 1 union all select r.doc, r.vec_id, r.rn, case when list_max(list_transform(kept, lambda k: list_cosine_similarity(k, r.v))) <= 0.25 then list_append(kept, r.v) else kept end, list_max(list_transform(kept, lambda k: list_cosine_similarity(k, r.v))) <= 0.25 from b join r on r.doc = b.doc and r.rn = b.rn + 1)
+select doc, vec_id from b where ok""")
 def q128(t: Tables) -> DataFrame:
     """Chunks in order of arrival, accepted unless near an accepted one."""
     v = t.embeddings.select("vec_id", "embedding", F.col("label").alias("doc"))
@@ -108,7 +111,11 @@ def q131(t: Tables) -> DataFrame:
     return t.documents.groupBy(h.alias("h")).agg(F.min("doc_id").alias("canonical"), (F.count(F.lit(1)) - 1).alias("aliases")).where("aliases > 0").drop("h")
 
 
-@query("q132_line_dedup")
+@query("q132_line_dedup", """
+with recursive l as (select doc_id, i - 1 as i, lower(trim(x[i])) as t from (select doc_id, string_split(text, chr(10)) as x, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where doc_id < 300)),
+r as (select *, row_number() over (partition by doc_id order by i) rn from l where t <> ''),
+b as (select doc_id, i, rn, [t] as kept, true as ok from r where rn = 1 union all select r.doc_id, r.i, r.rn, case when len(list_filter(kept, lambda k: k = r.t or (length(r.t) > 20 and (contains(k, r.t) or contains(r.t, k))))) = 0 then list_append(kept, r.t) else kept end, len(list_filter(kept, lambda k: k = r.t or (length(r.t) > 20 and (contains(k, r.t) or contains(r.t, k))))) = 0 from b join r on r.doc_id = b.doc_id and r.rn = b.rn + 1)
+select doc_id, i from b where ok""")
 def q132(t: Tables) -> DataFrame:
     lines = t.documents.where("doc_id < 300").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return greedy.distinct_lines(lines, ["doc_id"], "i", "line").select("doc_id", "i")
@@ -145,7 +152,7 @@ def q135(t: Tables) -> DataFrame:
     return graphs.walk_up(parents)
 
 
-@query("q136_import_graph")
+@query("q136_import_graph", "select p_partkey, unnest(list_distinct(['pkg/' || split_part(lower(p_name), ' ', 1) || '.py', 'pkg/' || split_part(lower(p_name), ' ', 2) || '.py'])) as path from part where p_partkey < 50")
 def q136(t: Tables) -> DataFrame:
     """Local imports of code to candidate files."""
     from tidewell.functions.code import local_imports

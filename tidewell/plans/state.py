@@ -25,7 +25,7 @@ def shared(t: Tables, what: str) -> str:
     return f"{shared_folder(t.spark)}/{what}-{uuid.uuid4().hex}"
 
 
-@query("q022_job_stream")
+@query("q022_job_stream", 'select event_id as seq, event_type as event, rn - 1 as "offset" from (select *, row_number() over (order by event_id) as rn from events where user_id = 3) where rn > 5')
 def q022(t: Tables) -> DataFrame:
     """Events of one job from an offset, out of an append-only log."""
     from tidewell.sources.job_stream import append_events, read_events
@@ -147,7 +147,7 @@ def q180(t: Tables) -> DataFrame:
     return map_reduce(t.conversations, ["conv_id"], lambda c: F.filter(texts.sentences(c), lambda s: F.length(s) >= 8), "text", "turn")
 
 
-@query("q181_hashed_embedding")
+@query("q181_hashed_embedding", "select conv_id, turn, 64 as dim from conversations")
 def q181(t: Tables) -> DataFrame:
     from tidewell.operators.pluggable import embed
 

@@ -39,10 +39,12 @@ def q083(t: Tables) -> DataFrame:
     return greedy.mmr(vector_pool(t), ["q"], "vec_id", "embedding", "score", k=5, weight=0.62).select("q", "vec_id", "place")
 
 
-@query("q083_mmr_first_pick", "with p as (select vec_id, vec_id % 20 as q, (vec_id * 37 % 101) / 101.0 as score from embeddings), r as (select *, row_number() over (partition by q order by score desc, vec_id) rn from p) select q, vec_id from r where rn = 1")
-def q083_first(t: Tables) -> DataFrame:
-    """The first pick has no redundancy yet, so it is the best by score."""
-    return greedy.mmr(vector_pool(t), ["q"], "vec_id", "embedding", "score", k=1).select("q", "vec_id")
+@query("q083_mmr_two_picks", """
+with p as (select vec_id, embedding::double[] as e, vec_id % 20 as q, (vec_id * 37 % 101) / 101.0 as score from embeddings), a as (select *, row_number() over (partition by q order by score desc, vec_id) rn from p qualify rn = 1),
+b as (select p.q, p.vec_id, row_number() over (partition by p.q order by 0.62 * p.score - 0.38 * list_cosine_similarity(p.e, a.e) desc, p.vec_id) rn from p join a on a.q = p.q and a.vec_id <> p.vec_id) select q, vec_id, 1 as place from a union all select q, vec_id, 2 from b where rn = 1""")
+def q083_two(t: Tables) -> DataFrame:
+    """The first pick is the best by score, the second weighs its likeness to the first."""
+    return greedy.mmr(vector_pool(t), ["q"], "vec_id", "embedding", "score", k=2).select("q", "vec_id", "place")
 
 
 @query("q084_mmr_per_source")
@@ -56,7 +58,10 @@ def q084_gamma(t: Tables) -> DataFrame:
     return vector_pool(t).groupBy("q").agg(F.round(F.when(F.count(F.lit(1)) > 1, spread).otherwise(0.55), 6).alias("gamma"))
 
 
-@query("q085_semantic_dedup")
+@query("q085_semantic_dedup", """
+with recursive r as (select vec_id, vec_id % 20 as q, embedding::double[] v, row_number() over (partition by vec_id % 20 order by (vec_id * 37 % 101) / 101.0 desc, vec_id) rn from embeddings),
+b as (select q, vec_id, rn, [v] as kept, true as ok from r where rn = 1 union all select r.q, r.vec_id, r.rn, case when list_max(list_transform(kept, lambda k: list_cosine_similarity(k, r.v))) <= 0.1 then list_append(kept, r.v) else kept end, list_max(list_transform(kept, lambda k: list_cosine_similarity(k, r.v))) <= 0.1 from b join r on r.q = b.q and r.rn = b.rn + 1)
+select q, vec_id, len(kept)::bigint as place from b where ok""")
 def q085(t: Tables) -> DataFrame:
     return greedy.distinct_vectors(vector_pool(t), ["q"], "vec_id", "embedding", "score", threshold=0.1).select("q", "vec_id", "place")
 
@@ -182,7 +187,10 @@ def q095(t: Tables) -> DataFrame:
     return t.events.where("user_id < 30").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("q096_token_budget")
+@query("q096_token_budget", """
+with recursive c as (select conv_id, turn, floor(length(text) / 3.2)::double as cost, row_number() over (partition by conv_id order by turn) rn from conversations),
+b as (select conv_id, turn, rn, cost as used, 1::bigint as n, true as took from c where rn = 1 union all select c.conv_id, c.turn, c.rn, case when b.n < 5 and b.used + c.cost <= 200 then b.used + c.cost else b.used end, case when b.n < 5 and b.used + c.cost <= 200 then b.n + 1 else b.n end, b.n < 5 and b.used + c.cost <= 200 from b join c on c.conv_id = b.conv_id and c.rn = b.rn + 1)
+select conv_id, turn, n as place from b where took""")
 def q096(t: Tables) -> DataFrame:
     c = t.conversations.select("conv_id", "turn", F.floor(F.length("text") / 3.2).cast("double").alias("cost"))
     return greedy.within_budget(c, ["conv_id"], "turn", "cost", budget=200, most=5).select("conv_id", "turn", "place")
