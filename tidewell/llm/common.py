@@ -113,7 +113,9 @@ def pack_counters(values: np.ndarray, slice_size: int) -> Iterator[tuple[int, by
 def sum_counters(slices: DataFrame, length: int, slice_size: int, dtype: str = "int64") -> np.ndarray:
     """Sum counter slices (``slice int, payload binary``) of all tasks.
 
-    The result has a fixed ``length`` whatever the input, so the driver holds a bounded array.
+    Slices of 256 tasks each are summed first, then those sums, so that no group holds
+    a payload of every task.  The result has a fixed ``length`` whatever the input, so
+    the driver holds a bounded array.
     """
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
@@ -124,7 +126,8 @@ def sum_counters(slices: DataFrame, length: int, slice_size: int, dtype: str = "
         return pa.table({"slice": [key[0].as_py()], "payload": [zlib.compress(total.tobytes(), 1)]}, schema=pa.schema([("slice", pa.int32()), ("payload", pa.binary())]))
 
     out = np.zeros(length, dtype)
-    for row in slices.groupBy("slice").applyInArrow(add, "slice int, payload binary").collect():
+    summed = slices.withColumn("part", F.floor(F.spark_partition_id() / 256)).groupBy("slice", "part").applyInArrow(add, "slice int, payload binary")
+    for row in summed.groupBy("slice").applyInArrow(add, "slice int, payload binary").collect():
         got = np.frombuffer(zlib.decompress(bytes(row.payload)), dtype)
         out[row.slice * slice_size : row.slice * slice_size + len(got)] = got
     return out
