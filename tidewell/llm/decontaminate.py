@@ -115,4 +115,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, id
     """
     keys = cut(contamination(docs, benchmark, width, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_text")).distinct())
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    return docs.join(keys, (F.col(id_col).cast("long").eqNullSafe(F.col("__hit_id"))) & (F.xxhash64(F.col(text_col)) == F.col("_key")), "left_anti")
+    return docs.join(keys, (F.col(id_col).cast("long").eqNullSafe(F.col("__hit_id"))) & (F.xxhash64(F.col(text_col)) == F.col("__hit_text")), "left_anti")
