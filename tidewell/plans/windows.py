@@ -125,7 +125,7 @@ def q090(t: Tables) -> DataFrame:
 
 @query("q090_affinity_and_shift", """
 with c as (select embedding::double[] v from embeddings where vec_id = 1), s as (select vec_id, list_cosine_similarity(embedding::double[], v) * 3 as sim, case vec_id % 5 when 0 then 'CONCEPT' when 1 then 'PRACTICE' when 2 then 'MECHANIC' when 3 then 'EDGE_CASE' else 'ANTI_PATTERN' end as scope, vec_id % 2 = 0 as why, vec_id % 4 = 0 as how from embeddings, c)
-select vec_id, round(case when sim >= 0.82 then 0.45 else 1.0 end * case when -sim >= 0.75 then 1.35 else 1.0 end * case when not why then case scope when 'PRACTICE' then 1.25 when 'CONCEPT' then 1.15 else 1.0 end when how then case scope when 'MECHANIC' then 1.25 when 'EDGE_CASE' then 1.35 when 'ANTI_PATTERN' then 1.30 else 1.0 end else 1.0 end, 6) as weight from s""")
+select vec_id, round(case when sim >= 0.82 then 0.45 else 1.0 end * case when -sim >= 0.75 then 1.35 else 1.0 end * case when not why then case scope when 'PRACTICE' then 1.25 when 'CONCEPT' then 1.15 else 1.0 end when how then case scope when 'MECHANIC' then 1.25 when 'EDGE_CASE' then 1.35 when 'ANTI_PATTERN' then 1.30 else 1.0 end else 1.0 end, 6)::double as weight from s""")
 def q090_affinity(t: Tables) -> DataFrame:
     """Weights by claims to avoid and to seek, and by the layer the learner is at."""
     from tidewell.functions.vectors import cosine
