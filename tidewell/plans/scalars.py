@@ -17,7 +17,7 @@ from tidewell.plans.scans import HOST_SQL
 @query("q137_sliding_chunks")
 def q137(t: Tables) -> DataFrame:
     chunks = sliding_chunks(F.col("text"), F.lit(600), F.lit(100))
-    return t.documents.where("doc_id < 300").select("doc_id", F.posexplode(chunks).alias("i", "chunk"))
+    return t.documents.select("doc_id", F.posexplode(chunks).alias("i", "chunk"))
 
 
 @query("q138_extract_split", r"""
@@ -56,7 +56,7 @@ def q141(t: Tables) -> DataFrame:
 def q142(t: Tables) -> DataFrame:
     """Whole blocks to a bound with overlap of blocks."""
     blocks = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    return t.documents.where("doc_id < 300").select("doc_id", F.posexplode(token_windows(blocks, F.lit(280), F.lit(40))).alias("i", "w")).select("doc_id", "i", "w.first", "w.last", "w.tokens")
+    return t.documents.select("doc_id", F.posexplode(token_windows(blocks, F.lit(280), F.lit(40))).alias("i", "w")).select("doc_id", "i", "w.first", "w.last", "w.tokens")
 
 
 @query("q143_code_blocks", r"with b as (select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(replace(text, '. ', '.' || chr(10) || chr(10)), '\n\s*\n'), lambda x: trim(x)), lambda x: length(x) >= 1)) as b from documents where doc_id < 300), s as (select doc_id, case when length(b) <= 120 then [b] else list_transform(range(0, (length(b) + 99) // 100), lambda k: substr(b, (k * 100 + 1)::int, 100)) end as x from b) select doc_id, sum(len(x))::bigint as chunks, max(list_max(list_transform(x, lambda y: length(y))))::bigint as longest from s group by doc_id")
