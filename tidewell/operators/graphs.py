@@ -57,17 +57,19 @@ def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return shape.crossJoin(dangling).crossJoin(loops).crossJoin(weak)  # one row each
 
 
-def walk_up(parents: DataFrame, levels: int = 10) -> DataFrame:
-    """``node, ancestor, level`` up to the root; parents are ``node, parent``."""
+def walk_up(parents: DataFrame) -> DataFrame:
+    """``node, ancestor, level`` up to the root; parents are ``node, parent``. A cycle raises."""
     step = parents.where("parent IS NOT NULL")
     level = parents.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("level"))
-    out = level
-    for i in range(1, levels + 1):
+    out, most, i = level, step.select("node").distinct().count(), 0
+    while True:
+        i += 1
         level = cut(level.join(step.select(F.col("node").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(i).cast("long").alias("level")))
         if not level.limit(1).count():
-            break
+            return out
+        if i > most or level.where("node = ancestor").limit(1).count():
+            raise ValueError("the hierarchy has a cycle")
         out = out.union(level)
-    return out
 
 
 def break_cycles(edges: DataFrame, most: int = 16, depth: int = 64) -> DataFrame:
