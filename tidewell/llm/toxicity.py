@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import pack_counters, sum_counters, text_batches
+from tidewell.llm.common import cut, pack_counters, sum_counters, text_batches
 
 TABLE = 1 << 20
 SLICE = 1 << 14
@@ -123,12 +123,12 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, hi - lo) for a, b, lo, hi in stack]
 
 
-def solve_lambda(scores: np.ndarray) -> float:
-    """The positive root of mean(exp(lambda s)) = 1 for scores of negative mean."""
+def solve_lambda(scores: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The positive root of mean(exp(lambda s)) = 1 for scores of negative mean; weights are positive."""
     lo, hi = 1e-3, 1.0
-    if len(scores) == 0 or scores.max() <= 0 or scores.mean() >= 0:
+    if len(scores) == 0 or scores.max() <= 0 or np.average(scores, weights=weights) >= 0:
         return 1.0
-    value = lambda x: float(np.exp(np.minimum(x * scores, 50)).mean())
+    value = lambda x: float(np.average(np.exp(np.minimum(x * scores, 50)), weights=weights))
     while value(hi) < 1 and hi < 64:
         hi *= 2
     for _ in range(60):
@@ -214,19 +214,27 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int =
                 label, n, found, histogram = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.float64())), pa.array([np.sum(histogram, axis=0).tolist()] + [None] * (len(rows) - 1), pa.list_(pa.int64()))], ["label", "n", "found", "histogram"])
 
-    aside = source.where("_aside").mapInArrow(measure, "label int, n int, found array<double>, histogram array<long>")
-    rows = aside.select("label", "n", F.slice(F.sort_array("found", False), 1, 64).alias("found"), "histogram").collect()  # bounded by max_rows / 4 rows
+    aside = cut(source.where("_aside").mapInArrow(measure, "label int, n int, found array<double>, histogram array<long>"))
+    rows = aside.select("label", "n", F.array_max("found").alias("best"), "histogram").collect()  # bounded by max_rows / 4 rows
     shared.destroy()
     y = np.array([r.label for r in rows], float)
     if not counts[1].any() or not counts[0].any() or not len(y) or y.min() == y.max():
         model.curve = None if not counts[1].any() or not counts[0].any() else (1.0, 0.0, -2.0)
         return model
     histogram = np.sum([r.histogram for r in rows if r.histogram], axis=0)
-    model.lam = solve_lambda(np.repeat((np.arange(256) + 0.5) / 8 - 16, np.minimum(histogram, 1 + histogram * 200_000 // max(1, histogram.sum()))))
-    clean = [(r.n, max(r.found, default=0.0)) for r in rows if not r.label and r.n]
+    bins = np.flatnonzero(histogram)
+    model.lam = solve_lambda((bins + 0.5) / 8 - 16, histogram[bins])
+    clean = [(r.n, r.best or 0.0) for r in rows if not r.label and r.n]
     model.k = float(1 / max(1e-12, np.mean([n * np.exp(-model.lam * m) for n, m in clean])))
-    x = np.array([features(model, [(0, 0, s) for s in r.found], r.n) for r in rows])
-    model.curve = fit_curve(x, y)
+    law = Model(np.zeros((2, 0)), model.lam, model.k)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [features(law, [(0, 0, s) for s in found], n) for found, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array([g[i] for g in got], pa.float64()) for i in (0, 1))], ["label", "a", "b"])
+
+    rows = aside.select("label", "n", "found").mapInArrow(evidence, "label int, a double, b double").collect()  # bounded by max_rows / 4 rows
+    model.curve = fit_curve(np.array([(r.a, r.b) for r in rows]), np.array([r.label for r in rows], float))
     return model
 
 
