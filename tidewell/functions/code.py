@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
 CODE_HOSTS = ("github.com", "gitlab.com", "gist.github.com", "raw.githubusercontent.com", "bitbucket.org")
+SNIPPET_TITLE = r"(?i)^deep\s*dive\s*:"
+FENCE = r"(?m)^```"
+KEYWORDS = r"(?i)\b(def|class|import|from|return|elif|else|async|await|function|const|let|var|interface|struct|enum|namespace|SELECT|INSERT|UPDATE|DELETE|CREATE|WITH|public|private|protected|static|void|int|float|bool)\b"
+CONTROL_LINE = r"(?im)^\s*(if|for|while|switch|case|try|catch)\s*[\(:]"
+CODE_LINE_STARTS = ("    ", "\t")
+CODE_BODY_STARTS = ("def ", "class ", "#", "//", "/*")
+CODE_MARKS = r"=>|::|\+\+|--|\|\||&&"
 CODE_SUFFIXES = (".py", ".js", ".ts", ".go", ".rs", ".java", ".c", ".cpp", ".h", ".rb", ".sh", ".sql", ".ipynb")
 
 
@@ -30,6 +40,21 @@ def is_code_source(url: Column | str, method: Column | None = None) -> Column:
     return out if method is None else out | F.coalesce(method == "github_tree", F.lit(False))
 
 
+def is_likely_code(text: Column | str) -> Column:
+    """Whether a snippet is code rather than a title or prose: fences, keywords, control lines, indents, marks."""
+    raw = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"^\s+|\s+$", "")
+    inner = F.regexp_replace(F.regexp_replace(raw, r"\n?```$", ""), r"^\s+|\s+$", "")
+    lines = F.filter(F.split(inner, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"), lambda x: F.trim(x) != "")
+    count = lambda c: F.length(inner) - F.length(F.replace(inner, F.lit(c), F.lit("")))
+    holds = lambda x, c: F.contains(x, F.lit(c))
+    body = lambda x: F.regexp_replace(x, r"^\s+", "")
+    starts = lambda x: reduce(or_, [x.startswith(s) for s in CODE_LINE_STARTS] + [body(x).startswith(s) for s in CODE_BODY_STARTS])
+    several = (F.size(lines) >= 2) & F.exists(lines, lambda x: starts(x) | holds(x, ";") | holds(x, "{") | holds(x, "}"))
+    assigned = (holds(inner, ";") & (holds(inner, "=") | holds(inner, "("))) | ((count("(") >= 2) & (count(")") >= 2) & holds(inner, "="))
+    sure = raw.rlike(FENCE) | inner.rlike(KEYWORDS) | inner.rlike(CONTROL_LINE) | several | assigned | inner.rlike(CODE_MARKS)
+    return (F.length(raw) >= 4) & ~raw.rlike(SNIPPET_TITLE) & sure
+
+
 def linear_chunks(text: Column | str, most: int = 1200, piece: int = 1000, least: int = 1) -> Column:
     """Blocks between blank lines; a longer one is cut into slices."""
     blocks = F.filter(F.transform(F.split(_c(text), r"\n\s*\n"), F.trim), lambda b: F.length(b) >= least)

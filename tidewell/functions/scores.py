@@ -37,6 +37,12 @@ def trust_of(trust: Column | str) -> Column:
     return clamp(F.coalesce(_c(trust), F.lit(1.0)))
 
 
+def search_trust(trust: Column | str) -> Column:
+    """Trust as chunk search counts it, in its cutoff and in its rank: a trust of exactly 0 acts as unknown."""
+    t = trust_of(trust)
+    return F.when(t == 0, 1.0).otherwise(t)
+
+
 def passes_trust(similarity: Column | str, trust: Column | str, least: float = 0.2, or_similar: float = 0.85) -> Column:
     return (trust_of(trust) >= least) | (_c(similarity) >= or_similar)
 

@@ -16,6 +16,15 @@ SCOPE_ALIASES = {
     "ERROR": "ANTI_PATTERN", "BAD_PRACTICE": "ANTI_PATTERN", "ANTIPATTERN": "ANTI_PATTERN",
     "LIMIT": "EDGE_CASE", "CORNER_CASE": "EDGE_CASE", "EDGECASE": "EDGE_CASE",
 }
+SCOPE_TAG = r"(?is)^\[SCOPE:\s*(CONCEPT|MECHANIC|PRACTICE|EDGE_CASE|ANTI_PATTERN|PRINCIPLE|INSTANCE)\s*\]"
+PERMISSION_NOTICE = r"(?i)permission\s+to\s+make\s+digital\s+or\s+hard\s+copies"
+PAGE_NUMBER = r"^\d{1,3}$"
+RUNNING_HEAD = r"(?i)(?:ASPLOS|IEEE|ACM|Proceedings)\s*[’']?\s*\d{2,4}"
+NUMBERED_HEADING = r"^\d+(?:\.\d+)*\s+[A-ZА-Я][\p{L}\p{N}_\s\-–—]{2,80}$"
+AXIS_LABEL = r"(?i)^(?:\d+\s*|(?:queries/sec|qps|latency|throughput|log\s+scale|linear\s+scale)(?:\s*\([^)]{0,40}\))?|\d+(?:\.\d+)?\s*%|[0-9]+(?:\.[0-9]+)?)$"
+LINE_END_HYPHEN = r"([\p{L}\p{N}_]+)-\s*\n\s*([\p{L}\p{N}_]+)"
+INNER_HYPHEN = r"([\p{L}\p{N}_]{4,})-\s+(\p{Ll}[\p{L}\p{N}_]+)"
+BROKEN_WORD = r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])"
 
 
 def _c(x: Column | str) -> Column:
@@ -35,7 +44,7 @@ def heading_blocks(markdown: Column | str, least: int) -> Column:
 def clean(text: Column | str) -> Column:
     """Unix line ends, hyphen breaks joined, line ends trimmed, blank runs collapsed."""
     t = F.regexp_replace(_c(text), r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
+    t = F.regexp_replace(t, BROKEN_WORD, "$1$2")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
@@ -54,21 +63,19 @@ def is_challenge(html: Column | str, status: Column | None = None, method: Colum
 def is_noise(text: Column | str) -> Column:
     """Paragraphs without content: very short, permission notices, page numbers, running heads, axis labels."""
     t = F.trim(F.coalesce(_c(text), F.lit("")))
-    running = t.rlike(r"(?i)(?:ASPLOS|IEEE|ACM|Proceedings)\s*[’']?\s*\d{2,4}") & ~t.rlike(r"^\d+(?:\.\d+)*\s+[A-ZА-Я][\p{L}\p{N}_\s\-–—]{2,80}$")
-    axis = t.rlike(r"(?i)^(?:\d+\s*|(?:queries/sec|qps|latency|throughput|log\s+scale|linear\s+scale)(?:\s*\([^)]{0,40}\))?|\d+(?:\.\d+)?\s*%|[0-9]+(?:\.[0-9]+)?)$")
+    running = t.rlike(RUNNING_HEAD) & ~t.rlike(NUMBERED_HEADING)
     return (
         (F.length(t) < 2)
-        | t.rlike(r"(?i)permission\s+to\s+make\s+digital\s+or\s+hard\s+copies")
-        | t.rlike(r"^\d{1,3}$")
+        | t.rlike(PERMISSION_NOTICE)
+        | t.rlike(PAGE_NUMBER)
         | ((F.length(t) <= 120) & running & (F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))) <= 2))
-        | ((F.length(t) <= 48) & axis)
+        | ((F.length(t) <= 48) & t.rlike(AXIS_LABEL))
     )
 
 
 def merge_hyphens(text: Column | str) -> Column:
     """Words cut by a hyphen and a line end, or by a hyphen and a space before a lower-case rest."""
-    t = F.regexp_replace(_c(text), r"([\p{L}\p{N}_]+)-\s*\n\s*([\p{L}\p{N}_]+)", "$1$2")
-    return F.regexp_replace(t, r"([\p{L}\p{N}_]{4,})-\s+(\p{Ll}[\p{L}\p{N}_]+)", "$1$2")
+    return F.regexp_replace(F.regexp_replace(_c(text), LINE_END_HYPHEN, "$1$2"), INNER_HYPHEN, "$1$2")
 
 
 def squeeze(text: Column | str) -> Column:
@@ -80,6 +87,25 @@ def strip_tags(html: Column | str, most: int | None = None) -> Column:
     return F.substring(t, 1, most) if most else t
 
 
+def image_sources(html: Column | str) -> Column:
+    """Sources of the images of a page in order, each once."""
+    tags = F.regexp_extract_all(_c(html), F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(tags, lambda x: F.regexp_extract(x, r'(?i)\bsrc="([^"]*)"', 1)), lambda x: x != ""))
+
+
+def code_blocks(html: Column | str) -> Column:
+    """Whole ``pre`` blocks, then ``code`` outside them."""
+    pre = F.regexp_extract_all(_c(html), F.lit(r"(?is)<pre\b[^>]*>(.*?)</pre>"), F.lit(1))
+    rest = F.regexp_replace(_c(html), r"(?is)<pre\b[^>]*>.*?</pre>", " ")
+    return F.concat(pre, F.regexp_extract_all(rest, F.lit(r"(?is)<code\b[^>]*>(.*?)</code>"), F.lit(1)))
+
+
+def headings(html: Column | str) -> Column:
+    """``level, title`` of the headings of a page in order."""
+    tags = F.regexp_extract_all(_c(html), F.lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>"), F.lit(0))
+    return F.transform(tags, lambda x: F.struct(F.regexp_extract(x, "(?i)<h([1-6])", 1).cast("int").alias("level"), strip_tags(x).alias("title")))
+
+
 def estimated_tokens(text: Column | str) -> Column:
     """Tokens by script, without a tokenizer."""
     t = F.coalesce(_c(text), F.lit(""))
@@ -104,13 +130,19 @@ def extract(text: Column | str, mode: Column | str) -> Column:
 
 
 def scope_of(value: Column | str) -> Column:
-    """Scope of a tag, with or without brackets; unknown ones are concepts."""
+    """Scope of a tag, with or without brackets.
+
+    A name or alias counts as it is; else the first alias that holds the tag or lies in
+    it; a tag that fits none is a concept.
+    """
     raw = F.trim(F.coalesce(_c(value), F.lit("")))
-    inner = F.regexp_extract(raw, r"(?is)^\[SCOPE:\s*([^\]]+)\]", 1)
-    upper = F.regexp_replace(F.upper(F.trim(F.when(inner != "", inner).otherwise(raw))), "[- ]", "_")
-    out = F.when(upper.isin(*SCOPES), upper)
+    inner = F.regexp_extract(raw, SCOPE_TAG, 1)
+    upper = F.translate(F.upper(F.when(inner != "", inner).otherwise(raw)), "- ", "__")
+    out = F.when(raw == "", F.lit("CONCEPT")).when(upper.isin(*SCOPES), upper)
     for alias, scope in SCOPE_ALIASES.items():
         out = out.when(upper == alias, F.lit(scope))
+    for alias, scope in SCOPE_ALIASES.items():
+        out = out.when(F.contains(upper, F.lit(alias)) | F.contains(F.lit(alias), upper), F.lit(scope))
     return out.otherwise(F.lit("CONCEPT"))
 
 

@@ -14,6 +14,8 @@ ACADEMIC_HOSTS = ("arxiv.org", "export.arxiv.org", "semanticscholar.org", "aclan
 ACADEMIC_TIERS = ("consensus", "arxiv", "semantic_scholar", "searxng_science", "openalex", "academic")
 PRACTICAL_BLOCKED_HOSTS = ("arxiv.org", "doi.org", "semanticscholar.org", "export.arxiv.org", "dictionary.com", "merriam-webster.com", "cambridge.org", "wikipedia.org", "books.google.com")
 API_PATHS = ("/docs/", "/reference/", "/api/", "v1_operations", "v2_operations", "/sdk/", "/swagger/", "/openapi/", "/apidocs/")
+PLACEHOLDER_HOSTS = ("example.com", "example.org", "example.net", "example.edu", "localhost", "127.0.0.1", "0.0.0.0")
+PLACEHOLDER_ENDS = (".example", ".invalid", ".test")
 ARXIV_DOI = r"(?i)10\.48550/arxiv\.(\d{4}\.\d{4,5}|[a-z][a-z\-]*/\d{4,7})(v\d+)?"
 BIORXIV_DOI = r"(?i)10\.1101/(\d{4}\.\d{2}\.\d{2}\.\d{6,9})(v\d+)?"
 ZENODO_DOI = r"(?i)10\.5281/zenodo\.(\d+)"
@@ -103,6 +105,13 @@ def practical_reject(url: Column | str) -> Column:
     return out
 
 
+def is_placeholder(url: Column | str) -> Column:
+    """An address that is no source: too short, not http, without a host, or one reserved for examples."""
+    u = F.trim(F.coalesce(_c(url), F.lit("")))
+    site = F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return (F.length(u) < 8) | (site == "") | site.isin(*PLACEHOLDER_HOSTS) | any_of([site.endswith(e) for e in PLACEHOLDER_ENDS])
+
+
 def arxiv_id(url: Column | str) -> Column:
     """Identifier in an abstract's or a paper's address; null elsewhere."""
     tail = F.regexp_replace(F.trim(F.regexp_extract(F.trim(_c(url)), r"(?i)arxiv\.org/abs/(.+)$", 1)), r"/+$", "")

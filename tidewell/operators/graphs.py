@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.dedup import components, cut
@@ -44,7 +45,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Counts that the checks of a curriculum use: one row."""
+    """Counts that the checks of a curriculum use: one row over all nodes and edges."""
     ids = nodes.select("node")
     inside = edges.join(ids.withColumnRenamed("node", "parent"), "parent", "left_semi")
     children = inside.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
@@ -72,17 +73,59 @@ def walk_up(parents: DataFrame) -> DataFrame:
         out = out.union(level)
 
 
-def break_cycles(edges: DataFrame, most: int = 16, depth: int = 64) -> DataFrame:
-    """Edges without cycles: each step takes out the greatest edge within a cycle, up to so many steps.
+def first_cycle(order: list[int], before: dict[int, list[int]]) -> list[int] | None:
+    """The first cycle that a depth-first walk over prerequisites closes, or None.
 
-    For graphs of a curriculum's size; the bound keeps the loop short.
+    It runs from the child of the node that closes it down to that node.
     """
-    left = cut(edges.where("child <> parent").distinct())
-    for _ in range(most):
-        loop = on_cycles(left, depth)
-        inside = left.join(loop.withColumnRenamed("node", "child"), "child", "left_semi").join(loop.withColumnRenamed("node", "parent"), "parent", "left_semi")
-        worst = cut(inside.orderBy(F.desc("child"), F.desc("parent")).limit(1).select("child", "parent"))
-        if not worst.count():
-            break
-        left = cut(left.join(F.broadcast(worst), ["child", "parent"], "left_anti"))  # one row
-    return left
+    done: set[int] = set()
+    for root in order:
+        if root in done:
+            continue
+        trail, open_ = [root], [iter(before.get(root, ()))]
+        while trail:
+            for p in open_[-1]:
+                if p in trail:
+                    return [*trail[trail.index(p) + 1 :], p]
+                if p in before and p not in done:
+                    trail.append(p)
+                    open_.append(iter(before[p]))
+                    break
+            else:
+                done.add(trail.pop())
+                open_.pop()
+    return None
+
+
+def break_cycles(edges: DataFrame, keys: list[str], prefer: Column | None = None, most: int = 16) -> DataFrame:
+    """Edges of each graph without cycles; at most ``most`` edges of a graph are taken out, one a step.
+
+    A step takes the first edge of the cycle that touches a node of ``prefer``, a
+    condition on ``node``; without one, the first edge into the cycle from the node that
+    closes it.  Nodes and prerequisites go in ascending order, edges from a node to
+    itself are dropped.  Graphs are of a curriculum's size and are mended each on its own.
+    """
+    clean = edges.where("child <> parent").select(*keys, "child", "parent").distinct()
+    wanted = F.lit(False) if prefer is None else prefer
+    nodes = clean.select(F.col("child").alias("node")).union(clean.select("parent")).distinct().where(wanted).select("node").withColumn("_p", F.lit(True))
+    marked = clean.join(nodes.select(F.col("node").alias("child"), F.col("_p").alias("_pc")), "child", "left").join(nodes.select(F.col("node").alias("parent"), F.col("_p").alias("_pp")), "parent", "left")
+    marked = marked.select(*keys, "child", "parent", (F.coalesce("_pc", F.lit(False)) | F.coalesce("_pp", F.lit(False))).alias("_prefer"))
+
+    def mend(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["child", "parent"])
+        before = {int(n): [] for n in sorted({*g["child"], *g["parent"]})}
+        for child, parent in zip(g["child"], g["parent"]):
+            before[int(child)].append(int(parent))
+        liked = {(int(c), int(p)) for c, p, x in zip(g["child"], g["parent"], g["_prefer"]) if x}
+        for _ in range(most):
+            cycle = first_cycle(list(before), before)
+            if cycle is None:
+                break
+            inside = [(n, p) for n in cycle for p in before[n] if p in cycle]
+            last = [e for e in inside if e[0] == cycle[-1]]
+            n, p = next((e for e in inside if e in liked), last[0])
+            before[n].remove(p)
+        kept = [p in before[int(c)] for c, p in zip(g["child"], g["parent"])]
+        return g[kept][[*keys, "child", "parent"]]
+
+    return marked.groupBy(*keys).applyInPandas(mend, clean.schema)

@@ -1,7 +1,9 @@
 """Selections whose steps depend on earlier picks.
 
-Each group is one query's bounded pool; groups run apart, so the cost grows with the
-number of groups and not with the table.  Keys must name such pools.
+Each group is one query's bounded pool, which Spark has cut by rank before, or one
+document's lines; groups run apart, so the cost grows with the number of groups and
+not with the table.  Keys must name such pools.  ``accept_stream`` takes groups of any
+size.
 """
 
 from __future__ import annotations
@@ -12,8 +14,12 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.operators.dedup import cut, similar_pairs
+from tidewell.operators.tables import latest
+
 
 def _per_group(rows: DataFrame, keys: Sequence[str], pick: Callable[[pd.DataFrame], list[int]]) -> DataFrame:
     """Rows that ``pick`` chooses of each group, with ``place`` from 1."""
@@ -34,13 +40,13 @@ def _units(vectors: pd.Series) -> np.ndarray:
 
 
 def mmr(rows: DataFrame, keys: Sequence[str], key: str, vector: str, score: str, k: int, weight: float = 0.62, weigh_first: bool = True) -> DataFrame:
-    """Maximal marginal relevance: ``weight * score - (1 - weight) * nearest pick``; equal values go by key.
+    """Maximal marginal relevance: ``weight * score - (1 - weight) * nearest pick``; equal values go by score, then key.
 
     Weights from 0.999 give the head by score.
     """
 
     def pick(g: pd.DataFrame) -> list[int]:
-        g = g.sort_values(key, kind="stable")
+        g = g.sort_values([score, key], ascending=[False, True], kind="stable")
         order, v, s = g.index.to_numpy(), _units(g[vector]), g[score].to_numpy(float)
         if weight >= 0.999:
             return order[np.argsort(-s, kind="stable")[:k]].tolist()
@@ -168,17 +174,28 @@ def within_budget(rows: DataFrame, keys: Sequence[str], position: str, cost: str
 
 
 def accept_stream(rows: DataFrame, keys: Sequence[str], position: str, vector: str, threshold: float = 0.88) -> DataFrame:
-    """Rows in order of arrival, each accepted unless an accepted one is nearer than the threshold."""
-
-    def pick(g: pd.DataFrame) -> list[int]:
-        g = g.sort_values(position, kind="stable")
-        v, kept = _units(g[vector]), []
-        for i in range(len(g)):
-            if not kept or (v[kept] @ v[i]).max() <= threshold:
-                kept.append(i)
-        return [int(g.index[i]) for i in kept]
+    """Rows in order of arrival, each accepted unless an accepted one of its group is nearer than the threshold.
 
-    return _per_group(rows, keys, pick)
+    ``position`` is a whole number that no two rows share.  Groups may be of any size:
+    near pairs are found by blocks, and rows are decided in rounds.  A row without an
+    undecided earlier neighbour is accepted, which rejects its later neighbours; what
+    they would have rejected is open again.  The result is that of one pass in order.
+    Of equal vectors only the first can be accepted, so the others leave at once.
+    """
+    if threshold >= 1:
+        return rows
+    zero = F.forall(vector, lambda x: x == 0)
+    keyed = rows.withColumn("_own", F.when(F.coalesce(zero, F.lit(True)), F.col(position).cast("string")))
+    first = latest(keyed, [*keys, vector, "_own"], F.asc(position)).drop("_own")
+    first = cut(first)
+    edges = cut(similar_pairs(first, position, vector, threshold, within=list(keys), inclusive=False).select("a", "b"))
+    gone = None
+    while edges.limit(1).count():
+        heads = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        lost = cut(edges.join(heads, "a", "left_semi").select("b").distinct())
+        gone = lost if gone is None else gone.unionByName(lost)
+        edges = cut(edges.join(lost, "b", "left_anti").join(lost.select(F.col("b").alias("a")), "a", "left_anti"))
+    return first if gone is None else first.join(gone.select(F.col("b").alias(position)), position, "left_anti")
 
 
 def sample_by_score(rows: DataFrame, keys: Sequence[str], key: str, score: str, k: int, seed: int = 0) -> DataFrame:
@@ -187,7 +204,7 @@ def sample_by_score(rows: DataFrame, keys: Sequence[str], key: str, score: str,
     def pick(g: pd.DataFrame) -> list[int]:
         g = g.sort_values([score, key], ascending=[False, True], kind="stable")
         s = np.maximum(g[score].to_numpy(float), 1e-6)
-        noise = np.random.default_rng([seed, len(g)]).gumbel(size=len(g))
+        noise = np.random.default_rng([seed, *g[key].astype(int).abs()[:4]]).gumbel(size=len(g))
         chosen = np.sort(np.argsort(-(s / max(s.mean(), 1e-6) + noise), kind="stable")[:k])
         return g.index[chosen].tolist()
 

@@ -4,22 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def next_fit(rows: DataFrame, keys: Sequence[str], position: str, cost: str, bound: float) -> DataFrame:
     """``keys, position, bin``: a row that doesn't fit opens the next bin; a larger one has its own.
 
-    One fold over each group's ordered costs; a group is one article or batch job.
+    A group is one article or batch job; its costs are walked once in order, so long
+    groups take linear time.
     """
-    ordered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(position, F.col(cost).alias("c")))).alias("r"))
-    start = F.struct(F.lit(-1).cast("long").alias("bin"), F.lit(float("inf")).alias("used"), F.expr(f"cast(array() AS array<struct<{position}:bigint,bin:bigint>>)").alias("out"))
-
-    def step(s: F.Column, x: F.Column) -> F.Column:
-        new = s["used"] + x["c"] > bound
-        n = s["bin"] + F.when(new, 1).otherwise(0)
-        return F.struct(n.alias("bin"), F.when(new, x["c"]).otherwise(s["used"] + x["c"]).cast("double").alias("used"), F.concat(s["out"], F.array(F.struct(x[position].cast("long").alias(position), n.alias("bin")))).alias("out"))
-
-    folded = ordered.select(*keys, F.explode(F.aggregate("r", start, step, lambda s: s["out"])).alias("o"))
-    return folded.select(*keys, f"o.{position}", "o.bin")
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(position, T.LongType()), T.StructField("bin", T.LongType())])
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(position, kind="stable")
+        bins, at, used = [], -1, float("inf")
+        for c in group["_cost"].tolist():
+            if used + c > bound:
+                at, used = at + 1, c
+            else:
+                used += c
+            bins.append(at)
+        return group[[*keys, position]].assign(bin=bins)
+
+    slim = rows.select(*keys, F.col(position).cast("long").alias(position), F.col(cost).cast("double").alias("_cost"))
+    return slim.groupBy(*keys).applyInPandas(walk, schema)

@@ -34,10 +34,20 @@ def recover(jobs: DataFrame, status: str, at: str, now: Column, limit_seconds: i
     return jobs.withColumn("stale", stale).withColumn(status, F.when(F.col("stale"), to).otherwise(F.col(status)))
 
 
+def requeue(jobs: DataFrame, status: str, error: str, running: str, to: str) -> DataFrame:
+    """At a worker's start every running job is an orphan: it is queued again and its error cleared; adds ``requeued``."""
+    orphan = F.coalesce(F.col(status) == running, F.lit(False))
+    return jobs.withColumn("requeued", orphan).withColumn(error, F.when(~F.col("requeued"), F.col(error))).withColumn(status, F.when(F.col("requeued"), to).otherwise(F.col(status)))
+
+
 def moving_factor(rows: DataFrame, keys: Sequence[str], at: str, value: str, start: float, share: float) -> DataFrame:
     """Exponential moving average of each group's values in order: ``factor`` after the last.
 
-    A group is one limiter's recent calls.
+    The n-th value from the end has the weight ``share * (1 - share)**(n - 1)`` and the
+    start what is left, so values are ranked and summed, never gathered.  Equal times
+    go by value.
     """
-    ordered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at, F.col(value).cast("double").alias("x")))).alias("r"))
-    return ordered.select(*keys, F.aggregate("r", F.lit(start), lambda s, e: s * (1 - share) + e["x"] * share).alias("factor"))
+    w = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(value))
+    ranked = rows.select(*keys, F.col(value).cast("double").alias("_x"), F.row_number().over(w).alias("_back"))
+    total = F.sum(F.lit(share) * F.pow(F.lit(1.0 - share), F.col("_back") - 1) * F.col("_x"))
+    return ranked.groupBy(*keys).agg((F.lit(start) * F.pow(F.lit(1.0 - share), F.count(F.lit(1))) + total).alias("factor"))

@@ -83,6 +83,14 @@ def balanced_batches(rows: DataFrame, keys: Sequence[str], position: str, least:
     return numbered.withColumn("batch", batch.cast("long")).drop("_i", "_n")
 
 
+def registry_rank(rows: DataFrame, keys: Sequence[str], parent: Column, at: str, label: str, terms: str, tie: str) -> DataFrame:
+    """Add ``place``: entries of parents first, then the latest, then those whose label holds most of the node's terms."""
+    low = F.lower(F.coalesce(F.col(label), F.lit("")))
+    marked = rows.withColumn("_text", low).withColumn("_shared", F.size(F.filter(terms, lambda x: F.contains(F.col("_text"), x))))
+    order = _window(keys, F.when(parent, 0).otherwise(1), F.desc(at), F.desc("_shared"), F.asc(tie))
+    return marked.withColumn("place", F.row_number().over(order).cast("long")).withColumnRenamed("_shared", "shared").drop("_text")
+
+
 def collapse_repeats(rows: DataFrame, keys: Sequence[str], position: str, same: Sequence[Column], when: Column) -> DataFrame:
     """Runs of neighbouring rows that agree become their last row; only rows that satisfy ``when`` take part."""
     w = _window(keys, position)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.vectors import cosine, dot, unit
 
-#: Most query rows that are broadcast; a vector of 1024 doubles each makes 80 MB.
-BROADCAST_QUERIES = 10_000
+#: Bytes of query vectors that are broadcast at once; more go block by block.
+BROADCAST_BYTES = 64 << 20
+#: Most words of queries that are broadcast.
+BROADCAST_WORDS = 200_000
 
 
 def fallback_score(a: Column | str, b: Column | str) -> Column:
@@ -19,33 +25,89 @@ def fallback_score(a: Column | str, b: Column | str) -> Column:
 
 
 def score_pairs(queries: DataFrame, rows: DataFrame, query_key: str, key: str, vector: str = "embedding") -> DataFrame:
-    """Cosine of every query with every row: the queries are a stated, counted set, the rows stay where they are.
+    """Cosine of every query with every row: the queries are a stated set, the rows stay where they are.
 
-    Vectors are scaled to length 1 once on each side, so a pair costs one product.
+    Vectors are scaled to length 1 once on each side, so a pair costs one product.  The
+    queries' bytes are summed first; they are broadcast in blocks of bounded size, by
+    hash of their key.
     """
     q = queries.select(F.col(query_key).alias("query"), unit(vector).alias("_q"))
-    q = F.broadcast(q) if q.count() <= BROADCAST_QUERIES else q
-    return rows.withColumn("_v", unit(vector)).join(q, F.lit(True)).withColumn("score", dot("_v", "_q")).drop("_v", "_q", vector)
+    size = q.agg(F.sum(F.size("_q") * 8 + 64)).first()[0] or 0
+    blocks = max(1, math.ceil(size / BROADCAST_BYTES))
+    scaled = rows.withColumn("_v", unit(vector))
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    met = [scaled.join(F.broadcast(q if blocks == 1 else q.where(block == b)), F.lit(True)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, met).withColumn("score", dot("_v", "_q")).drop("_v", "_q", vector)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, query_key: str, key: str, k: int, vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """The k nearest rows of each query; equal scores go by key.
+def nearest(queries: DataFrame, rows: DataFrame, query_key: str, key: str, k: int, vector: str = "embedding", digits: int = 6, apart: bool = False) -> DataFrame:
+    """The k nearest rows of each query; equal scores go by key; ``apart`` leaves out a row's match with itself.
 
     The filter on the rank lets Spark keep each task's own k best a query before the
     exchange (``WindowGroupLimit``), so the shuffle holds k rows a query and task and
     not all pairs.
     """
     scored = score_pairs(queries, rows.select(key, vector), query_key, key, vector).withColumn("score", F.round("score", digits))
+    scored = scored.where(F.col("query") != F.col(key)) if apart else scored
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc(key)))
     return scored.withColumn("_rn", rank).where(F.col("_rn") <= k).select("query", key, "score", F.col("_rn").cast("long").alias("rank"))
 
 
+def _noisy(noise: float, seed: int):
+    def shift(vector: pd.Series, query: pd.Series) -> pd.Series:
+        out = []
+        for v, q in zip(vector, query):
+            v = np.asarray(v, float)
+            v = v / (np.linalg.norm(v) or 1.0) + noise * np.random.default_rng([seed, abs(int(q))]).normal(size=len(v))
+            out.append((v / (np.linalg.norm(v) or 1.0)).tolist())
+        return pd.Series(out)
+
+    return shift
+
+
+def search_atoms(
+    queries: DataFrame, rows: DataFrame, query_key: str, key: str, k: int = 8, vector: str = "embedding", chunks: str | None = None, exclude_ids: Sequence = (), exclude_chunks: Sequence[str] = (), min_score: float = 0.0, weight: float = 1.0, noise: float = 0.0, sample: bool = False, pool_mult: int = 3, seed: int = 0,
+) -> DataFrame:
+    """``query, key, score, place``: diverse rows for each query.
+
+    The query vector may be shifted by seeded noise.  Excluded ids go before the search;
+    more rows than wanted are fetched, then rows that hold an excluded chunk, or whose id
+    is one, and rows below the floor go.  The best five, or without sampling three, times
+    k are weighed against each other; with ``sample`` twice k of them are drawn from by
+    score.  Excluded ids and chunks are a session's short lists.
+    """
+    from tidewell.operators import greedy
+
+    many = bool(exclude_ids or exclude_chunks or weight < 0.999 or sample)
+    fetch = max(k * max(pool_mult, 4 if many else 1), k + len(exclude_ids) + 8)
+    q = queries.select(query_key, vector)
+    q = q.withColumn(vector, F.pandas_udf(_noisy(noise, seed), "array<double>")(vector, query_key)) if noise > 0 else q
+    open_ = rows.where(~F.col(key).isin(list(exclude_ids))) if exclude_ids else rows
+    found = nearest(q, open_, query_key, key, fetch, vector).drop("rank")
+    kept = found.where(F.col("score") >= max(0.0, min_score)).join(rows.select(key, vector, *([chunks] if chunks else [])), key)
+    if exclude_chunks:
+        gone = F.array(*[F.lit(c) for c in exclude_chunks])
+        kept = kept.where(~F.array_contains(gone, F.col(key).cast("string")))
+        kept = kept.where(~F.coalesce(F.arrays_overlap(chunks, gone), F.lit(False))) if chunks else kept
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc(key)))
+    pool = kept.withColumn("_rn", rank).where(F.col("_rn") <= k * (5 if sample else 3)).drop("_rn")
+    picked = greedy.mmr(pool, ["query"], key, vector, "score", 2 * k if sample else k, weight, weigh_first=False)
+    if sample:
+        picked = greedy.sample_by_score(picked.drop("place"), ["query"], key, "score", k, seed)
+    return picked.select("query", key, "score", "place")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: Column, query_key: str, terms: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of documents that share a term with a query: ``query, key, score``."""
+    """BM25 of documents that share a term with a query: ``query, key, score``.
+
+    Only words of queries leave a document; their vocabulary is broadcast while it is
+    small, so a task counts them before anything is exchanged.
+    """
     words = docs.select(key, F.filter(text, lambda w: w != "").alias("w"))
     size = words.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size("w")).alias("_mean"))
     asked = queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(terms)).alias("term"))
     vocabulary = asked.select("term").distinct()
+    vocabulary = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_WORDS else vocabulary
     tf = words.select(key, F.size("w").alias("_len"), F.explode("w").alias("term")).join(vocabulary, "term", "left_semi").groupBy(key, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     weighted = tf.join(df, "term").crossJoin(F.broadcast(size))  # one row

@@ -75,6 +75,23 @@ def first_wins(rows: DataFrame, key: Column | str, *order: Column | str) -> Data
     return latest(keyed, ["_key"], *[F.col(c) if isinstance(c, str) else c for c in order]).drop("_key")
 
 
+def bold_links(rows: DataFrame, key: str, text: str, allowed: DataFrame, url: str) -> DataFrame:
+    """Texts whose Markdown links to addresses that aren't among ``allowed`` are bold text instead; ``key`` is unique.
+
+    Texts are cut at their links, the links' addresses meet the list by equality.
+    """
+    link = r"\[([^\]]+)\]\(([^)]+)\)"
+    marked = F.split(F.regexp_replace(F.col(text), r"(\[[^\]]+\]\([^)]+\))", "\u0001$1\u0001"), "\u0001")
+    parts = rows.select(key, F.posexplode(marked).alias("_i", "_part"))
+    parts = parts.withColumn("_url", F.when(F.col("_part").rlike("^" + link + "$"), F.regexp_extract("_part", "^" + link + "$", 2)))
+    known = allowed.select(F.col(url).alias("_url")).where("_url IS NOT NULL").distinct().withColumn("_ok", F.lit(True))
+    judged = parts.join(known, "_url", "left")
+    bold = F.concat(F.lit("**"), F.regexp_extract("_part", "^" + link + "$", 1), F.lit("**"))
+    body = F.when(F.col("_url").isNotNull() & F.col("_ok").isNull(), bold).otherwise(F.col("_part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", body.alias("t")))), lambda x: x["t"]), "")
+    return rows.drop(text).join(judged.groupBy(key).agg(joined.alias(text)), key)
+
+
 def count_by(rows: DataFrame, field: str) -> DataFrame:
     """Rows for each value of a field."""
     return rows.groupBy(field).agg(F.count(F.lit(1)).alias("n"))

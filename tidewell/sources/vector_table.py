@@ -47,11 +47,16 @@ class VectorTable:
     def delete(self, condition: Column) -> None:
         self._replace(self.rows().where(~F.coalesce(condition, F.lit(False))))
 
-    def search(self, vector: list[float], model: str, limit: int = 10, where: Column | None = None) -> DataFrame:
+    def count(self, condition: Column | None = None) -> int:
+        rows = self.rows()
+        return (rows if condition is None else rows.where(condition)).count()
+
+    def search(self, vector: list[float], model: str, limit: int = 10, where: Column | None = None, digits: int | None = None) -> DataFrame:
         """Nearest rows of a space by cosine; filters and the space prune before any distance is computed."""
         rows = of_space(self.rows(), model)
         rows = rows.where(where) if where is not None else rows
         score = cosine("embedding", F.lit([float(x) for x in vector]))
+        score = score if digits is None else F.round(score, digits)
         return rows.withColumn("_score", score).orderBy(F.desc("_score"), "id").limit(limit)
 
     def _version(self) -> str | None:

@@ -21,11 +21,6 @@ def minute_usage(events: DataFrame, at: str, key: str, amount: str, late: str =
     return events.withWatermark(at, late).groupBy(F.window(at, "1 minute").alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("total")).select(F.col("w.start").alias("minute"), key, "n", "total")
 
 
-def sliding_usage(events: DataFrame, at: str, key: str, amount: str, late: str = "10 minutes", size: str = "1 minute", step: str = "10 seconds") -> DataFrame:
-    """The same over overlapping windows."""
-    return events.withWatermark(at, late).groupBy(F.window(at, size, step).alias("w"), key).agg(F.sum(amount).alias("total")).select(F.col("w.start").alias("start"), key, "total")
-
-
 def sessions(events: DataFrame, at: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Runs of a key's events without a longer gap."""
     return events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")

@@ -1,18 +1,46 @@
-"""Running a stream over what a folder holds now."""
+"""Shared folders, and running a stream over what a folder holds now."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or tempfile.mkdtemp(prefix="tidewell-")).rstrip("/")
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset, a local session gets one temporary folder; a cluster has none
+    that its executors share, so there it is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tidewell-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path for a written table in the shared folder; it goes when the driver ends."""
+    context = spark.sparkContext
+    root = f"{shared_folder(spark)}/tidewell-{context.applicationId}"
+    place = context._jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{root}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stream_folder(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int = 1) -> DataFrame:
@@ -27,7 +55,7 @@ def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) ->
     is run again overwrites itself.
     """
     spark = stream.sparkSession
-    path = f"{folder or shared_folder(spark)}/drain-{uuid.uuid4().hex}"
+    path = f"{folder}/drain-{uuid.uuid4().hex}" if folder else scratch(spark, "drain")
     done: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
@@ -40,13 +68,3 @@ def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) ->
     if not wanted:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(*[f"{path}/batch-{n}" for n in wanted])
-
-
-def drain_into(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append a stream to Parquet files, once each."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def for_each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Hand every batch to a function, such as a versioned upsert."""
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
