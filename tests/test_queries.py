@@ -45,6 +45,8 @@ def test_equals_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
-    assert QUERIES[name](spark, DATA).limit(1).count() <= 1
+def test_gives_the_same_rows_again(spark, name):
+    """Queries without SQL, which are tested by brute force elsewhere, have rows that don't change."""
+    first, again = QUERIES[name](spark, DATA), QUERIES[name](spark, DATA)
+    got = rows(first.columns, first.collect())
+    assert got and got == rows(again.columns, again.collect())

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import scores, texts, urls
-from tidewell.functions.chunking import cut_sliding, cut_windows
+from tidewell.functions.chunking import annotated_blocks, cut_sliding, split_windows
 from tidewell.functions.html import paragraphs_of
 from tidewell.functions.vectors import cosine, mean_vector
 from tidewell.operators import dedup, graphs, greedy, learning, matching, queueing
@@ -116,8 +116,18 @@ def test_sliding_chunks():
 
 
 def test_windows():
-    assert cut_windows([100, 100, 100, 100], 250, 100) == [{"first": 0, "last": 1, "tokens": 200}, {"first": 1, "last": 2, "tokens": 200}, {"first": 2, "last": 3, "tokens": 200}]
-    assert cut_windows([900], 100, 10) == [{"first": 0, "last": 0, "tokens": 900}]
+    text = "lead\n" + "\n".join(f"[P_{i}] " + "x" * (370 - len(f"[P_{i}] ")) for i in range(1, 5))
+    assert len(annotated_blocks(text)) == 4 and annotated_blocks(" no tags ") == ["no tags"] and annotated_blocks(" ") == []
+    spans = lambda *a, **k: [(w["first"], w["last"]) for w in split_windows(text, *a, **k)]
+    assert spans(most=250, overlap=100, overhead=0) == [(0, 1), (1, 2), (2, 3)]
+    assert spans(most=350, overlap=150, overhead=0) == [(0, 2), (1, 3)]
+    assert spans(most=250, overlap=150, overhead=0) == [(0, 1), (2, 3)]  # the overlap would be the whole window
+    assert spans(most=250, overlap=0, overhead=60) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    assert spans(most=50, overlap=0, overhead=0) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    assert spans("h" * 180, most=250, overlap=0, overhead=0) == [(0, 1), (2, 3)] and spans("h" * 222, most=250, overlap=0, overhead=0) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    w = split_windows("[P_1] a\n[FIG_2] b\n[P_3] c [fig_2] Привет", "T")[0]
+    assert (w["paragraphs"], w["figures"]) == ("P_1,P_3", "FIG_2") and w["body"].startswith("T\n\nAvailable figures in document: FIG_2\n\n[P_1] a")
+    assert w["tokens"] == int(6 / 1.75 + (len(w["body"]) - 6) / 3.7) + 192
 
 
 def test_html():
@@ -128,10 +138,51 @@ def test_text_rules(spark):
     assert value(spark, texts.merge_hyphens(F.lit("algo-\nrithm trans- form Non- Linear"))) == "algorithm transform Non- Linear"
     assert [value(spark, texts.is_noise(F.lit(t))) for t in ("12", "IEEE 2021", "A real sentence about things.", "3.5 %")] == [True, True, False, True]
     assert value(spark, texts.estimated_tokens(F.lit("Привет abc"))) == int(6 / 1.75 + 4 / 3.7)
-    assert value(spark, texts.scope_of(F.lit("[SCOPE: edge case] x"))) == "EDGE_CASE"
     assert value(spark, texts.is_challenge(F.lit("Just a Moment..."))) is True
 
 
+@pytest.mark.parametrize(
+    ("tag", "scope"),
+    [("[SCOPE: mechanic] x", "MECHANIC"), ("[SCOPE: edge case] x", "PRACTICE"), ("edge-case", "EDGE_CASE"), ("EXAMPLES", "PRACTICE"), ("MECH", "MECHANIC"), ("ERRORS", "ANTI_PATTERN"), ("EDGE_CASES", "PRACTICE"), ("CORNER CASES", "PRACTICE"), ("[scope: METRIC]", "PRACTICE"), ("Principle", "CONCEPT"), ("nothing of it", "CONCEPT"), ("", "CONCEPT"), (None, "CONCEPT")],
+)
+def test_scope_tags(spark, tag, scope):
+    assert value(spark, texts.scope_of(F.lit(tag).cast("string"))) == scope
+
+
+@pytest.mark.parametrize(
+    ("snippet", "is_code"),
+    [("Deep Dive: import x", False), ("```\nabc\n```", True), ("x=1", False), ("return 1", True), ("a title of prose", False), ("for (i)", True), ("one\n    two", True), ("a b\nc; d", True), ("f(a)=g(b)", True), ("a -> b, c => d", True), (None, False)],
+)
+def test_code_snippets(spark, snippet, is_code):
+    from tidewell.functions.code import is_likely_code
+
+    assert value(spark, is_likely_code(F.lit(snippet).cast("string"))) is is_code
+
+
+@pytest.mark.parametrize(
+    ("url", "gone"),
+    [("https://example.com/a", True), ("https://www.example.com/a", False), ("http://x", False), ("http:/", True), ("ftp://a.org/long", True), ("https://u@LOCALHOST:80/x", True), ("https://a.test", True), ("https://a.testing.org", False), (None, True)],
+)
+def test_placeholder_addresses(spark, url, gone):
+    assert value(spark, urls.is_placeholder(F.lit(url).cast("string"))) is gone
+
+
+def test_trust_of_zero_in_search(spark):
+    assert [value(spark, scores.search_trust(F.lit(x).cast("double"))) for x in (0.0, None, 0.15, -1.0, 2.0)] == [1.0, 1.0, 0.15, 1.0, 1.0]
+
+
+def test_requeue_at_startup(spark):
+    jobs = spark.createDataFrame([(1, "running", "e"), (2, "failed", "e"), (3, None, None)], "job int, status string, error string")
+    got = queueing.requeue(jobs, "status", "error", "running", "pending")
+    assert sorted(map(tuple, got.collect())) == [(1, "pending", None, True), (2, "failed", "e", False), (3, None, None, False)]
+
+
+def test_links_off_the_list_are_bold(spark):
+    rows = spark.createDataFrame([(1, "[a](x) and [b](y), [c] (d) [e](x)"), (2, "no link"), (3, None)], "i int, t string")
+    got = ops.bold_links(rows, "i", "t", spark.createDataFrame([("x",), (None,)], "u string"), "u")
+    assert sorted((r.i, r.t) for r in got.collect()) == [(1, "[a](x) and **b**, [c] (d) [e](x)"), (2, "no link")]
+
+
 def test_token_window_is_half_open(spark):
     import datetime as dt
 
@@ -201,7 +252,9 @@ def test_graph_checks(spark):
     assert (got.orphans, got.dangling, got.self_loops, got.components) == (1, 1, 1, 3)
     cyclic = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "child long, parent long")
     assert sorted(r.node for r in graphs.on_cycles(cyclic).collect()) == [1, 2, 3]
-    assert sorted((r.child, r.parent) for r in graphs.break_cycles(cyclic).collect()) == [(1, 2), (2, 3), (4, 1)]
+    each = cyclic.withColumn("g", F.lit(7))
+    assert sorted((r.child, r.parent) for r in graphs.break_cycles(each, ["g"]).collect()) == [(2, 3), (3, 1), (4, 1)]
+    assert sorted((r.child, r.parent) for r in graphs.break_cycles(each, ["g"], prefer=F.col("node") == 3).collect()) == [(1, 2), (3, 1), (4, 1)]
 
 
 def test_nearest_limits_before_the_exchange(spark):

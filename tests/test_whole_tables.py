@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions.chunking import cut_sliding, cut_windows
+from tidewell.functions.chunking import cut_sliding, split_windows
 from tidewell.operators.pluggable import hashed_embedding
 from tidewell.plans.catalog import QUERIES
 
@@ -23,13 +23,14 @@ def test_sliding_chunks_of_all_documents(spark, documents):
     assert got == {(d.doc_id, i): c for d in documents for i, c in enumerate(cut_sliding(d.text or ""))}
 
 
-def test_token_windows_of_all_documents(spark, documents):
+def test_token_windows_of_all_documents(spark):
     got = {tuple(r) for r in QUERIES["q142_token_windows"](spark, DATA).collect()}
     want = set()
-    for d in documents:
-        blocks = [int(len(b) / 3.7) + 1 for b in d.text.split("\n") if b.strip(" ")] if d.text is not None else []
-        want |= {(d.doc_id, i, w["first"], w["last"], w["tokens"]) for i, w in enumerate(cut_windows(blocks, 280, 40))}
-    assert got == want
+    for d in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        lines = [b for b in (d.text or "").split("\n") if b.strip(" ")]
+        text = "\n".join(f"[P_{i}] {x}" + (f"\n[FIG_{i // 10}] A drawing." if i % 10 == 0 else "") for i, x in enumerate(lines, 1))
+        want |= {(d.doc_id, i, w["first"], w["last"], w["tokens"], w["paragraphs"], w["figures"]) for i, w in enumerate(split_windows(text, f"# {d.source} {d.lang}"))}
+    assert got == want and max(r[1] for r in got) > 0
 
 
 def test_pairs_of_all_documents(spark, documents):

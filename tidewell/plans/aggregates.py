@@ -56,15 +56,18 @@ def q065(t: Tables) -> DataFrame:
     return g.select("lang", F.round(density, 6).alias("density"), ((F.col("n") >= 10) & (density < 0.93)).alias("stop"))
 
 
-@query("q066_fact_merge", "select lang, lower(trim(left(text, 12))) as fact, arg_min(doc_id, doc_id) as head, count(*) as size, array_to_string(list_sort(list(distinct source)), ',') as anchors from documents group by all")
+@query("q066_fact_merge", "select lang, lower(trim(text)) as fact, arg_min(doc_id, doc_id) as head, count(*) as size, array_to_string(list_sort(list(distinct source)), ',') as anchors from documents group by all")
 def q066(t: Tables) -> DataFrame:
-    g = t.documents.groupBy("lang", F.lower(F.trim(F.substring("text", 1, 12))).alias("fact"))
+    g = t.documents.groupBy("lang", F.lower(F.trim("text")).alias("fact"))
     return g.agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("anchors"))
 
 
-@query("q067_atom_merge", "select role, lower(left(text, 10)) as statement, array_to_string(list_sort(list(distinct conv_id)), ',') as chunks, arg_min(turn, (conv_id, turn)) filter (where turn > 0) as quote from conversations group by all")
+@query("q067_atom_merge", "with c as (select conv_id, turn, role, text from conversations union all select conv_id + 1000000, turn, role, upper(text) from conversations where conv_id % 3 = 0) select role, lower(text) as statement, array_to_string(list_sort(list(distinct conv_id)), ',') as chunks, arg_min(turn, (conv_id, turn)) filter (where turn > 0) as quote from c group by all")
 def q067(t: Tables) -> DataFrame:
-    g = t.conversations.groupBy("role", F.lower(F.substring("text", 1, 10)).alias("statement"))
+    """Atoms that agree but for case, here said again in another conversation, become one with all their chunks."""
+    c = t.conversations.select("conv_id", "turn", "role", "text")
+    c = c.union(c.where("conv_id % 3 = 0").select(F.col("conv_id") + 1000000, "turn", "role", F.upper("text")))
+    g = c.groupBy("role", F.lower("text").alias("statement"))
     return g.agg(F.array_join(F.transform(F.array_sort(F.collect_set("conv_id")), lambda x: x.cast("string")), ",").alias("chunks"), F.min_by("turn", F.when(F.col("turn") > 0, F.struct("conv_id", "turn"))).alias("quote"))
 
 

@@ -145,11 +145,11 @@ def q036(t: Tables) -> DataFrame:
 
 
 @query("q037_noise_paragraphs", r"""
-with p as (select doc_id, unnest(list_concat(string_split(text, chr(10)), ['12', 'a', 'QPS (log)', 'IEEE 2021 page', '3.5 %', 'Permission to make digital or hard copies'])) as line from documents where doc_id < 250)
+with p as (select doc_id, unnest(list_concat(string_split(text, chr(10)), ['12', 'a', 'QPS (log)', 'IEEE 2021 page', '3.5 %', 'Permission to make digital or hard copies'])) as line from documents)
 select doc_id, count(*) as lines, count(*) filter (where length(trim(line)) < 2 or regexp_matches(trim(line), '(?i)permission\s+to\s+make\s+digital\s+or\s+hard\s+copies') or regexp_matches(trim(line), '^\d{1,3}$') or (length(trim(line)) <= 120 and regexp_matches(trim(line), '(?i)(ASPLOS|IEEE|ACM|Proceedings)\s*[’'']?\s*\d{2,4}') and length(trim(line)) - length(replace(trim(line), '.', '')) <= 2) or (length(trim(line)) <= 48 and regexp_matches(trim(line), '(?i)^(\d+\s*|(queries/sec|qps|latency|throughput|log\s+scale|linear\s+scale)(\s*\([^)]{0,40}\))?|\d+(\.\d+)?\s*%|[0-9]+(\.[0-9]+)?)$'))) as noise from p group by doc_id""")
 def q037(t: Tables) -> DataFrame:
     extra = F.array(*[F.lit(x) for x in ("12", "a", "QPS (log)", "IEEE 2021 page", "3.5 %", "Permission to make digital or hard copies")])
-    lines = t.documents.where("doc_id < 250").select("doc_id", F.explode(F.concat(F.split("text", "\n"), extra)).alias("line"))
+    lines = t.documents.select("doc_id", F.explode(F.concat(F.split("text", "\n"), extra)).alias("line"))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(texts.is_noise("line")).alias("noise"))
 
 
@@ -159,7 +159,7 @@ def q038(t: Tables) -> DataFrame:
 
 
 @query("q039_back_matter", """
-with l as (select doc_id, i, x from (select doc_id, unnest(range(len(p))) as i, p from (select doc_id, string_split(case when doc_id % 3 = 0 then text || chr(10) || 'References' || chr(10) || text else text end, chr(10)) p from documents where doc_id < 300)), lateral (select p[i + 1] as x)),
+with l as (select doc_id, i, x from (select doc_id, unnest(range(len(p))) as i, p from (select doc_id, string_split(case when doc_id % 3 = 0 then text || chr(10) || 'References' || chr(10) || text else text end, chr(10)) p from documents)), lateral (select p[i + 1] as x)),
 c as (select doc_id, min(i) as cut from l where regexp_matches(trim(x), '(?i)^(references|bibliography|appendix)') group by doc_id)
 select doc_id, count(*) as kept from l left join c using (doc_id) where cut is null or i < cut group by doc_id""")
 def q039(t: Tables) -> DataFrame:
@@ -167,19 +167,20 @@ def q039(t: Tables) -> DataFrame:
     text = F.when(F.col("doc_id") % 3 == 0, F.concat_ws("\n", "text", F.lit("References"), "text")).otherwise(F.col("text"))
     parts = F.split(text, "\n")
     cut = F.array_position(F.transform(parts, lambda x: F.trim(x).rlike("(?i)^(references|bibliography|appendix)")), True)
-    return t.documents.where("doc_id < 300").select("doc_id", F.when(cut > 0, cut - 1).otherwise(F.size(parts)).cast("long").alias("kept")).where("kept > 0")
+    return t.documents.select("doc_id", F.when(cut > 0, cut - 1).otherwise(F.size(parts)).cast("long").alias("kept")).where("kept > 0")
 
 
 @query("q040_structure_filter", """
-with p as (select d.doc_id, d.n_chars, l.quality, l.toxic from documents d left join labels l using (doc_id) where d.doc_id < 400)
-select doc_id, row_number() over (order by case when toxic = 1 then 0 else 1 end, coalesce(-quality, 5), doc_id) as place from p where (quality is null or quality = 1) and doc_id not between 50 and 60""")
+with p as (select d.doc_id, d.doc_id // 100 as article, d.doc_id % 100 as par, l.quality, l.toxic from documents d left join labels l using (doc_id))
+select doc_id, article, row_number() over (partition by article order by case when toxic = 1 then 0 else 1 end, coalesce(-quality, 5), doc_id) as place from p where (quality is null or quality = 1) and par not between 50 and 60""")
 def q040(t: Tables) -> DataFrame:
-    """Paragraphs outside the references and not dropped, core ones first; unlabelled ones stay, last of their class."""
-    p = t.documents.where("doc_id < 400").join(t.labels, "doc_id", "left").where((F.col("quality").isNull() | (F.col("quality") == 1)) & ~F.col("doc_id").between(50, 60))
+    """Paragraphs of each article outside its references and not dropped, core ones first; unlabelled ones stay, last of their class."""
     from pyspark.sql import Window
 
-    order = Window.orderBy(F.when(F.col("toxic") == 1, 0).otherwise(1), F.coalesce(-F.col("quality"), F.lit(5)), "doc_id")  # one article's paragraphs
-    return p.select("doc_id", F.row_number().over(order).cast("long").alias("place"))
+    p = t.documents.select("doc_id", F.floor(F.col("doc_id") / 100).alias("article")).join(t.labels, "doc_id", "left")
+    p = p.where((F.col("quality").isNull() | (F.col("quality") == 1)) & ~(F.col("doc_id") % 100).between(50, 60))
+    order = Window.partitionBy("article").orderBy(F.when(F.col("toxic") == 1, 0).otherwise(1), F.coalesce(-F.col("quality"), F.lit(5)), "doc_id")
+    return p.select("doc_id", "article", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("q041_over_pruning", r"""
@@ -211,6 +212,34 @@ def q043(t: Tables) -> DataFrame:
     return u.select("page_id", urls.practical_reject(url).alias("reason"))
 
 
+@query("q043_registry_filter", r"""
+with u as (select page_id, case page_id % 8 when 0 then 'https://example.com/' || page_id::varchar when 1 then replace(url, 'http', 'ftp') when 2 then 'http://x' when 3 then 'HTTPS://a.B.test/' || page_id::varchar when 4 then 'http://' when 5 then 'http://user@localhost:80/' || page_id::varchar when 6 then ' ' || upper(url) || ' ' else url end as url from pages),
+h as (select page_id, trim(url) as url, lower(regexp_extract(trim(url), '(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)) as site from u)
+select page_id, url from h where length(url) >= 8 and site <> '' and site not in ('example.com', 'example.org', 'example.net', 'example.edu', 'localhost', '127.0.0.1', '0.0.0.0') and not regexp_matches(site, '\.(example|invalid|test)$')""")
+def q043_registry(t: Tables) -> DataFrame:
+    """Registry entries without addresses that are reserved for examples."""
+    p = F.col("page_id")
+    url = F.expr("CASE page_id % 8 WHEN 0 THEN 'https://example.com/' || page_id WHEN 1 THEN replace(url, 'http', 'ftp') WHEN 2 THEN 'http://x' WHEN 3 THEN 'HTTPS://a.B.test/' || page_id WHEN 4 THEN 'http://' WHEN 5 THEN 'http://user@localhost:80/' || page_id WHEN 6 THEN ' ' || upper(url) || ' ' ELSE url END")
+    return t.pages.select(p, F.trim(url).alias("url")).where(~urls.is_placeholder("url"))
+
+
+SNIPPET_SQL = "case turn % 8 when 0 then 'def f(x):' || chr(10) || '    return x' when 1 then '```' || chr(10) || text || chr(10) || '```' when 2 then 'Deep Dive: return of ' || text when 3 then 'x = g(' || conv_id::varchar || '); y = h(1)' when 4 then 'a' when 5 then replace(text, '. ', ' && ') when 6 then '  ' || text || '  ' else 'while (' || conv_id::varchar || ') go' end"
+
+
+@query("q043_code_snippets", rf"""
+with s as (select conv_id, turn, trim({SNIPPET_SQL}, ' ' || chr(10)) as raw from conversations),
+l as (select *, list_filter(string_split(raw, chr(10)), lambda x: trim(x) <> '') as lines from s),
+c as (select *, length(raw) >= 4 and not regexp_matches(raw, '(?i)^deep\s*dive\s*:') and (regexp_matches(raw, '(?m)^```') or regexp_matches(raw, '(?i)(^|[^\p{{L}}\p{{N}}_])(def|class|import|from|return|elif|else|async|await|function|const|let|var|interface|struct|enum|namespace|select|insert|update|delete|create|with|public|private|protected|static|void|int|float|bool)([^\p{{L}}\p{{N}}_]|$)') or regexp_matches(raw, '(?im)^\s*(if|for|while|switch|case|try|catch)\s*[\(:]') or (len(lines) >= 2 and len(list_filter(lines, lambda x: starts_with(x, '    ') or starts_with(trim(x), '#') or starts_with(trim(x), '//') or contains(x, ';') or contains(x, '{{') or contains(x, '}}'))) > 0) or (contains(raw, ';') and (contains(raw, '=') or contains(raw, '('))) or (len(string_split(raw, '(')) >= 3 and len(string_split(raw, ')')) >= 3 and contains(raw, '=')) or regexp_matches(raw, '=>|::|\+\+|--|\|\||&&')) as code from l)
+select conv_id, min(turn) as turn, raw as snippet from c where code group by conv_id, raw""")
+def q043_snippets(t: Tables) -> DataFrame:
+    """Snippets of a conversation that are code, each once."""
+    from tidewell.functions.code import is_likely_code
+
+    made = F.expr("CASE turn % 8 WHEN 0 THEN 'def f(x):\n    return x' WHEN 1 THEN '```\n' || text || '\n```' WHEN 2 THEN 'Deep Dive: return of ' || text WHEN 3 THEN 'x = g(' || conv_id || '); y = h(1)' WHEN 4 THEN 'a' WHEN 5 THEN replace(text, '. ', ' && ') WHEN 6 THEN '  ' || text || '  ' ELSE 'while (' || conv_id || ') go' END")
+    s = t.conversations.select("conv_id", "turn", F.regexp_replace(made, r"^\s+|\s+$", "").alias("snippet")).where(is_likely_code("snippet"))
+    return s.groupBy("conv_id", "snippet").agg(F.min("turn").alias("turn"))
+
+
 @query("q044_anchor_cut", """
 with a as (select embedding::double[] v from embeddings where vec_id = 7), s as (select vec_id, (list_cosine_similarity(embedding::double[], v) + 1) / 2 as score from embeddings, a)
 select vec_id, round(score, 6) as core, round(0.7 * score + 0.3 * coalesce(case when vec_id % 4 = 0 then null else 0.5 end, score), 6) as mixed from s where score >= 0.55""")
@@ -243,12 +272,15 @@ def q046(t: Tables) -> DataFrame:
     return keyed.join(seen, "key", "left").select("doc_id", F.coalesce("seen", F.lit(False)).alias("seen"))
 
 
-@query("q047_image_hash_filter", """
-with h as (select vec_id, (vec_id * 40503) % 65536 as h from embeddings where vec_id < 200)
-select a.vec_id as a, b.vec_id as b, bit_count(xor(a.h, b.h))::bigint as distance from h a join h b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 3""")
+PICTURE_SQL = "with h as (select vec_id, xor(('0x' || substr(md5((vec_id // 4)::varchar), 1, 15))::bigint, case when vec_id % 4 = 0 then 0 else 1::bigint << (5 * (vec_id % 4)::int) end) as h from embeddings)"
+
+
+@query("q047_image_hash_filter", PICTURE_SQL + " select a.vec_id as a, b.vec_id as b, bit_count(xor(a.h, b.h))::bigint as distance from h a join h b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 3")
 def q047(t: Tables) -> DataFrame:
     """Pairs of picture hashes within a few bits, blocked by equal bands so that no pair is lost."""
     from tidewell.operators.dedup import hamming_pairs
 
-    h = t.embeddings.where("vec_id < 200").select("vec_id", ((F.col("vec_id") * 40503) % 65536).alias("h"))
-    return hamming_pairs(h, "vec_id", "h", bits=16, most=3)
+    v = F.col("vec_id")
+    base = F.conv(F.substring(F.md5(F.floor(v / 4).cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    h = t.embeddings.select("vec_id", base.bitwiseXOR(F.when(v % 4 == 0, F.lit(0)).otherwise(F.expr("shiftleft(1L, cast(5 * (vec_id % 4) AS int))"))).alias("h"))
+    return hamming_pairs(h, "vec_id", "h", bits=60, most=3)

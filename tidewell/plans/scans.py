@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,17 +10,20 @@ from tidewell.functions.urls import host, strip_slash
 from tidewell.functions.vectors import cosine
 from tidewell.operators import tables as ops
 from tidewell.plans.registry import Tables, query
-from tidewell.streaming.run import shared_folder
+from tidewell.streaming.run import scratch
 
 
-@query("q001_vector_table_create")
+@query("q001_vector_table_create", "select vec_id::varchar as id, label::varchar as label, 'm' || (label % 2)::varchar as embed_model, len(embedding)::bigint as dim, true as made, false as made_again from embeddings")
 def q001(t: Tables) -> DataFrame:
-    """Create a table once; a second create changes nothing."""
+    """Create a table once and fill it; a second create changes nothing."""
     from tidewell.sources.vector_table import VectorTable
 
-    table = VectorTable(t.spark, f"{shared_folder(t.spark)}/vectors-{uuid.uuid4().hex}")
-    made, again = table.create(), table.create()
-    return t.spark.createDataFrame([(f.name, f.dataType.simpleString(), made, again) for f in table.rows().schema], "column string, kind string, made boolean, made_again boolean")
+    table = VectorTable(t.spark, scratch(t.spark, "vectors"))
+    made = table.create()
+    rows = t.embeddings.select(F.col("vec_id").cast("string").alias("id"), "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("payload"), F.concat(F.lit("m"), F.col("label") % 2).alias("embed_model"))
+    table.upsert(rows)
+    again = table.create()
+    return table.rows().select("id", F.col("payload")["label"].alias("label"), "embed_model", F.size("embedding").cast("long").alias("dim"), F.lit(made).alias("made"), F.lit(again).alias("made_again"))
 
 
 @query("q002_upsert", """
@@ -78,10 +79,10 @@ def q008(t: Tables) -> DataFrame:
 
 
 @query("q009_atom_sink", """
-select distinct doc_id, trim(s) as statement, md5(doc_id::varchar || ':atom:' || trim(s)) as atom_key from (select doc_id, unnest(string_split(replace(text, chr(10), ' '), '. ')) s from documents where doc_id < 300) where length(trim(s)) >= 8""")
+select distinct doc_id, trim(s) as statement, md5(doc_id::varchar || ':atom:' || trim(s)) as atom_key from (select doc_id, unnest(string_split(replace(text, chr(10), ' '), '. ')) s from documents) where length(trim(s)) >= 8""")
 def q009(t: Tables) -> DataFrame:
     """One row for each distinct statement of a document; its key depends on both."""
-    said = t.documents.where("doc_id < 300").select("doc_id", F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ")).alias("s"))
+    said = t.documents.select("doc_id", F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ")).alias("s"))
     kept = said.select("doc_id", F.trim("s").alias("statement")).where(F.length("statement") >= 8).distinct()
     return kept.withColumn("atom_key", F.md5(F.concat_ws(":", "doc_id", F.lit("atom"), "statement")))
 
@@ -156,10 +157,10 @@ def q015(t: Tables) -> DataFrame:
 
 
 @query("q016_profile_blocks", """
-with b as (select doc_id, unnest(range(1, len(p) + 1)) i, p from (select doc_id, list_filter(list_transform(string_split(chr(10) || '## ' || replace(text, chr(10), chr(10) || '## '), chr(10) || '## '), lambda x: trim(x)), lambda x: length(x) > 30) p from documents where doc_id < 200))
+with b as (select doc_id, unnest(range(1, len(p) + 1)) i, p from (select doc_id, list_filter(list_transform(string_split(chr(10) || '## ' || replace(text, chr(10), chr(10) || '## '), chr(10) || '## '), lambda x: trim(x)), lambda x: length(x) > 30) p from documents))
 select doc_id, i as block, p[i] as body, sha256(p[i]) as digest from b""")
 def q016(t: Tables) -> DataFrame:
-    md = t.documents.where("doc_id < 200").select("doc_id", F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n## "))).alias("md"))
+    md = t.documents.select("doc_id", F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n## "))).alias("md"))
     each = md.select("doc_id", F.posexplode(heading_blocks("md", 30)).alias("i", "body"))
     return each.select("doc_id", (F.col("i") + 1).cast("long").alias("block"), "body", F.sha2("body", 256).alias("digest"))
 
@@ -186,11 +187,24 @@ def q018(t: Tables) -> DataFrame:
     return ops.first_wins(merged, strip_slash("url"), "provider", "page_id").select("page_id", "provider")
 
 
-@query("q023_backfill_copy", "select vec_id, label, len(embedding)::bigint as dim from embeddings")
+@query("q023_backfill_copy", "select vec_id, label, len(embedding)::bigint as dim, round(list_sum(embedding::double[]), 6) as total, round(list_max(embedding)::double, 6) as largest from embeddings")
 def q023(t: Tables) -> DataFrame:
-    """Copy a table from one format to another with ids unchanged."""
+    """Copy a table from one format to another with ids and vectors unchanged."""
     from tidewell.sources.copying import copy_table
 
-    path = f"{shared_folder(t.spark)}/copy-{uuid.uuid4().hex}"
-    copied = copy_table(t.embeddings, path, "orc")
-    return copied.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
+    copied = copy_table(t.embeddings, scratch(t.spark, "copy"), "orc")
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    return copied.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"), F.round(total, 6).alias("total"), F.round(F.array_max("embedding").cast("double"), 6).alias("largest"))
+
+
+@query("q021_folder_corpus")
+def q021(t: Tables) -> DataFrame:
+    """Files of a folder, as of a checked-out repository: this package's own."""
+    from pathlib import Path
+
+    from tidewell.sources.folder import read_files
+
+    own = t.spark.createDataFrame([(str(p), p.read_text(encoding="utf-8")) for p in sorted(Path(__file__).parent.glob("*.py"))], "path string, content string")
+    folder = scratch(t.spark, "folder")
+    own.select(F.regexp_extract("path", r"([^/]+)\.py$", 1).alias("module"), F.col("content").alias("value")).write.partitionBy("module").option("lineSep", "\n").text(folder)
+    return read_files(t.spark, folder).select(F.regexp_extract("path", r"module=([^/]+)/", 1).alias("module"), "size", F.sha2("content", 256).alias("digest"))

@@ -2,70 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import texts
-from tidewell.functions.vectors import cosine
-from tidewell.operators import greedy, retrieval
+from tidewell.functions.scores import passes_trust, search_trust
+from tidewell.operators import retrieval
 from tidewell.operators import ranking as rank
 from tidewell.operators import tables as ops
 from tidewell.plans.registry import Tables, query
 
 COS = "round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6)"
+NEAR_SQL = f"with s as (select q.vec_id as query, e.vec_id, e.label, {COS} as score from embeddings q, embeddings e where q.vec_id % 50 = 0 and q.vec_id <> e.vec_id)"
 
 
-@query("vec_topk", f"with s as (select q.vec_id as query, e.vec_id, {COS} as score from embeddings q, embeddings e where q.vec_id < 5 and e.vec_id >= 5), r as (select *, row_number() over (partition by query order by score desc, vec_id) as rank from s) select query, vec_id, score, rank from r where rank <= 5")
-def vec_topk(t: Tables) -> DataFrame:
-    """Five nearest rows of each of five queries, exact."""
-    e = t.embeddings
-    return retrieval.nearest(e.where("vec_id < 5"), e.where("vec_id >= 5"), "vec_id", "vec_id", 5)
+def asked(t: Tables) -> DataFrame:
+    """The query rows of every search."""
+    return t.embeddings.where("vec_id % 50 = 0")
+
 
+def scored(t: Tables) -> DataFrame:
+    """All rows with their cosine to each query; what follows cuts by rank within a task before anything is exchanged."""
+    return retrieval.score_pairs(asked(t), t.embeddings, "vec_id", "vec_id").where("query <> vec_id").withColumn("score", F.round("score", 6))
 
-def one(t: Tables, vec_id: int) -> DataFrame:
-    """Rows with their cosine to one query vector."""
-    v = t.embeddings.where(F.col("vec_id") == vec_id).select(F.col("embedding").alias("v"))
-    return t.embeddings.crossJoin(F.broadcast(v)).withColumn("score", F.round(cosine("embedding", "v"), 6)).drop("v")  # one row
 
+def best() -> tuple[Column, Column]:
+    return F.desc("score"), F.asc("vec_id")
 
-def one_sql(vec_id: int) -> str:
-    return f"with q as (select embedding from embeddings where vec_id = {vec_id}), s as (select e.*, {COS} as score from embeddings e, q)"
+
+@query("vec_topk", NEAR_SQL + ", r as (select *, row_number() over (partition by query order by score desc, vec_id) as rank from s) select query, vec_id, score, rank from r where rank <= 5")
+def vec_topk(t: Tables) -> DataFrame:
+    """Five nearest rows of each query, exact."""
+    return retrieval.nearest(asked(t), t.embeddings, "vec_id", "vec_id", 5, apart=True)
 
 
-@query("q107_summary_search", one_sql(2) + " select vec_id, score from s order by score desc, vec_id limit 7")
+@query("q107_summary_search", NEAR_SQL + " select query, vec_id, score from s qualify row_number() over (partition by query order by score desc, vec_id) <= 7")
 def q107(t: Tables) -> DataFrame:
-    return one(t, 2).orderBy(F.desc("score"), "vec_id").limit(7).select("vec_id", "score")
+    return rank.top_per_group(scored(t), ["query"], 7, *best()).select("query", "vec_id", "score")
 
 
 @query("q108_lexical_vector_search", r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from documents), st as (select count(*) n, avg(len(w)) mean from d),
-qs as (select conv_id as query, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 5)))[1:4] as terms from conversations where turn = 0 and conv_id < 40), qt as (select query, unnest(terms) as term from qs),
+qs as (select conv_id as query, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 5)) as terms from conversations where turn = 0 and conv_id % 50 = 0), qt as (select query, unnest(terms) as term from qs),
 tf as (select doc_id, len, term, count(*) tf from (select doc_id, len(w) as len, unnest(w) as term from d) where term in (select term from qt) group by all), df as (select term, count(*) df from tf group by term),
 s as (select query, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score from tf join df using (term) join qt using (term), st group by all),
 r as (select query, doc_id, round(score, 4) as score, row_number() over (partition by query order by round(score, 4) desc, doc_id) rn from s) select query, doc_id, score from r where rn <= 5""")
 def q108(t: Tables) -> DataFrame:
     """BM25 over words; ``q108_rank_fusion`` joins it with vectors."""
     words = F.split(F.lower("text"), "[^a-z0-9]+")
-    qs = t.conversations.where("turn = 0 AND conv_id < 40").select("conv_id", F.slice(F.array_sort(texts.tokens("text", 5)), 1, 4).alias("terms"))
+    qs = t.conversations.where("turn = 0 AND conv_id % 50 = 0").select("conv_id", texts.tokens("text", 5).alias("terms"))
     s = retrieval.bm25(t.documents, qs, "doc_id", words, "conv_id", F.col("terms")).withColumn("score", F.round("score", 4))
     return rank.top_per_group(s, ["query"], 5, F.desc("score"), F.asc("doc_id"))
 
 
-@query("q108_rank_fusion", f"""
-with s as (select q.vec_id as query, e.vec_id, {COS} as score from embeddings q, embeddings e where q.vec_id < 5 and e.vec_id >= 5), a as (select *, row_number() over (partition by query order by score desc, vec_id) as rank from s qualify rank <= 20), b as (select query, vec_id, row_number() over (partition by query order by (vec_id * 7919) % 997, vec_id) as rank from s qualify rank <= 20)
+@query("q108_rank_fusion", NEAR_SQL + """, a as (select *, row_number() over (partition by query order by score desc, vec_id) as rank from s qualify rank <= 20), b as (select query, vec_id, row_number() over (partition by query order by (vec_id * 7919) % 997, vec_id) as rank from s qualify rank <= 20)
 select query, vec_id, round(sum(1 / (60.0 + rank)), 6) as fused from (select query, vec_id, rank from a union all select query, vec_id, rank from b) group by all""")
 def q108_fusion(t: Tables) -> DataFrame:
-    e = t.embeddings
-    a = retrieval.nearest(e.where("vec_id < 5"), e.where("vec_id >= 5"), "vec_id", "vec_id", 20)
-    pairs = e.where("vec_id >= 5").select("vec_id").crossJoin(F.broadcast(e.where("vec_id < 5").select(F.col("vec_id").alias("query"))))  # five queries
-    b = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy((F.col("vec_id") * 7919) % 997, "vec_id")).cast("long")).where("rank <= 20")
+    a = retrieval.nearest(asked(t), t.embeddings, "vec_id", "vec_id", 20, apart=True)
+    other = Window.partitionBy("query").orderBy((F.col("vec_id") * 7919) % 997, "vec_id")
+    b = scored(t).select("query", "vec_id", F.row_number().over(other).cast("long").alias("rank")).where("rank <= 20")
     return retrieval.fuse_ranks([a, b], ["query", "vec_id"]).withColumn("fused", F.round("fused", 6))
 
 
-@query("q109_exact_knn", one_sql(4) + " select vec_id, score from s where label in (1, 2, 3) and vec_id <> 4 order by score desc, vec_id limit 10")
+@query("q109_exact_knn", NEAR_SQL + " select query, vec_id, score from s where label in (1, 2, 3) qualify row_number() over (partition by query order by score desc, vec_id) <= 10")
 def q109(t: Tables) -> DataFrame:
     """Filters run before any distance is computed."""
-    return one(t, 4).where("label IN (1, 2, 3) AND vec_id <> 4").orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", "score")
+    rows = t.embeddings.where("label IN (1, 2, 3)")
+    return retrieval.nearest(asked(t), rows, "vec_id", "vec_id", 10, apart=True).select("query", "vec_id", "score")
 
 
 @query("q110_batched_trust_rank", f"""
@@ -73,85 +76,87 @@ with s as (select q.vec_id as query, e.vec_id, {COS} * 0.9 as sim, case when e.v
 k as (select query, vec_id, round(sim * case when trust is null or trust = 0 then 1.0 else trust end, 6) as score from s where case when trust is null or trust = 0 then 1.0 else trust end >= 0.2 or sim >= 0.85), r as (select *, row_number() over (partition by query order by score desc, vec_id) rn from k)
 select query, vec_id, score from r where rn <= 5""")
 def q110(t: Tables) -> DataFrame:
-    """Similarity with penalty, hard cutoff, then similarity times trust; a trust of zero counts as unknown here."""
-    from tidewell.functions.scores import passes_trust
-
-    e = t.embeddings
+    """Similarity with penalty, hard cutoff, then similarity times trust."""
     v = F.col("vec_id")
-    s = retrieval.score_pairs(e.where(v % 50 == 0), e, "vec_id", "vec_id").where("query <> vec_id")
-    trust = F.when((v % 5 == 0) | (v % 7 == 0), 1.0).otherwise((v % 7) / 10.0)
-    s = s.select("query", "vec_id", (F.round("score", 6) * 0.9).alias("sim"), trust.alias("trust")).where(passes_trust("sim", "trust"))
-    return rank.top_per_group(s.select("query", "vec_id", F.round(F.col("sim") * F.col("trust"), 6).alias("score")), ["query"], 5, F.desc("score"), F.asc("vec_id"))
+    s = scored(t).select("query", "vec_id", (F.col("score") * 0.9).alias("sim"), search_trust(F.when(v % 5 != 0, (v % 7) / 10.0)).alias("trust")).where(passes_trust("sim", "trust"))
+    return rank.top_per_group(s.select("query", "vec_id", F.round(F.col("sim") * F.col("trust"), 6).alias("score")), ["query"], 5, *best())
 
 
 @query("q111_diverse_atom_search")
 def q111(t: Tables) -> DataFrame:
-    """Over-fetch, floor, diversity, then a seeded sample by score."""
-    pool = one(t, 6).where("vec_id <> 6 AND score >= 0.0").orderBy(F.desc("score"), "vec_id").limit(40).withColumn("q", F.lit(6))
-    diverse = greedy.mmr(pool, ["q"], "vec_id", "embedding", "score", k=16, weight=0.62).drop("place")
-    return greedy.sample_by_score(diverse, ["q"], "vec_id", "score", k=6, seed=11).select("vec_id", "score", "place")
+    """Shifted queries, rows of seen chunks excluded, floor, diversity, then a seeded sample by score."""
+    rows = t.embeddings.withColumn("chunks", F.array(F.concat(F.lit("c"), F.col("vec_id") % 37), F.concat(F.lit("d"), F.col("vec_id") % 11)))
+    return retrieval.search_atoms(asked(t), rows, "vec_id", "vec_id", k=6, chunks="chunks", exclude_ids=[3, 77, 120], exclude_chunks=["c5", "d4", "51"], weight=0.62, noise=0.05, sample=True, seed=11)
+
+
+@query("q111_atom_search", NEAR_SQL.replace("where q.vec_id % 50 = 0 and q.vec_id <> e.vec_id", "where q.vec_id % 50 = 0 and e.vec_id not in (3, 77, 120)") + """, f as (select * from s qualify row_number() over (partition by query order by score desc, vec_id) <= 32),
+k as (select query, vec_id, score, row_number() over (partition by query order by score desc, vec_id) as place from f where score >= 0.1 and vec_id % 37 <> 5 and vec_id % 11 <> 4 and vec_id <> 51) select query, vec_id, score, place from k where place <= 8""")
+def q111_plain(t: Tables) -> DataFrame:
+    """The same search without noise, diversity and sampling."""
+    rows = t.embeddings.withColumn("chunks", F.array(F.concat(F.lit("c"), F.col("vec_id") % 37), F.concat(F.lit("d"), F.col("vec_id") % 11)))
+    return retrieval.search_atoms(asked(t), rows, "vec_id", "vec_id", k=8, chunks="chunks", exclude_ids=[3, 77, 120], exclude_chunks=["c5", "d4", "51"], min_score=0.1)
 
 
-@query("q112_min_cosine_facts", one_sql(9) + ", p as (select * from s order by score desc, vec_id limit 40), k as (select vec_id, vec_id % 12 as txt, score from p where label < 5 and score >= 0.05), d as (select *, row_number() over (partition by txt order by score desc, vec_id) rn from k) select vec_id, txt, score from d where rn = 1 order by score desc, vec_id limit 10")
+@query("q112_min_cosine_facts", NEAR_SQL + ", p as (select * from s qualify row_number() over (partition by query order by score desc, vec_id) <= 40), k as (select query, vec_id, vec_id % 12 as txt, score from p where label < 5 and score >= 0.05), d as (select *, row_number() over (partition by query, txt order by score desc, vec_id) rn from k) select query, vec_id, txt, score from d where rn = 1 qualify row_number() over (partition by query order by score desc, vec_id) <= 10")
 def q112(t: Tables) -> DataFrame:
     """The over-fetch comes before the kind filter, so fewer than k may be left."""
-    pool = one(t, 9).orderBy(F.desc("score"), "vec_id").limit(40).where("label < 5 AND score >= 0.05").select("vec_id", (F.col("vec_id") % 12).alias("txt"), "score")
-    return ops.latest(pool, ["txt"], F.desc("score"), F.asc("vec_id")).orderBy(F.desc("score"), "vec_id").limit(10)
+    pool = rank.top_per_group(scored(t), ["query"], 40, *best()).where("label < 5 AND score >= 0.05").select("query", "vec_id", (F.col("vec_id") % 12).alias("txt"), "score")
+    return rank.top_per_group(ops.latest(pool, ["query", "txt"], *best()), ["query"], 10, *best())
 
 
-@query("q113_directional_retrieval", f"""
-with s as (select q.vec_id as direction, q.vec_id % 3 + 1 as weight, e.vec_id, {COS} as score from embeddings q, embeddings e where q.vec_id < 8 and e.vec_id >= 8), r as (select *, row_number() over (partition by direction order by score desc, vec_id) rn from s),
-m as (select vec_id, max(weight) as weight, arg_max(direction, (weight, -direction)) as direction, arg_max(score, (weight, -direction)) as score from r where rn <= 5 group by vec_id), f as (select vec_id, direction, score * weight as weighted from m where score * weight >= 0.55)
-select vec_id, direction, round(least(1.0, weighted), 4) as score from f order by weighted desc, vec_id limit 4""")
+@query("q113_directional_retrieval", NEAR_SQL + """, d as (select *, query // 400 as learner, query // 50 % 3 + 1 as weight from s), r as (select *, row_number() over (partition by query order by score desc, vec_id) rn from d),
+m as (select learner, vec_id, max(weight) as weight, arg_max(query, (weight, -query)) as direction, arg_max(score, (weight, -query)) as score from r where rn <= 5 group by all), f as (select learner, vec_id, direction, score * weight as weighted from m where score * weight >= 0.55)
+select learner, vec_id, direction, round(least(1.0, weighted), 4) as score from f qualify row_number() over (partition by learner order by weighted desc, vec_id) <= 4""")
 def q113(t: Tables) -> DataFrame:
-    """Best of each direction, merged by text with the heaviest label, cut by weighted score."""
-    e = t.embeddings
-    near = retrieval.nearest(e.where("vec_id < 8"), e.where("vec_id >= 8"), "vec_id", "vec_id", 5).withColumn("weight", F.col("query") % 3 + 1)
+    """Best of each of a learner's directions, merged by text with the heaviest label, cut by weighted score."""
+    near = retrieval.nearest(asked(t), t.embeddings, "vec_id", "vec_id", 5, apart=True)
+    near = near.withColumn("learner", F.floor(F.col("query") / 400)).withColumn("weight", F.floor(F.col("query") / 50) % 3 + 1)
     heavy = F.struct("weight", -F.col("query"))
-    m = near.groupBy("vec_id").agg(F.max("weight").alias("weight"), F.max_by("query", heavy).alias("direction"), F.max_by("score", heavy).alias("score"))
-    f = m.withColumn("weighted", F.col("score") * F.col("weight")).where("weighted >= 0.55").orderBy(F.desc("weighted"), "vec_id").limit(4)
-    return f.select("vec_id", "direction", F.round(F.least(F.lit(1.0), "weighted"), 4).alias("score"))
+    m = near.groupBy("learner", "vec_id").agg(F.max("weight").alias("weight"), F.max_by("query", heavy).alias("direction"), F.max_by("score", heavy).alias("score"))
+    f = m.withColumn("weighted", F.col("score") * F.col("weight")).where("weighted >= 0.55")
+    return rank.top_per_group(f, ["learner"], 4, F.desc("weighted"), F.asc("vec_id")).select("learner", "vec_id", "direction", F.round(F.least(F.lit(1.0), "weighted"), 4).alias("score"))
 
 
-@query("q114_nearest_label", f"with s as (select e.vec_id, q.label, max({COS}) as score from embeddings q, embeddings e where q.vec_id < 30 and e.vec_id >= 30 group by all), b as (select vec_id, arg_max(label, (score, -label)) as label, max(score) as score from s group by vec_id) select vec_id, case when score >= 0.25 then label else -1 end as label, score from b")
+@query("q114_nearest_label", f"with s as (select e.vec_id, q.label, max({COS}) as score from embeddings q, embeddings e where q.vec_id % 50 = 0 and e.vec_id <> q.vec_id group by all), b as (select vec_id, arg_max(label, (score, -label)) as label, max(score) as score from s group by vec_id) select vec_id, case when score >= 0.25 then label else -1 end as label, score from b")
 def q114(t: Tables) -> DataFrame:
     """The label of the nearest reference, or none below the threshold."""
-    e = t.embeddings
-    refs = e.where("vec_id < 30")
-    s = retrieval.score_pairs(refs, e.where("vec_id >= 30").drop("label"), "vec_id", "vec_id").join(F.broadcast(refs.select(F.col("vec_id").alias("query"), "label")), "query")  # a fixed list of references
-    best = s.withColumn("score", F.round("score", 6)).groupBy("vec_id").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("label"), F.max("score").alias("score"))
+    refs = asked(t).select(F.col("vec_id").alias("query"), F.col("label").alias("ref"))
+    s = scored(t).join(F.broadcast(refs), "query")  # one row a reference
+    best = s.groupBy("vec_id").agg(F.max_by("ref", F.struct("score", -F.col("ref"))).alias("label"), F.max("score").alias("score"))
     return best.select("vec_id", F.when(F.col("score") >= 0.25, F.col("label")).otherwise(-1).alias("label"), "score")
 
 
-@query("q115_fallback_relevance", one_sql(12) + " select vec_id, round((score + 1) / 2 + 1e-9, 5) as relevance from s")
+@query("q115_fallback_relevance", NEAR_SQL + " select query, vec_id, round((score + 1) / 2 + 1e-9, 5) as relevance from s qualify row_number() over (partition by query order by score desc, vec_id) <= 20")
 def q115(t: Tables) -> DataFrame:
-    return one(t, 12).select("vec_id", F.round((F.col("score") + 1) / 2 + 1e-9, 5).alias("relevance"))
+    """Relevance of each query's twenty candidates."""
+    return rank.top_per_group(scored(t), ["query"], 20, *best()).select("query", "vec_id", F.round((F.col("score") + 1) / 2 + 1e-9, 5).alias("relevance"))
 
 
 @query("q116_replenished_queue", """
-with c as (select event_id, user_id as q, value, event_id % 4 = 0 as white, event_id % 3 <> 0 and value >= 5 as ok from events where event_id < 4000), r as (select *, row_number() over (partition by q order by white desc, value desc, event_id) rn from c),
+with c as (select event_id, user_id as q, value, event_id % 4 = 0 as white, event_id % 3 <> 0 and value >= 5 as ok from events), r as (select *, row_number() over (partition by q order by white desc, value desc, event_id) rn from c),
 b as (select *, (rn - 1) // 4 as batch, sum(ok::int) over (partition by q order by rn) as good from r), n as (select q, coalesce(min(batch) filter (where good >= 3), max(batch)) as last from b group by q)
 select q, event_id, batch::bigint as batch from b join n using (q) where ok and batch <= last and good <= 3""")
 def q116(t: Tables) -> DataFrame:
     """Batches are examined until enough pass; later ones are never looked at."""
     from tidewell.operators.queueing import replenish
 
-    c = t.events.where("event_id < 4000").select("event_id", F.col("user_id").alias("q"), "value", (F.col("event_id") % 4 == 0).alias("white"), ((F.col("event_id") % 3 != 0) & (F.col("value") >= 5)).alias("ok"))
+    c = t.events.select("event_id", F.col("user_id").alias("q"), "value", (F.col("event_id") % 4 == 0).alias("white"), ((F.col("event_id") % 3 != 0) & (F.col("value") >= 5)).alias("ok"))
     return replenish(c, ["q"], [F.desc("white"), F.desc("value"), F.asc("event_id")], "ok", batch=4, want=3).select("q", "event_id", "batch")
 
 
-@query("q117_scoped_search", one_sql(14) + """, p as (select vec_id, score, label % 2 = 0 as primary_ from s where vec_id <> 14), m as (select vec_id, row_number() over (partition by label order by score desc, vec_id) rn from s where label in (1, 3) and vec_id <> 14), n as (select count(*) filter (where primary_ and score >= 0.2) as strong from p),
-u as (select vec_id, case when primary_ then score else score * 0.8 end as score from p, n where primary_ or strong < 8), r as (select vec_id, round(score, 6) as score, case when vec_id in (select vec_id from m where rn <= 2) then 0 else 1 end as part from u)
-select vec_id, score from r order by part, score desc, vec_id limit 12""")
+@query("q117_scoped_search", NEAR_SQL + """, p as (select *, label % 2 = 0 as primary_ from s), m as (select query, vec_id from s where label in (1, 3) qualify row_number() over (partition by query, label order by score desc, vec_id) <= 2), n as (select query, count(*) filter (where primary_ and score >= 0.2) as strong from p group by query),
+u as (select p.query, p.vec_id, case when primary_ then score else score * 0.8 end as score from p join n using (query) where primary_ or strong < 8), r as (select u.query, u.vec_id, round(u.score, 6) as score, case when m.vec_id is null then 1 else 0 end as part from u left join m on m.query = u.query and m.vec_id = u.vec_id)
+select query, vec_id, score from r qualify row_number() over (partition by query order by part, score desc, vec_id) <= 12""")
 def q117(t: Tables) -> DataFrame:
     """Guaranteed rows of mapped documents first; the library joins with a penalty if the primary scope is weak."""
-    s = one(t, 14).where("vec_id <> 14")
-    sure = rank.top_per_group(s.where("label IN (1, 3)"), ["label"], 2, F.desc("score"), F.asc("vec_id")).select("vec_id", F.lit(0).alias("part"))
-    strong = s.agg(F.count_if((F.col("label") % 2 == 0) & (F.col("score") >= 0.2)).alias("strong"))
+    s = scored(t)
     primary = F.col("label") % 2 == 0
-    u = s.crossJoin(F.broadcast(strong)).where(primary | (F.col("strong") < 8))  # one row
-    u = u.select("vec_id", F.round(F.when(primary, F.col("score")).otherwise(F.col("score") * 0.8), 6).alias("score"))
-    return u.join(sure, "vec_id", "left").orderBy(F.coalesce("part", F.lit(1)), F.desc("score"), "vec_id").limit(12).select("vec_id", "score")
+    sure = rank.top_per_group(s.where("label IN (1, 3)"), ["query", "label"], 2, *best()).select("query", "vec_id", F.lit(0).alias("part"))
+    strong = s.groupBy("query").agg(F.count_if(primary & (F.col("score") >= 0.2)).alias("strong"))
+    u = s.join(F.broadcast(strong), "query").where(primary | (F.col("strong") < 8))  # one row a query
+    u = u.select("query", "vec_id", F.round(F.when(primary, F.col("score")).otherwise(F.col("score") * 0.8), 6).alias("score"))
+    marked = u.join(F.broadcast(sure), ["query", "vec_id"], "left")  # four rows a query
+    return rank.top_per_group(marked, ["query"], 12, F.coalesce("part", F.lit(1)), *best()).select("query", "vec_id", "score")
 
 
 @query("q118_coarse_to_fine", "with c as (select conv_id, turn, (conv_id * 31 + turn * 17) % 101 as coarse, (conv_id * 7 + turn * 29) % 97 as fine, count(*) over (partition by conv_id) as n from conversations), a as (select *, row_number() over (partition by conv_id order by coarse desc, turn) rc from c), b as (select *, row_number() over (partition by conv_id order by fine desc, turn) rf from a where n <= 2 or rc <= 4) select conv_id, turn from b where n <= 2 or rf <= 2")
@@ -162,37 +167,37 @@ def q118(t: Tables) -> DataFrame:
 
 
 @query("q119_selection_match", r"""
-with w as (select conv_id, turn, role, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2)) k from conversations), s as (select conv_id, left(text, 12) as sel, k as sk from w where turn = 1),
+with w as (select conv_id, turn, role, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2)) k from conversations), s as (select conv_id, string_split(text, '. ')[1] as sel, k as sk from w where turn = 1),
 x as (select w.conv_id, turn, (case when role = 'assistant' then 15 else 0 end) + (case when contains(text, sel) then 40 else 0 end) + least(2 * len(list_intersect(k, sk)), 30) as score from w join s using (conv_id)), r as (select *, row_number() over (partition by conv_id order by score desc, turn) rn from x)
 select conv_id, turn, score::bigint as score from r where rn = 1""")
 def q119(t: Tables) -> DataFrame:
     """The chunk that a selected passage most likely comes from."""
     w = t.conversations.select("conv_id", "turn", "role", "text", texts.tokens("text", 2).alias("k"))
-    s = w.where("turn = 1").select("conv_id", F.substring("text", 1, 12).alias("sel"), F.col("k").alias("sk"))
+    s = w.where("turn = 1").select("conv_id", F.split("text", r"\. ")[0].alias("sel"), F.col("k").alias("sk"))
     score = F.when(F.col("role") == "assistant", 15).otherwise(0) + F.when(F.contains("text", "sel"), 40).otherwise(0) + F.least(2 * texts.overlap(F.col("k"), F.col("sk")), F.lit(30))
     x = w.join(s, "conv_id").withColumn("score", score.cast("long"))
     return ops.latest(x, ["conv_id"], F.desc("score"), F.asc("turn")).select("conv_id", "turn", "score")
 
 
 @query("q120_profile_overlap", r"""
-with f as (select list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 4)) as k from documents where doc_id = 10), l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where doc_id < 300),
+with f as (select list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 4)) as k from documents where doc_id = 10), l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
 d as (select trim(line) as line, min(doc_id) as doc_id from l where length(trim(line)) >= 20 group by 1), o as (select line, doc_id, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: length(x) >= 4)), k))::bigint as shared from d, f)
 select doc_id, line, shared from o where shared > 0 order by shared desc, line limit 15""")
 def q120(t: Tables) -> DataFrame:
     """Lines by shared words with the focus."""
     focus = t.documents.where("doc_id = 10").select(texts.tokens("text", 4).alias("k"))
-    lines = t.documents.where("doc_id < 300").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where(F.length("line") >= 20)
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where(F.length("line") >= 20)
     d = lines.groupBy("line").agg(F.min("doc_id").alias("doc_id")).crossJoin(F.broadcast(focus))  # one row
     o = d.select("doc_id", "line", texts.overlap(texts.tokens("line", 4), F.col("k")).cast("long").alias("shared"))
     return o.where("shared > 0").orderBy(F.desc("shared"), "line").limit(15)
 
 
 @query("q121_context_stitch", r"""
-with l as (select conv_id, turn, i, lines[i] as line from (select conv_id, turn, unnest(range(1, len(l) + 1)) as i, l as lines from (select conv_id, turn, string_split(left(text, 150), chr(10)) l from conversations))),
+with l as (select conv_id, turn, i, lines[i] as line from (select conv_id, turn, unnest(range(1, len(l) + 1)) as i, l as lines from (select conv_id, turn, string_split(text, chr(10)) l from conversations))),
 d as (select *, row_number() over (partition by conv_id, lower(trim(line)) order by turn, i) rn from l where trim(line) <> '') select conv_id, left(string_agg(trim(line), chr(10) order by turn, i), 400) as context from d where rn = 1 group by conv_id""")
 def q121(t: Tables) -> DataFrame:
     """Merged text of a group, each line once, cut to a length."""
-    l = t.conversations.select("conv_id", "turn", F.posexplode(F.split(F.substring("text", 1, 150), "\n")).alias("i", "line")).select("conv_id", "turn", "i", F.trim("line").alias("line")).where("line <> ''")
+    l = t.conversations.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("conv_id", "turn", "i", F.trim("line").alias("line")).where("line <> ''")
     d = ops.latest(l.withColumn("k", F.lower("line")), ["conv_id", "k"], F.asc("turn"), F.asc("i"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "i", "line"))), lambda x: x["line"]), "\n")
     return d.groupBy("conv_id").agg(F.substring(body, 1, 400).alias("context"))

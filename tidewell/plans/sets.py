@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import urls
-from tidewell.functions.vectors import unit
 from tidewell.operators import dedup, graphs, greedy
 from tidewell.operators import tables as ops
 from tidewell.plans.filters import PAGE_KIND, varied
@@ -31,13 +30,12 @@ def q123(t: Tables) -> DataFrame:
     return ops.first_wins(b, "k", "batch", "pos").orderBy("batch", "pos").limit(50).select("batch", "pos", "k")
 
 
-PAIRS_SQL = "v as (select vec_id, label, embedding::double[] e from embeddings where vec_id < 250), l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id < b.vec_id and a.label = b.label where round(list_cosine_similarity(a.e, b.e), 9) >= 0.2), e2 as (select a x, b y from l union select b, a from l), reach(x, y) as (select vec_id, vec_id from v union select r.x, e2.y from reach r join e2 on e2.x = r.y), comp as (select x as vec_id, min(y) as component from reach group by x)"
+PAIRS_SQL = "v as (select vec_id, label, embedding::double[] e from embeddings), l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id < b.vec_id and a.label = b.label where round(list_cosine_similarity(a.e, b.e), 9) >= 0.3), e2 as (select a x, b y from l union select b, a from l), reach(x, y) as (select vec_id, vec_id from v union select r.x, e2.y from reach r join e2 on e2.x = r.y), comp as (select x as vec_id, min(y) as component from reach group by x)"
 
 
 def clusters(t: Tables) -> DataFrame:
-    v = t.embeddings.where("vec_id < 250")
-    pairs = dedup.similar_pairs(v, "vec_id", "embedding", 0.2, within=["label"])
-    return dedup.components(v.select(F.col("vec_id").alias("node")), pairs)
+    pairs = dedup.similar_pairs(t.embeddings, "vec_id", "embedding", 0.3, within=["label"], forest=True)
+    return dedup.components(t.embeddings.select(F.col("vec_id").alias("node")), pairs)
 
 
 @query("q124_representatives", f"with recursive {PAIRS_SQL} select distinct component as vec_id from comp")
@@ -62,6 +60,7 @@ def q126(t: Tables) -> DataFrame:
 
 
 URL_CASES = [(1, "https://arxiv.org/abs/2512.08290"), (2, "https://arxiv.org/pdf/2512.08290.pdf"), (3, "https://doi.org/10.48550/arXiv.2203.08975v2"), (4, "https://doi.org/10.5281/zenodo.1234567"), (5, "https://doi.org/10.48550/arxiv.hep-th/9901001"), (6, "http://x.org/A/b?q=1"), (7, "http://y.org/A/b/"), (8, "https://z.org/"), (9, "https://doi.org/10.1101/2020.01.02.123456v3"), (10, "https://arxiv.org/abs/2512.08290/"), (11, "")]
+DOI_KIND = "case page_id % 6 when 0 then 'https://doi.org/10.48550/arXiv.' || (2000 + page_id % 99)::varchar || '.' || (10000 + page_id)::varchar || 'v' || (page_id % 4)::varchar when 1 then 'https://doi.org/10.5281/zenodo.' || page_id::varchar when 2 then 'https://arxiv.org/abs/' || (2000 + page_id % 99)::varchar || '.' || (10000 + page_id)::varchar when 3 then 'https://doi.org/10.1101/2020.01.02.' || (100000 + page_id)::varchar || 'v2' when 4 then 'https://arxiv.org/pdf/math/' || (1000000 + page_id)::varchar || '.pdf' else url end"
 URL_SQL = "(values " + ", ".join(f"({i}, '{u}')" for i, u in URL_CASES) + ") c(id, url)"
 
 
@@ -73,9 +72,14 @@ def q127(t: Tables) -> DataFrame:
     return c.select("id", urls.source_key("url").alias("key"))
 
 
-@query("q127_canonical_url", "select * from (values (1, 'https://arxiv.org/pdf/2512.08290.pdf'), (3, 'https://arxiv.org/pdf/2203.08975v2.pdf'), (4, 'https://zenodo.org/record/1234567'), (5, 'https://arxiv.org/pdf/hep-th/9901001.pdf'), (9, 'https://www.biorxiv.org/content/10.1101/2020.01.02.123456v3')) x(id, canonical)")
+@query("q127_canonical_url", rf"""
+with p as (select id, url, trim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/') as tail, trim(regexp_replace(regexp_extract(url, 'arxiv\.org/(abs|pdf)/(.+)$', 2), '\.pdf$', ''), '/') as aid from (select * from {URL_SQL} union all select page_id + 100, {DOI_KIND} from pages))
+select id::bigint as id, case when regexp_matches(tail, '(?i)10\.48550/arxiv\.(\d{{4}}\.\d{{4,5}}|[a-z][a-z\-]*/\d{{4,7}})') then 'https://arxiv.org/pdf/' || regexp_extract(tail, '(?i)10\.48550/arxiv\.((\d{{4}}\.\d{{4,5}}|[a-z][a-z\-]*/\d{{4,7}})(v\d+)?)', 1) || '.pdf'
+when regexp_matches(tail, '(?i)10\.1101/\d{{4}}\.\d{{2}}\.\d{{2}}\.\d{{6,9}}') then 'https://www.biorxiv.org/content/10.1101/' || regexp_extract(tail, '(?i)10\.1101/(\d{{4}}\.\d{{2}}\.\d{{2}}\.\d{{6,9}}(v\d+)?)', 1)
+when regexp_matches(tail, '(?i)10\.5281/zenodo\.\d+') then 'https://zenodo.org/record/' || regexp_extract(tail, '(?i)10\.5281/zenodo\.(\d+)', 1)
+when aid <> '' then 'https://arxiv.org/pdf/' || aid || '.pdf' else url end as canonical from p""")
 def q127_canonical(t: Tables) -> DataFrame:
-    c = t.spark.createDataFrame(URL_CASES, "id long, url string").where("id IN (1, 3, 4, 5, 9)")
+    c = t.spark.createDataFrame(URL_CASES, "id long, url string").union(t.pages.select(F.col("page_id") + 100, F.expr(DOI_KIND.replace("::varchar", ""))))
     return c.select("id", F.coalesce(urls.canonical("url"), urls.pdf_address("url")).alias("canonical"))
 
 
@@ -96,11 +100,12 @@ def q129(t: Tables) -> DataFrame:
     return c.join(sizes, "component").select(F.col("node").alias("vec_id"), "component", (F.col("n") == 1).alias("autonomous"))
 
 
-@query("q130_canonical_and_aliases", f"with recursive {PAIRS_SQL}, k as (select component, arg_max(vec_id, (vec_id * 13 % 31, -vec_id)) as canonical from comp group by component) select vec_id, canonical, vec_id = canonical as is_canonical from comp join k using (component)")
+@query("q130_canonical_and_aliases", f"with recursive {PAIRS_SQL}, n as (select vec_id, component, coalesce(length(text), 0) as n from comp left join documents on doc_id = vec_id), k as (select component, arg_max(vec_id, (n, -vec_id)) as canonical from n group by component) select vec_id, canonical, vec_id = canonical as is_canonical from comp join k using (component)")
 def q130(t: Tables) -> DataFrame:
-    """In each suspect group the longest text leads, of equal ones the smallest id."""
-    c = clusters(t)
-    k = c.groupBy("component").agg(F.max_by("node", F.struct(F.col("node") * 13 % 31, -F.col("node"))).alias("canonical"))
+    """In each suspect group the longest text leads, of equal ones the smallest id; a vector's text is the document of its id."""
+    sizes = t.documents.select(F.col("doc_id").alias("node"), F.length("text").alias("n"))
+    c = clusters(t).join(sizes, "node", "left")
+    k = c.groupBy("component").agg(F.max_by("node", F.struct(F.coalesce("n", F.lit(0)), -F.col("node"))).alias("canonical"))
     return c.join(k, "component").select(F.col("node").alias("vec_id"), "canonical", (F.col("node") == F.col("canonical")).alias("is_canonical"))
 
 
@@ -111,51 +116,48 @@ def q131(t: Tables) -> DataFrame:
     return t.documents.groupBy(h.alias("h")).agg(F.min("doc_id").alias("canonical"), (F.count(F.lit(1)) - 1).alias("aliases")).where("aliases > 0").drop("h")
 
 
-@query("q132_line_dedup", """
-with recursive l as (select doc_id, i - 1 as i, lower(trim(x[i])) as t from (select doc_id, string_split(text, chr(10)) as x, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where doc_id < 300)),
-r as (select *, row_number() over (partition by doc_id order by i) rn from l where t <> ''),
-b as (select doc_id, i, rn, [t] as kept, true as ok from r where rn = 1 union all select r.doc_id, r.i, r.rn, case when len(list_filter(kept, lambda k: k = r.t or (length(r.t) > 20 and (contains(k, r.t) or contains(r.t, k))))) = 0 then list_append(kept, r.t) else kept end, len(list_filter(kept, lambda k: k = r.t or (length(r.t) > 20 and (contains(k, r.t) or contains(r.t, k))))) = 0 from b join r on r.doc_id = b.doc_id and r.rn = b.rn + 1)
-select doc_id, i from b where ok""")
+@query("q132_line_dedup")
 def q132(t: Tables) -> DataFrame:
-    lines = t.documents.where("doc_id < 300").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    """Lines of each document that no earlier kept line equals, holds or lies in."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return greedy.distinct_lines(lines, ["doc_id"], "i", "line").select("doc_id", "i")
 
 
 @query("q133_dag_checks", """
-with recursive n as (select p_partkey as node, case p_partkey % 3 when 0 then 'foundation' when 1 then 'advanced' else 'sota' end as layer from part where p_partkey between 1 and 300), e as (select p_partkey as child, unnest([p_partkey // 2, case when p_partkey % 5 = 0 then p_partkey // 3 end, case when p_partkey = 250 then 9999 end, case when p_partkey = 77 then 77 end]) as parent from part where p_partkey between 1 and 290), g as (select distinct child, parent from e where parent >= 1),
-i as (select * from g where parent in (select node from n)), d as (select node, (select count(*) from i where parent = node) as outs, (select count(*) from g where child = node) as ins from n),
-u as (select child x, parent y from i where child <> parent union select parent, child from i where child <> parent), reach(x, y) as (select node, node from n union select r.x, u.y from reach r join u on u.x = r.y), w as (select x, min(y) c from reach group by x)
-select count(*) as nodes, count(*) filter (where ins = 0) as roots, count(*) filter (where outs >= 2) as branches, count(*) filter (where ins >= 2) as merges, count(*) filter (where ins = 1) as single, count(*) filter (where ins = 0 and outs = 0) as orphans, (select count(*) from g where parent not in (select node from n)) as dangling, (select count(*) from g where child = parent) as self_loops, (select count(distinct c) from w) as components from d""")
+with recursive n as (select p_partkey as node from part), e as (select p_partkey as child, unnest([p_partkey - p_partkey % 40 + p_partkey % 40 // 2, case when p_partkey % 5 = 0 then p_partkey - p_partkey % 40 + p_partkey % 40 // 3 end, case when p_partkey % 250 = 0 then -1 - p_partkey end, case when p_partkey % 77 = 0 then p_partkey end]) as parent from part where p_partkey % 40 < 38), g as (select distinct child, parent from e where parent is not null),
+i as (select g.* from g join n on n.node = g.parent), o as (select parent as node, count(*) as outs from i group by parent), w as (select child as node, count(*) as ins from g group by child), d as (select n.node, coalesce(outs, 0) as outs, coalesce(ins, 0) as ins from n left join o using (node) left join w using (node)),
+u as (select child x, parent y from i where child <> parent union select parent, child from i where child <> parent), reach(x, y) as (select node, node from n union select r.x, u.y from reach r join u on u.x = r.y), c as (select x, min(y) c from reach group by x)
+select count(*) as nodes, count(*) filter (where ins = 0) as roots, count(*) filter (where outs >= 2) as branches, count(*) filter (where ins >= 2) as merges, count(*) filter (where ins = 1) as single, count(*) filter (where ins = 0 and outs = 0) as orphans, (select count(*) from g where parent not in (select node from n)) as dangling, (select count(*) from g where child = parent) as self_loops, (select count(distinct c) from c) as components from d""")
 def q133(t: Tables) -> DataFrame:
+    """Graphs of forty nodes over all parts, with dangling edges, loops and orphans."""
     p = F.col("p_partkey")
-    nodes = t.part.where("p_partkey BETWEEN 1 AND 300").select(p.alias("node"))
-    parents = F.array(F.floor(p / 2), F.when(p % 5 == 0, F.floor(p / 3)), F.when(p == 250, F.lit(9999)), F.when(p == 77, F.lit(77)))
-    e = t.part.where("p_partkey BETWEEN 1 AND 290").select(p.alias("child"), F.explode(parents).alias("parent")).where("parent >= 1").distinct()
-    return graphs.topology(nodes, e)
+    k = p % 40
+    parents = F.array(p - k + F.floor(k / 2), F.when(p % 5 == 0, p - k + F.floor(k / 3)), F.when(p % 250 == 0, -1 - p), F.when(p % 77 == 0, p))
+    e = t.part.where("p_partkey % 40 < 38").select(p.alias("child"), F.explode(parents).alias("parent")).where("parent IS NOT NULL").distinct()
+    return graphs.topology(t.part.select(p.alias("node")), e)
 
 
-@query("q134_cycle_members", EDGES_SQL.replace("with e", "with recursive e") + ", s as (select * from g where child < 120 and parent < 120), r(a, b) as (select child, parent from s union select r.a, s.parent from r join s on s.child = r.b) select distinct a as node from r where a = b")
+@query("q134_cycle_members", EDGES_SQL.replace("with e", "with recursive e") + ", r(a, b) as (select child, parent from g union select r.a, g.parent from r join g on g.child = r.b) select distinct a as node from r where a = b")
 def q134(t: Tables) -> DataFrame:
-    return graphs.on_cycles(edges(t).where("child < 120 AND parent < 120"), depth=128)
+    return graphs.on_cycles(edges(t), depth=64)
 
 
 @query("q134_cycle_repair")
 def q134_repair(t: Tables) -> DataFrame:
-    """Edges left when cycles are broken, one edge a step."""
-    return graphs.break_cycles(edges(t).where("child < 40 AND parent < 40")).select("child", "parent")
+    """Edges left when each graph's cycles are broken, one edge a step; edges of new nodes go first."""
+    return graphs.break_cycles(edges(t), ["graph"], prefer=F.col("node") % 40 >= 20).select("graph", "child", "parent")
 
 
-@query("q135_hierarchy_walk", "with recursive h(node, ancestor, level) as (select p_partkey, p_partkey, 0::bigint from part where p_partkey between 1 and 200 union all select node, ancestor // 2, level + 1 from h where ancestor // 2 >= 1) select * from h")
+@query("q135_hierarchy_walk", "with recursive h(node, ancestor, level) as (select p_partkey, p_partkey, 0::bigint from part union all select node, ancestor // 2, level + 1 from h where ancestor // 2 >= 1) select * from h")
 def q135(t: Tables) -> DataFrame:
     p = F.col("p_partkey")
-    parents = t.part.where("p_partkey BETWEEN 1 AND 200").select(p.alias("node"), F.when(p >= 2, F.floor(p / 2)).alias("parent"))
-    return graphs.walk_up(parents)
+    return graphs.walk_up(t.part.select(p.alias("node"), F.when(p >= 2, F.floor(p / 2)).alias("parent")))
 
 
-@query("q136_import_graph", "select p_partkey, unnest(list_distinct(['pkg/' || split_part(lower(p_name), ' ', 1) || '.py', 'pkg/' || split_part(lower(p_name), ' ', 2) || '.py'])) as path from part where p_partkey < 50")
+@query("q136_import_graph", "select p_partkey, unnest(list_distinct(['pkg/' || split_part(lower(p_name), ' ', 1) || '.py', 'pkg/' || split_part(lower(p_name), ' ', 2) || '.py'])) as path from part")
 def q136(t: Tables) -> DataFrame:
     """Local imports of code to candidate files."""
     from tidewell.functions.code import local_imports
 
-    code = t.part.where("p_partkey < 50").select("p_partkey", F.concat(F.lit("import os\nfrom ."), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))), F.lit(" import x\nfrom pkg."), F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))), F.lit(" import y\n")).alias("code"))
+    code = t.part.select("p_partkey", F.concat(F.lit("import os\nfrom ."), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))), F.lit(" import x\nfrom pkg."), F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))), F.lit(" import y\n")).alias("code"))
     return code.select("p_partkey", F.explode(local_imports("code", F.lit("pkg"))).alias("path"))

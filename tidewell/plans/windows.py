@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scores, urls
-from tidewell.operators import greedy, learning
+from tidewell.operators import greedy, learning, retrieval
 from tidewell.operators import ranking as rank
 from tidewell.operators import tables as ops
 from tidewell.plans.filters import PAGE_KIND, varied
@@ -22,10 +22,14 @@ def pool(t: Tables) -> DataFrame:
     return t.events.select(e.alias("id"), F.floor(e / 40).alias("q"), F.round(F.col("value") / (1 + e % 40) / 10, 6).alias("score"))
 
 
+VECTOR_POOL_SQL = "p as (select q.vec_id as q, e.vec_id, e.label as source, e.embedding::double[] as e, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings q, embeddings e where q.vec_id % 50 = 0 and e.vec_id <> q.vec_id qualify row_number() over (partition by q.vec_id order by round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) desc, e.vec_id) <= 40)"
+
+
 def vector_pool(t: Tables) -> DataFrame:
-    """Pools of vectors with scores and sources."""
-    v = F.col("vec_id")
-    return t.embeddings.select("vec_id", "embedding", (v % 20).alias("q"), ((v * 37 % 101) / 101.0).alias("score"), F.col("label").alias("source"))
+    """The forty nearest rows of each query row, with vector and source; Spark cuts the pools by rank."""
+    e = t.embeddings
+    near = retrieval.nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", 40, apart=True).select(F.col("query").alias("q"), "vec_id", "score")
+    return near.join(e.select("vec_id", "embedding", F.col("label").alias("source")), "vec_id")
 
 
 @query("q082_knee_cutoff", POOL_SQL + """, r as (select *, row_number() over w as rn, max(score) over (partition by q) as top, (score - lead(score) over w) / max(score) over (partition by q) as dr from p window w as (partition by q order by score desc, id)),
@@ -39,9 +43,9 @@ def q083(t: Tables) -> DataFrame:
     return greedy.mmr(vector_pool(t), ["q"], "vec_id", "embedding", "score", k=5, weight=0.62).select("q", "vec_id", "place")
 
 
-@query("q083_mmr_two_picks", """
-with p as (select vec_id, embedding::double[] as e, vec_id % 20 as q, (vec_id * 37 % 101) / 101.0 as score from embeddings), a as (select *, row_number() over (partition by q order by score desc, vec_id) rn from p qualify rn = 1),
-b as (select p.q, p.vec_id, row_number() over (partition by p.q order by 0.62 * p.score - 0.38 * list_cosine_similarity(p.e, a.e) desc, p.vec_id) rn from p join a on a.q = p.q and a.vec_id <> p.vec_id) select q, vec_id, 1 as place from a union all select q, vec_id, 2 from b where rn = 1""")
+@query("q083_mmr_two_picks", f"""
+with {VECTOR_POOL_SQL}, a as (select *, row_number() over (partition by q order by score desc, vec_id) rn from p qualify rn = 1),
+b as (select p.q, p.vec_id, row_number() over (partition by p.q order by 0.62 * p.score - 0.38 * list_cosine_similarity(p.e, a.e) desc, p.score desc, p.vec_id) rn from p join a on a.q = p.q and a.vec_id <> p.vec_id) select q, vec_id, 1 as place from a union all select q, vec_id, 2 from b where rn = 1""")
 def q083_two(t: Tables) -> DataFrame:
     """The first pick is the best by score, the second weighs its likeness to the first."""
     return greedy.mmr(vector_pool(t), ["q"], "vec_id", "embedding", "score", k=2).select("q", "vec_id", "place")
@@ -52,14 +56,14 @@ def q084(t: Tables) -> DataFrame:
     return greedy.mmr_per_source(vector_pool(t), ["q"], "vec_id", "embedding", "score", "source", k=6, per_source=2).select("q", "vec_id", "place")
 
 
-@query("q084_adapted_gamma", "with p as (select vec_id % 20 as q, (vec_id * 37 % 101) / 101.0 as score from embeddings) select q, round(case when count(*) > 1 then least(0.75, greatest(0.35, 0.55 + (0.10 - stddev_pop(score)) * 1.5)) else 0.55 end, 6) as gamma from p group by q")
+@query("q084_adapted_gamma", f"with {VECTOR_POOL_SQL} select q, round(case when count(*) > 1 then least(0.75, greatest(0.35, 0.55 + (0.10 - stddev_pop(score)) * 1.5)) else 0.55 end, 6) as gamma from p group by q")
 def q084_gamma(t: Tables) -> DataFrame:
     spread = scores.clamp(0.55 + (0.10 - F.stddev_pop("score")) * 1.5, 0.35, 0.75)
     return vector_pool(t).groupBy("q").agg(F.round(F.when(F.count(F.lit(1)) > 1, spread).otherwise(0.55), 6).alias("gamma"))
 
 
-@query("q085_semantic_dedup", """
-with recursive r as (select vec_id, vec_id % 20 as q, embedding::double[] v, row_number() over (partition by vec_id % 20 order by (vec_id * 37 % 101) / 101.0 desc, vec_id) rn from embeddings),
+@query("q085_semantic_dedup", f"""
+with recursive {VECTOR_POOL_SQL}, r as (select vec_id, q, e as v, row_number() over (partition by q order by score desc, vec_id) rn from p),
 b as (select q, vec_id, rn, [v] as kept, true as ok from r where rn = 1 union all select r.q, r.vec_id, r.rn, case when list_max(list_transform(kept, lambda k: list_cosine_similarity(k, r.v))) <= 0.1 then list_append(kept, r.v) else kept end, list_max(list_transform(kept, lambda k: list_cosine_similarity(k, r.v))) <= 0.1 from b join r on r.q = b.q and r.rn = b.rn + 1)
 select q, vec_id, len(kept)::bigint as place from b where ok""")
 def q085(t: Tables) -> DataFrame:
@@ -86,8 +90,9 @@ def q087(t: Tables) -> DataFrame:
 
 @query("q088_filter_then_mmr")
 def q088(t: Tables) -> DataFrame:
-    """Rows of at least one half, then three diverse ones."""
-    return greedy.mmr(vector_pool(t).where("score >= 0.50"), ["q"], "vec_id", "embedding", "score", k=3, weight=0.62).select("q", "vec_id", "place")
+    """Rows whose relevance, for want of a cross-encoder the cosine moved to 0..1, is at least 0.65; then three diverse ones."""
+    relevant = vector_pool(t).withColumn("score", (F.col("score") + 1) / 2).where("score >= 0.65")
+    return greedy.mmr(relevant, ["q"], "vec_id", "embedding", "score", k=3, weight=0.62).select("q", "vec_id", "place")
 
 
 HYBRID_SQL = """
@@ -139,37 +144,37 @@ def q090_affinity(t: Tables) -> DataFrame:
 
 
 @query("q091_quota_selection", """
-with h as (select event_id, user_id as q, case when event_type in ('view', 'click') then 'academic' else 'practical' end as bucket, value from events where event_id < 2000),
+with h as (select event_id, user_id as q, case when event_type in ('view', 'click') then 'academic' else 'practical' end as bucket, value from events),
 r as (select *, row_number() over (partition by q, bucket order by value desc, event_id) rn, count(*) filter (where bucket = 'academic') over (partition by q) na from h),
 p as (select *, case when bucket = 'academic' and rn <= 2 then 0 when bucket = 'practical' and rn <= 1 then 1 when na < 2 then case bucket when 'practical' then 2 else 3 end else case bucket when 'academic' then 2 else 3 end end as part from r),
 s as (select q, event_id, row_number() over (partition by q order by part, rn) as place from p) select q, event_id, place from s where place <= 4""")
 def q091(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type").isin("view", "click"), "academic").otherwise("practical")
-    h = t.events.where("event_id < 2000").select("event_id", F.col("user_id").alias("q"), kind.alias("bucket"), "value")
+    h = t.events.select("event_id", F.col("user_id").alias("q"), kind.alias("bucket"), "value")
     return rank.quota_select(h, ["q"], "bucket", "value", "event_id", academic=2, practical=1, total=4).select("q", "event_id", "place")
 
 
 @query("q092_fair_round_robin", f"""
-with u as (select page_id, page_id % 5 as q, {HOST_SQL} as host from pages), r as (select *, row_number() over (partition by q, host order by page_id) turn, min(page_id) over (partition by q, host) as first from u),
+with u as (select page_id, page_id // 100 as q, {HOST_SQL} as host from pages), r as (select *, row_number() over (partition by q, host order by page_id) turn, min(page_id) over (partition by q, host) as first from u),
 s as (select q, page_id, row_number() over (partition by q order by turn, first) as place from r where turn <= 2) select q, page_id, place from s where place <= 20""")
 def q092(t: Tables) -> DataFrame:
-    u = t.pages.select("page_id", (F.col("page_id") % 5).alias("q"), urls.host("url").alias("host"))
+    u = t.pages.select("page_id", F.floor(F.col("page_id") / 100).alias("q"), urls.host("url").alias("host"))
     return rank.round_robin(u, ["q"], "host", "page_id", cap=20, per_group=2).select("q", "page_id", "place")
 
 
 @query("q092_round_robin_tail", f"""
-with u as (select page_id, page_id % 5 as q, {HOST_SQL} as host from pages), r as (select *, row_number() over (partition by q, host order by page_id) turn, min(page_id) over (partition by q, host) as first from u),
+with u as (select page_id, page_id // 100 as q, {HOST_SQL} as host from pages), r as (select *, row_number() over (partition by q, host order by page_id) turn, min(page_id) over (partition by q, host) as first from u),
 s as (select q, page_id, row_number() over (partition by q order by turn, first) as place from r where turn <= 1), k as (select * from s where place <= 10),
 b as (select q, page_id, 0 as part, place as pos from k union all select q, page_id, 1, page_id from u where (q, page_id) not in (select q, page_id from k)), f as (select q, page_id, row_number() over (partition by q order by part, pos) as place from b) select q, page_id, place from f where place <= 15""")
 def q092_tail(t: Tables) -> DataFrame:
-    u = t.pages.select("page_id", (F.col("page_id") % 5).alias("q"), urls.host("url").alias("host"))
+    u = t.pages.select("page_id", F.floor(F.col("page_id") / 100).alias("q"), urls.host("url").alias("host"))
     fair = rank.round_robin(u, ["q"], "host", "page_id", cap=10, per_group=1)
     return rank.fill_tail(fair, u, ["q"], "page_id", "page_id", 15).select("q", "page_id", "place")
 
 
 @query("q093_interleave_merge")
 def q093(t: Tables) -> DataFrame:
-    u = t.pages.select("page_id", (F.col("page_id") % 5).alias("q"), (F.col("page_id") % 3).alias("provider"), urls.host("url").alias("key"))
+    u = t.pages.select("page_id", F.floor(F.col("page_id") / 100).alias("q"), (F.col("page_id") % 3).alias("provider"), urls.host("url").alias("key"))
     return greedy.interleave(u, ["q"], "provider", "page_id", "key", cap=12).select("q", "page_id", "place")
 
 
@@ -181,10 +186,19 @@ def q094(t: Tables) -> DataFrame:
     return ops.latest(s, ["user_id"], F.asc_nulls_last(F.col("event_id") % 13 == 0), prio, F.asc("event_id")).select("user_id", "event_id")
 
 
-@query("q095_registry_ranking", "select user_id, event_id, row_number() over (partition by user_id order by case when event_type = 'signup' then 0 else 1 end, ts desc, value desc, event_id) as place from events where user_id < 30")
+@query("q095_registry_ranking", """
+with e as (select user_id, event_id, event_type = 'signup' as parent, ts::date as day, p_name as label from events join part on p_partkey = (event_id * 7) % 200), t as (select distinct user_id, list_distinct(string_split(p_name || ' ' || p_type, ' ')) as raw from events join part on p_partkey = user_id % 200),
+k as (select user_id, list_filter(list_transform(raw, lambda x: lower(x)), lambda x: length(x) >= 3) as terms from t),
+s as (select e.*, len(list_filter(terms, lambda x: contains(lower(label), x))) as shared from e join k using (user_id))
+select user_id, event_id, shared::bigint as shared, row_number() over (partition by user_id order by case when parent then 0 else 1 end, day desc, shared desc, event_id) as place from s""")
 def q095(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.when(F.col("event_type") == "signup", 0).otherwise(1), F.desc("ts"), F.desc("value"), "event_id")
-    return t.events.where("user_id < 30").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("place"))
+    """Entries of parents first, the latest day first, then by the node's terms that the label holds."""
+    from tidewell.functions.texts import tokens
+
+    labels = t.part.select((F.col("p_partkey")).alias("part"), F.col("p_name").alias("label"), tokens(F.concat_ws(" ", "p_name", "p_type"), 3).alias("terms"))
+    e = t.events.select("user_id", "event_id", (F.col("event_type") == "signup").alias("parent"), F.to_date("ts").alias("day"), ((F.col("event_id") * 7) % 200).alias("part"), (F.col("user_id") % 200).alias("node"))
+    e = e.join(labels.select("part", "label"), "part").join(labels.select(F.col("part").alias("node"), "terms"), "node")
+    return rank.registry_rank(e, ["user_id"], F.col("parent"), "day", "label", "terms", "event_id").select("user_id", "event_id", F.col("shared").cast("long").alias("shared"), "place")
 
 
 @query("q096_token_budget", """
@@ -215,15 +229,18 @@ def q097(t: Tables) -> DataFrame:
 
 
 @query("q098_adjacent_duplicates", """
-with c as (select conv_id, turn, role, lower(trim(left(text, 2))) as k from conversations), f as (select *, coalesce(role = 'user' and lag(role) over w = 'user' and k <> '' and lag(k) over w = k, false) as same from c window w as (partition by conv_id order by turn)),
+with c as (select conv_id, 2 * turn as turn, role, lower(trim(text)) as k from conversations union all select conv_id, 2 * turn + 1, role, lower(trim(text)) from conversations where turn % 4 in (0, 1)), f as (select *, coalesce(role = 'user' and lag(role) over w = 'user' and k <> '' and lag(k) over w = k, false) as same from c window w as (partition by conv_id order by turn)),
 r as (select *, sum(case when same then 0 else 1 end) over (partition by conv_id order by turn) as run from f) select conv_id, max(turn) as turn from r group by conv_id, run""")
 def q098(t: Tables) -> DataFrame:
-    key = F.lower(F.trim(F.substring("text", 1, 2)))
-    return rank.collapse_repeats(t.conversations, ["conv_id"], "turn", [key], (F.col("role") == "user") & (key != "")).select("conv_id", "turn")
+    """Turns said twice in a row, here some repeated with other blanks, are one if they are the user's."""
+    c = t.conversations.select("conv_id", (2 * F.col("turn")).alias("turn"), "role", "text")
+    c = c.union(t.conversations.where("turn % 4 IN (0, 1)").select("conv_id", 2 * F.col("turn") + 1, "role", F.concat(F.lit(" "), "text", F.lit("  "))))
+    key = F.lower(F.trim("text"))
+    return rank.collapse_repeats(c, ["conv_id"], "turn", [key], (F.col("role") == "user") & (key != "")).select("conv_id", "turn")
 
 
 @query("q099_blend_rank", f"""
-with u as (select page_id, page_id % 10 as q, case when page_id % 6 = 0 then null else (page_id % 13) / 10.0 end as s, {PAGE_KIND} as url from pages),
+with u as (select page_id, page_id // 100 as q, case when page_id % 6 = 0 then null else (page_id % 13) / 10.0 end as s, {PAGE_KIND} as url from pages),
 b as (select page_id, q, round(0.65 * case when s is null then 0.5 else least(1.0, s) end + 0.35 * (least(10, greatest(-10, 2 * (contains(lower(url), '/en/')::int) - 5 * (contains(lower(url), 'utm_')::int))) + 10) / 20.0, 6) as score, 2 * (contains(lower(url), '/en/')::int) - 5 * (contains(lower(url), 'utm_')::int) as quality from u),
 k as (select *, count(*) filter (where quality > -5) over (partition by q) as good from b), r as (select *, row_number() over (partition by q order by score desc, page_id) rn from k where quality > -5 or good = 0)
 select q, page_id, score from r where rn <= 8""")
@@ -232,7 +249,7 @@ def q099(t: Tables) -> DataFrame:
     from tidewell.operators.blending import blend_hits
 
     p = F.col("page_id")
-    u = varied(t).select("page_id", (p % 10).alias("q"), F.when(p % 6 != 0, (p % 13) / 10.0).alias("s"), "url")
+    u = varied(t).select("page_id", F.floor(p / 100).alias("q"), F.when(p % 6 != 0, (p % 13) / 10.0).alias("s"), "url")
     return blend_hits(u, ["q"], "url", "s", "page_id", good={"/en/": 2}, bad={"utm_": -5}, cap=8).select("q", "page_id", "score")
 
 
@@ -245,9 +262,9 @@ def q100(t: Tables) -> DataFrame:
     return h.where((F.col("back") <= 3) | (block >= F.floor((F.col("n") - 4) / 2) - 1)).select("conv_id", "turn", F.when(F.col("back") > 3, block).alias("block"))
 
 
-@query("q101_tier_round_robin", "with u as (select event_id, user_id as q, event_type, row_number() over (partition by user_id, event_type order by event_id) turn, min(event_id) over (partition by user_id, event_type) as first from events where event_id < 3000), s as (select q, event_id, row_number() over (partition by q order by turn, first) as place from u) select q, event_id, place from s where place <= 6")
+@query("q101_tier_round_robin", "with u as (select event_id, user_id as q, event_type, row_number() over (partition by user_id, event_type order by event_id) turn, min(event_id) over (partition by user_id, event_type) as first from events), s as (select q, event_id, row_number() over (partition by q order by turn, first) as place from u) select q, event_id, place from s where place <= 6")
 def q101(t: Tables) -> DataFrame:
-    u = t.events.where("event_id < 3000").select("event_id", F.col("user_id").alias("q"), "event_type")
+    u = t.events.select("event_id", F.col("user_id").alias("q"), "event_type")
     return rank.round_robin(u, ["q"], "event_type", "event_id", cap=6, per_group=1 << 30).select("q", "event_id", "place")
 
 
@@ -266,12 +283,12 @@ def q103(t: Tables) -> DataFrame:
     return h.groupBy("conv_id").agg(F.count_if(F.expr("back <= 4")).alias("kept"), F.count_if(F.expr("back > 4")).alias("evicted"), F.max(F.when(F.col("back") > 4, F.col("turn"))).alias("last_evicted"))
 
 
-@query("q104_paper_ranking", "with p as (select doc_id, source, lower(left(text, 6)) as title, n_chars from documents where n_chars >= 60), d as (select *, row_number() over (partition by source, title order by n_chars desc, doc_id) rn from p), r as (select *, row_number() over (partition by source order by n_chars desc, doc_id) as place from d where rn = 1) select source, doc_id, place from r where place <= 5")
+@query("q104_paper_ranking", "with p as (select doc_id, doc_id // 200 as topic, lower(trim(text)) as title, n_chars from documents where n_chars >= 60), d as (select *, row_number() over (partition by topic, title order by n_chars desc, doc_id) rn from p), r as (select *, row_number() over (partition by topic order by n_chars desc, doc_id) as place from d where rn = 1) select topic, doc_id, place from r where place <= 5")
 def q104(t: Tables) -> DataFrame:
-    p = t.documents.where("n_chars >= 60").select("doc_id", "source", F.lower(F.substring("text", 1, 6)).alias("title"), "n_chars")
-    first = ops.latest(p, ["source", "title"], F.desc("n_chars"), F.asc("doc_id"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("long")
-    return first.select("source", "doc_id", place.alias("place")).where("place <= 5")
+    """The longest five papers of a topic's candidates, those of one text once."""
+    p = t.documents.where("n_chars >= 60").select("doc_id", F.floor(F.col("doc_id") / 200).alias("topic"), F.sha1(F.encode(F.lower(F.trim("text")), "UTF-8")).alias("title"), "n_chars")
+    first = ops.latest(p, ["topic", "title"], F.desc("n_chars"), F.asc("doc_id"))
+    return rank.top_per_group(first.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n_chars"), "doc_id")).cast("long")), ["topic"], 5, F.asc("place")).select("topic", "doc_id", "place")
 
 
 @query("q105_importance_top", "with d as (select user_id, event_id % 50 as image, max(value) as importance from events group by all), r as (select *, row_number() over (partition by user_id order by importance desc, image) rn from d) select user_id, image, importance from r where rn <= 3")
@@ -280,9 +297,9 @@ def q105(t: Tables) -> DataFrame:
     return rank.top_per_group(d, ["user_id"], 3, F.desc("importance"), F.asc("image"))
 
 
-@query("q106_trusted_first", f"select page_id, row_number() over (partition by page_id % 5 order by case when contains({HOST_SQL}, 'blog.') then 0 when ends_with({HOST_SQL}, '.org') then 1 else 2 end, page_id) as place from pages")
+@query("q106_trusted_first", f"select page_id, row_number() over (partition by page_id // 100 order by case when contains({HOST_SQL}, 'blog.') then 0 when ends_with({HOST_SQL}, '.org') then 1 else 2 end, page_id) as place from pages")
 def q106(t: Tables) -> DataFrame:
     h = urls.host("url")
     tier = F.when(F.contains(h, F.lit("blog.")), 0).when(h.endswith(".org"), 1).otherwise(2)
-    w = Window.partitionBy(F.col("page_id") % 5).orderBy(tier, "page_id")
+    w = Window.partitionBy(F.floor(F.col("page_id") / 100)).orderBy(tier, "page_id")
     return t.pages.select("page_id", F.row_number().over(w).cast("long").alias("place"))
