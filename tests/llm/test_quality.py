@@ -1,6 +1,6 @@
 import re
 
-from tidewell.llm.quality import RULES, Text, judge, keep_documents, order_rules
+from tidewell.llm.quality import BASE_RULES, RULES, Rule, Text, judge, keep_documents, order_rules, sampled_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLEAN = " ".join(f"word{i} tale" for i in range(40))
@@ -44,5 +44,32 @@ def test_order_does_not_change_the_verdict():
     assert ranked == sorted(ranked, reverse=True)
 
 
+def test_the_order_saves_evaluations(monkeypatch):
+    """A cheap rule that rejects much runs first, and what it rejects is neither counted nor seen by the others."""
+    from tidewell.llm import quality
+
+    seen, counted = [], []
+    real = quality.repeated_words
+    monkeypatch.setattr(quality, "repeated_words", lambda w: counted.append(1) or real(w))
+    named = lambda r: Rule(r.name, lambda t: seen.append(r.name) or r.rejects(t))
+    rules = tuple(map(named, (*reversed(RULES), *reversed(BASE_RULES))))
+    texts = [CLEAN] * 20 + ["a few words"] * 80
+    verdicts = lambda ordered: [any(r.rejects(t) for r in ordered) for t in map(Text, (x.encode() for x in texts))]
+    ordered = [r for r, _, _ in order_rules(texts, rules)]
+    seen.clear(), counted.clear()
+    plain = verdicts(rules)
+    n_plain, c_plain = len(seen), len(counted)
+    seen.clear(), counted.clear()
+    assert verdicts(ordered) == plain
+    assert ordered[0].name == "few_words" and len(seen) < n_plain / 2 and len(counted) == 20 < c_plain
+
+
+def test_sample_is_spread_and_bounded(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 7 = 0, repeat('x', 100000), concat('t', id)) AS text").repartition(8, "doc_id")
+    got = sampled_texts(docs, "text", 100)
+    assert len(got) == 100 and max(map(len, got)) < 10
+    assert max(int(t[1:]) for t in got) - min(int(t[1:]) for t in got) > 2000
+
+
 def test_empty_table(spark):
     assert judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0

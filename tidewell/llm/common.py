@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.streaming.run import remove, scratch, shared_folder
+
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits on exactly these.
 SPACE_BYTES = b" \t\n\r\x0b\x0c"
 
@@ -27,26 +28,19 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="tidewell-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path for a written table in the shared folder; it goes when the driver ends."""
+    return scratch(spark, what)
 
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder; survives lost executors."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -70,6 +64,25 @@ def release_memory() -> None:
         libc.malloc_trim(0)
 
 
+_kept: dict[str, Any] = {}
+
+
+def kept_in_worker(key: str, make: Callable[[], Any]) -> Any:
+    """What tasks of one kind keep in their Python worker; a worker holds one such thing at a time."""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+        release_memory()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Let go what tasks of another kind kept in this worker, so that stages don't add up."""
+    if _kept:
+        _kept.clear()
+        release_memory()
+
+
 def text_batches(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of ``batch`` of bounded rows and bytes with their texts; null counts as empty."""
     sizes = pyarrow.compute.fill_null(pyarrow.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -131,8 +144,3 @@ def sum_counters(slices: DataFrame, length: int, slice_size: int, dtype: str = "
         got = np.frombuffer(zlib.decompress(bytes(row.payload)), dtype)
         out[row.slice * slice_size : row.slice * slice_size + len(got)] = got
     return out
-
-
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` under a short name."""
-    return df.mapInArrow(fn, schema)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, mix64, pack_counters, sum_counters, text_batches
+from tidewell.llm.common import cut, forget, mix64, pack_counters, sum_counters, text_batches
 from tidewell.llm.components import components
 from tidewell.llm.shingles import WordHashes, fingerprint, shingle_sets
 
@@ -65,6 +65,7 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
     """How many documents hold a shingle, by counter; never too low."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, counters, mask = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int32), np.uint64((1 << SKETCH_BITS) - 1)
         for whole in batches:
             for _, texts in text_batches(whole, "text"):
@@ -104,6 +105,7 @@ def prefixes(docs: DataFrame, counters: np.ndarray, width: int, percent: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = WordHashes()
         for whole in batches:
             for batch, texts in text_batches(whole, "text"):
@@ -137,6 +139,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = WordHashes()
         for whole in batches:
             h = whole.column("h").to_numpy().view(np.uint64)

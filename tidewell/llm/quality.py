@@ -1,15 +1,19 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule sees a document's words and counts and says whether to reject it.  On a
-sample of bounded size every rule is run on every text, its cost is timed and its
-share of rejections counted; rules then run in descending order of rejections per
-cost, and a document leaves at its first rejection.  The verdict is the
-conjunction of all rules, so the order changes the time and never the result.
+Each rule sees a document's text and says whether to reject it; what it counts is
+made when a rule first asks for it.  On a sample of bounded size every rule is run
+on every text, its cost is timed, counts included, and its share of rejections
+counted; rules then run in descending order of rejections per cost, and a document
+leaves at its first rejection.  The verdict is the conjunction of all rules, so the
+order changes the time and never the result.
 
-Counts that the base rule needs are made for every whole text.
+``judge`` owes the base rule's counts of every whole text and makes them all;
+``keep_documents`` takes the base rule's halves as rules of the cascade and makes
+only what the cascade asks for.
 
 Defined results: a null or empty text has no words and fails the base rule
-(fewer than 50 words); rows that repeat an id are judged each on its own; an
+(fewer than 50 words); texts of any length are judged whole, though those beyond
+``SAMPLE_BYTES`` are not among the timed ones; a row without id is judged; rows that repeat an id are judged each on its own; an
 empty table gives an empty result; columns beyond id and text play no part.
 """
 
@@ -17,54 +21,64 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SPACE_BYTES, text_batches
+from tidewell.llm.common import SPACE_BYTES, forget, text_batches
 
 #: Symbols that the contract counts (fixed values).
 SYMBOLS = b"#*$%&|<>"
 
 LOWER, UPPER = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Texts of the sample on which rules are timed.
-SAMPLE_ROWS = 400
+#: Texts of the sample on which rules are timed, and the longest of them in bytes.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
 
 
 def count_of(raw: bytes, chars: bytes) -> int:
     return len(raw) - len(raw.translate(None, chars))
 
 
-@dataclass
 class Text:
-    """A text with the counts of the base rule."""
-
-    raw: bytes
-    words: list[bytes] = field(init=False)
-    word_chars: int = field(init=False)
-    n_symbols: int = field(init=False)
-    n_lines: int = field(init=False)
-    n_dup_lines: int = field(init=False)
-    n_repeat_words: int = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.words = self.raw.split()
-        tight = self.raw.translate(None, SPACE_BYTES)
-        self.word_chars = len(tight) if tight.isascii() else int((np.frombuffer(tight, np.int8) >= -64).sum())  # bytes that begin a code point
-        self.n_symbols = count_of(self.raw, SYMBOLS)
-        lines = [x for x in self.raw.split(b"\n") if x and not x.isspace()]
-        self.n_lines = len(lines)
-        self.n_dup_lines = len(lines) - len(set(lines))
-        self.n_repeat_words = repeated_words(self.words)
-
-    @property
+    """A text whose counts are made when a rule first asks for them."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw = raw
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.raw.split()
+
+    @cached_property
     def n_words(self) -> int:
         return len(self.words)
 
+    @cached_property
+    def word_chars(self) -> int:
+        tight = self.raw.translate(None, SPACE_BYTES)
+        return len(tight) if tight.isascii() else int((np.frombuffer(tight, np.int8) >= -64).sum())  # bytes that begin a code point
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return count_of(self.raw, SYMBOLS)
+
+    @cached_property
+    def lines(self) -> list[bytes]:
+        return [x for x in self.raw.split(b"\n") if x and not x.isspace()]
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated_words(self.words)
+
     def base_failed(self) -> bool:
         return self.n_words < 50 or 100 * self.n_repeat_words > 50 * self.n_words
 
@@ -99,50 +113,68 @@ class Rule:
     rejects: Callable[[Text], bool]
 
 
+#: The rules beside the base rule.
 RULES = (
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
     Rule("exclamations", lambda t: 10 * t.raw.count(b"!") > 3 * t.n_words),
     Rule("capitals", lambda t: (up := count_of(t.raw, UPPER)) * 10 > 6 * (up + count_of(t.raw, LOWER))),
-    Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > t.n_lines),
+    Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 20 * t.n_words),
     Rule("few_distinct_words", lambda t: 20 * len(set(t.words)) < t.n_words),
 )
+#: The base rule's two halves, as rules of the cascade.
+BASE_RULES = (
+    Rule("few_words", lambda t: t.n_words < 50),
+    Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > 50 * t.n_words),
+)
 
 
 def order_rules(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
-    """Rules by rejections per cost on the sample, with seconds a text and share of rejections."""
-    sample = [Text(t.encode()) for t in texts]
-    sample = [t for t in sample if not t.base_failed()]
+    """Rules by rejections per cost on the sample, with seconds a text and share of rejections.
+
+    A rule is timed with the counts that it asks for, on texts that only have their words.
+    """
+    sample = [t.encode() for t in texts]
     found = []
     for rule in rules:
+        fresh = [Text(t) for t in sample]
+        for t in fresh:
+            t.n_words  # noqa: B018  every rule asks for the words
         began = time.perf_counter()
-        rejected = sum(map(rule.rejects, sample))
+        rejected = sum(map(rule.rejects, fresh))
         cost = (time.perf_counter() - began) / max(1, len(sample))
         found.append((rule, max(cost, 1e-9), (rejected + 0.5) / (len(sample) + 1)))  # a rule without rejections still has an order
     return sorted(found, key=lambda x: -x[2] / x[1])
 
 
 def sampled_texts(docs: DataFrame, text_col: str, rows: int = SAMPLE_ROWS, seed: int = 7) -> list[str]:
-    """At most ``rows`` texts spread over the table, for timing only."""
+    """At most ``rows`` texts of at most ``SAMPLE_BYTES`` each, spread over the table, for timing only."""
     total = docs.count()
-    picked = docs.select(F.col(text_col).alias("text")).sample(min(1.0, 1.5 * rows / max(1, total)), seed).limit(rows)
-    return [r.text or "" for r in picked.collect()]
+    text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    picked = text.sample(min(1.0, 3.0 * rows / max(1, total)), seed).orderBy(F.rand(seed)).limit(rows)
+    return [r.text for r in picked.collect()]
+
+
+def cascade(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> list[str]:
+    """Names of the rules in the order in which they run."""
+    return [r.name for r, _, _ in order_rules(sampled_texts(docs, text_col), rules)]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts, base verdict and the cascade's verdict of every row, and the rule that rejected it."""
-    names = [r.name for r, _, _ in order_rules(sampled_texts(docs, text_col), rules)]
+    names = cascade(docs, text_col, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         by_name = {r.name: r for r in rules}
-        cascade = [by_name[n] for n in names]
+        ordered = [by_name[n] for n in names]
         for whole in batches:
             for batch, texts in text_batches(whole, "text"):
                 rows = []
                 for raw in texts:
                     t = Text(raw.encode())
                     failed = t.base_failed()
-                    by = "base" if failed else next((r.name for r in cascade if r.rejects(t)), None)
+                    by = "base" if failed else next((r.name for r in ordered if r.rejects(t)), None)
                     rows.append((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, by is None, by))
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, k) for x, k in zip(zip(*rows), kinds)]], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"])
@@ -151,17 +183,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     return source.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
 
 
-def keep_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs``, all columns, that base rule and cascade keep."""
-    names = [r.name for r, _, _ in order_rules(sampled_texts(docs, text_col), rules)]
+def keep_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + RULES) -> DataFrame:
+    """The rows of ``docs``, all columns, that no rule rejects; the base rule's halves are rules like the others."""
+    names = cascade(docs, text_col, rules)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         by_name = {r.name: r for r in rules}
-        cascade = [by_name[n] for n in names]
+        ordered = [by_name[n] for n in names]
         for whole in batches:
             for batch, texts in text_batches(whole, whole.schema.names[place]):
-                judged = [Text(raw.encode()) for raw in texts]
-                yield batch.filter(pa.array([not t.base_failed() and not any(r.rejects(t) for r in cascade) for t in judged], pa.bool_()))
+                judged = (Text(raw.encode()) for raw in texts)
+                yield batch.filter(pa.array([not any(r.rejects(t) for r in ordered) for t in judged], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

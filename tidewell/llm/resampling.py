@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, pack_counters, sum_counters, text_batches, with_row_key
+from tidewell.llm.common import cut, forget, pack_counters, sum_counters, text_batches, with_row_key
 from tidewell.llm.sharding import HALF, row_boundary
 
 #: Buckets of hashed n-grams.
@@ -81,6 +81,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, t
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(good), "_id", "left")  # bounded by max_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, counts = Buckets(), np.zeros((2, BUCKETS), np.int64)
         for whole in batches:
             for batch, texts in text_batches(whole, "text"):
@@ -112,6 +113,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     source = source.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("noise"), F.xxhash64("_row", "doc_id").alias("low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = Buckets()
         for whole in batches:
             for batch, texts in text_batches(whole, "text"):

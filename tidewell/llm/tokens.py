@@ -5,17 +5,20 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import regex
 
+from tidewell.llm.common import kept_in_worker
+
 #: Pre-token patterns of the two published vocabularies (fixed values of their file formats).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Pre-tokens, and chunks between spaces, that a worker remembers.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens, and chunks between spaces, that a worker remembers, and the bytes of those strings with their ids.
+CACHE_ENTRIES, CACHE_BYTES = 250_000, 8 << 20
+#: The longest string remembered, in characters.
+CACHE_CHARS = 256
 
 #: Characters whose classes and case rules agree between the library and Python; other texts go to the library whole.
 _PLAIN_BYTE = regex.compile(r"[^\x00-Ր‐-⁠　-〠一-鿿]")
@@ -43,11 +46,13 @@ class Remembered(dict):
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
         self.make = make
+        self.room = CACHE_BYTES
 
     def __missing__(self, key: str) -> bytes:
         ids = self.make(key)
-        if len(self) < CACHE_ENTRIES:
+        if len(key) <= CACHE_CHARS and len(self) < CACHE_ENTRIES and self.room > 0:
             self[key] = ids
+            self.room -= len(key) + len(ids)
         return ids
 
 
@@ -138,7 +143,6 @@ class PieceEncoder:
         return [self.ids(t) for t in texts]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder of a vocabulary file."""
-    return PieceEncoder(path)
+    return kept_in_worker(f"encoder {path}", lambda: PieceEncoder(path))

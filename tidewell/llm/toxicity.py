@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, pack_counters, sum_counters, text_batches
+from tidewell.llm.common import cut, forget, pack_counters, sum_counters, text_batches
 
 TABLE = 1 << 20
 SLICE = 1 << 14
@@ -189,6 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int =
     source = docs.select(F.col(id_col).cast("long").alias("_label_id"), F.col(text_col).alias("text")).join(sample, "_label_id").select("_toxic", "_aside", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts, seen = np.zeros((2, 3 * TABLE), np.int32), False
         for whole in batches:
             for batch, texts in text_batches(whole, "text"):
@@ -204,6 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int =
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = WordScores(shared.value)
         for whole in batches:
             for batch, texts in text_batches(whole, "text"):
@@ -243,6 +245,7 @@ def toxic_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = shared.value
         held = WordScores(m)
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("expected", pa.float64())]))
@@ -271,6 +274,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = WordScores(shared.value)
         for whole in batches:
             for batch, texts in text_batches(whole, whole.schema.names[place]):
