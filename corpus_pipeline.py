@@ -22,11 +22,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each stage's output is written to the shared folder and read again."""
-    from tidewell.llm.common import scratch_path
+    from tidewell.llm.common import drop_path, scratch_path
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before, docs = None, spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
