@@ -45,6 +45,19 @@ def test_equals_brute_force(spark, monkeypatch):
     assert spans[4] == [(1, 25)] and spans[6] == [(1, 3), (5, 7)]
 
 
+def test_filter_grows_with_the_windows(spark, monkeypatch):
+    """Every window passes, and few others do, whatever the number of windows."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(decontaminate, "LEAST_CHARS", decontaminate.CHUNK)
+    for n in (10, 30_000):
+        made = decontaminate.WindowFilter(spark.range(n).select(F.xxhash64("id").alias("h")), n)
+        assert made.chars % decontaminate.CHUNK == 0 and 6 * made.chars >= 16 * n
+        probe = spark.range(3 * n).select((F.col("id") < n).alias("window"), made.passes(F.xxhash64("id")).alias("passes"))
+        got = {(r.window, r.passes): r["count"] for r in probe.groupBy("window", "passes").count().collect()}
+        assert got[True, True] == n and got.get((False, True), 0) < max(2, 0.04 * n)
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -1,17 +1,24 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's word windows are normalised and kept as a set.  A bit filter of
-fixed size, made from their hashes, is part of the scan's expression: each
-document is read once, its windows are hashed in place, and only positions that
-pass the filter leave the scan, with the window's words.  They are then verified
-by an equality join with the windows themselves, broadcast while their number is
-under a stated bound and shuffled beyond it.
+The benchmark's word windows are normalised and kept as a set.  A bit filter with
+two probes, sized from the number of windows, is part of the scan's expression:
+each document is read once, its windows are hashed in place, and only positions
+that pass the filter leave the scan, with the window's words.  They are then
+verified by an equality join with the windows themselves, broadcast while their
+number is under a stated bound and shuffled beyond it.  Where items shorter than a
+window make windows of several sizes, one pass over the positions looks for the
+beginnings of all windows, as long as the shortest, and the sizes are told apart
+only where that passes.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lowered.
 An item of fewer words than a window is one window of its own length.
 
+The filter lets a share of the other positions through: a hundredth at 16 bits a
+window, which holds up to ``MOST_CHARS * 6 / 16`` windows (6 million); beyond that the
+share grows and with it what the join is given, never what it finds.
+
 Defined results: null and empty texts have no words, no hits and the digest of the
-empty string; items without id or words match nothing; windows that several items
+empty string; texts and words of any length are read whole; items without id or words match nothing; windows that several items
 share count for all of them; rows that repeat an id are documents of their own; an
 empty benchmark leaves every document clean; columns beyond id and text play no part.
 """
@@ -26,8 +33,11 @@ from tidewell.llm.common import cut, with_row_key
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Bits of the filter; six to a byte, so that every byte is an ASCII letter.
-FILTER_BITS = 6 << 17
+#: Six bits of the filter to a byte, so that every byte is an ASCII letter: bits for each window, least and most bytes.
+BITS_EACH = 16
+LEAST_CHARS, MOST_CHARS = 1 << 17, 1 << 24
+#: Bytes of the filter that one row holds while it is made.
+CHUNK = 1 << 12
 #: Most windows that are broadcast; about 100 bytes each.
 BROADCAST_WINDOWS = 500_000
 #: Most document keys that are broadcast when documents are dropped; 16 bytes each.
@@ -39,10 +49,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS), lambda w: w != "")
 
 
-def _slot(h: Column) -> Column:
-    return F.pmod(h, F.lit(FILTER_BITS))
-
-
 def benchmark_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``size, window, items``: every distinct window with the ids, as strings, of the items that hold it."""
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
@@ -51,39 +57,67 @@ def benchmark_windows(benchmark: DataFrame, width: int, id_col: str = "item_id",
     return each.groupBy("size", F.array_join("part", " ").alias("window")).agg(F.collect_set("item").alias("items"), F.first(F.xxhash64("part")).alias("h"))
 
 
-def bit_filter(windows: DataFrame) -> bytes:
-    """The filter of the windows' hashes; its size is fixed."""
-    bits = windows.select(_slot(F.col("h")).alias("slot")).select(F.floor(F.col("slot") / 6).cast("int").alias("at"), F.expr("shiftleft(1, cast(slot % 6 AS int))").alias("bit"))
-    table = bytearray(b"@" * (FILTER_BITS // 6))
-    for row in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # at most FILTER_BITS / 6 rows
-        table[row["at"]] = 64 + row["bits"]
-    return bytes(table)
+class WindowFilter:
+    """A bit filter of hashes as a literal of the scan's expression."""
+
+    def __init__(self, hashes: DataFrame, n: int) -> None:
+        """``hashes(h)``, ``n`` of them."""
+        self.chars = min(MOST_CHARS, max(LEAST_CHARS, -(-n * BITS_EACH // (6 * CHUNK)) * CHUNK))
+        slots = hashes.select(F.explode(F.array(*map(self._slot, self._probes(F.col("h"))))).alias("slot"))
+        bits = slots.groupBy(F.floor(F.col("slot") / 6).alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(slot % 6 AS int)))").alias("bits"))
+        placed = bits.groupBy(F.floor(F.col("at") / CHUNK).cast("int").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct((F.col("at") % CHUNK).cast("int").alias("place"), "bits"))).alias("set"))
+        shown = placed.select("chunk", F.expr(f"rpad(aggregate(set, '', (s, x) -> rpad(s, x.place, '@') || char(64 + x.bits)), {CHUNK}, '@')").alias("text"))
+        made = [b"@" * CHUNK] * (self.chars // CHUNK)
+        for row in shown.collect():  # at most MOST_CHARS bytes
+            made[row["chunk"]] = row["text"].encode()
+        self.table = F.lit(b"".join(made))
+
+    @staticmethod
+    def _probes(h: Column) -> tuple[Column, Column]:
+        return h, F.xxhash64(h)
+
+    def _slot(self, h: Column) -> Column:
+        return F.pmod(h, F.lit(6 * self.chars))
+
+    def passes(self, h: Column) -> Column:
+        def set_at(slot: Column) -> Column:
+            byte = F.ascii(F.substring(self.table, F.floor(slot / 6).cast("int") + 1, F.lit(1)).cast("string"))
+            return F.getbit(byte, (slot % 6).cast("int")) == 1
+
+        first, second = self._probes(h)
+        return set_at(self._slot(first)) & set_at(self._slot(second))
 
 
 def scan_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with its verified hits: ``_row, doc_id, text_key, n_words, pos, size, items``, nulls where it has none."""
     held = cut(windows)
-    sizes = sorted(r["size"] for r in held.select("size").distinct().collect())  # at most the window's width
-    table = F.lit(bit_filter(held))
+    counted = {r["size"]: r["n"] for r in held.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the window's width
+    sizes, n_windows = sorted(counted), sum(counted.values())
     source = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")))
     split = source.select("_row", "doc_id", F.xxhash64("_text").alias("text_key"), words_of(F.col("_text")).alias("w")).withColumn("n_words", F.size("w"))
-
-    def passes(h: Column) -> Column:
-        slot = _slot(h)
-        byte = F.ascii(F.substring(table, F.floor(slot / 6).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.getbit(byte, (slot % 6).cast("int")) == 1
+    if len(sizes) > 1:  # places where a window of any size may begin
+        least = sizes[0]
+        beginnings = held.select(F.xxhash64(F.slice(F.split("window", " "), 1, least)).alias("h")).distinct()
+        begins = WindowFilter(beginnings, n_windows)
+        places = F.filter(F.sequence(F.lit(1), F.col("n_words") - least + 1), lambda i: begins.passes(F.xxhash64(F.slice("w", i, least))))
+        split = split.withColumn("places", F.when(F.col("n_words") >= least, places))
+    whole = WindowFilter(held.select("h"), n_windows)
 
     def found(size: int) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.col("n_words") - size + 1), lambda i: passes(F.xxhash64(F.slice("w", i, size))))
+        passes = lambda i: whole.passes(F.xxhash64(F.slice("w", i, size)))
+        if len(sizes) > 1:
+            places = F.filter("places", lambda i: (i <= F.col("n_words") - size + 1) & passes(i))
+        else:
+            places = F.filter(F.sequence(F.lit(1), F.col("n_words") - size + 1), passes)
         hits = F.transform(places, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.array_join(F.slice("w", i, size), " ").alias("window")))
         return F.when(F.col("n_words") >= size, hits)
 
     none = F.expr("cast(array() AS array<struct<pos:int,size:int,window:string>>)")
     all_hits = F.concat(*[F.coalesce(found(s), none) for s in sizes]) if sizes else none
-    scanned = split.select("_row", "doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.explode_outer(all_hits).alias("c"))
-    scanned = scanned.select("_row", "doc_id", "text_key", "n_words", F.col("c.pos").alias("pos"), F.col("c.size").alias("size"), F.coalesce("c.window", F.concat(F.lit(" "), F.col("_row"))).alias("window"))
+    scanned = split.select("_row", "doc_id", "text_key", "n_words", F.explode_outer(all_hits).alias("c"))
+    scanned = scanned.select("_row", "doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.col("c.pos").alias("pos"), F.col("c.size").alias("size"), F.coalesce("c.window", F.concat(F.lit(" "), F.col("_row"))).alias("window"))
     right = held.select("window", "items", F.col("size").alias("_size"))
-    right = F.broadcast(right) if held.count() <= BROADCAST_WINDOWS else right
+    right = F.broadcast(right) if n_windows <= BROADCAST_WINDOWS else right
     # a document without hits meets no window, as none begins with a space; sizes agree because words do
     return scanned.join(right, "window", "left").drop("window", "_size")
 
