@@ -23,12 +23,20 @@ smaller L of the two.
    both sets allow the threshold: sets differ in at least as many shingles as
    their bits differ, so this drops no link.
 
-Nothing is capped: the star rounds only save work, the exact round decides.
+Nothing is capped: the star rounds only save work, the exact round decides.  A
+shingle, a component or a fingerprint that a large share of all rows has is dealt
+over tasks (``join_few``, ``CELL``).
+
+Shingles are 64-bit hashes and equal sets are told by 128-bit fingerprints, so the
+result is exact unless hashes collide: two given shingles do with probability
+2**-64, two given sets with 2**-128.
 
 Defined results: a null or empty text, or one without words, has an empty set and
 links with nothing; a row without id takes the component of its equal or stays
-without one; rows that repeat an id are one document; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+without one; rows that repeat an id are one document as far as links
+go, and each keeps its own number of shingles (``keep_one_per_group`` keeps them all
+or none); texts and words of any length are read whole; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, forget, mix64, pack_counters, sum_counters, text_batches
+from tidewell.llm.common import cut, forget, join_few, pack_counters, sum_counters, text_batches
 from tidewell.llm.components import components
 from tidewell.llm.shingles import WordHashes, fingerprint, shingle_sets
 
@@ -54,6 +62,8 @@ MAX_MATCHES = 4
 SALTS = 8
 #: Parity bits of a set, in 64-bit words; compared at shingles of more documents than this.
 PARITY_WORDS, FEW = 16, 16
+#: Documents of a shingle in one cell of the exact round.
+CELL = 4096
 #: Bits of the filter by which texts of candidates are found again.
 FILTER_BITS = 24
 
@@ -210,8 +220,21 @@ def _labelled(postings: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def _undecided(postings: DataFrame) -> DataFrame:
     """Postings of shingles that lie in two components at least."""
+    postings = cut(postings)
     split = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo <> hi").select("token", "df")
-    return postings.join(split, "token")
+    return cut(join_few(postings, split, ["token"]))
+
+
+def _cells(many: DataFrame) -> DataFrame:
+    """Rows of shingles of many documents with those that they may link with.
+
+    The documents of a shingle are dealt into cells of some ``CELL`` rows, and each
+    cell meets all documents of the shingle, so no task holds a whole one.
+    """
+    cells = F.ceil(F.col("df") / CELL).cast("int")
+    mine = many.withColumn("cell", F.pmod(F.xxhash64("node"), cells).cast("int"))
+    others = _other(many.withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1)))).withColumnRenamed("cell2", "cell")
+    return mine.join(others, ["token", "cell"])
 
 
 def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rounds: int = 2) -> DataFrame:
@@ -231,19 +254,19 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
         salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SALTS)).alias("salt")
         leads = open_.groupBy("token", salt).agg(F.max(F.struct("shared", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "matches", "comp")).alias("lead"))
         leads = leads.select("token", F.col("lead.node").alias("node2"), F.col("lead.n").alias("n2"), F.col("lead.matches").alias("matches2"), F.col("lead.comp").alias("comp2"))
-        pairs = _pairs(_met(open_.join(leads, "token").where(_may_link(percent) & (F.col("comp") != F.col("comp2")))).distinct())
+        pairs = _pairs(_met(join_few(open_, leads, ["token"]).where(_may_link(percent) & (F.col("comp") != F.col("comp2")))).distinct())
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         got = cut(verified(pairs, docs, width, percent))
         links = got if links is None else links.union(got)
         found = components(links)
 
-    open_ = cut(_undecided(_labelled(postings, found)))
+    open_ = _undecided(_labelled(postings, found))
     apart = _may_link(percent) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
     few, many = open_.where(F.col("df") <= FEW), open_.where(F.col("df") > FEW)
     many = many.join(nodes.select(F.col("doc_id").alias("node"), *PARITY).distinct(), "node")
     met_few = _met(few.join(_other(few), "token").where(apart))
-    met_many = _met(many.join(_other(many), "token").where(apart & _bits_may_link(percent)))
+    met_many = _met(_cells(many).where(apart & _bits_may_link(percent)))
     pairs = _pairs(met_few.union(met_many))
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
     last = cut(verified(pairs, docs, width, percent))
@@ -251,8 +274,9 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
         found = components(last if links is None else links.union(last))
     groups = equal if found is None else equal.join(found, "node", "left")
     groups = groups.select("fp1", "fp2", (F.col("node") if found is None else F.coalesce("component", "node")).alias("component_id"))
-    joined = rows.select("doc_id", "n", "fp1", "fp2").join(groups, ["fp1", "fp2"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = join_few(rows.where("n > 0").select("doc_id", "n", "fp1", "fp2"), groups, ["fp1", "fp2"])
+    linked = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id")))
 
 
 def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
