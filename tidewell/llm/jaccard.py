@@ -249,8 +249,8 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
     ranked = cut(postings.join(central, "node"))
 
     links = found = tried = None
+    open_ = _undecided(_labelled(ranked, found))
     for turn in range(star_rounds):
-        open_ = _undecided(_labelled(ranked, found))
         salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SALTS)).alias("salt")
         leads = open_.groupBy("token", salt).agg(F.max(F.struct("shared", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "matches", "comp")).alias("lead"))
         leads = leads.select("token", F.col("lead.node").alias("node2"), F.col("lead.n").alias("n2"), F.col("lead.matches").alias("matches2"), F.col("lead.comp").alias("comp2"))
@@ -258,10 +258,13 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         got = cut(verified(pairs, docs, width, percent))
+        if not got.limit(1).count():
+            break
         links = got if links is None else links.union(got)
         found = components(links)
+        open_ = _undecided(_labelled(ranked, found))
 
-    open_ = _undecided(_labelled(postings, found))
+    open_ = open_.drop("shared")
     apart = _may_link(percent) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
     few, many = open_.where(F.col("df") <= FEW), open_.where(F.col("df") > FEW)
     many = many.join(nodes.select(F.col("doc_id").alias("node"), *PARITY).distinct(), "node")

@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table of fewer file splits than cores is dealt over all cores, since texts cost more to process than to move."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def packed(docs: DataFrame) -> DataFrame:
     from tidewell.llm.packing import pack_documents
 
@@ -31,46 +37,46 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(documents(spark, sf_dir))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.ngram import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(documents(spark, sf_dir))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.counting import count_tokens
 
-    counted = count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    counted = count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.sharding import shard_documents
 
-    sharded = shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
+    sharded = shard_documents(documents(spark, sf_dir), n_shards=16)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.quality import judge
 
-    return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+    return judge(documents(spark, sf_dir)).drop("rejected_by")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.decontaminate import contamination
 
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), width=10)
     return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.toxicity import learn, remainder, toxic_scores
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = learn(docs, table(spark, sf_dir, "labels"), remainder(F.col("_label_id"), 5) == 0)
     scored = toxic_scores(docs, model)
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -79,19 +85,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.jaccard import documents_of, link_components
 
-    return link_components(documents_of(table(spark, sf_dir, "documents")), width=3, percent=90)
+    return link_components(documents_of(documents(spark, sf_dir)), width=3, percent=90)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.resampling import resample
 
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return resample(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.idfiles import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    return round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
