@@ -23,9 +23,6 @@ SPACE_BYTES = b" \t\n\r\x0b\x0c"
 BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
 
-#: Keys that ``join_few`` broadcasts at most.
-HOT_KEYS = 256
-
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,19 +44,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_few(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join to a side with few rows for each key, where one key may hold a large share of ``left``.
-
-    The ``HOT_KEYS`` most frequent keys of ``left`` meet their rows by broadcast and so
-    stay where they are; every other key has less than ``1 / HOT_KEYS`` of the rows and
-    goes through the shuffle.  ``left`` is read three times, so it should be cut.
-    """
-    often = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_often")).orderBy(F.desc("_often"), *on).limit(HOT_KEYS).drop("_often")
-    hot = cut(F.broadcast(often).join(right, on))
-    keys = hot.select(*on).distinct()
-    return left.join(F.broadcast(hot), on).unionByName(left.join(F.broadcast(keys), on, "left_anti").join(right, on))
-
-
 def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
     """Add a key of the physical row, so that repeated ids stay apart."""
     return df.withColumn(name, F.monotonically_increasing_id())

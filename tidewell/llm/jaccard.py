@@ -23,9 +23,10 @@ smaller L of the two.
    both sets allow the threshold: sets differ in at least as many shingles as
    their bits differ, so this drops no link.
 
-Nothing is capped: the star rounds only save work, the exact round decides.  A
-shingle, a component or a fingerprint that a large share of all rows has is dealt
-over tasks (``join_few``, ``CELL``).
+Nothing is capped: the star rounds only save work, the exact round decides.  The
+documents of a frequent shingle are dealt into cells before they meet; joins in which
+a shingle, fingerprint or label only meets its own row are linear, and adaptive
+execution splits their large partitions.
 
 Shingles are 64-bit hashes and equal sets are told by 128-bit fingerprints, so the
 result is exact unless hashes collide: two given shingles do with probability
@@ -48,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, forget, join_few, pack_counters, sum_counters, text_batches
+from tidewell.llm.common import cut, forget, pack_counters, sum_counters, text_batches
 from tidewell.llm.components import components
 from tidewell.llm.shingles import WordHashes, fingerprint, shingle_sets
 
@@ -220,9 +221,8 @@ def _labelled(postings: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def _undecided(postings: DataFrame) -> DataFrame:
     """Postings of shingles that lie in two components at least."""
-    postings = cut(postings)
     split = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo <> hi").select("token", "df")
-    return cut(join_few(postings, split, ["token"]))
+    return postings.join(split, "token")
 
 
 def _cells(many: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
         salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SALTS)).alias("salt")
         leads = open_.groupBy("token", salt).agg(F.max(F.struct("shared", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "matches", "comp")).alias("lead"))
         leads = leads.select("token", F.col("lead.node").alias("node2"), F.col("lead.n").alias("n2"), F.col("lead.matches").alias("matches2"), F.col("lead.comp").alias("comp2"))
-        pairs = _pairs(_met(join_few(open_, leads, ["token"]).where(_may_link(percent) & (F.col("comp") != F.col("comp2")))).distinct())
+        pairs = _pairs(_met(open_.join(leads, "token").where(_may_link(percent) & (F.col("comp") != F.col("comp2")))).distinct())
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         got = cut(verified(pairs, docs, width, percent))
@@ -264,7 +264,7 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
         found = components(links)
         open_ = _undecided(_labelled(ranked, found))
 
-    open_ = open_.drop("shared")
+    open_ = cut(open_.drop("shared"))
     apart = _may_link(percent) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
     few, many = open_.where(F.col("df") <= FEW), open_.where(F.col("df") > FEW)
     many = many.join(nodes.select(F.col("doc_id").alias("node"), *PARITY).distinct(), "node")
@@ -277,7 +277,7 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
         found = components(last if links is None else links.union(last))
     groups = equal if found is None else equal.join(found, "node", "left")
     groups = groups.select("fp1", "fp2", (F.col("node") if found is None else F.coalesce("component", "node")).alias("component_id"))
-    joined = join_few(rows.where("n > 0").select("doc_id", "n", "fp1", "fp2"), groups, ["fp1", "fp2"])
+    joined = rows.where("n > 0").select("doc_id", "n", "fp1", "fp2").join(groups, ["fp1", "fp2"])
     linked = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return linked.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id")))
 
