@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, forget, pack_counters, sum_counters, text_batches
+from tidewell.llm.common import cut, forget, pack_counters, sum_counters, text_batches, with_row_key
 from tidewell.llm.components import components
 from tidewell.llm.shingles import WordHashes, fingerprint, shingle_sets
 
@@ -237,12 +237,12 @@ def _cells(many: DataFrame) -> DataFrame:
     return mine.join(others, ["token", "cell"])
 
 
-def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rounds: int = 2) -> DataFrame:
+def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rounds: int = 1) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``."""
-    rows = prefixes(docs, sketch(docs, width), width, percent)
-    equal = cut(rows.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node")))
-    nodes = rows.where("n > 0").join(equal.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    postings = nodes.select(F.col("doc_id").alias("node"), "n", "matches", F.explode("prefix").alias("token")).distinct()
+    rows = with_row_key(prefixes(docs, sketch(docs, width), width, percent))
+    equal = cut(rows.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.min_by("_row", "doc_id").alias("_row")))
+    nodes = rows.join(equal.where("node IS NOT NULL").select("_row"), "_row", "left_semi").select(F.col("doc_id").alias("node"), "n", "matches", "prefix", *PARITY)
+    postings = nodes.select("node", "n", "matches", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     postings = cut(postings.join(shared, "token", "left_semi"))
     central = postings.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))  # few edits leave many shared shingles
@@ -267,7 +267,7 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
     open_ = cut(open_.drop("shared"))
     apart = _may_link(percent) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
     few, many = open_.where(F.col("df") <= FEW), open_.where(F.col("df") > FEW)
-    many = many.join(nodes.select(F.col("doc_id").alias("node"), *PARITY).distinct(), "node")
+    many = many.join(nodes.select("node", "n", *PARITY), ["node", "n"])
     met_few = _met(few.join(_other(few), "token").where(apart))
     met_many = _met(_cells(many).where(apart & _bits_may_link(percent)))
     pairs = _pairs(met_few.union(met_many))
@@ -275,6 +275,7 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
     last = cut(verified(pairs, docs, width, percent))
     if last.limit(1).count():
         found = components(last if links is None else links.union(last))
+    equal = equal.drop("_row")
     groups = equal if found is None else equal.join(found, "node", "left")
     groups = groups.select("fp1", "fp2", (F.col("node") if found is None else F.coalesce("component", "node")).alias("component_id"))
     joined = rows.where("n > 0").select("doc_id", "n", "fp1", "fp2").join(groups, ["fp1", "fp2"])
