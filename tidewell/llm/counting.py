@@ -7,12 +7,15 @@
    ``head_entries`` whatever the corpus, are broadcast and summed in place; the
    rest of each document's frequencies meet the table in a shuffled join.
 
-Ids are never kept.  Texts whose characters the library classes differently from
-Python (see ``tokens``) are counted by the library as a whole; an added token's
-string counts as the library counts it, one piece, and splits its text.
-
-Defined results: null and empty texts have no bytes and no tokens; rows that
-repeat an id are counted each on its own; an empty table gives an empty result.
+Ids are never kept.  Parts of a text, between single spaces, whose characters the
+library may class differently from Python (see ``tokens``) are pre-tokens that the
+library counts as a whole, each distinct one once; an added token's string counts as
+the library counts it, one piece, and splits its text.
+
+Defined results: null and empty texts have no bytes and no tokens; texts and words
+of any length are counted whole; a row without id is counted; rows that repeat an id
+are counted each on its own; an empty table gives an empty result; columns beyond id
+and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +46,42 @@ def spans(code: PieceEncoder, text: str) -> tuple[list[str], int]:
     return parts, special
 
 
-def frequencies(code: PieceEncoder, text: str) -> tuple[list[str] | None, int]:
-    """Pre-tokens of a text and its added tokens, or None and the library's own count."""
-    if code.strange.search(text) is not None and not text.isascii():
-        return None, len(code.library.encode(text, add_special_tokens=False).ids)
+#: Between two of these characters, a single space ends what stands before it in the library and here alike.
+_SURE = r"[!-~¡-Ր一-鿿]"
+_JOINTS = regex.compile(rf"(?<={_SURE})(?= {_SURE})")
+
+
+def odd_pretokens(code: PieceEncoder, text: str) -> list[str]:
+    """Pre-tokens of a text with characters that the library may class otherwise.
+
+    The text is cut where a single space stands between two plain characters; what
+    holds such a character, and that alone, stays whole for the library.
+    """
+    out, plain = [], []
+    for part in _JOINTS.split(text):
+        if code.strange.search(part) is None:
+            plain.append(part)
+            continue
+        out += code.pretokens("".join(plain))
+        plain = []
+        out.append(part)
+    return out + code.pretokens("".join(plain))
+
+
+def frequencies(code: PieceEncoder, text: str) -> tuple[list[str], int]:
+    """Pre-tokens of a text, odd parts as one each, and its added tokens."""
+    cut_up = code.pretokens if text.isascii() or code.strange.search(text) is None else lambda t: odd_pretokens(code, t)
     if any(a in text for a in code.added):
         parts, special = spans(code, text)
-        return [w for p in parts for w in code.pretokens(p)], special
-    return code.pretokens(text), 0
+        return [w for p in parts for w in cut_up(p)], special
+    return cut_up(text), 0
+
+
+def pieces_of(code: PieceEncoder, pretoken: str) -> int:
+    """Pieces of a pre-token by the library's model, of an odd part by the library as a whole."""
+    if pretoken.isascii() or code.strange.search(pretoken) is None:
+        return len(code.model_ids(pretoken)) // 4
+    return len(code.library.encode(pretoken, add_special_tokens=False).ids)
 
 
 def distinct_pretokens(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -64,7 +96,7 @@ def distinct_pretokens(docs: DataFrame, tokenizer: str, text_col: str = "text")
         for whole in batches:
             for _, texts in text_batches(whole, "text"):
                 for t in texts:
-                    held.update(frequencies(code, t)[0] or ())
+                    held.update(frequencies(code, t)[0])
                 if len(held) > TASK_ENTRIES:
                     yield out()
                     held = Counter()
@@ -81,7 +113,7 @@ def piece_counts(pretokens: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
         for batch in batches:
-            n = [len(code.model_ids(w)) // 4 for w in batch.column("pretoken").to_pylist()]
+            n = [pieces_of(code, w) for w in batch.column("pretoken").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], [*batch.schema.names, "n_pieces"])
 
     return pretokens.mapInArrow(run, "pretoken string, freq long, n_pieces int")

@@ -10,8 +10,15 @@ buckets, and a row's slot is its rank in the bucket plus the rows of the shard's
 earlier buckets, which the histogram already knows.  A text that a third of all
 rows share is split by the row hash like any other range.
 
-Defined results: a null text counts as none (size 1, crc32 0); repeated rows are
-rows of their own; an empty table gives an empty result.
+The number of buckets is at most ``PROBES / 2``, so probes, and what a round brings to
+the driver, don't grow with the table; beyond that a bucket holds more rows, which
+its sort spills.
+
+Defined results: a null text counts as none (size 1, crc32 0); texts of any length
+count whole, and a shard that one of them fills alone is larger by it; a row without
+id is placed like any other; repeated rows are rows of their own; an empty table
+gives an empty result; other columns are ignored, whatever their names, or carried
+in a struct.
 """
 
 from __future__ import annotations
@@ -145,8 +152,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.00
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"), *([F.struct(*carry).alias("doc")] if carry else [])))
     source = source.select("doc_id", (F.octet_length("_text") + 1).cast("long").alias("size"), F.crc32(F.encode("_text", "UTF-8")).alias("text_crc32"), F.xxhash64("_text").alias("high"), F.xxhash64("doc_id", "_row").alias("low"), *(["doc"] if carry else []))
-    keys = cut(source.drop("doc"))
-    per_shard = max(4, -(-keys.count() // (n_shards * rows_per_bucket)))
+    source = cut(source)  # row keys must not change between the histogram and the exchange
+    keys = source.drop("doc")
+    per_shard = min(max(4, -(-keys.count() // (n_shards * rows_per_bucket))), max(4, PROBES // (2 * n_shards)))  # two probes a bucket at least
     bounds, rows_below = find_splitters(keys, n_shards, per_shard, tolerance)
     high_bound, low_bound = _halves(bounds)
     starts = np.array([0, *rows_below], np.int64)
