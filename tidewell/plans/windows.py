@@ -188,7 +188,7 @@ def q094(t: Tables) -> DataFrame:
 
 @query("q095_registry_ranking", """
 with e as (select user_id, event_id, event_type = 'signup' as parent, ts::date as day, p_name as label from events join part on p_partkey = (event_id * 7) % 200), t as (select distinct user_id, list_distinct(string_split(p_name || ' ' || p_type, ' ')) as raw from events join part on p_partkey = user_id % 200),
-k as (select user_id, list_filter(list_transform(raw, lambda x: lower(x)), lambda x: length(x) >= 3) as terms from t),
+k as (select user_id, list_filter(list_distinct(list_transform(raw, lambda x: lower(x))), lambda x: length(x) >= 3) as terms from t),
 s as (select e.*, len(list_filter(terms, lambda x: contains(lower(label), x))) as shared from e join k using (user_id))
 select user_id, event_id, shared::bigint as shared, row_number() over (partition by user_id order by case when parent then 0 else 1 end, day desc, shared desc, event_id) as place from s""")
 def q095(t: Tables) -> DataFrame:
