@@ -100,6 +100,27 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.neighbours import search
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = search(vectors, F.col("id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.fillmiddle import fill_in_middle, restore
+
+    made = fill_in_middle(documents(spark, sf_dir), seed=42, percent=50, spm_percent=80)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restore("output", "form"), 256).alias("restored_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.divergence import audit
+
+    return audit(documents(spark, sf_dir), least_docs=10, top_terms=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -111,4 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_id_files": op10_id_files,
+    "op11_learned_partitions": op11_learned_partitions,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_source_divergence": op13_source_divergence,
 }

@@ -39,4 +39,27 @@ r(x, y) as (select doc_id, doc_id from documents union select r.x, e.y from r jo
 c as (select x as doc_id, min(y) as component_id from r group by x)
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from d join c using (doc_id) left join n using (doc_id)"""
 
-SQL = {"op5_quality_rules": OP5, "op6_benchmark_decontamination": OP6, "op8_ngram_jaccard_join": OP8}
+OP12 = r"""
+with t as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as h from documents),
+d as (select doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from t),
+c as (select *, len(w) as n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) as i, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) as j, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from d),
+p as (select *, array_to_string(w[1:i], '') as a, array_to_string(w[i + 1:j], '') as m, array_to_string(w[j + 1:], '') as s from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(a)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+sha256(case form when 'plain' then text when 'psm' then '<P>' || a || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || a || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+OP13 = rf"""
+with t as (select coalesce(lang, '') as lang, coalesce(source, '') as source, doc_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term, r from (select *, row_number() over () as r from documents)),
+k as (select lang, term from t group by all having count(distinct r) >= 10),
+v as (select lang, count(*) as v from k group by lang),
+g as (select distinct coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+c as (select lang, source, term, count(*) as c from t join k using (lang, term) group by all),
+x as (select lang, source, term, coalesce(c, 0) as c from g join k using (lang) left join c using (lang, source, term)),
+p as (select *, 1 + (1000000000::hugeint * (c + 2)) // (sum(c) over (partition by lang, source) + 2 * v) as p from x join v using (lang)),
+q as (select *, 1 + (1000000000::hugeint * (c + 2)) // (sum(c) over (partition by lang) + 2 * v) as p from (select lang, term, sum(c) as c from x group by all) join v using (lang)),
+s as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from p a join p b using (lang, term) where a.source <> b.source group by all),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value, row_number() over (partition by a.lang, a.source order by coalesce(value, 0) desc, b.source) as rank from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+m as (select p.lang, p.source, 'term' as part, term as item, ((p.p - q.p) * (p.p - q.p)) // (p.p + q.p) as value from p join q using (lang, term) where p.c > 0 and p.p > q.p),
+n as (select *, row_number() over (partition by lang, source order by value desc, item) as rank from m)
+select lang, source, part, item, value, rank::int as rank from r union all select lang, source, part, item, value::bigint, rank::int from n where rank <= 10"""
+
+SQL = {"op12_fill_in_middle": OP12, "op13_source_divergence": OP13, "op5_quality_rules": OP5, "op6_benchmark_decontamination": OP6, "op8_ngram_jaccard_join": OP8}
