@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 
+import pytest
+
 from tidewell.llm.jaccard import documents_of, keep_one_per_group, link_components, pick_prefix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,3 +80,40 @@ def test_keeps_one_of_each_group(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_small_cells_and_size_classes(spark, monkeypatch):
+    """Hot shingles in several cells, sets of many sizes: the same components as all pairs give."""
+    import numpy as np
+
+    from tidewell.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "CELL", 8)
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(160):
+        n = int(rng.integers(6, 60))
+        base = [f"b{k % 8}w{j}" for j in range(n)]
+        if k % 3:
+            base[int(rng.integers(0, n))] = f"edit{k}"
+        rows.append((k, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for _, t in rows]
+    for percent in (50, 80):
+        label = list(range(len(rows)))
+        for a in range(len(rows)):
+            for b in range(a):
+                same = len(sets[a] & sets[b])
+                if 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same) and label[a] != label[b]:
+                    label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+        got = {r.doc_id: r.component_id for r in jaccard.link_components(docs, 3, percent, star_rounds=0).collect()}
+        assert got == {r[0]: label[k] for k, r in enumerate(rows)}
+
+
+def test_without_pairs_no_text_is_read_again(spark, monkeypatch):
+    from tidewell.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "candidate_sets", lambda *a: pytest.fail("texts are read though there is no pair"))
+    docs = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k}") for k in range(40)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.link_components(docs).collect()} == {(k, k) for k in range(40)}

@@ -7,10 +7,11 @@
    ``head_entries`` whatever the corpus, are broadcast and summed in place; the
    rest of each document's frequencies meet the table in a shuffled join.
 
-Ids are never kept.  Parts of a text, between single spaces, whose characters the
-library may class differently from Python (see ``tokens``) are pre-tokens that the
-library counts as a whole, each distinct one once; an added token's string counts as
-the library counts it, one piece, and splits its text.
+Ids are never kept.  A text with characters that the library may class differently
+from Python (see ``tokens``), such as those of most scripts beyond Latin, Greek,
+Cyrillic and Han, is cut by the library's own pre-tokenizer; an added token's string
+counts as the library counts it, one piece, and splits its text.  What a task and the
+broadcast hold is bounded in entries and in bytes.
 
 Defined results: null and empty texts have no bytes and no tokens; texts and words
 of any length are counted whole; a row without id is counted; rows that repeat an id
@@ -25,15 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import cut, text_batches, with_row_key
 from tidewell.llm.tokens import PieceEncoder, encoder
 
-#: Distinct pre-tokens that a task holds before it hands its counts on.
-TASK_ENTRIES = 300_000
+#: Distinct pre-tokens that a task holds before it hands its counts on, and their UTF-8 bytes.
+TASK_ENTRIES, TASK_BYTES = 300_000, 16 << 20
+#: UTF-8 bytes of the frequent pre-tokens that are broadcast, beside the bound on their number.
+HEAD_BYTES = 8 << 20
 
 
 def spans(code: PieceEncoder, text: str) -> tuple[list[str], int]:
@@ -46,30 +48,13 @@ def spans(code: PieceEncoder, text: str) -> tuple[list[str], int]:
     return parts, special
 
 
-#: Between two of these characters, a single space ends what stands before it in the library and here alike.
-_SURE = r"[!-~¡-Ր一-鿿]"
-_JOINTS = regex.compile(rf"(?<={_SURE})(?= {_SURE})")
-
-
 def odd_pretokens(code: PieceEncoder, text: str) -> list[str]:
-    """Pre-tokens of a text with characters that the library may class otherwise.
-
-    The text is cut where a single space stands between two plain characters; what
-    holds such a character, and that alone, stays whole for the library.
-    """
-    out, plain = [], []
-    for part in _JOINTS.split(text):
-        if code.strange.search(part) is None:
-            plain.append(part)
-            continue
-        out += code.pretokens("".join(plain))
-        plain = []
-        out.append(part)
-    return out + code.pretokens("".join(plain))
+    """Pre-tokens of a text with characters that the library may class otherwise: the library's own."""
+    return [text[a:b] for _, (a, b) in code.library.pre_tokenizer.pre_tokenize_str(text)]
 
 
 def frequencies(code: PieceEncoder, text: str) -> tuple[list[str], int]:
-    """Pre-tokens of a text, odd parts as one each, and its added tokens."""
+    """Pre-tokens of a text and the number of its added tokens."""
     cut_up = code.pretokens if text.isascii() or code.strange.search(text) is None else lambda t: odd_pretokens(code, t)
     if any(a in text for a in code.added):
         parts, special = spans(code, text)
@@ -77,18 +62,11 @@ def frequencies(code: PieceEncoder, text: str) -> tuple[list[str], int]:
     return cut_up(text), 0
 
 
-def pieces_of(code: PieceEncoder, pretoken: str) -> int:
-    """Pieces of a pre-token by the library's model, of an odd part by the library as a whole."""
-    if pretoken.isascii() or code.strange.search(pretoken) is None:
-        return len(code.model_ids(pretoken)) // 4
-    return len(code.library.encode(pretoken, add_special_tokens=False).ids)
-
-
 def distinct_pretokens(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """``pretoken, freq`` over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, held = encoder(tokenizer), Counter()
+        code, held, weight = encoder(tokenizer), Counter(), 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["pretoken", "freq"])
@@ -97,9 +75,12 @@ def distinct_pretokens(docs: DataFrame, tokenizer: str, text_col: str = "text")
             for _, texts in text_batches(whole, "text"):
                 for t in texts:
                     held.update(frequencies(code, t)[0])
-                if len(held) > TASK_ENTRIES:
-                    yield out()
-                    held = Counter()
+                    weight += len(t)  # no text adds more than itself
+                    if weight > TASK_BYTES // 4:  # characters of at most four bytes
+                        weight = sum(map(len, held))
+                    if len(held) > TASK_ENTRIES or weight > TASK_BYTES // 4:
+                        yield out()
+                        held, weight = Counter(), 0
         if held:
             yield out()
 
@@ -113,19 +94,19 @@ def piece_counts(pretokens: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
         for batch in batches:
-            n = [pieces_of(code, w) for w in batch.column("pretoken").to_pylist()]
+            n = [len(code.model_ids(w)) // 4 for w in batch.column("pretoken").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], [*batch.schema.names, "n_pieces"])
 
     return pretokens.mapInArrow(run, "pretoken string, freq long, n_pieces int")
 
 
-def frequent(table: DataFrame, entries: int) -> tuple[int, dict[str, int]]:
-    """The least frequency of which at most ``entries`` pre-tokens have so many, and those pre-tokens' piece counts."""
-    steps = table.groupBy(F.floor(F.log2("freq") * 4).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("freq").alias("least"))
-    least, total = None, 0
+def frequent(table: DataFrame, entries: int, size: int = HEAD_BYTES) -> tuple[int, dict[str, int]]:
+    """The least frequency of which at most ``entries`` pre-tokens of ``size`` bytes have so many, and those pre-tokens' piece counts."""
+    steps = table.groupBy(F.floor(F.log2("freq") * 4).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("pretoken")).alias("bytes"), F.min("freq").alias("least"))
+    least, total, weight = None, 0, 0
     for row in sorted(steps.collect(), key=lambda r: -r.step):  # at most 4 x 63 rows
-        total += row.n
-        if total > entries:
+        total, weight = total + row.n, weight + row.bytes
+        if total > entries or weight > size:
             break
         least = row.least
     if least is None:

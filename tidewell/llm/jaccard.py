@@ -24,7 +24,9 @@ smaller L of the two.
    their bits differ, so this drops no link.
 
 Nothing is capped: the star rounds only save work, the exact round decides.  The
-documents of a frequent shingle are dealt into cells before they meet; joins in which
+documents of a frequent shingle are dealt by the size of their sets, then into cells,
+before they meet; a class of d documents moves about ``2 d * d / CELL`` rows, which is
+quadratic with a small factor; joins in which
 a shingle, fingerprint or label only meets its own row are linear, and adaptive
 execution splits their large partitions.
 
@@ -42,6 +44,7 @@ empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,8 +84,9 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
         for whole in batches:
             for _, texts in text_batches(whole, "text"):
                 found = shingle_sets(texts, held, width)
-                if found:
-                    counters += np.bincount((np.concatenate(found) & mask).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
+                for s in found:  # distinct shingles, but two may share a counter
+                    at, n = np.unique(s & mask, return_counts=True)
+                    counters[at] += n.astype(np.int32)
         got = list(pack_counters(counters, SLICE))
         for k in range(0, len(got), 16):
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got[k : k + 16]], pa.int32()), pa.array([p for _, p in got[k : k + 16]], pa.binary())], ["slice", "payload"])
@@ -130,7 +134,7 @@ def prefixes(docs: DataFrame, counters: np.ndarray, width: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(best, pa.int32()), lists, *map(pa.array, words)], ["doc_id", "n", "fp1", "fp2", "matches", "prefix", *PARITY])
 
     made = cut(docs.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, matches int, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITY)))
-    shared.destroy()
+    shared.unpersist()
     return made
 
 
@@ -161,12 +165,14 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "node long, shingles binary")
     found = cut(made.join(nodes, "node", "left_semi"))
-    shared.destroy()
+    shared.unpersist()  # a stage that adaptive execution no longer waits for may still ask for it
     return found
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the threshold."""
+    """The pairs ``a, b`` whose sets reach the threshold; without pairs no text is read."""
+    if not pairs.limit(1).count():
+        return pairs
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = candidate_sets(docs, nodes, width)
 
@@ -225,16 +231,23 @@ def _undecided(postings: DataFrame) -> DataFrame:
     return postings.join(split, "token")
 
 
-def _cells(many: DataFrame) -> DataFrame:
+def _cells(many: DataFrame, percent: int) -> DataFrame:
     """Rows of shingles of many documents with those that they may link with.
 
-    The documents of a shingle are dealt into cells of some ``CELL`` rows, and each
-    cell meets all documents of the shingle, so no task holds a whole one.
+    The threshold bounds the ratio of two sets' sizes, so a document meets those of its
+    own class of sizes and of the next.  Within a class the documents of a shingle are
+    dealt into cells of some ``CELL`` rows, and each cell meets all that its class has
+    to meet, so no task holds a whole shingle.
     """
-    cells = F.ceil(F.col("df") / CELL).cast("int")
-    mine = many.withColumn("cell", F.pmod(F.xxhash64("node"), cells).cast("int"))
-    others = _other(many.withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1)))).withColumnRenamed("cell2", "cell")
-    return mine.join(others, ["token", "cell"])
+    width = math.log(100 / percent) * (1 + 1e-9) + 1e-9
+    sized = many.withColumn("sizes", F.floor(F.log("n") / width).cast("int"))
+    cells = sized.groupBy("token", "sizes").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    mine = sized.join(cells, ["token", "sizes"]).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).drop("cells")
+    others = _other(sized.withColumn("own", F.col("sizes"))).withColumnRenamed("sizes2", "sizes")
+    others = others.withColumn("sizes", F.explode(F.array("sizes", F.col("sizes") - 1))).join(cells, ["token", "sizes"])
+    others = others.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    once = (F.col("own2") > F.col("sizes")) | (F.col("node") < F.col("node2"))
+    return mine.join(others, ["token", "sizes", "cell"]).where(once)
 
 
 def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rounds: int = 1) -> DataFrame:
@@ -265,11 +278,11 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
         open_ = _undecided(_labelled(ranked, found))
 
     open_ = cut(open_.drop("shared"))
-    apart = _may_link(percent) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
+    apart = _may_link(percent) & (F.col("comp") != F.col("comp2"))
     few, many = open_.where(F.col("df") <= FEW), open_.where(F.col("df") > FEW)
     many = many.join(nodes.select("node", "n", *PARITY), ["node", "n"])
-    met_few = _met(few.join(_other(few), "token").where(apart))
-    met_many = _met(_cells(many).where(apart & _bits_may_link(percent)))
+    met_few = _met(few.join(_other(few), "token").where(apart & (F.col("node") < F.col("node2"))))
+    met_many = _met(_cells(many, percent).where(apart & _bits_may_link(percent)))
     pairs = _pairs(met_few.union(met_many))
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
     last = cut(verified(pairs, docs, width, percent))

@@ -11,14 +11,16 @@ from tidewell.llm.common import chain64
 
 
 class WordHashes(dict):
-    """Words to 64-bit hashes; forgets all when it grows past its bound."""
+    """Words to 64-bit hashes; remembers short ones and forgets all when it grows past its bound."""
 
-    limit = 300_000
+    limit, longest = 100_000, 64
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = h
         return h
 
 
