@@ -5,7 +5,7 @@ Identical texts are brought together by the SHA-256 of their content and compare
 The boundaries of a group's tokens are found once and kept as an Elias-Fano list, which
 answers "where does token i end" without unpacking the list.  Documents, without
 their texts, are joined back to the groups; each has its own seeded cut, read from
-the list of its group.  Texts cross the network once, copies within a task not at all.
+the list of its group.  Texts cross the network once.
 
 A text that holds more than ``SHARE`` of the rows, or more than ``COPIES`` of them, is
 dealt over groups by a hash of its other columns, so that no task meets all its copies;
@@ -126,9 +126,9 @@ def fill_in_middle(docs: DataFrame, seed: int = 42, percent: int = 50, spm_perce
     plain_docs = docs.select("doc_id", *kept, F.coalesce("text", F.lit("")).alias("_text"), F.xxhash64(F.lit(seed), *others).alias("_salted"))
     keyed = text_groups(plain_docs)
 
-    same = F.col("_least") == F.col("_most")
+    same = F.col("_least") == F.col("_most")  # both made beyond the exchange, which a text crosses once
     checked = F.when(same, F.col("_least")).otherwise(F.raise_error(F.lit("two texts have one SHA-256")).cast("string"))
-    texts = keyed.groupBy("_key", "_salt").agg(F.min("_text").alias("_least"), F.max("_text").alias("_most")).select("_key", "_salt", checked.alias("_body"))
+    texts = keyed.select("_key", "_salt", "_text").repartition("_key", "_salt").groupBy("_key", "_salt").agg(F.min("_text").alias("_least"), F.max("_text").alias("_most")).select("_key", "_salt", checked.alias("_body"))
 
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     marked = (F.col("_text") == "") | F.contains("_text", F.lit(PREFIX)) | F.contains("_text", F.lit(SUFFIX)) | F.contains("_text", F.lit(MIDDLE))
