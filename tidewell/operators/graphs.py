@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.dedup import components, cut
 
+#: Edges of a part of a graph that one task walks through; larger parts are worked on by all tasks.
+LOCAL_EDGES = 50_000
+
 
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
@@ -22,22 +25,147 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return joined.select("node", F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))
 
 
-def reachable(edges: DataFrame, depth: int = 40) -> DataFrame:
-    """``start, node``: all pairs joined by a path of edges, doubled until nothing is new; for graphs of a curriculum's size."""
-    found = cut(edges.select(F.col("child").alias("start"), F.col("parent").alias("node")).distinct())
-    steps = 1
-    while steps < depth:
-        longer = found.join(found.select(F.col("start").alias("node"), F.col("node").alias("far")), "node").select("start", F.col("far").alias("node"))
-        new = cut(found.union(longer).distinct())
-        if new.count() == found.count():
-            return new
-        found, steps = new, 2 * steps
-    return found
+def _shortcuts(edges: DataFrame, steps: int) -> DataFrame:
+    """``x, y`` of the edges, and for every node where 2, 4, ... steps along one chosen edge out, or back along one chosen edge in, lead.
+
+    A shortcut only says what a path says, so it changes no component, and a ring of n
+    nodes is crossed in some log n rounds.
+    """
+    out = edges
+    for start, end in (("x", "y"), ("y", "x")):
+        hop = cut(edges.groupBy(F.col(start).alias("a")).agg(F.min_by(end, F.xxhash64(start, end)).alias("b")))
+        for _ in range(steps):
+            hop = cut(hop.join(hop.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
+            far = hop.where("a <> b")
+            out = out.unionByName(far.select(F.col("a").alias(start), F.col("b").alias(end)))
+    return out.distinct()
+
+
+def _trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """Edges whose ends may lie on a cycle: those without a way in or out go, a few rounds of them."""
+    for _ in range(rounds):
+        both = edges.select(F.col("x").alias("n")).intersect(edges.select("y"))
+        edges = edges.join(both.withColumnRenamed("n", "x"), "x", "left_semi").join(both.withColumnRenamed("n", "y"), "y", "left_semi")
+    return cut(edges.select("x", "y"))
+
+
+def _tarjan(edges: list[tuple]) -> dict:
+    """The smallest node of its component for each end of an edge, in one walk of a bounded graph."""
+    out: dict = {}
+    for x, y in edges:
+        out.setdefault(x, []).append(y)
+        out.setdefault(y, [])
+    number: dict = {}
+    low: dict = {}
+    least: dict = {}
+    trail: list = []
+    for root in out:
+        if root in number:
+            continue
+        open_ = [(root, iter(out[root]))]
+        number[root] = low[root] = len(number)
+        trail.append(root)
+        while open_:
+            node, ways = open_[-1]
+            for y in ways:
+                if y not in number:
+                    number[y] = low[y] = len(number)
+                    trail.append(y)
+                    open_.append((y, iter(out[y])))
+                    break
+                if y not in least:
+                    low[node] = min(low[node], number[y])
+            else:
+                open_.pop()
+                if open_:
+                    low[open_[-1][0]] = min(low[open_[-1][0]], low[node])
+                if low[node] == number[node]:
+                    at = trail.index(node) if len(trail) < 64 else len(trail) - 1 - trail[::-1].index(node)
+                    members, trail[at:] = trail[at:], []
+                    least.update(dict.fromkeys(members, min(members)))
+    return least
+
+
+def _solved(parts: DataFrame) -> DataFrame:
+    """``node, component`` of the ends of ``part, x, y``, each part in one task."""
+    kind = parts.schema["x"].dataType.simpleString()
 
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        least = _tarjan(list(zip(g["x"].tolist(), g["y"].tolist())))
+        return pd.DataFrame({"node": list(least), "component": list(least.values())})
 
-def on_cycles(edges: DataFrame, depth: int = 40) -> DataFrame:
-    """Nodes that reach themselves."""
-    return reachable(edges, depth).where("start = node").select("node").distinct()
+    return parts.groupBy("part").applyInPandas(walk, f"node {kind}, component {kind}")
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """``node, component``: the smallest node of each strongly connected component, for every node and every end of an edge.
+
+    Nodes off all cycles are trimmed a few rounds.  Weakly connected parts of at most
+    ``local`` edges are finished by one walk in a task.  In larger ones every node takes
+    the greatest mark that reaches it, marks being drawn anew in each turn; what carries
+    one mark and reaches its owner is the owner's component, and the rest of a mark is a
+    part of its own in the next turn.  Nothing but one row a node and edge, and some log
+    n shortcuts a node, is held, so rings may be of any length.
+    """
+    all_nodes = nodes.select("node").union(nodes_of(edges)).where("node IS NOT NULL").distinct()
+    links = _trimmed(edges.where("child <> parent").select(F.col("child").alias("x"), F.col("parent").alias("y")).distinct())
+    if not links.limit(1).count():
+        return all_nodes.withColumn("component", F.col("node"))
+    live = links.select(F.col("x").alias("node")).union(links.select("y")).distinct()
+    part = components(live, links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("component", "part")
+    found, turn, short = [], 0, None
+    while True:
+        inside = cut(links.join(part.withColumnRenamed("node", "x"), "x").join(part.select(F.col("node").alias("y"), F.col("part").alias("part2")), "y").where("part = part2").select("part", "x", "y"))
+        large = inside.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local).select("part")
+        found.append(_solved(inside.join(large, "part", "left_anti")))
+        graph = cut(part.join(large, "part", "left_semi"))
+        size = graph.count()
+        if not size:
+            break
+        if short is None:
+            short = cut(_shortcuts(links.join(graph.select(F.col("node").alias("x")), "x", "left_semi"), size.bit_length()))
+        mine = short.join(graph.withColumnRenamed("node", "x"), "x").join(graph.select(F.col("node").alias("y"), F.col("part").alias("part2")), "y").where("part = part2").select("x", "y")
+        closed, part = _one_turn(graph, cut(mine), turn)
+        found.append(closed)
+        turn += 1
+    every = found[0]
+    for f in found[1:]:
+        every = every.union(f)
+    return all_nodes.join(every, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _one_turn(graph: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The components of this turn's mark owners, and the other nodes with their mark as part."""
+    mark = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("owner"))
+    marks = cut(graph.select("node", mark.alias("mark")))
+    while True:  # forward: the greatest mark that reaches a node, and what has reached that mark's owner
+        came = links.join(marks.withColumnRenamed("node", "x"), "x").groupBy(F.col("y").alias("node")).agg(F.max("mark").alias("came"))
+        up = marks.join(came, "node", "left").select("node", F.col("mark").alias("old"), F.greatest("mark", F.coalesce("came", "mark")).alias("mark"))
+        far = marks.select(F.col("node").alias("owner"), F.col("mark").alias("far"))
+        up = cut(up.withColumn("owner", F.col("mark.owner")).join(far, "owner").select("node", "old", F.greatest("mark", "far").alias("mark")))
+        marks = up.drop("old")
+        if not up.where("mark <> old").limit(1).count():
+            break
+    same = links.join(marks.select(F.col("node").alias("x"), F.col("mark.owner").alias("o")), "x").join(marks.select(F.col("node").alias("y"), F.col("mark.owner").alias("o2")), "y").where("o = o2")
+    same = cut(same.select("x", "y"))
+    back = new = cut(marks.where("node = mark.owner").select("node"))
+    while True:  # backward: what of a mark reaches its owner
+        more = same.join(new.withColumnRenamed("node", "y"), "y", "left_semi").select(F.col("x").alias("node")).distinct()
+        new = cut(more.join(back, "node", "left_anti"))
+        if not new.limit(1).count():
+            break
+        back = cut(back.union(new))
+    closed = marks.join(back, "node", "left_semi").select("node", F.col("mark.owner").alias("owner"))
+    closed = cut(closed.join(closed.groupBy("owner").agg(F.min("node").alias("component")), "owner").select("node", "component"))
+    return closed, cut(marks.join(back, "node", "left_anti").select("node", F.col("mark.owner").alias("part")))
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves: those of a component of several, and those with an edge to themselves."""
+    found = cut(strong_components(nodes_of(edges), edges))
+    several = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    loops = edges.where("child = parent").select(F.col("child").alias("node"))
+    return found.join(several, "component", "left_semi").select("node").union(loops).distinct()
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,18 +187,24 @@ def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def walk_up(parents: DataFrame) -> DataFrame:
-    """``node, ancestor, level`` up to the root; parents are ``node, parent``. A cycle raises."""
-    step = parents.where("parent IS NOT NULL")
-    level = parents.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("level"))
-    out, most, i = level, step.select("node").distinct().count(), 0
-    while True:
-        i += 1
-        level = cut(level.join(step.select(F.col("node").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(i).cast("long").alias("level")))
-        if not level.limit(1).count():
-            return out
-        if i > most or level.where("node = ancestor").limit(1).count():
+    """``node, ancestor, level`` up to the root; parents are ``node, parent``, one row a node. A cycle raises.
+
+    Steps double, so a chain of n nodes takes some log n rounds; its rows are the result's own.
+    """
+    level = F.lit(0).cast("long")
+    outer = parents.select(F.col("parent").alias("node")).where("node IS NOT NULL").join(parents.select("node"), "node", "left_anti").distinct()  # ends of a walk that have no row
+    known = parents.select("node").unionByName(outer)
+    out = cut(known.select("node", F.col("node").alias("ancestor"), level.alias("level")))
+    jump = cut(parents.where("parent IS NOT NULL").select("node", F.col("parent").alias("far")))
+    steps, most = 1, out.count()
+    while jump.limit(1).count():
+        if steps > 2 * most or jump.where("node = far").limit(1).count():
             raise ValueError("the hierarchy has a cycle")
-        out = out.union(level)
+        beyond = jump.join(out.withColumnRenamed("node", "far"), "far").select("node", "ancestor", (F.col("level") + steps).alias("level"))
+        out = cut(out.unionByName(beyond))
+        jump = cut(jump.join(jump.select(F.col("node").alias("far"), F.col("far").alias("next")), "far").select("node", F.col("next").alias("far")))
+        steps *= 2
+    return out.join(outer, "node", "left_anti")
 
 
 def first_cycle(order: list[int], before: dict[int, list[int]]) -> list[int] | None:

@@ -139,7 +139,23 @@ def q133(t: Tables) -> DataFrame:
 
 @query("q134_cycle_members", EDGES_SQL.replace("with e", "with recursive e") + ", r(a, b) as (select child, parent from g union select r.a, g.parent from r join g on g.child = r.b) select distinct a as node from r where a = b")
 def q134(t: Tables) -> DataFrame:
-    return graphs.on_cycles(edges(t), depth=64)
+    return graphs.on_cycles(edges(t))
+
+
+@query("q134_strong_components", """
+with recursive p as (select p_partkey as n, p_partkey // 120 as b, p_partkey % 120 as i from part),
+e as (select n as child, case when i = 110 then n - 110 else n + 1 end as parent from p where i <= 110 and n + 1 <= (select max(n) from p) union select n, n - 3 from p where i % 10 = 9 and i > 110 union select n, n + 120 from p where i = 5 union select n, n + 2 from p where i > 110),
+g as (select distinct child, parent from e where child <> parent), r(a, b) as (select child, parent from g union select r.a, g.parent from r join g on g.child = r.b),
+k as (select r.a as node, min(r.b) as m from r join r as s on s.a = r.b and s.b = r.a group by r.a), a as (select n as node from p union select child from g union select parent from g)
+select a.node, least(a.node, coalesce(m, a.node)) as component from a left join k using (node)""")
+def q134_components(t: Tables) -> DataFrame:
+    """Rings of 111 nodes, chains between them and edges that close none."""
+    p, last = F.col("p_partkey"), t.part.agg(F.max("p_partkey").alias("last"))
+    i = p % 120
+    n = t.part.select("p_partkey").crossJoin(F.broadcast(last))  # one row
+    ring = n.where((i <= 110) & (p + 1 <= F.col("last"))).select(p.alias("child"), F.when(i == 110, p - 110).otherwise(p + 1).alias("parent"))
+    more = n.select(p.alias("child"), F.explode(F.array(F.when((i % 10 == 9) & (i > 110), p - 3), F.when(i == 5, p + 120), F.when(i > 110, p + 2))).alias("parent"))
+    return graphs.strong_components(t.part.select(p.alias("node")), ring.union(more.where("parent IS NOT NULL")))
 
 
 @query("q134_cycle_repair")
