@@ -92,8 +92,23 @@ def test_terms_that_cannot_reach_the_bound_do_not_leave_the_scan(spark):
 
     rows = [("en", "s", f"common rare{chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(300)]
     docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(3)
-    got = {r.term: (r.n, r.docs) for r in count_terms(docs, document_frequencies(docs, 1 << 14), 10).collect()}
-    assert got == {"common": (300, 300)}
+    got = count_terms(docs, document_frequencies(docs, 1 << 14), 10).collect()
+    assert {r.term for r in got} == {"common"} and sum(r.n for r in got) == sum(r.docs for r in got) == 300
+    assert all([tuple(x) for x in r.found] == [("s", r.n)] for r in got)
+
+
+def test_hashes_do_not_depend_on_how_a_text_is_cut(monkeypatch):
+    from tidewell.llm import divergence
+
+    words = ["a", "b" * 63, "c" * 64, "d" * 65, "e" * 1000, "été", "f" * 129, "x"] * 3
+    raw = " ".join(words).encode() + b"  tail " + b"g" * 700
+    starts, whole = divergence.word_hashes(raw)
+    assert [raw[k:].split()[0] for k in starts.tolist()] == raw.split() and len(set(whole.tolist())) == 10
+    monkeypatch.setattr(divergence, "PIECE", 128)
+    again, cut = divergence.word_hashes(raw)
+    assert (cut == whole).all() and (again == starts).all()
+    hashes, n = divergence.holders(["the cat the", "", "The end", "cat 1 cat"])
+    assert sorted(n.tolist()) == [1, 2, 2] and len(set(hashes.tolist())) == 3
 
 
 def test_odd_tables(spark):

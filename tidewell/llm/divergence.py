@@ -22,7 +22,6 @@ beyond text, lang and source play no part; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,16 +30,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, forget, release_memory, text_batches
+from tidewell.llm.common import cut, drop_path, forget, mix64, release_memory, scratch_path, text_batches
 
 #: Counters of a row of the sketch, and its rows.  One byte a counter: it saturates far above any bound.
 WIDTH, DEPTH = 1 << 22, 3
 #: What a counter saturates at; bounds on document frequency must lie below.
 FULL = 255
-#: Terms and bytes of terms that a task counts before it puts out sums.
-HELD_TERMS, HELD_BYTES = 200_000, 16 << 20
+#: Sums by source and term that a task holds before it puts them out, terms that it knows, and their bytes.
+HELD_SUMS, HELD_TERMS, HELD_BYTES = 1_000_000, 200_000, 8 << 20
 #: Counters of a slice of the sketch, which is what moves when sketches are merged.
 SLICE = 1 << 19
+#: Bytes of text that are hashed at once; a multiple of the 64 places that have weights.
+PIECE = 1 << 20
+_WEIGHTS = mix64(np.arange(64, dtype=np.uint64)) | np.uint64(1)
 #: One in probabilities.
 UNIT = 1_000_000_000
 
@@ -53,20 +55,62 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
+def _hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words between spaces begin, and a sum over each word's bytes, weighed by their place."""
+    word = buf != 32
+    edge = np.diff(word.view(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = (np.arange(int(sizes.sum())) - np.repeat(first, sizes)) & 63
+    return starts, np.add.reduceat(buf[word].astype(np.uint64) * _WEIGHTS[place], first) + sizes.astype(np.uint64)
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``raw`` begin and a 64-bit hash of each, without an object a word; piece by piece, words uncut."""
+    out, at = [], 0
+    while at < len(raw):
+        end = len(raw) if len(raw) - at <= PIECE else raw.rfind(b" ", at, at + PIECE)
+        if end < at:  # a word longer than a piece: its blocks' sums add up, since weights repeat with the block
+            end = raw.find(b" ", at + PIECE)
+            end = len(raw) if end < 0 else end
+            total = sum(int(_hashes(np.frombuffer(raw, np.uint8, min(PIECE, end - k), k))[1][0]) for k in range(at, end, PIECE))
+            out.append((np.array([at]), np.array([total & (2**64 - 1)], np.uint64)))
+        elif end > at:
+            starts, sums = _hashes(np.frombuffer(raw, np.uint8, end - at, at))
+            out.append((starts + at, sums))
+        at = max(end, at + 1)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([x for x, _ in out]), mix64(np.concatenate([h for _, h in out]))
+
+
+def spread(hashes: np.ndarray, lang: str, width: int) -> np.ndarray:
+    """A counter in each row of the sketch for every hash of a language's terms: an array of rows by hashes."""
+    own = mix64(hashes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))))
+    step = (own >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(mix64(own + np.uint64(k) * step) % np.uint64(width)).astype(np.int64) for k in range(DEPTH)])
+
+
 def places(lang: str, terms: list[bytes], width: int) -> np.ndarray:
-    """A counter in each row of the sketch for every term: an array of rows by terms."""
-    seed = zlib.crc32(lang.encode("utf-8", "surrogatepass"))
-    one = np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in terms), np.uint64, len(terms))
-    step = (one >> np.uint64(32)) | np.uint64(1)
-    return np.stack([((one + np.uint64(k) * step) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(width) for k in range(DEPTH)]).astype(np.int64)
+    """The counters of terms."""
+    return spread(word_hashes(b" ".join(terms))[1], lang, width)
 
 
-def _raise(sketch: np.ndarray, at: np.ndarray, by: np.ndarray) -> None:
-    """Add to counters, some perhaps twice, up to where they saturate."""
-    for k in range(DEPTH):
-        where, same = np.unique(at[k], return_inverse=True)
-        total = np.bincount(same, weights=by).astype(np.int64)
-        sketch[k, where] = np.minimum(FULL, sketch[k, where].astype(np.int64) + total)
+def holders(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the texts' terms, and how many of the texts hold each."""
+    raws = [t.encode("utf-8", "surrogatepass").translate(_LETTERS) for t in texts]
+    starts, hashes = word_hashes(b" ".join(raws))
+    order = np.argsort(hashes, kind="stable")  # a hash's texts come in their order
+    hashes, text = hashes[order], np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), starts, side="right")[order]
+    if not len(hashes):
+        return hashes, np.zeros(0, np.int64)
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    first = np.flatnonzero(new)
+    new[1:] |= text[1:] != text[:-1]
+    return hashes[first], np.add.reduceat(new.astype(np.int64), first)
 
 
 def document_frequencies(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
@@ -74,29 +118,17 @@ def document_frequencies(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        sketch = np.zeros((DEPTH, width), np.uint8)
-        held: dict[str, Counter] = {}
-        size = weight = 0
-
-        def empty() -> None:
-            for lang, counts in held.items():
-                terms = list(counts)
-                _raise(sketch, places(lang, terms, width), np.fromiter(counts.values(), np.int64, len(terms)))
-            held.clear()
-
+        sketch = np.zeros((DEPTH, width), np.uint16)
         for batch in batches:
             for part, texts in text_batches(batch, "text"):
-                for lang, text in zip(part.column("lang").to_pylist(), texts):
-                    counts, terms = held.setdefault(lang, Counter()), set(terms_of(text))
-                    new = terms - counts.keys()
-                    counts.update(terms)
-                    size, weight = size + len(new), weight + sum(map(len, new))
-                    if size > HELD_TERMS or weight > HELD_BYTES:
-                        empty()
-                        size = weight = 0
-        empty()
+                langs = part.column("lang").to_pylist()
+                for lang in set(langs):
+                    hashes, n = holders([t for x, t in zip(langs, texts) if x == lang])
+                    for row, at in zip(sketch, spread(hashes, lang, width)):
+                        np.add.at(row, at, n.astype(np.uint16))  # at most a batch's rows above what it saturates at
+                        row[at] = np.minimum(row[at], FULL)
         flat = sketch.reshape(-1)
-        out = [(k, zlib.compress(flat[k * SLICE : (k + 1) * SLICE].tobytes(), 1)) for k in range(-(-len(flat) // SLICE)) if flat[k * SLICE : (k + 1) * SLICE].any()]
+        out = [(k, zlib.compress(flat[k * SLICE : (k + 1) * SLICE].astype(np.uint8).tobytes(), 1)) for k in range(-(-len(flat) // SLICE)) if flat[k * SLICE : (k + 1) * SLICE].any()]
         release_memory()
         yield pa.RecordBatch.from_pydict({"slice": [k for k, _ in out], "payload": [p for _, p in out]}, pa.schema([("slice", pa.int32()), ("payload", pa.binary())]))
 
@@ -117,61 +149,89 @@ def document_frequencies(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     return out.reshape(DEPTH, width)
 
 
+class Terms:
+    """Numbers of a language's terms in one task; -1 for those that the sketch rules out."""
+
+    def __init__(self, lang: str, bits: np.ndarray, width: int) -> None:
+        self.lang, self.bits, self.width = lang, bits, width
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.passed: list[bytes] = []
+        self.weight = 0
+
+    def learn(self, docs: list[list[bytes]]) -> None:
+        new = list(set().union(*docs).difference(self.numbers))
+        if not new:
+            return
+        at = places(self.lang, new, self.width)
+        ok = np.logical_and.reduce([(row[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & 1 for row, a in zip(self.bits, at)])
+        numbers = np.where(ok, len(self.passed) + np.cumsum(ok) - 1, -1)
+        self.numbers.update(zip(new, numbers.tolist()))
+        self.passed += [t for t, x in zip(new, ok) if x]
+        self.weight += sum(map(len, new))
+
+
+def summed(key: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both sums by key."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    return key[first], np.add.reduceat(n[order], first) if len(first) else n, np.add.reduceat(docs[order], first) if len(first) else docs
+
+
 def count_terms(docs: DataFrame, sketch: np.ndarray, least_docs: int) -> DataFrame:
-    """``lang, source, term, n, docs``: exact occurrences and documents of the terms that the sketch doesn't rule out."""
+    """``lang, term, docs, n, found`` of each task: exact documents and occurrences, these also by source, of the terms that the sketch doesn't rule out."""
     width = sketch.shape[1]
     passed = np.packbits(sketch >= least_docs, axis=1)  # all that the scan asks of the sketch: one bit a counter
     shared = docs.sparkSession.sparkContext.broadcast(passed)
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        bits = shared.value
-        known: dict[str, dict[bytes, bool]] = {}
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        size = weight = judged = judged_bytes = 0
-
-        def judge(lang: str, terms: list[bytes]) -> None:
-            if terms:
-                at = places(lang, terms, width)
-                ok = np.logical_and.reduce([(bits[k][at[k] >> 3] >> (7 - (at[k] & 7)).astype(np.uint8)) & 1 for k in range(DEPTH)])
-                known[lang].update(zip(terms, ok.tolist()))
+        known: dict[str, Terms] = {}
+        sources: dict[str, int] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
         def put() -> Iterator[pa.RecordBatch]:
-            for (lang, source), sums in held.items():
-                terms = [t.decode("utf-8", "surrogatepass") for t in sums]
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(terms), "source": [source] * len(terms), "term": terms, "n": [v[0] for v in sums.values()], "docs": [v[1] for v in sums.values()]}, schema)
+            names = pa.array(sources, pa.string())
+            for lang, chunks in held.items():
+                key, n, of = summed(*map(np.concatenate, zip(*chunks)))
+                number = key >> 32
+                first = np.flatnonzero(np.diff(number, prepend=-1))
+                terms = pa.array([known[lang].passed[k].decode("utf-8", "surrogatepass") for k in number[first].tolist()], pa.string())
+                by_source = pa.StructArray.from_arrays([names.take(pa.array(key & 0xFFFFFFFF)), pa.array(n)], ["source", "n"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), by_source)
+                sums = [pa.array(np.add.reduceat(x, first) if len(first) else x) for x in (of, n)]
+                whole = pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), terms, *sums, lists], ["lang", "term", "docs", "n", "found"])
+                yield from (whole.slice(k, 5_000) for k in range(0, len(first), 5_000))
             held.clear()
+            sources.clear()
+            for terms_ in known.values():
+                terms_.clear()
 
         for batch in batches:
             for part, texts in text_batches(batch, "text"):
-                counted = [Counter(terms_of(t)) for t in texts]
-                langs, sources = part.column("lang").to_pylist(), part.column("source").to_pylist()
+                langs, of = part.column("lang").to_pylist(), [sources.setdefault(s, len(sources)) for s in part.column("source").to_pylist()]
                 for lang in set(langs):
-                    mine = known.setdefault(lang, {})
-                    new = list({t for x, c in zip(langs, counted) if x == lang for t in c if t not in mine})
-                    judge(lang, new)
-                    judged, judged_bytes = judged + len(new), judged_bytes + sum(map(len, new))
-                for lang, source, c in zip(langs, sources, counted):
-                    mine, sums = known[lang], held.setdefault((lang, source), {})
-                    for t, n in c.items():
-                        if mine[t]:
-                            if (s := sums.get(t)) is None:
-                                sums[t] = [n, 1]
-                                size, weight = size + 1, weight + len(t)
-                            else:
-                                s[0] += n
-                                s[1] += 1
-                if size > HELD_TERMS or weight > HELD_BYTES:
+                    mine = known.setdefault(lang, Terms(lang, shared.value, width))
+                    found = [terms_of(t) for x, t in zip(langs, texts) if x == lang]
+                    mine.learn(found)
+                    get, sizes = mine.numbers.__getitem__, np.fromiter(map(len, found), np.int64, len(found))
+                    flat = np.fromiter((k for terms in found for k in map(get, terms)), np.int64, int(sizes.sum()))
+                    row = np.repeat(np.arange(len(found)), sizes)
+                    pairs, n = np.unique((row[flat >= 0] << 32) | flat[flat >= 0], return_counts=True)  # a document's term
+                    source = np.array([s for x, s in zip(langs, of) if x == lang], np.int64)[pairs >> 32]
+                    chunks = held.setdefault(lang, [])
+                    chunks.append(summed(((pairs & 0xFFFFFFFF) << 32) | source, n, np.ones(len(n), np.int64)))
+                    if len(chunks) > 16:
+                        held[lang] = [summed(*map(np.concatenate, zip(*chunks)))]
+                if sum(len(c[0]) for chunks in held.values() for c in chunks) > HELD_SUMS or sum(len(t.numbers) for t in known.values()) > HELD_TERMS or sum(t.weight for t in known.values()) > HELD_BYTES:
                     yield from put()
-                    size = weight = 0
-                if judged > HELD_TERMS or judged_bytes > HELD_BYTES:
-                    known.clear()
-                    judged = judged_bytes = 0
         yield from put()
+        release_memory()
 
-    sums = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, docs long")
-    return sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return docs.select("lang", "source", "text").mapInArrow(count, "lang string, term string, docs long, n long, found array<struct<source: string, n: long>>")
 
 
 def probability(n: Column | str, total: Column | str, terms: Column | str) -> Column:
@@ -195,12 +255,15 @@ def audit(docs: DataFrame, least_docs: int = 10, top_terms: int = 10, width: int
         raise ValueError(f"the bound on document frequency must lie from 1 to {FULL}")
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     groups = cut(plain.select("lang", "source").distinct())
-    counts = cut(count_terms(plain, document_frequencies(plain, width), least_docs))
-
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least_docs).drop("docs")
-    of_lang = cut(of_lang)
+    path = scratch_path(docs.sparkSession, "terms")
+    count_terms(plain, document_frequencies(plain, width), least_docs).write.parquet(path)  # compact: each term once a task
+    counted = docs.sparkSession.read.parquet(path)
+    of_lang = cut(counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least_docs).drop("docs"))
     langs = of_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n_lang").alias("lang_total"))
-    kept = counts.drop("docs").join(of_lang, ["lang", "term"])
+    here = counted.select("lang", "term", "found").repartition("lang", "term").join(of_lang.hint("shuffle_hash"), ["lang", "term"])
+    each = here.select("lang", "term", "n_lang", F.explode("found").alias("x")).select("lang", F.col("x.source").alias("source"), "term", "n_lang", F.col("x.n").alias("n"))
+    kept = cut(each.groupBy("lang", "term", "n_lang", "source").agg(F.sum("n").alias("n")))  # lies together by term already
+    drop_path(docs.sparkSession, path)
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     # one row a source: its total, its language's number of terms, the probability of a term that it lacks
     sized = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "v", "lang_total"])
