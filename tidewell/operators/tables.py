@@ -17,9 +17,20 @@ def latest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def unique(rows: DataFrame, key: str) -> DataFrame:
+    """The rows, or an error when they are computed if two of them have one key."""
+    twice = F.concat(F.lit(f"two rows have one {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    return counted.where(F.when(F.col("_n") > 1, F.raise_error(twice).cast("boolean")).otherwise(F.lit(True))).drop("_n")
+
+
 def upsert(base: DataFrame, updates: DataFrame, key: str, *order: Column) -> DataFrame:
-    """Rows of ``updates`` replace rows of ``base`` with the same key; of several, the first in order stays."""
-    new = latest(updates, [key], *order) if order else updates
+    """Rows of ``updates`` replace rows of ``base`` with the same key; of several, the first in order stays.
+
+    Without an order two updates of one key are an error, since nothing says which is
+    the last.
+    """
+    new = latest(updates, [key], *order) if order else unique(updates, key)
     return base.join(new.select(key), key, "left_anti").unionByName(new.select(*base.columns))
 
 

@@ -71,6 +71,18 @@ def q109(t: Tables) -> DataFrame:
     return retrieval.nearest(asked(t), rows, "vec_id", "vec_id", 10, apart=True).select("query", "vec_id", "score")
 
 
+@query("q109_index_knn")
+def q109_index(t: Tables) -> DataFrame:
+    """The same search through a stored index; recall is measured in the tests."""
+    from tidewell.sources.vector_index import VectorIndex
+    from tidewell.streaming.run import scratch
+
+    index = VectorIndex(t.spark, scratch(t.spark, "index"))
+    index.build(t.embeddings, "vec_id", "embedding")
+    found = index.search(asked(t), "vec_id", "embedding", k=10, where=F.col("label").isin(1, 2, 3), apart=True)
+    return found.select("query", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query("q110_batched_trust_rank", f"""
 with s as (select q.vec_id as query, e.vec_id, {COS} * 0.9 as sim, case when e.vec_id % 5 = 0 then null else (e.vec_id % 7) / 10.0 end as trust from embeddings q, embeddings e where q.vec_id % 50 = 0 and q.vec_id <> e.vec_id),
 k as (select query, vec_id, round(sim * case when trust is null or trust = 0 then 1.0 else trust end, 6) as score from s where case when trust is null or trust = 0 then 1.0 else trust end >= 0.2 or sim >= 0.85), r as (select *, row_number() over (partition by query order by score desc, vec_id) rn from k)

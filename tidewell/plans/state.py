@@ -119,6 +119,20 @@ def q175(t: Tables) -> DataFrame:
     return upsert(base, fresh, "conv_id")
 
 
+@query("q175_stream_merge", "select conv_id::varchar as id, max(turn)::bigint as turn from conversations where conv_id is not null group by conv_id")
+def q175_stream(t: Tables) -> DataFrame:
+    """The last turn of each conversation, merged by id from three batches of a stream."""
+    from tidewell.sources.vector_table import SCHEMA, VectorTable
+
+    source, state, table = scratch(t.spark, "turns"), scratch(t.spark, "state"), VectorTable(t.spark, scratch(t.spark, "merged"))
+    table.create()
+    turns = t.conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("string").alias("id"), F.array(F.col("turn").cast("float")).alias("embedding"), F.create_map(F.lit("turn"), F.col("turn").cast("string")).alias("payload"), F.lit("m").alias("embed_model"))
+    for low, high in ((0, 2), (2, 4), (4, 1 << 30)):  # the stream starts anew from its checkpoint each time
+        turns.where((F.col("embedding")[0] >= low) & (F.col("embedding")[0] < high)).write.mode("append").parquet(source)
+        table.merge_stream(t.spark.readStream.schema(SCHEMA).parquet(source), "turns", state, F.desc(F.col("embedding")[0]))
+    return table.rows().select("id", F.col("payload")["turn"].cast("long").alias("turn"))
+
+
 @query("q176_vector_backend", """
 with a as (select vec_id, label, embedding::double[] as e from embeddings where vec_id % 7 <> 3), q as (select e.vec_id as v, e.embedding::double[] as w from embeddings e where e.vec_id = 0)
 select vec_id::varchar as id, round(list_cosine_similarity(e, w), 5) as score, (select count(*) from a) as rows from a, q where label % 2 = 0 and vec_id % 5 <> 1 order by round(list_cosine_similarity(e, w), 5) desc, vec_id::varchar limit 10""")
@@ -130,7 +144,9 @@ def q176(t: Tables) -> DataFrame:
     table.create()
     rows = t.embeddings.select(F.col("vec_id").cast("string").alias("id"), "embedding", F.create_map(F.lit("k"), (F.col("vec_id") % 5).cast("string"), F.lit("d"), (F.col("vec_id") % 7).cast("string")).alias("payload"), F.concat(F.lit("m"), F.col("label") % 2).alias("embed_model"))
     table.upsert(rows)
-    table.upsert(rows.where("payload['k'] = '1'"))
+    again = rows.where("payload['k'] = '1'")
+    stale = again.withColumn("payload", F.create_map(F.lit("k"), F.lit("0"))).withColumn("at", F.lit(1))
+    table.upsert(again.withColumn("at", F.lit(2)).unionByName(stale), F.desc("at"))  # a batch that holds its ids twice
     table.delete(F.col("payload")["d"] == "3")
     first = [float(x) for x in t.embeddings.where("vec_id = 0").first().embedding]
     found = table.search(first, "m0", 10, F.col("payload")["k"] != "1", digits=5)
