@@ -41,12 +41,15 @@ def q107(t: Tables) -> DataFrame:
     return rank.top_per_group(scored(t), ["query"], 7, *best()).select("query", "vec_id", "score")
 
 
-@query("q108_lexical_vector_search", r"""
+BM25_SQL = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from documents), st as (select count(*) n, avg(len(w)) mean from d),
 qs as (select conv_id as query, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 5)) as terms from conversations where turn = 0 and conv_id % 50 = 0), qt as (select query, unnest(terms) as term from qs),
 tf as (select doc_id, len, term, count(*) tf from (select doc_id, len(w) as len, unnest(w) as term from d) where term in (select term from qt) group by all), df as (select term, count(*) df from tf group by term),
 s as (select query, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score from tf join df using (term) join qt using (term), st group by all),
-r as (select query, doc_id, round(score, 4) as score, row_number() over (partition by query order by round(score, 4) desc, doc_id) rn from s) select query, doc_id, score from r where rn <= 5""")
+r as (select query, doc_id, round(score, 4) as score, row_number() over (partition by query order by round(score, 4) desc, doc_id) rn from s) select query, doc_id, score from r where rn <= 5"""
+
+
+@query("q108_lexical_vector_search", BM25_SQL)
 def q108(t: Tables) -> DataFrame:
     """BM25 over words; ``q108_rank_fusion`` joins it with vectors."""
     words = F.split(F.lower("text"), "[^a-z0-9]+")
@@ -55,6 +58,20 @@ def q108(t: Tables) -> DataFrame:
     return rank.top_per_group(s, ["query"], 5, F.desc("score"), F.asc("doc_id"))
 
 
+@query("q108_keyword_index", BM25_SQL)
+def q108_index(t: Tables) -> DataFrame:
+    """The same through a stored index of two segments, the second of which replaces a part of the first."""
+    from tidewell.sources.keyword_index import KeywordIndex
+    from tidewell.streaming.run import scratch
+
+    index, words = KeywordIndex(t.spark, scratch(t.spark, "words")), F.split(F.lower("text"), "[^a-z0-9]+")
+    part = F.pmod("doc_id", F.lit(3))
+    index.add(t.documents.where(part != 1), "doc_id", F.when(part == 0, F.array(F.lit("old"))).otherwise(words))
+    index.add(t.documents.where(part != 2), "doc_id", words)
+    qs = t.conversations.where("turn = 0 AND conv_id % 50 = 0").select("conv_id", texts.tokens("text", 5).alias("terms"))
+    return index.search(qs, "conv_id", F.col("terms"), k=5, digits=4).rows.select("query", F.col("key").alias("doc_id"), "score")
+
+
 @query("q108_rank_fusion", NEAR_SQL + """, a as (select *, row_number() over (partition by query order by score desc, vec_id) as rank from s qualify rank <= 20), b as (select query, vec_id, row_number() over (partition by query order by (vec_id * 7919) % 997, vec_id) as rank from s qualify rank <= 20)
 select query, vec_id, round(sum(1 / (60.0 + rank)), 6) as fused from (select query, vec_id, rank from a union all select query, vec_id, rank from b) group by all""")
 def q108_fusion(t: Tables) -> DataFrame:
