@@ -131,6 +131,16 @@ def q148(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.substring(texts.squeeze(texts.merge_hyphens(dirty)), 1, 4000).alias("body"))
 
 
+@query("q148_glued_words")
+def q148_glued(t: Tables) -> DataFrame:
+    """Documents whose first words lost their spaces, split by the word frequencies of all documents."""
+    from tidewell.operators.segmentation import split_glued, word_counts
+
+    head = F.substring_index("text", " ", 8)
+    glued = t.documents.select("doc_id", F.concat(F.regexp_replace(head, "[^A-Za-z]", ""), F.lit(" "), F.col("text")).alias("body"))
+    return split_glued(glued, "doc_id", "body", word_counts(t.documents, "text"))
+
+
 @query("q149_sentence_heads", r"with s as (select doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as s, case doc_id % 3 when 0 then 'all' when 1 then 'first' else 'first_two' end as mode, text from documents) select doc_id, len(s)::bigint as sentences, case mode when 'first' then coalesce(s[1], '') when 'first_two' then array_to_string(s[1:2], ' ') else trim(text) end as head from s")
 def q149(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", F.col("text").alias("x"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'first' ELSE 'first_two' END").alias("mode"))
@@ -155,6 +165,36 @@ def q150_headings(t: Tables) -> DataFrame:
     return h.where(F.length("title") >= 2)
 
 
+@query("q150_heading_tree", r"""
+with recursive t as (select page_id, regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>') as tags from pages), e as (select page_id, unnest(range(len(tags))) as i, unnest(tags) as tag from t),
+h as (select page_id, i, regexp_extract(tag, '(?i)<h([1-6])', 1)::int as level, trim(regexp_replace(regexp_replace(tag, '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) as title from e), k as (select * from h where length(title) >= 2 union all select -1 - conv_id, turn, 1 + (conv_id + turn * turn) % 4, role from conversations),
+p as (select *, (select max(b.i) from k b where b.page_id = k.page_id and b.i < k.i and b.level < k.level) as parent from k),
+r(page_id, i, above, path) as (select page_id, i, parent, title from p union all select r.page_id, r.i, p.parent, p.title || ' > ' || r.path from r join p on p.page_id = r.page_id and p.i = r.above)
+select p.page_id, p.i, level, title, parent, path from p join r using (page_id, i) where r.above is null""")
+def q150_tree(t: Tables) -> DataFrame:
+    """Each heading with the one it stands under and the titles from the root; turns of conversations count as headings of a document each."""
+    from tidewell.operators.outline import heading_tree
+
+    turns = t.conversations.select((-1 - F.col("conv_id")).alias("page_id"), F.col("turn").cast("long").alias("i"), (1 + (F.col("conv_id") + F.col("turn") * F.col("turn")) % 4).cast("int").alias("level"), F.col("role").alias("title"))
+    h = q150_headings(t).unionByName(turns)
+    return heading_tree(h, ["page_id"], "i", "level", "title").withColumn("path", F.array_join("path", " > "))
+
+
+@query("q150_window_sections", r"""
+with t as (select page_id, regexp_extract_all(html, '(?is)<(?:h[1-6]|p)\b[^>]*>.*?</(?:h[1-6]|p)>') as tags from pages), e as (select page_id, unnest(range(len(tags))) as p, unnest(tags) as tag from t),
+x as (select page_id, p, regexp_matches(tag, '(?i)^<h[1-6]') as head, trim(regexp_replace(regexp_replace(tag, '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) as body from e)
+select page_id, p as first, (select arg_max(body, h.p) from x h where h.page_id = x.page_id and h.head and h.p <= x.p) as section from x where not head""")
+def q150_window_sections(t: Tables) -> DataFrame:
+    """The section of each paragraph: the last heading before it, its title matched to the paragraph that bears it."""
+    from tidewell.operators.outline import match_paragraphs, sections_of
+
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:h[1-6]|p)\b[^>]*>.*?</(?:h[1-6]|p)>"), F.lit(0))
+    x = t.pages.select("page_id", F.posexplode(tags).alias("p", "tag")).select("page_id", F.col("p").cast("long").alias("p"), F.col("tag").rlike("(?i)^<h[1-6]").alias("head"), texts.strip_tags("tag").alias("body"))
+    heads = x.where("head").select("page_id", "p", F.col("body").alias("title"))
+    titled = match_paragraphs(heads.withColumn("h", F.concat_ws(" ", "p", "title")), x.where("head").withColumn("body", F.concat_ws(" ", "p", "body")), ["page_id"], "p", "h", "p", "body")
+    return sections_of(x.where("NOT head").select("page_id", F.col("p").alias("first")), titled, ["page_id"], "first", "start", "title")
+
+
 @query("q151_token_estimate", "with d as (select doc_id, case when doc_id % 4 = 0 then text || 'Привет мир' else text end as t from documents) select doc_id, floor(length(regexp_replace(t, '[^Ѐ-ӿ]', '', 'g')) / 1.75::double + (length(t) - length(regexp_replace(t, '[^Ѐ-ӿ]', '', 'g'))) / 3.7::double)::bigint as tokens from d")
 def q151(t: Tables) -> DataFrame:
     text = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("Привет мир"))).otherwise(F.col("text"))
@@ -270,6 +310,30 @@ def q162(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json(body, "k int").getField("k").alias("k"))
 
 
+@query("q162_partial_field", r"""
+with r as (select event_id, '{"id": ' || event_id || ', "note": "' as head, event_type || ' \"so\" end' as enc, '", "p": ' || props || '}' as tail from events), c as (select *, (event_id * 37) % (length(head || enc || tail) + 1) as cut, length(head) as start from r),
+p as (select *, case when cut >= start then left(enc, greatest(cut - start, 0)::int) else '' end as part from c)
+select event_id, case when cut < start then 'missing' when cut >= start + length(enc) + 1 then 'complete' else 'partial' end as status, replace(case when part like '%\' then left(part, length(part) - 1) else part end, '\"', '"') as value from p""")
+def q162_partial(t: Tables) -> DataFrame:
+    """A field of objects that were cut somewhere."""
+    from tidewell.functions.partial_json import partial_field
+
+    return cut_objects(t).select("event_id", partial_field("raw", "note").alias("f")).select("event_id", "f.status", "f.value")
+
+
+@query("q162_completed")
+def q162_completed(t: Tables) -> DataFrame:
+    """The same objects closed where they were cut."""
+    from tidewell.functions.partial_json import completed
+
+    return cut_objects(t).select("event_id", completed("raw").alias("c")).select("event_id", "c.status", "c.body")
+
+
+def cut_objects(t: Tables) -> DataFrame:
+    whole = F.concat(F.lit('{"id": '), F.col("event_id"), F.lit(', "note": "'), F.col("event_type"), F.lit(' \\"so\\" end", "p": '), F.col("props"), F.lit("}"))
+    return t.events.select("event_id", whole.alias("raw")).withColumn("raw", F.substring("raw", F.lit(1), F.pmod(F.col("event_id") * 37, F.length("raw") + 1).cast("int")))
+
+
 @query("q163_dates", "select event_id, epoch_us(ts) // 1000000 as at, epoch_us(date_trunc('minute', ts) + interval 1 minute) // 1000000 as next_minute, strftime(ts - interval 8 hour, '%Y-%m-%d') as pacific_day from events")
 def q163(t: Tables) -> DataFrame:
     pacific = F.date_format(F.from_utc_timestamp("ts", "America/Los_Angeles"), "yyyy-MM-dd")

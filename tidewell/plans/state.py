@@ -94,6 +94,22 @@ def q170_stream(t: Tables) -> DataFrame:
     return drain(minute_usage(s, "ts", "user_id", "value"), mode="complete").withColumn("total", F.round("total", 4)).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
+def budget_events(t: Tables) -> DataFrame:
+    """Every third event tells what the last request used, the others ask; some only warm up."""
+    prompt, i = (F.col("value") * 40).cast("long"), F.col("event_id")
+    kind = F.when(i % 3 == 0, "reconcile").otherwise("reserve")
+    return t.events.select("event_id", "user_id", "ts", kind.alias("kind"), prompt.alias("prompt"), (i % 5 * 20).alias("output"), prompt.alias("actual_prompt"), F.floor(prompt * (i % 4) / 4).alias("cached"), (i % 7).alias("completion"), (i % 17 == 0).alias("warm"))
+
+
+@query("q170_admission")
+def q170_admission(t: Tables) -> DataFrame:
+    """Waits, reservations and what each user's window holds after every event."""
+    from tidewell.operators.admission import admit
+
+    a = admit(budget_events(t), ["user_id"], ["event_id"], F.col("ts"), max_requests=3, max_tokens=6000, window=86_400.0)
+    return a.select("event_id", F.round("waited", 3).alias("waited"), "reserved", "requests", "tokens", F.round("factor", 6).alias("factor"))
+
+
 @query("q171_moving_factor", "with r as (select user_id, value / 50 as x, row_number() over (partition by user_id order by ts desc) as back, count(*) over (partition by user_id) as n from events) select user_id, round(pow(0.8, max(n)) * 1.0 + sum(0.2 * pow(0.8, back - 1) * x), 6) as factor from r group by user_id")
 def q171(t: Tables) -> DataFrame:
     e = t.events.withColumn("x", F.col("value") / 50)
