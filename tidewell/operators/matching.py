@@ -37,6 +37,20 @@ def _held_in(needles: DataFrame, hay: DataFrame, keys: Sequence[str], width: int
     return met.where(F.contains("_h", "_n")).select(*keys, "_n", "_h")
 
 
+def containment_within(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, place: str) -> DataFrame:
+    """Each distinct text of ``left`` with the sorted distinct places of the texts of ``right``, of equal keys, that equal or hold it or lie in it.
+
+    A key is one document, whose texts are compared side by side as two lists; only what
+    is met leaves them.  Blank texts match nothing.  For tables without such a key there
+    is ``containment``.
+    """
+    lefts = left.where(F.length(F.trim(a)) > 0).groupBy(*keys).agg(F.collect_set(a).alias("_l"))
+    rights = right.where(F.length(F.trim(b)) > 0).groupBy(*keys).agg(F.collect_list(F.struct(F.col(b).alias("t"), F.col(place).alias("p"))).alias("_r"))
+    held = lambda c: F.array_sort(F.array_distinct(F.transform(F.filter("_r", lambda r: F.contains(r["t"], c) | F.contains(c, r["t"])), lambda r: r["p"])))
+    met = lefts.join(rights, list(keys)).select(*keys, F.explode(F.transform("_l", lambda c: F.struct(c.alias("c"), held(c).alias("p")))).alias("m"))
+    return met.where(F.size("m.p") > 0).select(*keys, F.col("m.c").alias(a), F.col("m.p").alias(place))
+
+
 def containment(left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[str] = (), width: int = 8) -> DataFrame:
     """Pairs, within equal ``keys``, where one text equals or holds the other; blank texts match nothing.
 

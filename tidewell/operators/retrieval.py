@@ -124,11 +124,12 @@ def fuse_ranks(ranked: Sequence[DataFrame], keys: Sequence[str], constant: int =
     return rows.groupBy(*keys).agg(F.sum(1 / (F.lit(float(constant)) + F.col("rank"))).alias("fused"))
 
 
-def anchor_first(scored: DataFrame, doc: str, key: str, score: str, supplements: int = 2) -> DataFrame:
-    """All rows of the best row's document in order of key, then the best others; ``place`` from 1."""
-    best = scored.orderBy(F.desc(score), key).limit(1).select(F.col(doc).alias("_doc"))
-    marked = scored.crossJoin(F.broadcast(best))  # one row
+def anchor_first(scored: DataFrame, by: Sequence[str], doc: str, key: str, score: str, supplements: int = 2) -> DataFrame:
+    """For each query (``by``) all rows of the best row's document in order of key, then the best others; ``place`` from 1."""
+    w = Window.partitionBy(*by).orderBy(F.desc(score), F.asc(key))
+    first = scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).select(*by, F.col(doc).alias("_doc"))
+    marked = scored.join(first, list(by))
     whole = marked.where(F.col(doc) == F.col("_doc")).withColumn("_part", F.lit(0)).withColumn("_at", F.col(key).cast("double"))
-    rest = marked.where(F.col(doc) != F.col("_doc")).orderBy(F.desc(score), key).limit(supplements).withColumn("_part", F.lit(1)).withColumn("_at", -F.col(score))
-    order = Window.orderBy("_part", "_at", key)  # one document and its supplements
+    rest = marked.where(F.col(doc) != F.col("_doc")).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= supplements).drop("_rn").withColumn("_part", F.lit(1)).withColumn("_at", -F.col(score))
+    order = Window.partitionBy(*by).orderBy("_part", "_at", key)  # one document and its supplements
     return whole.unionByName(rest).withColumn("place", F.row_number().over(order).cast("long")).drop("_part", "_at", "_doc")

@@ -42,15 +42,14 @@ def q027(t: Tables) -> DataFrame:
 
 
 @query("q028_document_gate", """
-with q as (select embedding::double[] v from embeddings where vec_id = 1), s as (select vec_id, case when vec_id % 9 = 0 then null else list_cosine_similarity(embedding::double[], v) end c from embeddings, q)
-select vec_id from s where c is null or c >= 0.1""")
+with q as (select vec_id as query, embedding::double[] v from embeddings where vec_id % 50 = 0), s as (select query, vec_id, case when vec_id % 9 = 0 then null else list_cosine_similarity(embedding::double[], v) end c from embeddings, q)
+select query, vec_id from s where c is null or round(c, 6) >= 0.1""")
 def q028(t: Tables) -> DataFrame:
     """Chunks whose document is near enough; a missing document vector passes."""
-    from tidewell.functions.vectors import cosine
+    from tidewell.plans.search import pairs_of
 
-    v = t.embeddings.where("vec_id = 1").select(F.col("embedding").alias("v"))
-    doc = F.when(F.col("vec_id") % 9 != 0, F.col("embedding"))
-    return t.embeddings.withColumn("doc", doc).crossJoin(F.broadcast(v)).where(F.col("doc").isNull() | (cosine("doc", "v") >= 0.1)).select("vec_id")  # one query row
+    docs = t.embeddings.withColumn("embedding", F.when(F.col("vec_id") % 9 != 0, F.col("embedding")))
+    return pairs_of(t, docs).where(F.col("score").isNull() | (F.col("score") >= 0.1)).select("query", "vec_id")
 
 
 TRUST_SQL = "with e as (select event_id, value / 50.0 as sim, case when (props->>'$.k')::int % 10 = 0 then null else (props->>'$.k')::int / 100.0 end as trust from events)"
@@ -241,16 +240,15 @@ def q043_snippets(t: Tables) -> DataFrame:
 
 
 @query("q044_anchor_cut", """
-with a as (select embedding::double[] v from embeddings where vec_id = 7), s as (select vec_id, (list_cosine_similarity(embedding::double[], v) + 1) / 2 as score from embeddings, a)
-select vec_id, round(score, 6) as core, round(0.7 * score + 0.3 * coalesce(case when vec_id % 4 = 0 then null else 0.5 end, score), 6) as mixed from s where score >= 0.55""")
+with a as (select vec_id as query, embedding::double[] v from embeddings where vec_id % 50 = 0), s as (select query, vec_id, (round(list_cosine_similarity(embedding::double[], v), 6) + 1) / 2 as score from embeddings, a)
+select query, vec_id, round(score, 7) as core, round(0.7 * score + 0.3 * coalesce(case when vec_id % 4 = 0 then null else 0.5 end, score), 9) as mixed from s where score >= 0.55""")
 def q044(t: Tables) -> DataFrame:
-    """Atoms near the anchor, with the mix of query and core score."""
-    from tidewell.operators.retrieval import fallback_score
+    """Atoms near each anchor, with the mix of query and core score."""
+    from tidewell.plans.search import pairs_of
 
-    v = t.embeddings.where("vec_id = 7").select(F.col("embedding").alias("v"))
-    s = t.embeddings.crossJoin(F.broadcast(v)).select("vec_id", fallback_score("embedding", "v").alias("score")).where("score >= 0.55")  # one anchor
+    s = pairs_of(t, t.embeddings).select("query", "vec_id", ((F.col("score") + 1) / 2).alias("score")).where("score >= 0.55")
     core = F.when(F.col("vec_id") % 4 != 0, 0.5)
-    return s.select("vec_id", F.round("score", 6).alias("core"), F.round(0.7 * F.col("score") + 0.3 * F.coalesce(core, F.col("score")), 6).alias("mixed"))
+    return s.select("query", "vec_id", F.round("score", 7).alias("core"), F.round(0.7 * F.col("score") + 0.3 * F.coalesce(core, F.col("score")), 9).alias("mixed"))
 
 
 @query("q045_scope_preference", """

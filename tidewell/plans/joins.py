@@ -75,17 +75,17 @@ STATEMENTS_SQL = "s as (select doc_id, i, lower(trim(x[i])) as t from (select do
 
 
 @query("q055_containment_join", f"""
-with {STATEMENTS_SQL}, clean as (select distinct doc_id, trim(regexp_replace(t, '^[^ ]+', '')) as c from s where i % 4 = 1)
+with {STATEMENTS_SQL}, clean as (select distinct doc_id, trim(regexp_replace(t, '^[^ ]+', '')) as c from s)
 select c.doc_id, c as clean, array_to_string(list_sort(list_distinct(list(i))), ',') as chunks from clean c join s on s.doc_id = c.doc_id and (s.t = c.c or contains(s.t, c.c) or contains(c.c, s.t)) where c.c <> '' group by all""")
 def q055(t: Tables) -> DataFrame:
     """Clean statements of a document, here without their first word, with the chunks of all raw ones that hold them or lie in them."""
-    from tidewell.operators.matching import containment
+    from tidewell.operators.matching import containment_within
 
     parts = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ")
     raw = t.documents.select("doc_id", F.posexplode(parts).alias("i", "x")).select("doc_id", (F.col("i") + 1).cast("long").alias("chunk"), F.lower(F.trim("x")).alias("raw")).where("raw <> ''")
-    clean = raw.where("chunk % 4 = 1").select("doc_id", F.trim(F.regexp_replace("raw", "^[^ ]+", "")).alias("clean")).distinct()
-    chunks = F.array_join(F.transform(F.array_sort(F.collect_set("chunk")), lambda x: x.cast("string")), ",")
-    return containment(clean, raw, "clean", "raw", keys=["doc_id"]).groupBy("doc_id", "clean").agg(chunks.alias("chunks"))
+    clean = raw.select("doc_id", F.trim(F.regexp_replace("raw", "^[^ ]+", "")).alias("clean"))
+    met = containment_within(clean, raw, ["doc_id"], "clean", "raw", "chunk")
+    return met.select("doc_id", "clean", F.array_join(F.transform("chunk", lambda x: x.cast("string")), ",").alias("chunks"))
 
 
 EDGES_SQL = "with e as (select p_partkey as child, p_partkey // 40 as graph, 40 * (p_partkey // 40) + unnest([p_partkey % 40 // 2, p_partkey % 40 // 3, case when p_partkey % 40 % 7 = 0 then 2 * (p_partkey % 40) % 40 end]) as parent from part), g as (select distinct child, parent, graph from e where parent is not null and parent <> child)"
@@ -169,14 +169,13 @@ def q058_table(t: Tables) -> DataFrame:
 
 
 @query("q059_anchor_expansion", """
-with q as (select embedding::double[] v from embeddings where vec_id = 11), s as (select vec_id, vec_id % 25 as doc, round(list_cosine_similarity(embedding::double[], v), 6) score from embeddings, q), a as (select doc from s order by score desc, vec_id limit 1),
-x as (select vec_id, doc, 0 as part, vec_id as ord, 0.0 as neg from s where doc = (select doc from a)), y as (select vec_id, doc, 1 as part, 0 as ord, -score as neg from s where doc <> (select doc from a) order by score desc, vec_id limit 2)
-select vec_id, doc, row_number() over (order by part, ord, neg, vec_id) as place from (select * from x union all select * from y)""")
+with q as (select vec_id as query, embedding::double[] v from embeddings where vec_id % 50 = 0), s as (select query, vec_id, vec_id % 25 as doc, round(list_cosine_similarity(embedding::double[], v), 6) score from embeddings, q), a as (select query, doc as first from s qualify row_number() over (partition by query order by score desc, vec_id) = 1),
+x as (select query, vec_id, doc, 0 as part, vec_id as ord, 0.0 as neg from s join a using (query) where doc = first), y as (select query, vec_id, doc, 1 as part, 0 as ord, -score as neg from s join a using (query) where doc <> first qualify row_number() over (partition by query order by score desc, vec_id) <= 2)
+select query, vec_id, doc, row_number() over (partition by query order by part, ord, neg, vec_id) as place from (select * from x union all select * from y)""")
 def q059(t: Tables) -> DataFrame:
-    """All chunks of the winning document in order, then two others."""
-    from tidewell.functions.vectors import cosine
+    """For each query all chunks of the winning document in order, then two others."""
     from tidewell.operators.retrieval import anchor_first
+    from tidewell.plans.search import pairs_of
 
-    v = t.embeddings.where("vec_id = 11").select(F.col("embedding").alias("v"))
-    s = t.embeddings.crossJoin(F.broadcast(v)).select("vec_id", (F.col("vec_id") % 25).alias("doc"), F.round(cosine("embedding", "v"), 6).alias("score"))  # one query row
-    return anchor_first(s, "doc", "vec_id", "score", supplements=2).select("vec_id", "doc", "place")
+    s = pairs_of(t, t.embeddings).select("query", "vec_id", (F.col("vec_id") % 25).alias("doc"), "score")
+    return anchor_first(s, ["query"], "doc", "vec_id", "score", supplements=2).select("query", "vec_id", "doc", "place")

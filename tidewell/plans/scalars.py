@@ -254,9 +254,9 @@ def q156(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.round(scores.venue_trust(p % 90, p % 3 == 0, p % 3 == 1), 2).alias("trust"))
 
 
-@query("q157_citations_and_recency", "select p_partkey, round(least(1.0, ln(1 + p_partkey % 90) / ln(41)), 6) as cites, round(case when 1980 + p_size < 1990 then 0.5 else exp(-ln(2) * greatest(0, 2025 - (1980 + p_size)) / 5.0) end, 6) as recency from part where p_size < 46")
+@query("q157_citations_and_recency", "select p_partkey, round(least(1.0, ln(1 + p_partkey % 90) / ln(41)), 6) as cites, round(case when 1980 + p_size < 1990 or 1980 + p_size > 2026 then 0.5 else exp(-ln(2) * greatest(0, 2025 - (1980 + p_size)) / 5.0) end, 6) as recency from part")
 def q157(t: Tables) -> DataFrame:
-    return t.part.where("p_size < 46").select("p_partkey", F.round(scores.citation_share(F.col("p_partkey") % 90), 6).alias("cites"), F.round(scores.recency(1980 + F.col("p_size"), 2025), 6).alias("recency"))
+    return t.part.select("p_partkey", F.round(scores.citation_share(F.col("p_partkey") % 90), 6).alias("cites"), F.round(scores.recency(1980 + F.col("p_size"), 2025), 6).alias("recency"))
 
 
 @query("q158_cosine", "select a.vec_id, case when a.vec_id % 10 = 0 then 0.0 else round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) end as score from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
@@ -341,9 +341,9 @@ def q163(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.unix_seconds(nxt).alias("next_minute"), pacific.alias("pacific_day"))
 
 
-@query("q164_script", "with d as (select doc_id, case doc_id % 3 when 0 then 'Привет мир' || left(text, 3) when 1 then '123' else text end as t from documents) select doc_id, length(regexp_replace(t, '[^А-Яа-яЁё]', '', 'g')) < length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as latin from d")
+@query("q164_script", "with d as (select doc_id, case doc_id % 3 when 0 then repeat('Привет мир', (doc_id % 40)::int) || text when 1 then '123' else text end as t from documents) select doc_id, length(regexp_replace(t, '[^А-Яа-яЁё]', '', 'g')) < length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as latin from d")
 def q164(t: Tables) -> DataFrame:
-    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Привет мир"), F.substring("text", 1, 3))).when(F.col("doc_id") % 3 == 1, "123").otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("Привет мир"), (F.col("doc_id") % 40).cast("int")), "text")).when(F.col("doc_id") % 3 == 1, "123").otherwise(F.col("text"))
     return t.documents.select("doc_id", texts.is_mostly_latin(text).alias("latin"))
 
 

@@ -9,7 +9,9 @@ from tidewell.functions.texts import blocks_of, heading_blocks
 from tidewell.functions.urls import host, strip_slash
 from tidewell.functions.vectors import cosine
 from tidewell.operators import tables as ops
+from tidewell.operators.ranking import top_per_group
 from tidewell.plans.registry import Tables, query
+from tidewell.plans.search import pairs_of
 from tidewell.streaming.run import scratch
 
 
@@ -119,15 +121,15 @@ def q012(t: Tables) -> DataFrame:
 
 
 @query("q013_domain_registry", """
-with q as (select embedding::double[] v from embeddings where vec_id = 0),
-s as (select e.vec_id, e.vec_id % 40 as host, round(list_cosine_similarity(e.embedding::double[], q.v), 6) as score from embeddings e, q where e.label % 2 = 0),
-d as (select *, row_number() over (partition by host order by score desc, vec_id) rn from s where score >= 0.05)
-select vec_id, host, score from d where rn = 1 order by score desc, vec_id limit 8""")
+with q as (select vec_id as query, embedding::double[] v from embeddings where vec_id % 50 = 0),
+s as (select query, e.vec_id, e.vec_id % 40 as host, round(list_cosine_similarity(e.embedding::double[], q.v), 6) as score from embeddings e, q where e.label % 2 = 0),
+d as (select *, row_number() over (partition by query, host order by score desc, vec_id) rn from s where score >= 0.05)
+select query, vec_id, host, score from d where rn = 1 qualify row_number() over (partition by query order by score desc, vec_id) <= 8""")
 def q013(t: Tables) -> DataFrame:
-    """Nearest rows of one class, one for each host."""
-    v = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("v"))
-    scored = t.embeddings.where("label % 2 = 0").crossJoin(F.broadcast(v)).select("vec_id", (F.col("vec_id") % 40).alias("host"), F.round(cosine("embedding", "v"), 6).alias("score"))  # one query row
-    return ops.latest(scored.where("score >= 0.05"), ["host"], F.desc("score"), F.asc("vec_id")).orderBy(F.desc("score"), "vec_id").limit(8)
+    """Nearest rows of one class for each query, one for each host."""
+    scored = pairs_of(t, t.embeddings.where("label % 2 = 0")).select("query", "vec_id", (F.col("vec_id") % 40).alias("host"), "score").where("score >= 0.05")
+    one = ops.latest(scored, ["query", "host"], F.desc("score"), F.asc("vec_id"))
+    return top_per_group(one, ["query"], 8, F.desc("score"), F.asc("vec_id"))
 
 
 @query("q014_figure_tables", """
@@ -142,18 +144,16 @@ def q014(t: Tables) -> DataFrame:
 
 
 @query("q015_cross_node_poles", """
-with q as (select embedding::double[] v from embeddings where vec_id = 3),
-s as (select vec_id, label % 2 as polarity, round(list_cosine_similarity(embedding::double[], v), 6) score from embeddings, q where label < 6 and label <> 2),
-p as (select * from s order by score desc, vec_id limit 12),
-r as (select *, row_number() over (partition by polarity order by score desc, vec_id) rn from p)
-select vec_id, polarity, score from r where rn <= 3""")
+with q as (select vec_id as query, embedding::double[] v from embeddings where vec_id % 50 = 0),
+s as (select query, vec_id, label % 2 as polarity, round(list_cosine_similarity(embedding::double[], v), 6) score from embeddings, q where label < 6 and label <> 2),
+p as (select * from s qualify row_number() over (partition by query order by score desc, vec_id) <= 12),
+r as (select *, row_number() over (partition by query, polarity order by score desc, vec_id) rn from p)
+select query, vec_id, polarity, score from r where rn <= 3""")
 def q015(t: Tables) -> DataFrame:
-    v = t.embeddings.where("vec_id = 3").select(F.col("embedding").alias("v"))
-    scored = t.embeddings.where("label < 6 AND label <> 2").crossJoin(F.broadcast(v)).select("vec_id", (F.col("label") % 2).alias("polarity"), F.round(cosine("embedding", "v"), 6).alias("score"))  # one query row
-    pool = scored.orderBy(F.desc("score"), "vec_id").limit(12)
-    from tidewell.operators.ranking import top_per_group
-
-    return top_per_group(pool, ["polarity"], 3, F.desc("score"), F.asc("vec_id"))
+    """The twelve nearest rows of each query, then three of each pole."""
+    scored = pairs_of(t, t.embeddings.where("label < 6 AND label <> 2")).select("query", "vec_id", (F.col("label") % 2).alias("polarity"), "score")
+    pool = top_per_group(scored, ["query"], 12, F.desc("score"), F.asc("vec_id"))
+    return top_per_group(pool, ["query", "polarity"], 3, F.desc("score"), F.asc("vec_id"))
 
 
 @query("q016_profile_blocks", """

@@ -26,6 +26,11 @@ def scored(t: Tables) -> DataFrame:
     return retrieval.score_pairs(asked(t), t.embeddings, "vec_id", "vec_id").where("query <> vec_id").withColumn("score", F.round("score", 6))
 
 
+def pairs_of(t: Tables, rows: DataFrame) -> DataFrame:
+    """Each query with each of some rows of ``embeddings``, a row with itself too: ``query``, ``score`` and the rows' columns."""
+    return retrieval.score_pairs(asked(t), rows, "vec_id", "vec_id").withColumn("score", F.round("score", 6))
+
+
 def best() -> tuple[Column, Column]:
     return F.desc("score"), F.asc("vec_id")
 
@@ -209,16 +214,17 @@ def q119(t: Tables) -> DataFrame:
 
 
 @query("q120_profile_overlap", r"""
-with f as (select list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 4)) as k from documents where doc_id = 10), l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
-d as (select trim(line) as line, min(doc_id) as doc_id from l where length(trim(line)) >= 20 group by 1), o as (select line, doc_id, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: length(x) >= 4)), k))::bigint as shared from d, f)
-select doc_id, line, shared from o where shared > 0 order by shared desc, line limit 15""")
+with f as (select doc_id as focus, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 4)) as k from documents where doc_id % 50 = 0), l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
+d as (select trim(line) as line, min(doc_id) as doc_id from l where length(trim(line)) >= 20 group by 1), o as (select focus, line, doc_id, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: length(x) >= 4)), k))::bigint as shared from d, f)
+select focus, doc_id, line, shared from o where shared > 0 qualify row_number() over (partition by focus order by shared desc, line) <= 15""")
 def q120(t: Tables) -> DataFrame:
-    """Lines by shared words with the focus."""
-    focus = t.documents.where("doc_id = 10").select(texts.tokens("text", 4).alias("k"))
+    """Lines by shared words with each focus; both meet by equality of a word."""
+    focus = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("focus"), F.explode(texts.tokens("text", 4)).alias("word")).distinct()
     lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where(F.length("line") >= 20)
-    d = lines.groupBy("line").agg(F.min("doc_id").alias("doc_id")).crossJoin(F.broadcast(focus))  # one row
-    o = d.select("doc_id", "line", texts.overlap(texts.tokens("line", 4), F.col("k")).cast("long").alias("shared"))
-    return o.where("shared > 0").orderBy(F.desc("shared"), "line").limit(15)
+    d = lines.groupBy("line").agg(F.min("doc_id").alias("doc_id"))
+    words = d.select("doc_id", "line", F.explode(F.array_distinct(texts.tokens("line", 4))).alias("word"))
+    o = words.join(focus, "word").groupBy("focus", "doc_id", "line").agg(F.count(F.lit(1)).alias("shared"))
+    return rank.top_per_group(o, ["focus"], 15, F.desc("shared"), F.asc("line"))
 
 
 @query("q121_context_stitch", r"""

@@ -44,13 +44,13 @@ def q124(t: Tables) -> DataFrame:
     return clusters(t).select(F.col("component").alias("vec_id")).distinct()
 
 
-@query("q125_merge_by_message", "with h as (select turn, text from conversations where conv_id = 3 and turn % 3 <> 0), w as (select turn, upper(text) as text from conversations where conv_id = 3 and turn % 2 = 0) select coalesce(w.turn, h.turn) as turn, coalesce(w.text, h.text) as text from h full outer join w on h.turn = w.turn")
+@query("q125_merge_by_message", "with h as (select conv_id, turn, text from conversations where turn % 3 <> 0), w as (select conv_id, turn, 'new: ' || text as text from conversations where turn % 2 = 0) select conv_id, turn, coalesce(w.text, h.text) as text from h full outer join w using (conv_id, turn)")
 def q125(t: Tables) -> DataFrame:
     """The window's row overrides the history's."""
-    c = t.conversations.where("conv_id = 3")
-    h = c.where("turn % 3 <> 0").select("turn", F.col("text").alias("h"))
-    w = c.where("turn % 2 = 0").select("turn", F.upper("text").alias("w"))
-    return h.join(w, "turn", "full_outer").select("turn", F.coalesce("w", "h").alias("text"))
+    c = t.conversations
+    h = c.where("turn % 3 <> 0").select("conv_id", "turn", F.col("text").alias("h"))
+    w = c.where("turn % 2 = 0").select("conv_id", "turn", F.concat(F.lit("new: "), "text").alias("w"))
+    return h.join(w, ["conv_id", "turn"], "full_outer").select("conv_id", "turn", F.coalesce("w", "h").alias("text"))
 
 
 @query("q126_text_hash_dedup", "with d as (select doc_id, case when doc_id % 50 = 0 then ' ' else text end as text from documents), r as (select doc_id, trim(text) = '' as blank, row_number() over (partition by sha1(trim(text)) order by doc_id) rn from d) select doc_id from r where blank or rn = 1")

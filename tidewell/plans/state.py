@@ -212,7 +212,7 @@ def q179(t: Tables) -> DataFrame:
 
 @query("q180_map_reduce", r"""
 with s as (select conv_id, turn, unnest(range(len(x))) as i, unnest(x) as s from (select conv_id, turn, list_filter(string_split(regexp_replace(trim(text), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: length(y) >= 8) as x from conversations)),
-f as (select conv_id, s, min((turn, i)) as spot from s group by all) select conv_id, left(string_agg(s, ' ' order by spot, s), 2000) as summary, count(*) as statements from f group by conv_id""")
+f as (select conv_id, s, min((turn, i)) as spot from s group by all) select conv_id, string_agg(s, ' ' order by spot, s) as summary, count(*) as statements from f group by conv_id""")
 def q180(t: Tables) -> DataFrame:
     """Statements of each window, then one summary a conversation."""
     from tidewell.operators.pluggable import map_reduce

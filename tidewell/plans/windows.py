@@ -76,16 +76,16 @@ def q086(t: Tables) -> DataFrame:
 
 
 @query("q087_anchor_mode", """
-with q as (select embedding::double[] v from embeddings where vec_id = 5), s as (select vec_id, vec_id % 30 as doc, (list_cosine_similarity(embedding::double[], v) + 1) / 2 as score from embeddings, q), a as (select doc, score from s order by round(score, 6) desc, vec_id limit 1)
-select s.vec_id, s.doc from s, a where a.score >= 0.70 and s.doc = a.doc""")
+with q as (select vec_id as query, embedding::double[] v from embeddings where vec_id % 50 = 0), s as (select query, vec_id, vec_id % 30 as doc, (round(list_cosine_similarity(embedding::double[], v), 6) + 1) / 2 as score from embeddings, q), a as (select query, doc, score from s qualify row_number() over (partition by query order by score desc, vec_id) = 1)
+select s.query, s.vec_id, s.doc from s join a using (query, doc) where a.score >= 0.70""")
 def q087(t: Tables) -> DataFrame:
-    """A strong best row brings its whole document."""
-    from tidewell.operators.retrieval import fallback_score
+    """A strong best row of a query brings its whole document."""
+    from tidewell.operators.tables import latest
+    from tidewell.plans.search import pairs_of
 
-    v = t.embeddings.where("vec_id = 5").select(F.col("embedding").alias("v"))
-    s = t.embeddings.crossJoin(F.broadcast(v)).select("vec_id", (F.col("vec_id") % 30).alias("doc"), F.round(fallback_score("embedding", "v"), 6).alias("score"))  # one query row
-    best = s.orderBy(F.desc("score"), "vec_id").limit(1).where("score >= 0.70").select("doc")
-    return s.join(F.broadcast(best), "doc", "left_semi").select("vec_id", "doc")  # one row
+    s = pairs_of(t, t.embeddings).select("query", "vec_id", (F.col("vec_id") % 30).alias("doc"), ((F.col("score") + 1) / 2).alias("score"))
+    best = latest(s, ["query"], F.desc("score"), F.asc("vec_id")).where("score >= 0.70").select("query", "doc")
+    return s.join(best, ["query", "doc"], "left_semi").select("query", "vec_id", "doc")
 
 
 @query("q088_filter_then_mmr")
@@ -129,18 +129,17 @@ def q090(t: Tables) -> DataFrame:
 
 
 @query("q090_affinity_and_shift", """
-with c as (select embedding::double[] v from embeddings where vec_id = 1), s as (select vec_id, list_cosine_similarity(embedding::double[], v) * 3 as sim, case vec_id % 5 when 0 then 'CONCEPT' when 1 then 'PRACTICE' when 2 then 'MECHANIC' when 3 then 'EDGE_CASE' else 'ANTI_PATTERN' end as scope, vec_id % 2 = 0 as why, vec_id % 4 = 0 as how from embeddings, c)
-select vec_id, round(case when sim >= 0.82 then 0.45 else 1.0 end * case when -sim >= 0.75 then 1.35 else 1.0 end * case when not why then case scope when 'PRACTICE' then 1.25 when 'CONCEPT' then 1.15 else 1.0 end when how then case scope when 'MECHANIC' then 1.25 when 'EDGE_CASE' then 1.35 when 'ANTI_PATTERN' then 1.30 else 1.0 end else 1.0 end, 6)::double as weight from s""")
+with c as (select vec_id as query, embedding::double[] v from embeddings where vec_id % 50 = 0), s as (select query, vec_id, round(list_cosine_similarity(embedding::double[], v), 6) * 3 as sim, case vec_id % 5 when 0 then 'CONCEPT' when 1 then 'PRACTICE' when 2 then 'MECHANIC' when 3 then 'EDGE_CASE' else 'ANTI_PATTERN' end as scope, vec_id % 2 = 0 as why, vec_id % 4 = 0 as how from embeddings, c)
+select query, vec_id, round(case when sim >= 0.82 then 0.45 else 1.0 end * case when -sim >= 0.75 then 1.35 else 1.0 end * case when not why then case scope when 'PRACTICE' then 1.25 when 'CONCEPT' then 1.15 else 1.0 end when how then case scope when 'MECHANIC' then 1.25 when 'EDGE_CASE' then 1.35 when 'ANTI_PATTERN' then 1.30 else 1.0 end else 1.0 end, 6)::double as weight from s""")
 def q090_affinity(t: Tables) -> DataFrame:
     """Weights by claims to avoid and to seek, and by the layer the learner is at."""
-    from tidewell.functions.vectors import cosine
+    from tidewell.plans.search import pairs_of
 
-    v = t.embeddings.where("vec_id = 1").select(F.col("embedding").alias("v"))
     i = F.col("vec_id")
     scope = F.expr("CASE vec_id % 5 WHEN 0 THEN 'CONCEPT' WHEN 1 THEN 'PRACTICE' WHEN 2 THEN 'MECHANIC' WHEN 3 THEN 'EDGE_CASE' ELSE 'ANTI_PATTERN' END")
-    s = t.embeddings.crossJoin(F.broadcast(v)).select("vec_id", (cosine("embedding", "v") * 3).alias("sim"), scope.alias("scope"))  # one claim
+    s = pairs_of(t, t.embeddings).select("query", "vec_id", (F.col("score") * 3).alias("sim"), scope.alias("scope"))
     signal = scores.depth_signal(i % 2 == 0, i % 4 == 0, F.lit(False))
-    return s.select("vec_id", F.round(scores.affinity_weight(F.col("sim"), -F.col("sim")) * scores.shift_weight(F.col("scope"), signal), 6).alias("weight"))
+    return s.select("query", "vec_id", F.round(scores.affinity_weight(F.col("sim"), -F.col("sim")) * scores.shift_weight(F.col("scope"), signal), 6).alias("weight"))
 
 
 @query("q091_quota_selection", """
