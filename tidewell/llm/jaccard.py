@@ -241,7 +241,7 @@ def _cells(many: DataFrame, percent: int) -> DataFrame:
     """
     width = math.log(100 / percent) * (1 + 1e-9) + 1e-9
     sized = many.withColumn("sizes", F.floor(F.log("n") / width).cast("int"))
-    cells = sized.groupBy("token", "sizes").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    cells = cut(sized.groupBy("token", "sizes").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")))
     mine = sized.join(cells, ["token", "sizes"]).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).drop("cells")
     others = _other(sized.withColumn("own", F.col("sizes"))).withColumnRenamed("sizes2", "sizes")
     others = others.withColumn("sizes", F.explode(F.array("sizes", F.col("sizes") - 1))).join(cells, ["token", "sizes"])
@@ -280,7 +280,7 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, star_rou
     open_ = cut(open_.drop("shared"))
     apart = _may_link(percent) & (F.col("comp") != F.col("comp2"))
     few, many = open_.where(F.col("df") <= FEW), open_.where(F.col("df") > FEW)
-    many = many.join(nodes.select("node", "n", *PARITY), ["node", "n"])
+    many = cut(many.join(nodes.select("node", "n", *PARITY), ["node", "n"]))  # read three times
     met_few = _met(few.join(_other(few), "token").where(apart & (F.col("node") < F.col("node2"))))
     met_many = _met(_cells(many, percent).where(apart & _bits_may_link(percent)))
     pairs = _pairs(met_few.union(met_many))
