@@ -19,7 +19,7 @@ SCOPE_ALIASES = {
 SCOPE_TAG = r"(?is)^\[SCOPE:\s*(CONCEPT|MECHANIC|PRACTICE|EDGE_CASE|ANTI_PATTERN|PRINCIPLE|INSTANCE)\s*\]"
 PERMISSION_NOTICE = r"(?i)permission\s+to\s+make\s+digital\s+or\s+hard\s+copies"
 PAGE_NUMBER = r"^\d{1,3}$"
-RUNNING_HEAD = r"(?i)(?:ASPLOS|IEEE|ACM|Proceedings)\s*[’']?\s*\d{2,4}"
+RUNNING_HEAD = r"(?i)(?:ASPLOS|IEEE|ACM|Proceedings)\s*[’']?\s*\d{2,4}|March\s+\d{1,2}[-–][\p{L}\p{N}_]+\s+\d{4}.*Rotterdam|Derrick\s+Quinn\s+et\s+al\.|Accelerating\s+Retrieval-Augmented\s+Generation\s+ASPLOS"
 NUMBERED_HEADING = r"^\d+(?:\.\d+)*\s+[A-ZА-Я][\p{L}\p{N}_\s\-–—]{2,80}$"
 AXIS_LABEL = r"(?i)^(?:\d+\s*|(?:queries/sec|qps|latency|throughput|log\s+scale|linear\s+scale)(?:\s*\([^)]{0,40}\))?|\d+(?:\.\d+)?\s*%|[0-9]+(?:\.[0-9]+)?)$"
 LINE_END_HYPHEN = r"([\p{L}\p{N}_]+)-\s*\n\s*([\p{L}\p{N}_]+)"

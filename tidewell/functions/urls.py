@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -93,13 +95,18 @@ def bucket(url: Column | str, tier: Column | str) -> Column:
     return F.when(scholarly, F.lit("academic")).otherwise(F.lit("practical"))
 
 
-def practical_reject(url: Column | str) -> Column:
-    """Why a practical source is refused; null if it isn't."""
+def practical_reject(url: Column | str, official: Sequence[str] = ()) -> Column:
+    """Why a practical source is refused; null if it isn't.
+
+    Reference pages are refused by their path, but not on ``official`` hosts of
+    documentation, which is where they belong.
+    """
     u = F.trim(_c(url))
     low, h = F.lower(u), host(u)
     out = F.when(~u.startswith("http"), F.lit("not_http"))
+    exempt = F.coalesce(F.regexp_replace(h, r"^www\.", "").isin([o.lower() for o in official]), F.lit(False)) if official else F.lit(False)
     for m in API_PATHS:
-        out = out.when(F.contains(low, F.lit(m)), F.lit(f"practical_api_doc_path:{m}"))
+        out = out.when(~exempt & F.contains(low, F.lit(m)), F.lit(f"practical_api_doc_path:{m}"))
     for s in PRACTICAL_BLOCKED_HOSTS:
         out = out.when((h == s) | h.endswith(f".{s}"), F.lit(f"practical_blocked_host:{s}"))
     return out

@@ -173,6 +173,21 @@ def within_budget(rows: DataFrame, keys: Sequence[str], position: str, cost: str
     return _per_group(rows, keys, pick)
 
 
+def rejected_in_rounds(edges: DataFrame) -> DataFrame | None:
+    """``b``: what one pass in order refuses, for ``edges`` of an earlier ``a`` that rules out a later ``b``; None if there are none.
+
+    What has no undecided earlier neighbour is accepted, which refuses its later
+    neighbours; what they would have refused is open again.
+    """
+    edges, gone = cut(edges.select("a", "b")), None
+    while edges.limit(1).count():
+        heads = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        lost = cut(edges.join(heads, "a", "left_semi").select("b").distinct())
+        gone = lost if gone is None else gone.unionByName(lost)
+        edges = cut(edges.join(lost, "b", "left_anti").join(lost.select(F.col("b").alias("a")), "a", "left_anti"))
+    return gone
+
+
 def accept_stream(rows: DataFrame, keys: Sequence[str], position: str, vector: str, threshold: float = 0.88) -> DataFrame:
     """Rows in order of arrival, each accepted unless an accepted one of its group is nearer than the threshold.
 
@@ -188,13 +203,7 @@ def accept_stream(rows: DataFrame, keys: Sequence[str], position: str, vector: s
     keyed = rows.withColumn("_own", F.when(F.coalesce(zero, F.lit(True)), F.col(position).cast("string")))
     first = latest(keyed, [*keys, vector, "_own"], F.asc(position)).drop("_own")
     first = cut(first)
-    edges = cut(similar_pairs(first, position, vector, threshold, within=list(keys), inclusive=False).select("a", "b"))
-    gone = None
-    while edges.limit(1).count():
-        heads = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        lost = cut(edges.join(heads, "a", "left_semi").select("b").distinct())
-        gone = lost if gone is None else gone.unionByName(lost)
-        edges = cut(edges.join(lost, "b", "left_anti").join(lost.select(F.col("b").alias("a")), "a", "left_anti"))
+    gone = rejected_in_rounds(similar_pairs(first, position, vector, threshold, within=list(keys), inclusive=False))
     return first if gone is None else first.join(gone.select(F.col("b").alias(position)), position, "left_anti")
 
 

@@ -18,6 +18,20 @@ def q024(t: Tables) -> DataFrame:
     return t.events.where(k.isin(3, 5, 7) & ~F.col("event_type").isin("view", "click") & (F.col("user_id") != 4)).select("event_id", "event_type")
 
 
+@query("q024_typed_payload", """
+with p as (select event_id, case event_id % 5 when 0 then '{"k": null}' when 1 then '{"t": "x"}' when 2 then '{"k": "' || (props->>'$.k') || '"}' else props end as raw, event_id % 7 = 0 as bad from events)
+select event_id, (raw->>'$.k') in ('3', '5', '7') as held, (raw->>'$.k') not in ('3', '5', '7') as other, json_type(raw, '$.k') in ('UBIGINT', 'BIGINT', 'DOUBLE') and (raw->>'$.k')::int >= 10 and (raw->>'$.k')::int < 60 as number from p where not bad and (raw->>'$.k') is not null""")
+def q024_typed(t: Tables) -> DataFrame:
+    """Typed payloads: rows whose key is missing or null pass neither IN nor NOT IN, texts that don't parse are dropped."""
+    from tidewell.functions import payload
+
+    i = F.col("event_id")
+    raw = F.when(i % 7 == 0, "{broken").when(i % 5 == 0, '{"k": null}').when(i % 5 == 1, '{"t": "x"}').when(i % 5 == 2, F.concat(F.lit('{"k": "'), F.get_json_object("props", "$.k"), F.lit('"}'))).otherwise(F.col("props"))
+    p = t.events.select("event_id", payload.parsed(raw).alias("p"))
+    held, other = payload.among("p", "k", ["3", "5", "7"]), payload.not_among("p", "k", ["3", "5", "7"])
+    return p.where(held | other).select("event_id", held.alias("held"), other.alias("other"), payload.number_in("p", "k", 10, 60).alias("number"))
+
+
 @query("q025_allow_list", "select 'none' as list, count(*) as n from documents union all select 'some', count(*) from documents where doc_id in (1, 2, 3) union all select 'empty', 0")
 def q025(t: Tables) -> DataFrame:
     """No list means no filter; a list of blanks only means no rows."""
@@ -204,11 +218,11 @@ def q042(t: Tables) -> DataFrame:
 
 @query("q043_practical_filters", rf"""
 with u as (select page_id, case page_id % 4 when 0 then url || '/api/x' else {PAGE_KIND} end as url from pages)
-select page_id, case when not starts_with(url, 'http') then 'not_http' when contains(lower(url), '/docs/') then 'practical_api_doc_path:/docs/' when contains(lower(url), '/api/') then 'practical_api_doc_path:/api/' when regexp_matches({HOST_SQL}, '(^|\.)arxiv\.org$') then 'practical_blocked_host:arxiv.org' end as reason from u""")
+select page_id, case when not starts_with(url, 'http') then 'not_http' when page_id % 4 = 0 and page_id % 3 = 0 then null when contains(lower(url), '/docs/') then 'practical_api_doc_path:/docs/' when contains(lower(url), '/api/') then 'practical_api_doc_path:/api/' when regexp_matches({HOST_SQL}, '(^|\.)arxiv\.org$') then 'practical_blocked_host:arxiv.org' end as reason from u""")
 def q043(t: Tables) -> DataFrame:
     u = varied(t).join(t.pages.withColumnRenamed("url", "raw").select("page_id", "raw"), "page_id")
-    url = F.when(F.col("page_id") % 4 == 0, F.concat("raw", F.lit("/api/x"))).otherwise(F.col("url"))
-    return u.select("page_id", urls.practical_reject(url).alias("reason"))
+    url = F.when(F.col("page_id") % 12 == 0, "https://www.Official.dev/docs/api/x").when(F.col("page_id") % 4 == 0, F.concat("raw", F.lit("/api/x"))).otherwise(F.col("url"))
+    return u.select("page_id", urls.practical_reject(url, official=["official.dev"]).alias("reason"))
 
 
 @query("q043_registry_filter", r"""
@@ -282,3 +296,20 @@ def q047(t: Tables) -> DataFrame:
     base = F.conv(F.substring(F.md5(F.floor(v / 4).cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
     h = t.embeddings.select("vec_id", base.bitwiseXOR(F.when(v % 4 == 0, F.lit(0)).otherwise(F.expr("shiftleft(1L, cast(5 * (vec_id % 4) AS int))"))).alias("h"))
     return hamming_pairs(h, "vec_id", "h", bits=60, most=3)
+
+
+@query("q047_accepted_pictures", """
+with recursive p as (select vec_id as i, vec_id % 6 as doc, 100 + vec_id % 300 as width, 100 + (vec_id * 7) % 400 as height, case when vec_id % 11 = 0 then null else 1000 end as page, (vec_id * 13) % 1000 as top, (vec_id * 13) % 1000 + 60 as bottom, ((vec_id // 24) * 2654435761) % 4294967296 as base from embeddings),
+f as (select i, doc, xor(base, case when i % 4 = 0 then 0 else (1::bigint << ((5 * i) % 29)) + (1::bigint << ((3 * i) % 29)) end) as h from p where width >= 150 and height >= 150 and width::double / height <= 4 and width::double / height >= 0.25 and (page is null or (top / 1000.0 >= 0.08 and bottom / 1000.0 <= 0.92))),
+o as (select *, row_number() over (partition by doc order by i) as r from f),
+a(doc, r, kept, hs) as (select doc, 1, [i], [h] from o where r = 1 union all select o.doc, o.r, case when x then list_append(kept, i) else kept end, case when x then list_append(hs, h) else hs end from (select a.doc, a.kept, a.hs, o.i, o.h, o.r, len(list_filter(a.hs, lambda y: bit_count(xor(y, o.h)) <= 4)) = 0 as x from a join o on o.doc = a.doc and o.r = a.r + 1) o)
+select doc, unnest(kept) as i from a where (doc, r) in (select doc, max(r) from o group by doc)""")
+def q047_accepted(t: Tables) -> DataFrame:
+    """Pictures of six documents in order: size, shape and place, then unlike those kept before."""
+    from tidewell.operators.pictures import accepted
+
+    v = F.col("vec_id")
+    base = F.pmod(F.floor(v / 24) * 2654435761, F.lit(4294967296))
+    noise = F.when(v % 4 == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, cast((5 * vec_id) % 29 AS int)) + shiftleft(1L, cast((3 * vec_id) % 29 AS int))"))
+    p = t.embeddings.select(v.alias("i"), (v % 6).alias("doc"), (100 + v % 300).alias("width"), (100 + (v * 7) % 400).alias("height"), F.when(v % 11 != 0, 1000).alias("page_height"), ((v * 13) % 1000).alias("top"), ((v * 13) % 1000 + 60).alias("bottom"), base.bitwiseXOR(noise).alias("h"))
+    return accepted(p, ["doc"], "i", "h").select("doc", "i")
