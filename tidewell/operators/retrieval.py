@@ -24,14 +24,14 @@ def fallback_score(a: Column | str, b: Column | str) -> Column:
     return (cosine(a, b) + 1) / 2
 
 
-def score_pairs(queries: DataFrame, rows: DataFrame, query_key: str, key: str, vector: str = "embedding") -> DataFrame:
+def score_pairs(queries: DataFrame, rows: DataFrame, query_key: str, key: str, vector: str = "embedding", carry: Sequence[Column] = ()) -> DataFrame:
     """Cosine of every query with every row: the queries are a stated set, the rows stay where they are.
 
     Vectors are scaled to length 1 once on each side, so a pair costs one product.  The
     queries' bytes are summed first; they are broadcast in blocks of bounded size, by
-    hash of their key.
+    hash of their key.  ``carry`` are numbers of the query that its pairs have too.
     """
-    q = queries.select(F.col(query_key).alias("query"), unit(vector).alias("_q"))
+    q = queries.select(F.col(query_key).alias("query"), unit(vector).alias("_q"), *carry)
     size = q.agg(F.sum(F.size("_q") * 8 + 64)).first()[0] or 0
     blocks = max(1, math.ceil(size / BROADCAST_BYTES))
     scaled = rows.withColumn("_v", unit(vector))

@@ -154,8 +154,7 @@ def q113(t: Tables) -> DataFrame:
 @query("q114_nearest_label", f"with s as (select e.vec_id, q.label, max({COS}) as score from embeddings q, embeddings e where q.vec_id % 50 = 0 and e.vec_id <> q.vec_id group by all), b as (select vec_id, arg_max(label, (score, -label)) as label, max(score) as score from s group by vec_id) select vec_id, case when score >= 0.25 then label else -1 end as label, score from b")
 def q114(t: Tables) -> DataFrame:
     """The label of the nearest reference, or none below the threshold."""
-    refs = asked(t).select(F.col("vec_id").alias("query"), F.col("label").alias("ref"))
-    s = scored(t).join(F.broadcast(refs), "query")  # one row a reference
+    s = retrieval.score_pairs(asked(t), t.embeddings, "vec_id", "vec_id", carry=[F.col("label").alias("ref")]).where("query <> vec_id").withColumn("score", F.round("score", 6))
     best = s.groupBy("vec_id").agg(F.max_by("ref", F.struct("score", -F.col("ref"))).alias("label"), F.max("score").alias("score"))
     return best.select("vec_id", F.when(F.col("score") >= 0.25, F.col("label")).otherwise(-1).alias("label"), "score")
 
@@ -182,15 +181,20 @@ def q116(t: Tables) -> DataFrame:
 u as (select p.query, p.vec_id, case when primary_ then score else score * 0.8 end as score from p join n using (query) where primary_ or strong < 8), r as (select u.query, u.vec_id, round(u.score, 6) as score, case when m.vec_id is null then 1 else 0 end as part from u left join m on m.query = u.query and m.vec_id = u.vec_id)
 select query, vec_id, score from r qualify row_number() over (partition by query order by part, score desc, vec_id) <= 12""")
 def q117(t: Tables) -> DataFrame:
-    """Guaranteed rows of mapped documents first; the library joins with a penalty if the primary scope is weak."""
-    s = scored(t)
+    """Guaranteed rows of mapped documents first; the library joins with a penalty if the primary scope is weak.
+
+    The twelve best of each class decide all: what isn't among them is among no query's
+    twelve, and eight strong rows of the primary scope are found among them if there are
+    any.  So the product is made once and what leaves it is bounded.
+    """
+    place = F.row_number().over(Window.partitionBy("query", "label").orderBy(*best()))
+    few = scored(t).withColumn("_rn", place).where(F.col("_rn") <= 12)
     primary = F.col("label") % 2 == 0
-    sure = rank.top_per_group(s.where("label IN (1, 3)"), ["query", "label"], 2, *best()).select("query", "vec_id", F.lit(0).alias("part"))
-    strong = s.groupBy("query").agg(F.count_if(primary & (F.col("score") >= 0.2)).alias("strong"))
-    u = s.join(F.broadcast(strong), "query").where(primary | (F.col("strong") < 8))  # one row a query
-    u = u.select("query", "vec_id", F.round(F.when(primary, F.col("score")).otherwise(F.col("score") * 0.8), 6).alias("score"))
-    marked = u.join(F.broadcast(sure), ["query", "vec_id"], "left")  # four rows a query
-    return rank.top_per_group(marked, ["query"], 12, F.coalesce("part", F.lit(1)), *best()).select("query", "vec_id", "score")
+    strong = F.count_if(primary & (F.col("score") >= 0.2)).over(Window.partitionBy("query"))
+    u = few.withColumn("_strong", strong).where(primary | (F.col("_strong") < 8))
+    part = F.when(F.col("label").isin(1, 3) & (F.col("_rn") <= 2), 0).otherwise(1)
+    u = u.select("query", "vec_id", part.alias("part"), F.round(F.when(primary, F.col("score")).otherwise(F.col("score") * 0.8), 6).alias("score"))
+    return rank.top_per_group(u, ["query"], 12, F.col("part"), *best()).select("query", "vec_id", "score")
 
 
 @query("q118_coarse_to_fine", "with c as (select conv_id, turn, (conv_id * 31 + turn * 17) % 101 as coarse, (conv_id * 7 + turn * 29) % 97 as fine, count(*) over (partition by conv_id) as n from conversations), a as (select *, row_number() over (partition by conv_id order by coarse desc, turn) rc from c), b as (select *, row_number() over (partition by conv_id order by fine desc, turn) rf from a where n <= 2 or rc <= 4) select conv_id, turn from b where n <= 2 or rf <= 2")
