@@ -10,7 +10,7 @@ Files are Parquet tables, so any file system, Spark's commit protocol and lost
 executors are covered; each row is a segment:
 
     part, segment   place in the order of documents
-    doc_ids         signed 64-bit, little-endian
+    doc_ids         ids of the documents, an array of longs that may hold nulls
     lengths         ids of each document, unsigned 32-bit
     control, data   the two streams
     n_ids           ids of the segment
@@ -19,7 +19,9 @@ and ``ranks`` beside them holds the id of each rank.  Documents are in ascending
 order of id over ``(part, segment)``; a null id comes first.
 
 Defined results: a null or empty text holds the end id alone; rows that repeat an
-id are documents of their own; an empty table gives files without documents.
+id are documents of their own; texts of any length are encoded whole, each within one
+segment; columns beyond id and text are ignored; an empty table gives files without
+documents.
 """
 
 from __future__ import annotations
@@ -108,7 +110,6 @@ def write_id_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
 
         def out() -> pa.RecordBatch:
             control, data = encode_values(ranks[np.concatenate(held)])
-            # a null id is kept apart from the signed 64-bit list
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([docs_], pa.list_(pa.int64())), pa.array([np.array(lengths, "<u4").tobytes()], pa.binary()), pa.array([control], pa.binary()), pa.array([data], pa.binary()), pa.array([total], pa.int64())],
                 ["part", "segment", "doc_ids", "lengths", "control", "data", "n_ids"],

@@ -9,8 +9,9 @@ plan depend on the capacity only, never on the number of documents; pieces
 find their place by their rank among pieces of equal length.
 
 Defined results: a null or empty text is one piece that holds the end id
-alone; rows that repeat an id are packed as rows of their own; an empty table
-gives an empty result; other columns are ignored, whatever their names.
+alone; a text of any length is encoded whole and cut into pieces of the capacity; a
+row without id is packed under a null id; rows that repeat an id are packed as rows
+of their own; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

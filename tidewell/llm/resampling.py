@@ -14,7 +14,9 @@ sorted or gathered.
 By default k is what the labels say: the rows times the upper bound of the good
 share among labelled rows, so that clean text isn't cut for the estimate's sake.
 
-Defined results: a null or empty text has weight 0 in the log; without good labelled
+Defined results: a null or empty text has weight 0 in the log; texts of any length
+are weighed whole; a row without id is weighed and drawn like any other, but no label
+names it; without good labelled
 rows every weight is 0 and the noise alone decides; the noise depends on id, seed
 and the row's text, so repeated rows share it; ties at the boundary go by a hash of
 the row; an empty table gives an empty result; other columns are ignored, whatever

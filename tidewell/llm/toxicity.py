@@ -15,7 +15,8 @@ The labelled sample is bounded by ``max_rows``; token counts live in tables of
 fixed size.  Every whole text is scored.
 
 Defined results: null and empty texts have no segments and the score of no
-evidence; rows without label are not learnt from; where there is no toxic or no
+evidence; texts of any length are scored whole; a row without id is scored and, since
+no label can name it, not learnt from; rows without label are not learnt from; where there is no toxic or no
 clean row to learn from, every score is 0; an id labelled more than once counts as
 toxic if one label says so; rows that repeat an id are scored each on its own; an
 empty table gives an empty result; other columns are ignored, whatever their names.
