@@ -208,3 +208,16 @@ def q021(t: Tables) -> DataFrame:
     folder = scratch(t.spark, "folder")
     own.select(F.regexp_extract("path", r"([^/]+)\.py$", 1).alias("module"), F.col("content").alias("value")).write.partitionBy("module").option("lineSep", "\n").text(folder)
     return read_files(t.spark, folder).select(F.regexp_extract("path", r"module=([^/]+)/", 1).alias("module"), "size", F.sha2("content", 256).alias("digest"))
+
+
+@query("q022_job_log_source", "select user_id::varchar as job_id, event_id as seq, event_type as event from events where user_id in (1, 3, 5, 8) and event_id >= 40")
+def q022_source(t: Tables) -> DataFrame:
+    """A log of all events read through its own data source, with filters that reach the reader."""
+    from tidewell.sources.job_log import register
+    from tidewell.sources.job_stream import append_events
+
+    path = scratch(t.spark, "log")
+    append_events(t.events.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("event")), path)
+    register(t.spark)
+    log = t.spark.read.format("job_log").load(path)
+    return log.where(F.col("job_id").isin("1", "3", "5", "8") & (F.col("seq") >= 40)).select("job_id", "seq", "event")
