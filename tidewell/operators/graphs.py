@@ -45,8 +45,8 @@ def _trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """Edges whose ends may lie on a cycle: those without a way in or out go, a few rounds of them."""
     for _ in range(rounds):
         both = edges.select(F.col("x").alias("n")).intersect(edges.select("y"))
-        edges = edges.join(both.withColumnRenamed("n", "x"), "x", "left_semi").join(both.withColumnRenamed("n", "y"), "y", "left_semi")
-    return cut(edges.select("x", "y"))
+        edges = cut(edges.join(both.withColumnRenamed("n", "x"), "x", "left_semi").join(both.withColumnRenamed("n", "y"), "y", "left_semi").select("x", "y"))
+    return edges
 
 
 def _tarjan(edges: list[tuple]) -> dict:
@@ -107,8 +107,9 @@ def strong_components(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_EDG
     part of its own in the next turn.  Nothing but one row a node and edge, and some log
     n shortcuts a node, is held, so rings may be of any length.
     """
+    edges = cut(edges.select("child", "parent").distinct())
     all_nodes = nodes.select("node").union(nodes_of(edges)).where("node IS NOT NULL").distinct()
-    links = _trimmed(edges.where("child <> parent").select(F.col("child").alias("x"), F.col("parent").alias("y")).distinct())
+    links = _trimmed(edges.where("child <> parent").select(F.col("child").alias("x"), F.col("parent").alias("y")))
     if not links.limit(1).count():
         return all_nodes.withColumn("component", F.col("node"))
     live = links.select(F.col("x").alias("node")).union(links.select("y")).distinct()
@@ -162,6 +163,7 @@ def _one_turn(graph: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame,
 
 def on_cycles(edges: DataFrame) -> DataFrame:
     """Nodes that reach themselves: those of a component of several, and those with an edge to themselves."""
+    edges = cut(edges.select("child", "parent"))
     found = cut(strong_components(nodes_of(edges), edges))
     several = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     loops = edges.where("child = parent").select(F.col("child").alias("node"))
