@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 
+from tidewell.llm import sharding
 from tidewell.llm.sharding import interval_of, shard_documents
 
 
@@ -37,3 +38,18 @@ def test_one_text_only_and_empty(spark):
     rows = [(i, "same") for i in range(300)]
     check(rows, shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect(), 4)
     assert shard_documents(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
+
+
+def test_partitions_follow_the_rows_and_not_the_shards(spark, monkeypatch):
+    """Few probes a round, many partitions a shard, a hot text over several of them, repeated rows."""
+    monkeypatch.setattr(sharding, "PROBES", 64)
+    rng = np.random.default_rng(8)
+    rows = [(i, "y" * int(rng.integers(0, 300))) for i in range(900)] + [(i % 50, "a hot text " * 12) for i in range(600)] + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for carry in ((), ("text",)):
+        for bound in (1_000_000, 0):
+            monkeypatch.setattr(sharding, "BROADCAST_RUNS", bound)
+            out = sharding.shard_documents(docs, 3, rows_per_bucket=40, carry=carry, bytes_per_bucket=5000)
+            check([(-1 if i is None else i, t) for i, t in rows], out.fillna(-1, ["doc_id"]).collect(), 3)
+    whole = sharding.shard_documents(docs, 3, rows_per_bucket=40)
+    assert len({(r.doc_id, r.shard, r.slot) for r in whole.collect()}) == len(rows)

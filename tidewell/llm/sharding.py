@@ -5,14 +5,11 @@ together.  Splitters start as the whole key space; each round counts the exact
 bytes and rows between candidate boundaries over all partitions and narrows
 every splitter's bracket, until it meets its byte target within the tolerance or
 stands between two neighbouring rows.  The counts of a round are bounded by the
-number of probes.  Then rows move once, to their bucket; a shard is a run of
-buckets, and a row's slot is its rank in the bucket plus the rows of the shard's
-earlier buckets, which the histogram already knows.  A text that a third of all
-rows share is split by the row hash like any other range.
-
-The number of buckets is at most ``PROBES / 2``, so probes, and what a round brings to
-the driver, don't grow with the table; beyond that a bucket holds more rows, which
-its sort spills.
+number of probes.  Then rows move once, by range of the same order, into as many
+partitions as their number asks for, whatever the number of shards, and are written.
+A row's slot is its place in its partition plus the rows of the shard in earlier
+partitions; that takes one row for each partition and shard in it.  A text that a third
+of all rows share is split by the row hash like any other range.
 
 Defined results: a null text counts as none (size 1, crc32 0); texts of any length
 count whole, and a shard that one of them fills alone is larger by it; a row without
@@ -34,6 +31,8 @@ from tidewell.llm.common import cut, with_row_key
 
 #: Probes of one round over all splitters.
 PROBES = 4096
+#: Most partitions of the exchange whose row counts are broadcast; 20 bytes each.
+BROADCAST_RUNS = 1_000_000
 
 FLIP = np.uint64(1 << 63)
 HALF = 1 << 64
@@ -84,43 +83,30 @@ def histogram(keys: DataFrame, bounds: list[int]) -> dict[int, tuple[int, int, i
     return {r["at"]: (r["size"], r["n"], r["least"] + HALF // 2, r["most"] + HALF // 2) for r in summed.collect()}
 
 
-def find_splitters(keys: DataFrame, n_shards: int, per_shard: int, tolerance: float) -> tuple[list[int], list[int]]:
-    """Sorted boundaries of ``n_shards * per_shard`` buckets, and the rows below each.
-
-    Shard boundaries meet their targets within ``tolerance`` of a shard's bytes,
-    boundaries inside a shard within a tenth of a bucket's.
-    """
-    n = n_shards * per_shard
-    whole = histogram(keys, [])
-    total = whole[0][0] if whole else 0
-    bracket = [(0, HALF * HALF)] * n  # of splitter j: keys; splitter 0 is unused
-    found: dict[int, tuple[int, int]] = {}
-    while len(found) < n - 1:
-        open_ = [j for j in range(1, n) if j not in found]
+def find_splitters(keys: DataFrame, n_shards: int, total: int, tolerance: float) -> list[int]:
+    """Sorted boundaries between the shards, which meet their byte targets within ``tolerance`` of a shard's bytes."""
+    bracket = [(0, HALF * HALF)] * n_shards  # of splitter j: keys; splitter 0 is unused
+    found: dict[int, int] = {}
+    slack = max(1, int(tolerance * total / n_shards))
+    while len(found) < n_shards - 1:
+        open_ = [j for j in range(1, n_shards) if j not in found]
         each = max(2, PROBES // len({bracket[j] for j in open_}))
         bounds = sorted({lo + (hi - lo) * i // each for lo, hi in {bracket[j] for j in open_} for i in range(1, each + 1)} - {HALF * HALF})
         got = histogram(keys, bounds)
-        below, rows, at = [0], [0], 0
-        for i in range(len(bounds)):
-            size, count, *_ = got.get(i, (0, 0))
-            below.append(below[-1] + size)
-            rows.append(rows[-1] + count)
-        below, rows = np.array(below[1:]), rows[1:]
+        below = np.cumsum([got.get(i, (0,))[0] for i in range(len(bounds))])
         for j in open_:
-            target = total * j // n
-            slack = max(1, int(tolerance * total / n_shards if j % per_shard == 0 else 0.1 * total / n))
+            target = total * j // n_shards
             at = int(np.searchsorted(below, target))
             near = min((i for i in (at - 1, at) if 0 <= i < len(bounds)), key=lambda i: abs(int(below[i]) - target))
             lo, hi = (bounds[at - 1] if at else bracket[j][0]), (bounds[at] if at < len(bounds) else bracket[j][1])
             if abs(int(below[near]) - target) <= slack or hi - lo <= 1:
-                found[j] = (bounds[near], rows[near])
+                found[j] = bounds[near]
                 continue
             inside = got.get(at)
             if inside:  # no key of the bracket lies outside these
                 lo, hi = max(lo, inside[2] << 64), min(hi, (inside[3] + 1) << 64)
             bracket[j] = (lo, hi)
-    order = sorted(found.values())
-    return [b for b, _ in order], [r for _, r in order]
+    return sorted(found.values())
 
 
 def row_boundary(keys: DataFrame, rows: int) -> int:
@@ -143,31 +129,38 @@ def row_boundary(keys: DataFrame, rows: int) -> int:
     return hi
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.0005, rows_per_bucket: int = 100_000, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.0005, rows_per_bucket: int = 500_000, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), bytes_per_bucket: int = 1 << 28) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` and, in the struct ``doc``, the columns to carry.
 
     Sizes are UTF-8 bytes plus 1.  The columns named in ``carry`` move with the one
-    exchange; the histogram rounds read hashes and sizes only.
+    exchange; the histogram rounds read hashes and sizes only.  A partition of the
+    exchange holds some ``rows_per_bucket`` rows and, with ``carry``, not more than some
+    ``bytes_per_bucket`` of text, but for a longer text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"), *([F.struct(*carry).alias("doc")] if carry else [])))
     source = source.select("doc_id", (F.octet_length("_text") + 1).cast("long").alias("size"), F.crc32(F.encode("_text", "UTF-8")).alias("text_crc32"), F.xxhash64("_text").alias("high"), F.xxhash64("doc_id", "_row").alias("low"), *(["doc"] if carry else []))
     source = cut(source)  # row keys must not change between the histogram and the exchange
     keys = source.drop("doc")
-    per_shard = min(max(4, -(-keys.count() // (n_shards * rows_per_bucket))), max(4, PROBES // (2 * n_shards)))  # two probes a bucket at least
-    bounds, rows_below = find_splitters(keys, n_shards, per_shard, tolerance)
-    high_bound, low_bound = _halves(bounds)
-    starts = np.array([0, *rows_below], np.int64)
-    starts -= starts[np.arange(len(starts)) // per_shard * per_shard]  # rows of the shard's earlier buckets
+    whole = histogram(keys, [])
+    total, n_rows = whole[0][:2] if whole else (0, 0)
+    high_bound, low_bound = _halves(find_splitters(keys, n_shards, total, tolerance))
+    buckets = max(n_shards, -(-n_rows // rows_per_bucket), -(-total // bytes_per_bucket) if carry else 0)
 
     moved = source if carry else keys
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moved.schema) + ", bucket int, ahead long"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moved.schema) + ", shard int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = interval_of(_unsigned(batch.column("high")), _unsigned(batch.column("low")), high_bound, low_bound)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(starts[at])], [*batch.schema.names, "bucket", "ahead"])
-
-    order = Window.partitionBy("bucket").orderBy("high", "low", "doc_id")
-    slotted = moved.mapInArrow(run, schema).withColumn("slot", F.row_number().over(order) - 1 + F.col("ahead"))
-    return slotted.select("doc_id", "size", "text_crc32", F.floor(F.col("bucket") / per_shard).cast("int").alias("shard"), "slot", *(["doc"] if carry else []))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], [*batch.schema.names, "shard"])
+
+    order = ("high", "low", "doc_id")  # shards are ranges of it
+    placed = cut(moved.mapInArrow(run, schema).repartitionByRange(buckets, *order).sortWithinPartitions(*order).drop("high", "low"))
+    placed = placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    runs = placed.groupBy("shard", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("shard", "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    runs = F.broadcast(runs) if buckets <= BROADCAST_RUNS else runs  # at most buckets + n_shards rows
+    slotted = placed.join(runs, ["shard", "_part"]).withColumn("slot", F.col("_at") + F.col("_shift"))
+    return slotted.select("doc_id", "size", "text_crc32", "shard", "slot", *(["doc"] if carry else []))
