@@ -79,3 +79,19 @@ def test_empty_tables(spark):
     assert contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
     got = contamination(spark.createDataFrame(DOCS, "doc_id long, text string"), none).collect()
     assert len(got) == len(DOCS) and not any(r.contaminated for r in got)
+
+
+def test_bounds_by_bytes_and_a_full_filter_change_nothing(spark, monkeypatch):
+    """Windows and items shuffled for their bytes, a filter that lets nearly all through, windows of many items."""
+    items = [*ITEMS, *[(100 + i, LONG) for i in range(60)]]
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "LEAST_CHARS", 64)
+    monkeypatch.setattr(decontaminate, "MOST_CHARS", 64)
+    monkeypatch.setattr(decontaminate, "CHUNK", 64)
+    for most in (1 << 26, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+        got = contamination(docs, bench).collect()
+        assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == brute(DOCS, items)
+        kept = [(r.doc_id or 0, r.text or "") for r in drop_contaminated(docs, bench).collect()]
+        assert sorted(kept) == sorted((i or 0, t or "") for i, t in DOCS if not brute([(i, t)], items)[0][-1])

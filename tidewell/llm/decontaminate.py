@@ -5,7 +5,9 @@ two probes, sized from the number of windows, is part of the scan's expression:
 each document is read once, its windows are hashed in place, and only positions
 that pass the filter leave the scan, with the window's words.  They are then
 verified by an equality join with the windows themselves, broadcast while their
-number is under a stated bound and shuffled beyond it.  Where items shorter than a
+number and their bytes are under stated bounds and shuffled beyond them.  A hit carries
+its window's number; the items that hold a window are joined to each document's distinct
+windows afterwards, one row an item.  Where items shorter than a
 window make windows of several sizes, one pass over the positions looks for the
 beginnings of all windows, as long as the shortest, and the sizes are told apart
 only where that passes.
@@ -38,8 +40,11 @@ BITS_EACH = 16
 LEAST_CHARS, MOST_CHARS = 1 << 17, 1 << 24
 #: Bytes of the filter that one row holds while it is made.
 CHUNK = 1 << 12
-#: Most windows that are broadcast; about 100 bytes each.
+#: Most windows that are broadcast, and most bytes of what is broadcast: of windows' words, of items' ids.
 BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 1 << 26
+#: Bytes that a broadcast row takes beside its string.
+ROW_BYTES = 48
 #: Most document keys that are broadcast when documents are dropped; 16 bytes each.
 BROADCAST_KEYS = 1_000_000
 
@@ -50,11 +55,17 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``size, window, items``: every distinct window with the ids, as strings, of the items that hold it."""
+    """``item, size, window, h``: every window of every item, by the item's id as a string; one more often in an item is not repeated."""
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     sized = items.select("item", "w", F.least(F.size("w"), F.lit(width)).alias("size"))
     each = sized.select("item", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda i: F.slice("w", i, F.col("size")))).alias("part"))
-    return each.groupBy("size", F.array_join("part", " ").alias("window")).agg(F.collect_set("item").alias("items"), F.first(F.xxhash64("part")).alias("h"))
+    return each.select("item", "size", F.array_join("part", " ").alias("window"), F.xxhash64("part").alias("h")).distinct()
+
+
+def _small(rows: DataFrame, text: str) -> bool:
+    """Whether a computed table is within both bounds of a broadcast."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text) + ROW_BYTES), F.lit(0))).first()
+    return n <= BROADCAST_WINDOWS and size <= BROADCAST_BYTES
 
 
 class WindowFilter:
@@ -88,9 +99,13 @@ class WindowFilter:
         return set_at(self._slot(first)) & set_at(self._slot(second))
 
 
-def scan_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document with its verified hits: ``_row, doc_id, text_key, n_words, pos, size, items``, nulls where it has none."""
-    held = cut(windows)
+def numbered_windows(windows: DataFrame) -> DataFrame:
+    """``size, window, h, wid``: distinct windows, numbered, computed once."""
+    return cut(windows.select("size", "window", "h").distinct().withColumn("wid", F.monotonically_increasing_id()))
+
+
+def scan_windows(docs: DataFrame, held: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document with its verified hits of numbered windows: ``_row, doc_id, text_key, n_words, pos, size, wid``, nulls where it has none."""
     counted = {r["size"]: r["n"] for r in held.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the window's width
     sizes, n_windows = sorted(counted), sum(counted.values())
     source = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")))
@@ -116,17 +131,21 @@ def scan_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", te
     all_hits = F.concat(*[F.coalesce(found(s), none) for s in sizes]) if sizes else none
     scanned = split.select("_row", "doc_id", "text_key", "n_words", F.explode_outer(all_hits).alias("c"))
     scanned = scanned.select("_row", "doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.col("c.pos").alias("pos"), F.col("c.size").alias("size"), F.coalesce("c.window", F.concat(F.lit(" "), F.col("_row"))).alias("window"))
-    right = held.select("window", "items", F.col("size").alias("_size"))
-    right = F.broadcast(right) if n_windows <= BROADCAST_WINDOWS else right
+    right = held.select("window", "wid")
+    right = F.broadcast(right) if _small(held, "window") else right
     # a document without hits meets no window, as none begins with a space; sizes agree because words do
-    return scanned.join(right, "window", "left").drop("window", "_size")
+    return scanned.join(right, "window", "left").drop("window")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words, hit words, items and verdict of every row of ``docs``; ``spans`` are the hit words' ranges from 0."""
-    scanned = scan_windows(docs, benchmark_windows(benchmark, width), id_col, text_col)
-    hit = F.col("items").isNotNull()
-    grouped = scanned.groupBy("_row", "doc_id", "text_key", "n_words").agg(F.collect_set(F.when(hit, F.struct("pos", "size"))).alias("hits"), F.collect_set("items").alias("items"))
+    windows = benchmark_windows(benchmark, width)
+    held = numbered_windows(windows)
+    holders = cut(windows.join(held.select("window", "wid"), "window").select("wid", "item"))
+    scanned = scan_windows(docs, held, id_col, text_col)
+    document = ["_row", "doc_id", "text_key", "n_words"]
+    hit = F.when(F.col("wid").isNotNull(), F.struct("pos", "size"))
+    grouped = scanned.groupBy(*document).agg(F.collect_set(hit).alias("hits"), F.collect_set("wid").alias("wids"))
     start = F.expr("cast(array() AS array<struct<first:int,last:int>>)")
 
     def join_spans(spans: Column, x: Column) -> Column:
@@ -136,8 +155,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
         return F.when((F.size(spans) > 0) & (first <= previous["last"] + 1), joined).otherwise(F.concat(spans, F.array(F.struct(first.alias("first"), last.alias("last")))))
 
     spans = F.aggregate(F.array_sort("hits"), start, join_spans)
-    items = F.array_sort(F.array_distinct(F.flatten("items")))
-    shown = grouped.select("doc_id", "text_key", "n_words", spans.alias("spans"), items.alias("items"))
+    met = grouped.withColumn("spans", spans).select(*document, "spans", F.posexplode_outer("wids").alias("_i", "wid"))
+    met = met.withColumn("spans", F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("spans")))  # once, not with each window
+    named = met.join(F.broadcast(holders) if _small(holders, "item") else holders, "wid", "left")
+    shown = named.groupBy(*document).agg(F.first("spans", ignorenulls=True).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
     return shown.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans", "items")
 
@@ -147,6 +168,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, id
 
     Hit rows are told by id and text; their keys are broadcast while they are few.
     """
-    keys = cut(contamination(docs, benchmark, width, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_text")).distinct())
+    scanned = scan_windows(docs, numbered_windows(benchmark_windows(benchmark, width)), id_col, text_col)
+    keys = cut(scanned.where("wid IS NOT NULL").select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_text")).distinct())
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     return docs.join(keys, (F.col(id_col).cast("long").eqNullSafe(F.col("__hit_id"))) & (F.xxhash64(F.col(text_col)) == F.col("__hit_text")), "left_anti")
