@@ -62,6 +62,32 @@ def q053(t: Tables) -> DataFrame:
     return similar_pairs(t.embeddings, "vec_id", "embedding", 0.3, within=["label"]).withColumn("score", F.round("score", 6))
 
 
+COPIED_SQL = "v as (select vec_id, label, embedding from embeddings union all select vec_id + 1000000, label, embedding from embeddings where vec_id % 3 = 0)"
+
+
+def copied(t: Tables) -> DataFrame:
+    """The vectors, a third of them twice."""
+    v = t.embeddings.select("vec_id", "label", "embedding")
+    return v.union(v.where("vec_id % 3 = 0").withColumn("vec_id", F.col("vec_id") + 1000000))
+
+
+@query("q053_similarity_classes", f"""
+with {COPIED_SQL}, c as (select label, embedding::double[] e, min(vec_id) as head, count(*) as n from v where embedding is not null group by all)
+select a.head as a, b.head as b, round(list_cosine_similarity(a.e, b.e), 6) as score, a.n as a_rows, b.n as b_rows from c a join c b on a.label = b.label and a.head < b.head where round(list_cosine_similarity(a.e, b.e), 9) >= 0.3""")
+def q053_classes(t: Tables) -> DataFrame:
+    """Near pairs between classes of equal vectors, not between their copies."""
+    from tidewell.operators.dedup import similar_classes
+
+    return similar_classes(copied(t), "vec_id", "embedding", 0.3, within=["label"]).withColumn("score", F.round("score", 6))
+
+
+@query("q053_class_members", f"with {COPIED_SQL} select vec_id as key, min(vec_id) over (partition by label, embedding) as head from v where embedding is not null")
+def q053_members(t: Tables) -> DataFrame:
+    from tidewell.operators.dedup import vector_classes
+
+    return vector_classes(copied(t), "vec_id", "embedding", within=["label"])
+
+
 @query("q054_text_overlap_join")
 def q054(t: Tables) -> DataFrame:
     """Facts by weight, each kept unless it nearly equals a kept one of its group."""
