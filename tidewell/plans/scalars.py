@@ -33,7 +33,7 @@ def q138(t: Tables) -> DataFrame:
 @query("q139_section_chunks", "with s as (select doc_id, '## ' || replace(text, chr(10), chr(10) || '### ') as md from documents), p as (select doc_id, list_filter(list_transform(string_split(replace(md, chr(10) || '#', chr(10) || chr(1) || '#'), chr(10) || chr(1)), lambda x: trim(x)), lambda x: length(x) >= 40) as c from s), e as (select doc_id, unnest(range(1, len(c) + 1)) as i, c from p) select doc_id, i as section, c[i] as chunk from e")
 def q139(t: Tables) -> DataFrame:
     md = F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n### ")))
-    parts = F.filter(F.transform(F.split(md, r"\n(?=#{1,3}\s)"), F.trim), lambda x: F.length(x) >= 40)
+    parts = F.filter(F.transform(F.split(md, r"\n(?=#{1,3}\s)"), lambda x: texts.trimmed(x)), lambda x: F.length(x) >= 40)
     return t.documents.select("doc_id", F.posexplode(parts).alias("i", "chunk")).select("doc_id", (F.col("i") + 1).cast("long").alias("section"), "chunk")
 
 
