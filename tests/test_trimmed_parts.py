@@ -23,3 +23,9 @@ def test_sections_keep_their_last_digit(spark, tmp_path):
     spark.createDataFrame([(7, f"{line}0\n{line}1 \n{line}2")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [r.chunk for r in QUERIES["q139_section_chunks"](spark, str(tmp_path)).orderBy("section").collect()]
     assert got == [f"## {line}0", f"### {line}1", f"### {line}2"]
+
+
+def test_code_blocks_keep_digits_that_equal_their_place(spark):
+    from tidewell.functions.code import linear_chunks
+
+    assert parts(spark, "x = 0\n\n y = 1 \n\nz = 2", linear_chunks("t")) == ["x = 0", "y = 1", "z = 2"]

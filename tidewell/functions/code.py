@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions.texts import trimmed
+
 # Fixed values.
 CODE_HOSTS = ("github.com", "gitlab.com", "gist.github.com", "raw.githubusercontent.com", "bitbucket.org")
 SNIPPET_TITLE = r"(?i)^deep\s*dive\s*:"
@@ -57,7 +59,7 @@ def is_likely_code(text: Column | str) -> Column:
 
 def linear_chunks(text: Column | str, most: int = 1200, piece: int = 1000, least: int = 1) -> Column:
     """Blocks between blank lines; a longer one is cut into slices."""
-    blocks = F.filter(F.transform(F.split(_c(text), r"\n\s*\n"), F.trim), lambda b: F.length(b) >= least)
+    blocks = F.filter(F.transform(F.split(_c(text), r"\n\s*\n"), lambda b: trimmed(b)), lambda b: F.length(b) >= least)
 
     def sliced(b: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(b), F.lit(1)), F.lit(piece))
