@@ -63,7 +63,7 @@ def q028(t: Tables) -> DataFrame:
     from tidewell.plans.search import pairs_of
 
     docs = t.embeddings.withColumn("embedding", F.when(F.col("vec_id") % 9 != 0, F.col("embedding")))
-    return pairs_of(t, docs).where(F.col("score").isNull() | (F.col("score") >= 0.1)).select("query", "vec_id")
+    return pairs_of(t, docs.select("vec_id", "embedding"), floor=0.1).where(F.col("score").isNull() | (F.col("score") >= 0.1)).select("query", "vec_id")
 
 
 TRUST_SQL = "with e as (select event_id, value / 50.0 as sim, case when (props->>'$.k')::int % 10 = 0 then null else (props->>'$.k')::int / 100.0 end as trust from events)"
@@ -260,7 +260,7 @@ def q044(t: Tables) -> DataFrame:
     """Atoms near each anchor, with the mix of query and core score."""
     from tidewell.plans.search import pairs_of
 
-    s = pairs_of(t, t.embeddings).select("query", "vec_id", ((F.col("score") + 1) / 2).alias("score")).where("score >= 0.55")
+    s = pairs_of(t, t.embeddings.select("vec_id", "embedding"), floor=0.0999).select("query", "vec_id", ((F.col("score") + 1) / 2).alias("score")).where("score >= 0.55")
     core = F.when(F.col("vec_id") % 4 != 0, 0.5)
     return s.select("query", "vec_id", F.round("score", 7).alias("core"), F.round(0.7 * F.col("score") + 0.3 * F.coalesce(core, F.col("score")), 9).alias("mixed"))
 

@@ -203,5 +203,6 @@ def q059(t: Tables) -> DataFrame:
     from tidewell.operators.retrieval import anchor_first
     from tidewell.plans.search import pairs_of
 
-    s = pairs_of(t, t.embeddings).select("query", "vec_id", (F.col("vec_id") % 25).alias("doc"), "score")
-    return anchor_first(s, ["query"], "doc", "vec_id", "score", supplements=2).select("query", "vec_id", "doc", "place")
+    rows = t.embeddings.select("vec_id", "embedding", (F.col("vec_id") % 25).alias("doc"))
+    s = pairs_of(t, rows, keep=2, within=["doc"]).select("query", "vec_id", "doc", "score")
+    return anchor_first(s, ["query"], "doc", "vec_id", "score", supplements=2, rows=rows.select("vec_id", "doc")).select("query", "vec_id", "doc", "place")

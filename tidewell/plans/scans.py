@@ -127,7 +127,8 @@ d as (select *, row_number() over (partition by query, host order by score desc,
 select query, vec_id, host, score from d where rn = 1 qualify row_number() over (partition by query order by score desc, vec_id) <= 8""")
 def q013(t: Tables) -> DataFrame:
     """Nearest rows of one class for each query, one for each host."""
-    scored = pairs_of(t, t.embeddings.where("label % 2 = 0")).select("query", "vec_id", (F.col("vec_id") % 40).alias("host"), "score").where("score >= 0.05")
+    rows = t.embeddings.where("label % 2 = 0").select("vec_id", "embedding", (F.col("vec_id") % 40).alias("host"))
+    scored = pairs_of(t, rows, keep=1, within=["host"]).select("query", "vec_id", "host", "score").where("score >= 0.05")
     one = ops.latest(scored, ["query", "host"], F.desc("score"), F.asc("vec_id"))
     return top_per_group(one, ["query"], 8, F.desc("score"), F.asc("vec_id"))
 
@@ -151,7 +152,7 @@ r as (select *, row_number() over (partition by query, polarity order by score d
 select query, vec_id, polarity, score from r where rn <= 3""")
 def q015(t: Tables) -> DataFrame:
     """The twelve nearest rows of each query, then three of each pole."""
-    scored = pairs_of(t, t.embeddings.where("label < 6 AND label <> 2")).select("query", "vec_id", (F.col("label") % 2).alias("polarity"), "score")
+    scored = pairs_of(t, t.embeddings.where("label < 6 AND label <> 2"), keep=12).select("query", "vec_id", (F.col("label") % 2).alias("polarity"), "score")
     pool = top_per_group(scored, ["query"], 12, F.desc("score"), F.asc("vec_id"))
     return top_per_group(pool, ["query", "polarity"], 3, F.desc("score"), F.asc("vec_id"))
 
