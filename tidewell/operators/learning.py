@@ -22,8 +22,8 @@ def peak_and_top(score: str, n: int) -> Column:
 def coverage_summary(rows: DataFrame, keys: Sequence[str], verified: Column, layers: dict[str, Column]) -> DataFrame:
     """Verified rows, the share that passes each layer, and the mean share in percent."""
     shares = rows.groupBy(*keys).agg(F.count_if(verified).alias("verified"), *[F.avg(c.cast("int")).alias(k) for k, c in layers.items()])
-    mean = sum((F.col(k) for k in layers), F.lit(0.0)) / len(layers)
-    overall = F.greatest(F.lit(0), F.least(F.lit(100), F.round(100 * mean))).cast("long")
+    percent = 100 * sum((F.col(k) for k in layers), F.lit(0.0)) / len(layers)  # divided last, else halves fall below themselves
+    overall = F.greatest(F.lit(0), F.least(F.lit(100), F.round(percent))).cast("long")
     return shares.select(*keys, "verified", *[F.round(k, 6).alias(k) for k in layers], overall.alias("overall"))
 
 
