@@ -37,3 +37,19 @@ def density_gain(sketches: DataFrame, keys: Sequence[str], order: str) -> DataFr
     own = F.theta_sketch_estimate("sketch")
     common = F.when(F.col("_before").isNull(), F.lit(0).cast("long")).otherwise(F.theta_sketch_estimate(F.theta_intersection("sketch", "_before")))
     return known.select(*keys, order, total.alias("seen"), (own - common).alias("new"))
+
+
+def exact_gain(rows: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """``keys, order, seen, new`` as ``density_gain`` has them, but exact beyond a sketch's entries: each value counts at its first step.
+
+    One row for each key and value is exchanged; then there is one for each key and step.
+    """
+    from pyspark.sql import Window
+
+    real = F.col(value).isNotNull()
+    first = rows.where(real).groupBy(*keys, value).agg(F.min(order).alias(order))
+    new = first.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("new"))
+    none = rows.where(real).select(*keys, order).distinct().withColumn("new", F.lit(0).cast("long"))  # steps without a new value
+    steps = new.unionByName(none).groupBy(*keys, order).agg(F.sum("new").alias("new"))
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.select(*keys, order, F.sum("new").over(so_far).alias("seen"), "new")
