@@ -34,9 +34,10 @@ u as (select vec_id, label + 100 as label, 1 as version from embeddings where ve
 n as (select vec_id, label from (select *, row_number() over (partition by vec_id order by version desc) rn from u) where rn = 1)
 select vec_id, label from n union all select vec_id, label from base where vec_id not in (select vec_id from n)""")
 def q002(t: Tables) -> DataFrame:
+    """Of two updates of one version, which tables of more than 100,000 rows have, the first batch's stays."""
     e = t.embeddings.select("vec_id", "label")
-    new = e.where("vec_id % 3 = 0").selectExpr("vec_id", "label + 100 AS label", "1 AS version").union(e.where("vec_id % 6 = 0").selectExpr("vec_id", "label + 200", "2")).union(e.where("vec_id % 5 = 0").selectExpr("vec_id + 100000", "label", "1"))
-    return ops.upsert(e.where("vec_id % 4 <> 1"), new, "vec_id", F.desc("version"))
+    new = e.where("vec_id % 3 = 0").selectExpr("vec_id", "label + 100 AS label", "1 AS version", "1 AS batch").union(e.where("vec_id % 6 = 0").selectExpr("vec_id", "label + 200", "2", "2")).union(e.where("vec_id % 5 = 0").selectExpr("vec_id + 100000", "label", "1", "3"))
+    return ops.upsert(e.where("vec_id % 4 <> 1"), new, "vec_id", F.desc("version"), F.asc("batch"))
 
 
 @query("q003_row_id", """
