@@ -68,3 +68,10 @@ def test_containment_of_whole_texts_within_keys(spark):
     blank = lambda t: not (t or "").strip()
     assert got == sorted((g, i, j) for g, i, x in left for h, j, y in right if g == h and not blank(x) and not blank(y) and (x in y or y in x))
     assert (0, 98, 97) in got
+
+
+def test_vectors_move_by_blocks_and_not_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK", 64)
+    rows = [r for r in vectors(np.random.default_rng(9), 160) if r[2] and any(r[2])]
+    placed, met = dedup._cells(frame(spark, rows).selectExpr("id AS _key", "v AS _v"), [], -1.0)
+    assert placed.count() == len(rows) and met.count() <= 6  # 160 vectors are three blocks, however many cells they lie in
