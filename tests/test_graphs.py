@@ -1,10 +1,11 @@
 """Components and walks on graphs of any shape, against plain Python."""
 
 import random
+import time
 
 import pytest
 
-from tidewell.operators.graphs import LOCAL_EDGES, on_cycles, strong_components, walk_up
+from tidewell.operators.graphs import LOCAL_EDGES, _tarjan, on_cycles, strong_components, walk_up
 
 EDGES = "child long, parent long"
 
@@ -54,6 +55,14 @@ def test_random_graphs(spark, seed, local):
     assert found(spark, nodes, edges, local) == components_of(every, edges)
 
 
+def test_a_walk_takes_time_by_edges():
+    began = time.perf_counter()
+    rings = [(3 * i + j, 3 * i + (j + 1) % 3) for i in range(80_000) for j in range(3)] + [(3 * i, 3 * i + 3) for i in range(79_999)]
+    least = _tarjan(rings)
+    assert all(least[n] == n - n % 3 for n in range(240_000))
+    assert time.perf_counter() - began < 10  # each component closed once copied all that was open
+
+
 def test_no_edges(spark):
     assert found(spark, [1, 2], []) == {1: 1, 2: 2}
 

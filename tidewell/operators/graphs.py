@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.dedup import components, cut
 
-#: Edges of a part of a graph that one task walks through; larger parts are worked on by all tasks.
-LOCAL_EDGES = 50_000
+#: Edges of a part of a graph that one task walks through, in less than 1 GB; larger parts are worked on by all tasks.
+LOCAL_EDGES = 1_000_000
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -80,8 +80,9 @@ def _tarjan(edges: list[tuple]) -> dict:
                 if open_:
                     low[open_[-1][0]] = min(low[open_[-1][0]], low[node])
                 if low[node] == number[node]:
-                    at = trail.index(node) if len(trail) < 64 else len(trail) - 1 - trail[::-1].index(node)
-                    members, trail[at:] = trail[at:], []
+                    members = [trail.pop()]
+                    while members[-1] != node:
+                        members.append(trail.pop())
                     least.update(dict.fromkeys(members, min(members)))
     return least
 
