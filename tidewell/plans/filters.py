@@ -63,7 +63,7 @@ def q028(t: Tables) -> DataFrame:
     from tidewell.plans.search import pairs_of
 
     docs = t.embeddings.withColumn("embedding", F.when(F.col("vec_id") % 9 != 0, F.col("embedding")))
-    return pairs_of(t, docs.select("vec_id", "embedding"), floor=0.1).where(F.col("score").isNull() | (F.col("score") >= 0.1)).select("query", "vec_id")
+    return pairs_of(t, docs.select("vec_id", "embedding"), floor=0.1, score=False).select("query", "vec_id")
 
 
 TRUST_SQL = "with e as (select event_id, value / 50.0 as sim, case when (props->>'$.k')::int % 10 = 0 then null else (props->>'$.k')::int / 100.0 end as trust from events)"
