@@ -262,7 +262,9 @@ def q044(t: Tables) -> DataFrame:
 
     s = pairs_of(t, t.embeddings.select("vec_id", "embedding"), floor=0.0999).select("query", "vec_id", ((F.col("score") + 1) / 2).alias("score")).where("score >= 0.55")
     core = F.when(F.col("vec_id") % 4 != 0, 0.5)
-    return s.select("query", "vec_id", F.round("score", 7).alias("core"), F.round(0.7 * F.col("score") + 0.3 * F.coalesce(core, F.col("score")), 9).alias("mixed"))
+    # the scores have seven digits and the mix nine at most, so the nearest whole number is what rounding half up finds
+    digits = lambda x, n: F.rint(x * 10.0**n) / 10.0**n
+    return s.select("query", "vec_id", digits(F.col("score"), 7).alias("core"), digits(0.7 * F.col("score") + 0.3 * F.coalesce(core, F.col("score")), 9).alias("mixed"))
 
 
 @query("q045_scope_preference", """
