@@ -76,3 +76,14 @@ def test_walks_to_the_root_of_a_long_chain(spark):
 def test_a_parent_that_is_no_node_ends_the_walk(spark):
     parents = spark.createDataFrame([(1, 7), (2, 1), (3, None)], "node long, parent long")
     assert sorted(map(tuple, walk_up(parents).collect())) == [(1, 1, 0), (1, 7, 1), (2, 1, 1), (2, 2, 0), (2, 7, 2), (3, 3, 0)]
+
+
+def test_rings_in_a_chain_need_no_label_rounds(spark, monkeypatch):
+    """More edges in one part than a walk may hold; the rings' nodes lie together by name, or only by where edges lead."""
+    from tidewell.operators import graphs
+
+    monkeypatch.setattr(graphs, "_one_turn", lambda *a: pytest.fail("label rounds"))
+    for name in (lambda n: n, lambda n: n * 7919 % 1009):
+        edges = [(name(20 * r + i), name(20 * r + (i + 1) % 20)) for r in range(45) for i in range(20)] + [(name(20 * r + 5), name(20 * r + 25)) for r in range(44)]
+        want = {name(20 * r + i): min(name(20 * r + j) for j in range(20)) for r in range(45) for i in range(20)}
+        assert found(spark, [5000], edges, 300) == {**want, 5000: 5000}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from tidewell.operators.dedup import components, cut
 
 #: Edges of a part of a graph that one task walks through, in less than 1 GB; larger parts are worked on by all tasks.
 LOCAL_EDGES = 1_000_000
+#: Edges that are walked at once while a graph shrinks, rounds of it at most, and doublings of the steps that a round looks ahead.
+BLOCK_EDGES, SHRINKS, HOPS = 250_000, 8, 6
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -98,11 +103,70 @@ def _solved(parts: DataFrame) -> DataFrame:
     return parts.groupBy("part").applyInPandas(walk, f"node {kind}, component {kind}")
 
 
+def _shrunk(links: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between the first nodes of components that runs of ``most`` edges show, and for each round ``node, head`` of what became another.
+
+    A cycle among some edges is one of the whole graph, so its nodes may take their
+    smallest's name; of a node that two runs name differently the smaller name stays, and
+    a cycle through both names is left for later.  Runs go by the edges' starts, every second round by the least node on a
+    few steps along one chosen edge, so neighbours lie together whatever their names; it ends
+    when so few links are left that one walk does, or a round of each kind shows little.
+    """
+    kind, heads, idle = links.schema["x"].dataType.simpleString(), [], 0
+    left = links.count()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list = []
+
+        def heads_of(edges: list) -> pa.RecordBatch:
+            other = [(n, c) for n, c in _tarjan(edges).items() if n != c]
+            return pa.record_batch({"node": pa.array([n for n, _ in other], kinds), "head": pa.array([c for _, c in other], kinds)})
+
+        kinds = None
+        for batch in batches:
+            kinds = batch.column("x").type
+            rows = list(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()))
+            while rows:
+                take = most - len(open_)
+                open_ += rows[:take]
+                rows = rows[take:]
+                if len(open_) == most:
+                    yield heads_of(open_)
+                    open_ = []
+        if open_:
+            yield heads_of(open_)
+
+    for turn in range(SHRINKS):
+        if left <= most or idle == 2:
+            break
+        runs, order = -(-left // most), ["x", "y"]
+        placed = links
+        if turn % 2:
+            step = links.groupBy(F.col("x").alias("a")).agg(F.min_by("y", F.xxhash64("x", "y")).alias("b")).withColumn("least", F.least("a", "b"))
+            for _ in range(HOPS):
+                far = step.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("least").alias("far"))
+                step = cut(step.join(far, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.least("least", F.coalesce("far", "least")).alias("least")))
+            placed, order = links.join(step.select(F.col("a").alias("x"), F.col("least").alias("_least")), "x"), ["_least", "x", "y"]
+        head = cut(placed.repartitionByRange(runs, *order).sortWithinPartitions(*order).select("x", "y").mapInArrow(walk, f"node {kind}, head {kind}").groupBy("node").agg(F.min("head").alias("head")))
+        found = head.limit(1).count()
+        if found:
+            heads.append(head)
+            for end in ("x", "y"):
+                to = head.select(F.col("node").alias(end), F.col("head").alias("_head"))
+                links = links.join(to, end, "left").withColumn(end, F.coalesce("_head", end)).drop("_head")
+            links = _trimmed(cut(links.where("x <> y").distinct().select("x", "y")), 1)
+        now = links.count() if found else left
+        idle = idle + 1 if now > 0.9 * left else 0
+        left = now
+    return links, heads
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """``node, component``: the smallest node of each strongly connected component, for every node and every end of an edge.
 
-    Nodes off all cycles are trimmed a few rounds.  Weakly connected parts of at most
-    ``local`` edges are finished by one walk in a task.  In larger ones every node takes
+    Nodes off all cycles are trimmed a few rounds.  Cycles within runs of edges become one
+    node each, which leaves little of most graphs; at most ``local`` edges are then
+    finished by one walk in a task, else each weakly connected part of so many.  In larger ones every node takes
     the greatest mark that reaches it, marks being drawn anew in each turn; what carries
     one mark and reaches its owner is the owner's component, and the rest of a mark is a
     part of its own in the next turn.  Nothing but one row a node and edge, and some log
@@ -113,6 +177,18 @@ def strong_components(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_EDG
     links = _trimmed(edges.where("child <> parent").select(F.col("child").alias("x"), F.col("parent").alias("y")))
     if not links.limit(1).count():
         return all_nodes.withColumn("component", F.col("node"))
+    links, heads = _shrunk(links, min(local, BLOCK_EDGES)) if local else (links, [])
+    named = all_nodes.withColumn("label", F.col("node"))
+    for head in heads:
+        named = named.join(head.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("head", "label").alias("label"))
+    every = _parts_solved(links, local)
+    return named.join(every.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+
+
+def _parts_solved(links: DataFrame, local: int) -> DataFrame:
+    """``node, component`` of the ends of links: by one walk if there are few, else by weakly connected parts."""
+    if links.count() <= local:
+        return _solved(links.withColumn("part", F.lit(0)))
     live = links.select(F.col("x").alias("node")).union(links.select("y")).distinct()
     part = components(live, links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("component", "part")
     found, turn, short = [], 0, None
@@ -133,7 +209,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_EDG
     every = found[0]
     for f in found[1:]:
         every = every.union(f)
-    return all_nodes.join(every, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return every
 
 
 def _one_turn(graph: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
