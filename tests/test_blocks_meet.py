@@ -35,3 +35,31 @@ def test_rows_of_many_words_set_a_bar(spark, monkeypatch):
     for f, k in asked:
         want = sorted((-n, line) for line, w in lines if (n := len(set(w) & set(k))))[:4]
         assert sorted((-r.shared, r.line) for r in found if r.focus == f) == want
+
+
+def test_trust_rank_sends_the_best_of_each_trust_only(spark, tmp_path, monkeypatch):
+    """All pairs went to the ranking; scores that weighing makes equal go by id, copies too."""
+    import numpy as np
+
+    from tidewell.functions.scores import passes_trust
+    from tidewell.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    vectors = [(base + rng.normal(size=8) * rng.choice([0, 1e-3, 2e-3, 0.5])).tolist() for _ in range(1500)]
+    table = spark.createDataFrame([(i, v, i % 5) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    e = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(retrieval, "CELL", 500)
+    met, score_pairs = [], retrieval.score_pairs
+    monkeypatch.setattr(retrieval, "score_pairs", lambda *a, **b: (met.append(score_pairs(*a, **b)), met[-1])[1])
+    got = sorted(map(tuple, QUERIES["q110_batched_trust_rank"](spark, str(tmp_path)).collect()))
+    sent = met[0].count()
+    every = score_pairs(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", apart=True)
+    t = F.when((F.col("vec_id") % 5 == 0) | (F.col("vec_id") % 7 == 0), 1.0).otherwise((F.col("vec_id") % 7) / 10.0)
+    sim = F.col("score") * 0.9
+    ranked = {}
+    for r in every.where(passes_trust(sim, t)).select("query", "vec_id", F.round(sim * t, 6).alias("s")).collect():
+        ranked.setdefault(r.query, []).append((-r.s, r.vec_id))
+    assert got == sorted((q, i, -s) for q, rows in ranked.items() for s, i in sorted(rows)[:5])
+    assert sent < 15_000  # 30 queries with 1499 rows each are 44,970 pairs
