@@ -63,3 +63,28 @@ def test_trust_rank_sends_the_best_of_each_trust_only(spark, tmp_path, monkeypat
         ranked.setdefault(r.query, []).append((-r.s, r.vec_id))
     assert got == sorted((q, i, -s) for q, rows in ranked.items() for s, i in sorted(rows)[:5])
     assert sent < 15_000  # 30 queries with 1499 rows each are 44,970 pairs
+
+
+def test_vectors_do_not_move_once_for_each_block(spark, monkeypatch):
+    """Pairs of a group in 2 blocks and in 16: each vector went to each block of its group."""
+    import numpy as np
+
+    from tidewell.operators import dedup
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    vectors = np.array([base + rng.normal(size=16) * 0.4 for _ in range(640)])
+    table = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(vectors)], "id long, v array<double>, g int").cache()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    same = np.round(unit @ unit.T, 9)
+    want = {(i, j) for i in range(640) for j in range(i + 1, 640) if i % 2 == j % 2 and same[i, j] >= 0.95}
+    monkeypatch.setattr(dedup, "PIVOTS", 1)
+    monkeypatch.setattr(dedup, "MOST_PIVOTS", 1)
+    moved = []
+    for size in (160, 20):
+        monkeypatch.setattr(dedup, "BLOCK", size)
+        before = shuffled(spark)[0]
+        got = [(r.a, r.b) for r in dedup.similar_pairs(table, "id", "v", 0.95, within=["g"]).collect()]
+        moved.append(shuffled(spark)[0] - before)
+        assert len(got) == len(set(got)) and set(got) == want
+    assert moved[1] < 2 * moved[0]
