@@ -88,3 +88,23 @@ def test_vectors_do_not_move_once_for_each_block(spark, monkeypatch):
         moved.append(shuffled(spark)[0] - before)
         assert len(got) == len(set(got)) and set(got) == want
     assert moved[1] < 2 * moved[0]
+
+
+def test_best_of_bm25_makes_no_pairs(spark, tmp_path):
+    """40 queries and 900 documents share a word; each pair of them was exchanged."""
+    from tidewell.plans.catalog import QUERIES
+
+    docs = [(i, "common " * (1 + i % 3) + " ".join(f"word{(i * j) % 61:02d}" for j in range(i % 40))) for i in range(900)]
+    talks = [(50 * q, 0, "user", f"common word{q:02d} word{q + 7:02d}") for q in range(40)]
+    table = spark.createDataFrame([*docs, (7, "common word03")], "doc_id long, text string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(talks, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    before = shuffled(spark)[1]
+    got = sorted(map(tuple, QUERIES["q108_lexical_vector_search"](spark, str(tmp_path)).collect()))
+    moved = shuffled(spark)[1] - before
+    every = retrieval.bm25(table, spark.createDataFrame([(q, t.split()) for q, _, _, t in talks], "conv_id long, terms array<string>"), "doc_id", F.split("text", " "), "conv_id", F.col("terms"))
+    ranked = {}
+    for r in every.withColumn("s", F.round("score", 4)).collect():
+        ranked.setdefault(r.query, []).append((-r.s, r.doc_id))
+    assert got == sorted((q, i, -s) for q, rows in ranked.items() for s, i in sorted(rows)[:5])
+    assert moved < 10_000  # 36,000 pairs
